@@ -25,6 +25,8 @@ from spindrift.session import written
 #: Characters that the model tells apart, by frequency; all others share a class per block of 256 code points.
 ALPHABET = 2000
 ENTER, LEAVE, INVALID, FLOOR = -9.0, -1.0, -14.0, 1e-8
+#: Entering a state that reads UTF-8 costs less: its lead and continuation bytes seldom meet by chance.
+ENTER_UNIT = -2.0
 #: Share of the collection by which bigrams are smoothed; log share of one rare character in their class.
 SMOOTH, RARE = 2e-4, -8.0
 #: How often text is undone at most.
@@ -126,6 +128,7 @@ class Labeller:
 
     def __init__(self, model: Model):
         self.model, self.pairs = model, _pairs()
+        self.enter = np.array([ENTER_UNIT if kind == "bytes" else ENTER for kind, *_ in self.pairs], np.float32)
         self.tables = []
         for kind, w, t in self.pairs:
             table: dict[int, int] = {}
@@ -194,8 +197,8 @@ class Labeller:
                 i = p + 2
         return out, more, None
 
-    def suspects(self, texts: list[str]) -> np.ndarray:
-        """Which texts any path through a pair's state could win, by an upper bound of what it gains; the rest are clean.
+    def suspects(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Which texts hold two characters that are likelier one, misread as UTF-8, and which any path through a pair's state could win, by an upper bound of what it gains; the rest are clean.
 
         Mapped pairs gain at a bigram what their reading of it is likelier than the text as it stands, so the sum of the
         positive gains over the text bounds every path. Pairs of multi-byte encodings need a whole unit somewhere.
@@ -204,14 +207,14 @@ class Labeller:
         points = _points("".join(texts))
         start = np.cumsum(lens) - lens
         if not len(points):
-            return np.zeros(len(texts), bool)
+            return np.zeros(len(texts), bool), np.zeros(len(texts), bool)
         text = np.repeat(np.arange(len(texts)), lens)
         before = np.r_[32, points[:-1]]
         before[start[lens > 0]] = 32
         at = np.flatnonzero((points > 127) | (before > 127))
         found = np.zeros(len(texts), bool)
         if not len(at):
-            return found
+            return found, found
         pair, back = np.unique((before[at] << 21) | points[at], return_inverse=True)
         p, c = pair >> 21, pair & 0x1FFFFF
         uniq, code = np.unique(np.r_[p, c], return_inverse=True)
@@ -220,7 +223,7 @@ class Labeller:
         clean = self.model.log[own[cp], own[cc]]
         gain = np.zeros(len(pair), np.float32)
         double = np.zeros(len(pair), np.float32)
-        unit = np.zeros(len(pair), bool)
+        unit, likely = np.zeros(len(pair), bool), np.zeros(len(pair), bool)
         whole = np.ones(len(uniq), bool)
         for k, (kind, w, true) in enumerate(self.pairs):
             if kind in {"table", "swap", "wide"}:
@@ -233,7 +236,10 @@ class Labeller:
                 gain = np.maximum(gain, e - clean)
             elif kind == "bytes" and "*" not in true:
                 byte = np.array([self.tables[k].get(u, -1) for u in uniq.tolist()], np.int64)
-                unit |= (byte[cp] >= 0xC2) & (byte[cp] <= 0xF4) & (byte[cc] >= 0x80) & (byte[cc] < 0xC0)
+                whole_unit = (byte[cp] >= 0xC2) & (byte[cp] <= 0xF4) & (byte[cc] >= 0x80) & (byte[cc] < 0xC0)
+                unit |= whole_unit
+                read = np.where(whole_unit & (byte[cp] < 0xE0), ((byte[cp] & 0x1F) << 6) | (byte[cc] & 0x3F), 0)
+                likely |= (read > 0) & (self.model.single[self.model.ids(read)] > self.model.single[own[cp]] + clean)
             elif kind == "multi":
                 byte = np.array([u if u < 128 else self.tables[k].get(u, -1) for u in uniq.tolist()], np.int64)
                 read, more, _ = self._multi(k, np.stack([p, c], 1).ravel(), np.stack([np.where(p < 128, -1, byte[cp]), np.where(c < 128, -1, byte[cc])], 1).ravel(), np.full(2 * len(p), -1), np.zeros(2 * len(p), bool), np.tile([True, False], len(p)))
@@ -243,9 +249,11 @@ class Labeller:
         need = -(ENTER + LEAVE)
         found |= np.bincount(text[at], gain[back], len(texts)) >= need
         found |= np.bincount(text[at], double[back], len(texts)) >= need
+        units = np.zeros(len(texts), bool)
+        units[text[at[likely[back]]]] = True
         found[text[at[unit[back]]]] = True
         found[text[at[points[at] == 0xFFFD]]] = True
-        return found
+        return units, found
 
     def label(self, texts: list[str]) -> list[np.ndarray]:
         """The state of every character: 0 clean, k + 1 the k-th pair."""
@@ -303,7 +311,7 @@ class Labeller:
             out = now[:, 1:].argmax(1)
             leave = now[np.arange(live), out + 1] + LEAVE
             clean = np.maximum(now[:, 0], leave)
-            enter = np.where(closed[at, 1:], -1e30, (now[:, :1] + ENTER))
+            enter = np.where(closed[at, 1:], -1e30, (now[:, :1] + self.enter))
             came[at, 0] = np.where(leave > now[:, 0], out + 1, 0)
             came[at, 1:] = enter > now[:, 1:]
             best[:live, 1:] = np.maximum(now[:, 1:], enter) + emit[at, 1:]
@@ -344,11 +352,18 @@ class Labeller:
                     out.append(chr(int(second[i])))
         return "".join(out), whole
 
-    def restore(self, texts: list[str]) -> list[tuple[list[str], str, bool]]:
-        """For each text the pairs that were undone, the outcome, and whether nothing in it is left garbled."""
+    def restore(self, texts: list[str]) -> tuple[list[tuple[list[str], str, bool]], np.ndarray]:
+        """For each text the pairs that were undone, the outcome, and whether nothing in it is left garbled.
+
+        Then, for each text, whether it is fit to train on: not undone, and without a likely unit of misread UTF-8.
+        """
         state = [([], t, True) for t in texts]
         todo = [i for i, t in enumerate(texts) if not t.isascii()]
-        todo = [todo[i] for i in np.flatnonzero(self.suspects([texts[i] for i in todo])).tolist()] if todo else []
+        fit = np.ones(len(texts), bool)
+        if todo:
+            units, found = self.suspects([texts[i] for i in todo])
+            fit[np.array(todo)[units]] = False
+            todo = [todo[i] for i in np.flatnonzero(found).tolist()]
         for _ in range(LAYERS):
             for a in range(0, len(todo), BATCH):
                 part = todo[a : a + BATCH]
@@ -371,7 +386,8 @@ class Labeller:
                 break
             # only text that changed in this round is read again
             texts = [s[1] for s in state]
-        return state
+        fit &= np.array([not s[0] for s in state], bool)
+        return state, fit
 
 
 def _char_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -410,10 +426,10 @@ def _apply(texts: DataFrame, key: str, column: str, model: Model) -> DataFrame:
         own.chars, own.log, own.single = sent.value
         labeller = Labeller(own)
         for frame in frames:
-            found = labeller.restore(frame[column].tolist())
-            yield pd.DataFrame({key: frame[key], "text": frame[column], "pairs": [x[0] for x in found], "restored": [x[1] if x[2] else None for x in found]})
+            found, fit = labeller.restore(frame[column].tolist())
+            yield pd.DataFrame({key: frame[key], "text": frame[column], "fit": fit, "pairs": [x[0] for x in found], "restored": [x[1] if x[2] else None for x in found]})
 
-    return texts.mapInPandas(run, f"{key} long, text string, pairs array<string>, restored string")
+    return texts.mapInPandas(run, f"{key} long, text string, fit boolean, pairs array<string>, restored string")
 
 
 def garbled(rows: DataFrame, key: str, column: str) -> DataFrame:
@@ -423,6 +439,5 @@ def garbled(rows: DataFrame, key: str, column: str) -> DataFrame:
     texts are clean; repeated rows are looked at once; no rows give no rows.
     """
     texts, _ = written(rows.where(F.col(key).isNotNull() & (F.length(column) > 0)).select(key, column).distinct(), "texts")
-    first, _ = written(_apply(texts, key, column, train(texts, column)).select(key, "text", (F.size("pairs") > 0).alias("bad")), "labelled")
-    clean = first.where("not bad")
-    return _apply(texts, key, column, train(clean, "text")).where("size(pairs) > 0")
+    first, _ = written(_apply(texts, key, column, train(texts, column)).select("text", "fit"), "labelled")
+    return _apply(texts, key, column, train(first.where("fit"), "text")).where("size(pairs) > 0").drop("fit")
