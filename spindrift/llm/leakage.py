@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from spindrift.functions.folding import words_only
 from spindrift.llm.wu_manber import LENGTH, Patterns
+from spindrift.session import written
 
 #: Share of a sentence's words that must be found; share of an item's words that a run must exceed; words of the run that must agree.
 SENTENCE, RUN, AGREE = 0.7, 0.5, 0.75
@@ -196,9 +197,9 @@ def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
         for r in rows:
             by[r["item_id"]].append(r["_s"])
         block = Items(sorted(by.items()))
-        found = _found(texts, block).distinct()
+        found, _ = written(_found(texts, block), "leaks")
         holders = spark.createDataFrame([(s, block.item_ids[i]) for s, own in block.holders.items() for i in own], "sentence long, item_id long")
-        held = found.where("sentence >= 0").select("doc", "sentence")
+        held = found.where("sentence >= 0").select("doc", "sentence").distinct()
         runs = found.where("item >= 0").select(F.col("item").alias("item_id"), F.col("doc").alias("doc_id"))
         stock = held.groupBy("sentence").count().where(F.col("count") > limit).select("sentence")
         pairs = held.join(stock, "sentence", "left_anti").join(holders, "sentence").select("item_id", F.col("doc").alias("doc_id")).unionByName(runs)
