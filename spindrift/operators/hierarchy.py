@@ -6,8 +6,8 @@ Only nodes that are a parent to something take part in the search; the leaves lo
    splitters are *anchors*.
 2. Every node walks to its next anchor by pointer doubling, carrying the names on the way; a walk that has arrived
    stands still. The expected walk is ``SPLIT`` long whatever the depth of the tree, so rounds are few.
-3. Walks that don't arrive lie on or below a circle without a splitter (or, very rarely, on a long stretch without
-   one). They go on alone until they have made more steps than there are nodes left; what then still walks, circles.
+3. Walks that don't arrive lie on or below a circle without a splitter. They go on alone until no walk arrives any
+   more and they have made as many steps as there are nodes left; what then still walks, circles.
 4. The splitters form a reduced graph, ``SPLIT`` times smaller, solved the same way; what doesn't arrive circles.
 5. Every node puts its own stretch behind its anchor's path.
 
@@ -16,8 +16,6 @@ The state of each round is a table in the shared folder, so plans stay short and
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -71,11 +69,16 @@ class _Walk:
         self.open = self._part(self.step, False)
         self.left = self.open.count()
 
-    def run(self, most: int) -> None:
-        """Rounds until nothing walks, or until every walk is longer than ``most`` and than what is left."""
-        while self.left and 2**self.step <= most:
-            self.round()
-        while self.left and 2**self.step <= self.left:
+    def run(self) -> None:
+        """Rounds until nothing walks, or until what walks can only circle.
+
+        After k rounds a walk has made 2^k steps. If a walk that ends were longer, nodes further up its path would have
+        arrived in the round just made; so a round in which none arrived leaves circles only. They have been seen whole
+        once 2^k is no less than the number of nodes left.
+        """
+        before = -1
+        while self.left and not (self.left == before and 2**self.step >= self.left):
+            before = self.left
             self.round()
 
     def circling(self) -> DataFrame:
@@ -106,8 +109,7 @@ def forest(nodes: DataFrame, paths: bool = True) -> DataFrame:
     top = F.col("up").isNull()
     start = start.select("v", "id", F.when(top, F.col("id")).otherwise(F.col("up")).alias("ptr"), F.when(top, 0).otherwise(1).cast("long").alias("hops"), F.col("id").alias("low"), (top | F.col("xid").isNotNull() | _splitter("v", "up")).alias("done"), *[F.when(top, none[c]).otherwise(own[c]).alias(c) for c in carried])
     walk = _Walk(start, carried)
-    n = max(2, inner.count())
-    walk.run(math.ceil(4 * SPLIT * math.log(n)))
+    walk.run()
     lost = walk.circling()
 
     arrived = walk.finished()
@@ -116,7 +118,7 @@ def forest(nodes: DataFrame, paths: bool = True) -> DataFrame:
     ends = tops.unionByName(lost.select(F.col("v").alias("xv"), F.col("id").alias("xid")))
     flagged = reduced.join(ends, [F.col("v") == F.col("xv"), F.col("ptr") == F.col("xid")], "left").select("v", "id", "ptr", "hops", "low", F.col("xid").isNotNull().alias("done"), *carried)
     short = _Walk(flagged, carried)
-    short.run(1)
+    short.run()
     rings = short.circling().unionByName(lost)
     rings, _ = written(rings, "rings")
 
