@@ -1,0 +1,373 @@
+"""Texts out of file formats. Every extractor takes bytes and gives text; whatever goes wrong skips that file only."""
+
+from __future__ import annotations
+
+import email
+import email.policy
+import io
+import re
+import struct
+import zipfile
+import zlib
+from collections.abc import Callable, Iterator
+from html.parser import HTMLParser
+from xml.etree import ElementTree
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from spindrift.sources.encoding import decode, is_binary
+
+#: Bytes of one part of a container, of all parts, and of a text; depth of nested mail; messages of a mailbox.
+PART, TOTAL, TEXT, DEPTH, MESSAGES = 32 << 20, 128 << 20, 10 << 20, 8, 65_536
+SCHEMA = "text string, content_class int, skipped boolean, truncated boolean, binary boolean, reason string"
+
+
+def plain(data: bytes) -> str:
+    return decode(data)[0]
+
+
+class _Rendered(HTMLParser):
+    """The visible text of HTML; blocks end lines."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.out, self.hidden = [], 0
+
+    def handle_starttag(self, tag, attrs):
+        self.hidden += tag in ("script", "style")
+        if tag in ("p", "br", "div", "li", "tr", "h1", "h2", "h3", "h4"):
+            self.out.append("\n")
+
+    def handle_endtag(self, tag):
+        self.hidden -= tag in ("script", "style") and self.hidden > 0
+
+    def handle_data(self, data):
+        if not self.hidden:
+            self.out.append(data)
+
+
+def rendered(source: str) -> str:
+    parser = _Rendered()
+    parser.feed(source)
+    return re.sub(r"[ \t]*\n\s*", "\n", "".join(parser.out)).strip()
+
+
+def html(data: bytes) -> str:
+    """The source with its markup, decoded as its own declaration says."""
+    found = re.search(rb"charset\s*=\s*[\"']?([\w-]+)", data[:2048], re.I)
+    return decode(data, found.group(1).decode() if found else "auto")[0]
+
+
+def _members(name: str) -> bool:
+    return bool(re.fullmatch(r"word/(document|header\d*|footer\d*|footnotes|endnotes|comments)\.xml|xl/sharedStrings\.xml|xl/worksheets/[^/]+\.xml|ppt/(slides|notesSlides)/[^/]+\.xml|content\.xml|.*\.(xhtml|html?)", name))
+
+
+def office(data: bytes) -> str:
+    """Character data of the parts of zipped documents that hold text; ends of paragraphs, rows and slides end lines."""
+    out, total = [], 0
+    with zipfile.ZipFile(io.BytesIO(data)) as box:
+        for info in sorted(box.infolist(), key=lambda i: [int(x) if x.isdigit() else x for x in re.split(r"(\d+)", i.filename)]):
+            if not _members(info.filename) or info.file_size > PART or total + info.file_size > TOTAL:
+                continue
+            total += info.file_size
+            raw = box.read(info)
+            try:
+                for _, node in ElementTree.iterparse(io.BytesIO(raw)):
+                    tag = node.tag.rsplit("}", 1)[-1]
+                    if tag in ("t", "v", "span", "h", "a", "title", "li", "td") or (tag == "p" and node.text):
+                        out.append(node.text or "")
+                    if node.tail and node.tail.strip():
+                        out.append(node.tail)
+                    if tag in ("p", "row", "si", "h", "title", "li", "tr"):
+                        out.append("\n")
+                    if tag in ("tab", "c"):
+                        out.append("\t")
+            except ElementTree.ParseError:
+                out.append(rendered(decode(raw)[0]))
+    return re.sub(r"\n{2,}", "\n", "".join(out)).strip()
+
+
+def _message(message, depth: int = 0) -> Iterator[str]:
+    for name in ("From", "To", "Cc", "Date", "Subject"):
+        if message[name]:
+            yield f"{name}: {message[name]}"
+    if depth > DEPTH:
+        return
+    for part in message.walk() if depth == 0 else [message]:
+        if part.get_content_disposition() == "attachment" or part.is_multipart():
+            continue
+        if part.get_content_maintype() == "text":
+            text = part.get_content()
+            yield rendered(text) if part.get_content_subtype() == "html" else text
+
+
+def mail(data: bytes) -> str:
+    if re.match(rb"\d+\s*\n", data):  # a count of bytes stands before the message
+        data = data.split(b"\n", 1)[1]
+    return "\n".join(_message(email.message_from_bytes(data, policy=email.policy.default)))
+
+
+def mailbox(data: bytes) -> str:
+    out = []
+    for i, part in enumerate(re.split(rb"(?:^|\n)From [^\n]*\n", data)):
+        if i > MESSAGES:
+            break
+        if part.strip():
+            out.append(mail(re.sub(rb"(?m)^>(>*From )", rb"\1", part)))
+    return "\n\n".join(out)
+
+
+_NO_TEXT = set("fonttbl colortbl stylesheet info pict object themedata colorschememapping latentstyles datastore generator listtable listoverridetable rsidtbl xmlnstbl fldinst header footer".split())
+
+
+def rtf(data: bytes) -> str:
+    """One pass over control words; groups that hold no text are left out."""
+    source, out, stack, skip, wide, page = data.decode("latin-1"), [], [], False, 1, "cp1252"
+    pattern = re.compile(r"\\([a-z]+)(-?\d+)? ?|\\'([0-9a-f]{2})|\\([^a-z'])|([{}])|([^\\{}\r\n]+)|[\r\n]+", re.I)
+    left = 0
+    pending = b""
+
+    def flush() -> None:
+        nonlocal pending
+        if pending:
+            out.append(pending.decode(page, "replace"))
+            pending = b""
+
+    for m in pattern.finditer(source):
+        word, number, code, sign, brace, text = m.groups()
+        if code is not None:
+            if left:
+                left -= 1
+            elif not skip:
+                pending += bytes([int(code, 16)])
+            continue
+        flush()
+        if brace == "{":
+            stack.append((skip, wide))
+        elif brace == "}":
+            skip, wide = stack.pop() if stack else (False, 1)
+        elif word:
+            if word in _NO_TEXT:
+                skip = True
+            elif word == "ansicpg" and number:
+                page = f"cp{number}"
+            elif word == "uc" and number:
+                wide = int(number)
+            elif skip:
+                continue
+            elif word == "u" and number:
+                out.append(chr(int(number) % 65536))
+                left = wide
+            elif word in ("par", "line", "row", "sect"):
+                out.append("\n")
+            elif word in ("tab", "cell"):
+                out.append("\t")
+        elif sign == "*":
+            skip = True
+        elif sign and not skip:
+            out.append({"~": " ", "_": "-"}.get(sign, sign if sign in "\\{}" else ""))
+        elif text and not skip:
+            take = min(left, len(text))
+            left -= take
+            out.append(text[take:])
+    flush()
+    return "".join(out).encode("utf-16", "surrogatepass").decode("utf-16", "replace").strip()
+
+
+def _pdf_string(raw: bytes) -> bytes:
+    if raw[:1] == b"<":
+        digits = re.sub(rb"[^0-9A-Fa-f]", b"", raw)
+        return bytes.fromhex((digits + b"0" * (len(digits) % 2)).decode())
+    simple = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}
+    return re.sub(rb"\\([0-7]{1,3}|\r?\n|.)", lambda m: bytes([int(m[1], 8) & 255]) if m[1][:1].isdigit() else simple.get(m[1], b"" if m[1].strip() == b"" else m[1]), raw[1:-1], flags=re.S)
+
+
+_SHOWN = re.compile(rb"(\((?:[^()\\]|\\.|\((?:[^()\\]|\\.)*\))*\)|<[0-9A-Fa-f\s]*>)|(\[(?:[^\[\]()]|\((?:[^()\\]|\\.)*\))*\]\s*TJ)|\b(T\*|Td|TD|ET)\b|(['\"])", re.S)
+
+
+def pdf(data: bytes) -> str:
+    """Shown strings of the page contents: streams are inflated, moves to a new line end lines.
+
+    Fonts with their own character maps are read through ``ToUnicode`` tables, taken together over the file.
+    """
+    if b"/Encrypt" in data:
+        raise ValueError("encrypted")
+    pages, maps = [], {}
+    for m in re.finditer(rb"<<(.{0,4000}?)>>\s*stream\r?\n", data, re.S):
+        end = data.find(b"endstream", m.end())
+        raw = data[m.end() : end if end > 0 else None]
+        if b"FlateDecode" in m[1]:
+            try:
+                raw = zlib.decompressobj().decompress(raw, PART)
+            except zlib.error:
+                continue
+        elif b"/Filter" in m[1]:
+            continue
+        if b"begincmap" in raw:
+            for block in re.findall(rb"beginbfchar(.*?)endbfchar", raw, re.S):
+                for a, b in re.findall(rb"<([0-9A-Fa-f]+)>\s*<([0-9A-Fa-f]+)>", block):
+                    maps[bytes.fromhex(a.decode())] = bytes.fromhex(b.decode()).decode("utf-16-be", "replace")
+            for block in re.findall(rb"beginbfrange(.*?)endbfrange", raw, re.S):
+                for a, b, c in re.findall(rb"<([0-9A-Fa-f]+)>\s*<([0-9A-Fa-f]+)>\s*<([0-9A-Fa-f]+)>", block):
+                    for i in range(min(int(b, 16) - int(a, 16) + 1, 65536)):
+                        maps[(int(a, 16) + i).to_bytes(len(a) // 2, "big")] = chr((int(c[-4:], 16) + i) % 0x110000)
+        elif re.search(rb"\bBT\b", raw):
+            pages.append(raw)
+    size = max(map(len, maps), default=1)
+
+    def shown(raw: bytes) -> str:
+        s = _pdf_string(raw)
+        if maps and (size > 1 or raw[:1] == b"<"):
+            return "".join(maps.get(s[i : i + size], "") for i in range(0, len(s), size))
+        return s.decode("cp1252", "replace")
+
+    out = []
+    for page in pages:
+        for text in re.findall(rb"\bBT\b(.*?)\bET\b", page, re.S):
+            for one, many, move, quote in _SHOWN.findall(text):
+                if one:
+                    out.append(shown(one))
+                elif many:
+                    for piece, gap in re.findall(rb"(\((?:[^()\\]|\\.)*\)|<[0-9A-Fa-f\s]*>)|(-?\d+\.?\d*)", many, re.S):
+                        out.append(shown(piece) if piece else " " if float(gap) < -200 else "")
+                elif move or quote:
+                    out.append("\n")
+            out.append("\n")
+    return re.sub(r"\n{2,}", "\n", "".join(out)).strip()
+
+
+def _compound(data: bytes) -> dict[str, bytes]:
+    """Streams of a compound file by name; small ones lie in sectors of 64 bytes."""
+    if data[:8] != b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1":
+        raise ValueError("no compound file")
+    shift, small_shift = struct.unpack_from("<HH", data, 30)
+    size, small = 1 << shift, 1 << small_shift
+    first_dir, = struct.unpack_from("<I", data, 48)
+    cutoff, first_small, n_small, first_more, n_more = struct.unpack_from("<5I", data, 56)
+    at = lambda n: data[(n + 1) * size : (n + 2) * size]
+    heads = list(struct.unpack_from("<109I", data, 76))
+    while n_more and first_more < 0xFFFFFFFA:
+        block = struct.unpack(f"<{size // 4}I", at(first_more))
+        heads += block[:-1]
+        first_more, n_more = block[-1], n_more - 1
+    table = [x for h in heads if h < 0xFFFFFFFA for x in struct.unpack(f"<{size // 4}I", at(h))]
+
+    def chain(n: int, links: list[int], read: Callable[[int], bytes]) -> bytes:
+        out, seen = [], set()
+        while n < len(links) and n not in seen:
+            seen.add(n)
+            out.append(read(n))
+            n = links[n]
+        return b"".join(out)
+
+    folder = chain(first_dir, table, at)
+    links = [x for (x,) in struct.iter_unpack("<I", chain(first_small, table, at))] if n_small else []
+    entries = []
+    for i in range(0, len(folder), 128):
+        n, kind = struct.unpack_from("<HB", folder, i + 64)
+        start, length = struct.unpack_from("<IQ", folder, i + 116)
+        entries.append((folder[i : i + max(0, n - 2)].decode("utf-16-le", "replace"), kind, start, length & 0xFFFFFFFF))
+    root = next(e for e in entries if e[1] == 5)
+    mini = chain(root[2], table, at)
+    return {name: (chain(start, links, lambda n: mini[n * small : (n + 1) * small]) if length < cutoff else chain(start, table, at))[:length] for name, kind, start, length in entries if kind == 2}
+
+
+#: Fixed value: what the dictionary of compressed RTF begins with.
+_LZFU = b"{\\rtf1\\ansi\\mac\\deff0\\deftab720{\\fonttbl;}{\\f0\\fnil \\froman \\fswiss \\fmodern \\fscript \\fdecor MS Sans SerifSymbolArialTimes New RomanCourier{\\colortbl\\red0\\green0\\blue0\r\n\\par \\pard\\plain\\f0\\fs20\\b\\i\\u\\tab\\tx"
+
+
+def unpacked_rtf(data: bytes) -> bytes:
+    """Compressed RTF: references into a ring of 4096 bytes."""
+    _, raw, kind, _ = struct.unpack_from("<4I", data)
+    body = data[16:]
+    if kind == 0x414C454D:
+        return body[:raw]
+    ring, write, out, i = bytearray(_LZFU.ljust(4096, b"\0")), len(_LZFU), bytearray(), 0
+    while i < len(body):
+        flags = body[i]
+        i += 1
+        for bit in range(8):
+            if flags >> bit & 1:
+                if i + 1 >= len(body):
+                    return bytes(out)
+                pair = body[i] << 8 | body[i + 1]
+                i += 2
+                start, count = pair >> 4, (pair & 15) + 2
+                if start == write:
+                    return bytes(out)
+                for k in range(count):
+                    c = ring[(start + k) % 4096]
+                    out.append(c)
+                    ring[write] = c
+                    write = (write + 1) % 4096
+            else:
+                if i >= len(body):
+                    return bytes(out)
+                out.append(body[i])
+                ring[write] = body[i]
+                write = (write + 1) % 4096
+                i += 1
+    return bytes(out)
+
+
+def outlook(data: bytes) -> str:
+    """Sender, recipients, subject and body of a message file."""
+    streams = _compound(data)
+
+    def prop(tag: str) -> str:
+        if s := streams.get(f"__substg1.0_{tag}001F"):
+            return s.decode("utf-16-le", "replace").rstrip("\0")
+        s = streams.get(f"__substg1.0_{tag}001E", b"")
+        return decode(s)[0].rstrip("\0")
+
+    body = prop("1000")
+    if not body and (packed := streams.get("__substg1.0_10090102")):
+        body = rtf(unpacked_rtf(packed))
+    if not body and (source := streams.get("__substg1.0_10130102")):
+        body = rendered(decode(source)[0])
+    heads = [f"{n}: {v}" for n, v in (("From", prop("0C1A")), ("To", prop("0E04")), ("Cc", prop("0E03")), ("Subject", prop("0037"))) if v]
+    return "\n".join([*heads, body]).strip()
+
+
+#: Class and extractor per extension; text is what is left.
+FORMATS: dict[str, tuple[int, Callable[[bytes], str]]] = (
+    {e: (2, office) for e in "docx docm xlsx xlsm pptx pptm odt ods odp epub".split()} | {"pdf": (3, pdf)} | {e: (4, html) for e in "html htm xhtml".split()}
+    | {e: (5, mail) for e in "eml emlx mht".split()} | {"rtf": (7, rtf), "mbox": (8, mailbox), "msg": (9, outlook)}
+)
+SNIFFED = [(b"%PDF-", 3, pdf), (b"{\\rtf", 7, rtf)]
+
+
+def extract(name: str, data: bytes) -> tuple[str | None, int, bool, bool, bool, str | None]:
+    """text, class, skipped, truncated, binary, reason: the extension decides, then the first bytes, then text."""
+    ext = name.rsplit(".", 1)[-1].lower() if "." in name else ""
+    kind, run = FORMATS.get(ext, (0, None))
+    if run is None:
+        kind, run = next(((k, f) for head, k, f in SNIFFED if data.startswith(head)), (1, None))
+    try:
+        if run is None:
+            if is_binary(data):
+                return None, kind, True, False, True, "binary"
+            run = plain
+        text = run(data)
+    except Exception as e:  # a broken file is that file's trouble
+        return None, kind, True, False, False, f"{type(e).__name__}: {e}"[:200]
+    return text[:TEXT], kind, False, len(text) > TEXT, False, None
+
+
+def texts(files: DataFrame) -> DataFrame:
+    """Files (path, content) with their text and what became of them."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            found = [extract(p, bytes(c)) if c is not None else (None, 0, True, False, False, "no content") for p, c in zip(frame["path"], frame["content"])]
+            yield pd.concat([frame[["path"]].reset_index(drop=True), pd.DataFrame(found, columns=[x.split()[0] for x in SCHEMA.split(", ")])], axis=1)
+
+    return files.select("path", "content").mapInPandas(run, f"path string, {SCHEMA}")
+
+
+def folder_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """All files below a folder with their text."""
+    read = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    return texts(read.select(F.regexp_replace("path", "^file:/*", "/").alias("path"), "content"))
