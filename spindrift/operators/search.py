@@ -35,7 +35,7 @@ def order(q: Query) -> list[Column]:
 
 
 def _with_content(rows: DataFrame, q: Query) -> DataFrame:
-    if any(x.of("content") for x in q.queries()) and "text_f" not in rows.columns:
+    if "text" in rows.columns and "text_f" not in rows.columns and any(x.of("content") for x in q.queries()):
         rows = rows.withColumn("text_f", folded(F.col("text")))
     return rows
 
