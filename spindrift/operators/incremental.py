@@ -30,6 +30,7 @@ def offsets(runs: DataFrame) -> DataFrame:
     ``all``: nothing was processed before or the journal was replaced; ``journal``: files whose change number is at or
     above ``from_usn``; ``compare``: no journal, so prints are compared with those of earlier successful runs.
     """
+    runs = runs.select("run_id", "volume", "source", "journal_id", "checkpoint_usn", "state", "built_at", "last_persist")
     opened = runs.where("state = 'replaying' and volume is not null").groupBy("volume").agg(F.max(F.struct("built_at", "run_id", "source", "journal_id")).alias("o"))
     done = runs.where("state = 'ready' and last_persist is not null and volume is not null")
     last = done.join(opened, "volume").where("built_at < o.built_at or (built_at = o.built_at and run_id <> o.run_id)").groupBy("volume").agg(F.max(F.struct("built_at", "run_id", "journal_id", "checkpoint_usn")).alias("l"))
@@ -43,6 +44,7 @@ def changed(prints: DataFrame, runs: DataFrame, plan: DataFrame) -> DataFrame:
     Of several prints of a file in one run the latest ``seen_at`` holds. Prints of runs that neither succeeded nor are
     planned say nothing. Sizes and times compare null-safe; a null change number counts as changed.
     """
+    prints = prints.select("run_id", "volume", "frn", "print_size", "print_mod", "usn", "seen_at")
     done = runs.where("state = 'ready' and last_persist is not null").groupBy("run_id", F.col("volume").alias("_v")).agg(F.max("built_at").alias("built_at"))
     roles = done.join(plan.where("mode = 'compare'").select(F.col("volume").alias("_v")), "_v", "left_semi").select("run_id", "_v", "built_at", F.lit(False).alias("opened"))
     roles = roles.unionByName(plan.select(F.col("open_run").alias("run_id"), F.col("volume").alias("_v"), F.lit(None).cast("timestamp").alias("built_at"), F.lit(True).alias("opened")))
@@ -85,6 +87,6 @@ class IncrementalJob:
         done = [str(x.getPath()) for x in fs.listStatus(root) if _exists(self.spark, f"{x.getPath()}/_SUCCESS")] if fs.exists(root) else []
         if not done:
             return self.spark.createDataFrame([], schema)
-        rest = [c for c in ("print_size", "print_mod") if c]
+        rest = ["print_size", "print_mod"]
         rows = self.spark.read.schema(schema).parquet(*done).groupBy("volume", "frn").agg(F.max(F.struct("usn", "seen_at", "batch", *rest)).alias("r"))
         return rows.select("volume", "frn", *[F.col(f"r.{c}").alias(c) for c in (*rest, "usn", "seen_at", "batch")])
