@@ -27,16 +27,19 @@ LONG = 6
 
 #: Signs of omission at the end of a text, and what closes a sentence (with closing quotes and brackets).
 MARKER = r"(?:\s*(?:\[(?:truncated|more|cut|\.\.\.|…)\]|\((?:truncated|more|cut|\.\.\.|…)\)|\.\.\.|…|�+))+\s*$"
+SPACE = " \t\r\n\u00a0\u3000"
+#: Characters that signs of omission take up at most.
+MARKS = 64
 STOP = r"[.!?。！？:;][\"'”»’)\]`]*$"
 
 
 def _ending(texts: DataFrame) -> DataFrame:
     """Per text: what is left without markers, its last line and last token, and the lengths of the whole."""
-    trimmed = F.regexp_replace("text", r"\s+$", "")
-    body = F.regexp_replace(trimmed, MARKER, "")
-    rows = texts.select("doc_id", "source", F.length("text").alias("chars"), F.octet_length("text").alias("bytes"), F.xxhash64("text").alias("print"), (F.length(body) < F.length(trimmed)).alias("marker"), F.regexp_replace(body, r"\s+$", "").alias("body"))
-    line = F.substring_index("body", "\n", -1)
-    return rows.select("doc_id", "source", "chars", "bytes", "print", "marker", line.alias("line"), F.lower(F.regexp_extract("body", r"(\p{L}+)$", 1)).alias("token"))
+    rows = texts.select("doc_id", "source", F.length("text").alias("chars"), F.octet_length("text").alias("bytes"), F.xxhash64("text").alias("print"), F.rtrim("text", F.lit(SPACE)).alias("whole"))
+    rows = rows.withColumn("marks", F.length(F.regexp_extract(F.right("whole", F.lit(MARKS)), MARKER, 0)))
+    body = F.rtrim(F.substring("whole", F.lit(1), F.length("whole") - F.col("marks")), F.lit(SPACE))
+    rows = rows.select("doc_id", "source", "chars", "bytes", "print", (F.col("marks") > 0).alias("marker"), F.substring_index(body, "\n", -1).alias("line"))
+    return rows.withColumn("token", F.lower(F.regexp_extract("line", r"(\p{L}+)$", 1)))
 
 
 def _beginning(line: Column) -> Column:
@@ -45,9 +48,9 @@ def _beginning(line: Column) -> Column:
 
 def vocabulary(texts: DataFrame) -> DataFrame:
     """Words and the number of texts that hold them elsewhere than at their very end: word, texts."""
-    inner = F.regexp_replace("text", r"\p{L}+[^\p{L}]*$", "")
-    words = F.array_distinct(F.split(F.lower(F.regexp_replace(inner, r"[^\p{L}]+", " ")), " "))
-    return texts.select(F.explode(words).alias("word")).where("word <> ''").groupBy("word").agg(F.count("*").alias("texts"))
+    words = F.split(F.trim(F.lower(F.regexp_replace("text", r"[^\p{L}]+", " "))), " ")
+    inner = F.array_distinct(F.slice("words", 1, F.greatest(F.lit(0), F.size("words") - 1)))
+    return texts.select(words.alias("words")).select(F.explode(inner).alias("word")).where("word <> ''").groupBy("word").agg(F.count("*").alias("texts"))
 
 
 def trie(words: DataFrame) -> DataFrame:
@@ -78,7 +81,7 @@ def endings(documents: DataFrame) -> DataFrame:
     ends, _ = written(ends.withColumn("words", F.size(F.split(F.trim("line"), r"\s+"))).withColumn("inner_stop", F.col("line").rlike(r"[.!?。！？][\"'”»’)]*\s+\S|[。！？]\S")).withColumn("kana", F.col("line").rlike(r"[぀-ヿ]")).drop("line"), "endings")
 
     lines = texts.select(F.explode(F.split("text", "\n")).alias("line")).where(F.length(F.trim("line")) > 0)
-    habit = lines.select(_beginning(F.col("line")).alias("h_start"), F.regexp_replace("line", r"\s+$", "").rlike(STOP).alias("stop")).groupBy("h_start").agg(F.count("*").alias("h_lines"), F.sum((~F.col("stop")).cast("int")).alias("h_open"))
+    habit = lines.select(_beginning(F.col("line")).alias("h_start"), F.rtrim("line", F.lit(SPACE)).rlike(STOP).alias("stop")).groupBy("h_start").agg(F.count("*").alias("h_lines"), F.sum((~F.col("stop")).cast("int")).alias("h_open"))
     words, _ = written(vocabulary(texts).where(F.col("texts") >= KNOWN), "words")
     tokens = ends.where("open_end and token <> ''").select(F.col("token").alias("t")).distinct()
     unknown = tokens.join(words.select(F.col("word").alias("t")), "t", "left_anti")
