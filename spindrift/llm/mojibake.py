@@ -438,6 +438,8 @@ def garbled(rows: DataFrame, key: str, column: str) -> DataFrame:
     ``restored`` is null where bytes were lost on the way (replacement characters, unmapped bytes). Null and empty
     texts are clean; repeated rows are looked at once; no rows give no rows.
     """
-    texts, _ = written(rows.where(F.col(key).isNotNull() & (F.length(column) > 0)).select(key, column).distinct(), "texts")
+    # labelling is all computation, so the texts are spread over all cores however few bytes they are
+    tasks = 3 * rows.sparkSession.sparkContext.defaultParallelism
+    texts, _ = written(rows.where(F.col(key).isNotNull() & (F.length(column) > 0)).select(key, column).distinct().repartition(tasks, key), "texts")
     first, _ = written(_apply(texts, key, column, train(texts, column)).select("text", "fit"), "labelled")
     return _apply(texts, key, column, train(first.where("fit"), "text")).where("size(pairs) > 0").drop("fit")
