@@ -27,6 +27,8 @@ ALPHABET = 2000
 ENTER, LEAVE, INVALID, FLOOR = -9.0, -1.0, -14.0, 1e-8
 #: Entering a state that reads UTF-8 costs less: its lead and continuation bytes seldom meet by chance.
 ENTER_UNIT = -2.0
+#: Entering a mapped state right behind a character that it would have changed as well: words are garbled whole.
+ENTER_LATE = -3.0
 #: Share of the collection by which bigrams are smoothed; log share of one rare character in their class.
 SMOOTH, RARE = 2e-4, -8.0
 #: How often text is undone at most.
@@ -128,6 +130,7 @@ class Labeller:
 
     def __init__(self, model: Model):
         self.model, self.pairs = model, _pairs()
+        self.late = np.array([ENTER_LATE if kind == "table" else 0.0 for kind, *_ in self.pairs], np.float32)
         self.enter = np.array([ENTER_UNIT if kind == "bytes" else ENTER for kind, *_ in self.pairs], np.float32)
         self.tables = []
         for kind, w, t in self.pairs:
@@ -311,7 +314,8 @@ class Labeller:
             out = now[:, 1:].argmax(1)
             leave = now[np.arange(live), out + 1] + LEAVE
             clean = np.maximum(now[:, 0], leave)
-            enter = np.where(closed[at, 1:], -1e30, (now[:, :1] + self.enter))
+            behind = ((t > 0) & (points[np.maximum(at - 1, 0)] > 127)).astype(np.float32)
+            enter = np.where(closed[at, 1:], -1e30, now[:, :1] + self.enter + behind[:, None] * self.late)
             came[at, 0] = np.where(leave > now[:, 0], out + 1, 0)
             came[at, 1:] = enter > now[:, 1:]
             best[:live, 1:] = np.maximum(now[:, 1:], enter) + emit[at, 1:]

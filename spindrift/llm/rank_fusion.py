@@ -46,15 +46,17 @@ def first_component(ranked: DataFrame, directions: Mapping[str, int]) -> tuple[n
     """
     names = list(directions)
     wanted = [F.avg(c).alias(f"m{i}") for i, c in enumerate(names)] + [F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(names)]
-    wanted += [F.corr(names[i], names[j]).alias(f"c{i}_{j}") for i in range(len(names)) for j in range(i + 1, len(names))]
+    pairs = [(i, j) for i in range(len(names)) for j in range(i + 1, len(names))]
+    both = lambda i, j: F.when(F.col(names[j]).isNotNull(), F.col(names[i]))
+    wanted += [F.covar_pop(names[i], names[j]).alias(f"c{i}_{j}") for i, j in pairs]
+    wanted += [F.stddev_pop(both(i, j)).alias(f"d{i}_{j}") for a, b in pairs for i, j in ((a, b), (b, a))]
     found = ranked.agg(*wanted).collect()[0]
     mean = np.array([0.5 if found[f"m{i}"] is None else found[f"m{i}"] for i in range(len(names))])
     dev = np.array([found[f"s{i}"] or 0.0 for i in range(len(names))])
     matrix = np.eye(len(names))
-    for i in range(len(names)):
-        for j in range(i + 1, len(names)):
-            r = found[f"c{i}_{j}"]
-            matrix[i, j] = matrix[j, i] = 0.0 if r is None or np.isnan(r) else r
+    for i, j in pairs:
+        spread = (found[f"d{i}_{j}"] or 0.0) * (found[f"d{j}_{i}"] or 0.0)
+        matrix[i, j] = matrix[j, i] = found[f"c{i}_{j}"] / spread if spread else 0.0
     live = dev > 0
     loading = np.zeros(len(names))
     if live.any():
