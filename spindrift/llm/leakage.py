@@ -8,6 +8,7 @@ gaps. A sentence that many texts share is stock and proves nothing.
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections import defaultdict
 from collections.abc import Iterator
@@ -15,6 +16,7 @@ from difflib import SequenceMatcher
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -150,10 +152,11 @@ def _sentences(items: DataFrame, key: str, column: str) -> DataFrame:
 
 def _found(texts: DataFrame, items: Items) -> DataFrame:
     """(doc, sentence, item): one of the two is -1."""
-    sent = texts.sparkSession.sparkContext.broadcast(items)
+    # pickled by value, so executors need no copy of this package
+    sent = texts.sparkSession.sparkContext.broadcast(cloudpickle.dumps(items))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = sent.value
+        own = pickle.loads(sent.value)
         for batch in batches:
             column = batch.column(1).cast(pa.large_binary())
             offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
