@@ -3,7 +3,7 @@
 Texts and items are reduced to lower-case words. From every word of every item's sentence a string of fixed length is
 taken, and all of them are searched in all texts at once (``wu_manber``). What is hit often enough is confirmed by
 direct comparison: byte by byte where the sentence stands there as it is, else word by word, with altered words as
-gaps. A sentence that many texts share is stock and proves nothing.
+gaps. A sentence that many texts or several items share is stock and proves nothing.
 """
 
 from __future__ import annotations
@@ -26,8 +26,8 @@ from spindrift.session import written
 
 #: Share of a sentence's words that must be found; share of an item's words that a run must exceed; words of the run that must agree.
 SENTENCE, RUN, AGREE = 0.7, 0.5, 0.75
-#: A sentence is stock if more than this share of the texts hold it, and more than this many.
-STOCK_SHARE, STOCK_LEAST = 0.01, 10
+#: A sentence is stock if more than this share of the texts hold it, and more than this many, or if so many items hold it.
+STOCK_SHARE, STOCK_LEAST, STOCK_ITEMS = 0.01, 10, 3
 #: Hits that an item needs in a text before altered text is looked at; words between two pieces of one run; items searched at a time.
 HITS, GAP, ITEMS = 3, 3, 20_000
 
@@ -205,6 +205,7 @@ def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
         held = found.where("sentence >= 0").select("doc", "sentence").distinct()
         runs = found.where("item >= 0").select(F.col("item").alias("item_id"), F.col("doc").alias("doc_id"))
         stock = held.groupBy("sentence").count().where(F.col("count") > limit).select("sentence")
-        pairs = held.join(stock, "sentence", "left_anti").join(holders, "sentence").select("item_id", F.col("doc").alias("doc_id")).unionByName(runs)
+        shared = holders.groupBy("sentence").count().where(F.col("count") >= STOCK_ITEMS).select("sentence")
+        pairs = held.join(stock.unionByName(shared), "sentence", "left_anti").join(holders, "sentence").select("item_id", F.col("doc").alias("doc_id")).unionByName(runs)
         out = pairs if out is None else out.unionByName(pairs)
     return spark.createDataFrame([], "item_id long, doc_id long") if out is None else out.distinct()
