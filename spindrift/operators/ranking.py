@@ -97,7 +97,7 @@ def blend(page: DataFrame, q: Query, query_text: str, user: str, signals: DataFr
         keys.append((F.col("path_l") == current.lower()).asc())
     everything = Window.partitionBy()
     any_signal = F.lit(bool(near or current)) | (F.max(F.when(F.col("habit").isNotNull() | F.col("frecency").isNotNull(), 1).otherwise(0)).over(everything) == 1)
-    banded = rows.withColumn("_b", F.min("position").over(Window.partitionBy(band(q)))).withColumn("_any", any_signal)
+    banded = rows.withColumn("_b", band(q)).withColumn("_any", any_signal)
     blended = F.row_number().over(Window.orderBy("_b", *keys, "path"))
     return banded.withColumn("place", F.when(F.col("_any"), blended).otherwise(F.col("position"))).drop("_b", "_any")
 

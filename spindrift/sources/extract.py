@@ -64,6 +64,26 @@ def _members(name: str) -> bool:
     return bool(re.fullmatch(r"word/(document|header\d*|footer\d*|footnotes|endnotes|comments)\.xml|xl/sharedStrings\.xml|xl/worksheets/[^/]+\.xml|ppt/(slides|notesSlides)/[^/]+\.xml|content\.xml|.*\.(xhtml|html?)", name))
 
 
+_BLOCKS = {"p", "row", "si", "h", "title", "li", "tr", "h1", "h2", "h3", "div"}
+
+
+def _characters(node) -> Iterator[str]:
+    """Character data in the order of the document; formulas, field codes and indices of shared strings are none."""
+    tag = node.tag.rsplit("}", 1)[-1] if isinstance(node.tag, str) else "instrText"
+    if tag in ("f", "instrText", "style", "script") or (tag == "c" and node.get("t") == "s"):
+        return
+    if node.text and (node.text.strip() or tag == "t"):
+        yield node.text
+    for child in node:
+        yield from _characters(child)
+        if child.tail and child.tail.strip():
+            yield child.tail
+    if tag in _BLOCKS:
+        yield "\n"
+    elif tag in ("tab", "c", "td"):
+        yield "\t"
+
+
 def office(data: bytes) -> str:
     """Character data of the parts of zipped documents that hold text; ends of paragraphs, rows and slides end lines."""
     out, total = [], 0
@@ -74,16 +94,7 @@ def office(data: bytes) -> str:
             total += info.file_size
             raw = box.read(info)
             try:
-                for _, node in ElementTree.iterparse(io.BytesIO(raw)):
-                    tag = node.tag.rsplit("}", 1)[-1]
-                    if tag in ("t", "v", "span", "h", "a", "title", "li", "td") or (tag == "p" and node.text):
-                        out.append(node.text or "")
-                    if node.tail and node.tail.strip():
-                        out.append(node.tail)
-                    if tag in ("p", "row", "si", "h", "title", "li", "tr"):
-                        out.append("\n")
-                    if tag in ("tab", "c"):
-                        out.append("\t")
+                out += _characters(ElementTree.fromstring(raw))
             except ElementTree.ParseError:
                 out.append(rendered(decode(raw)[0]))
     return re.sub(r"\n{2,}", "\n", "".join(out)).strip()

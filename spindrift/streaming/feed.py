@@ -31,11 +31,12 @@ def watch(old: DataFrame, new: DataFrame) -> DataFrame:
     """Events between two states (volume, frn, path, size, mod_ns): event, path, size, mod_ns.
 
     A file that came and went in between leaves none; a renamed file is deleted under its old path and created under
-    the new one.
+    the new one. Without a record number the path names the file.
     """
-    a, b = old.alias("a"), new.alias("b")
-    both = a.join(b, (F.col("a.volume") == F.col("b.volume")) & (F.col("a.frn") == F.col("b.frn")), "full")
-    gone, come = F.col("b.frn").isNull(), F.col("a.frn").isNull()
+    key = F.coalesce(F.concat(F.lit("f"), F.col("frn").cast("string")), F.concat(F.lit("p"), F.col("path")))
+    a, b = (x.select("volume", key.alias("key"), "path", "size", "mod_ns").alias(n) for x, n in ((old, "a"), (new, "b")))
+    both = a.join(b, (F.col("a.volume") == F.col("b.volume")) & (F.col("a.key") == F.col("b.key")), "full")
+    gone, come = F.col("b.key").isNull(), F.col("a.key").isNull()
     moved = ~gone & ~come & (F.col("a.path") != F.col("b.path"))
     touched = ~gone & ~come & ~moved & ~(F.col("a.size").eqNullSafe(F.col("b.size")) & F.col("a.mod_ns").eqNullSafe(F.col("b.mod_ns")))
     event = lambda kind, side: F.struct(F.lit(kind).alias("event"), *[F.col(f"{side}.{c}").alias(c) for c in ("path", "size", "mod_ns")])
