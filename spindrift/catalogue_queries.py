@@ -11,7 +11,8 @@ from spindrift.operators import admission, content, fuzzy, ranking, rollup, sear
 from spindrift.operators.changefeed import EqualityDeleteTable
 from spindrift.plans.grammar import NANO, Settings, aliases, parse
 from spindrift.session import fresh_path, table
-from spindrift.sources.entries import ENTRIES_SQL, enriched, entries
+from spindrift.sources.entries import ENTRIES_SQL, enriched
+from spindrift.sources.entries import indexed as entries
 from spindrift.streaming import feed
 
 NOW = 1_782_800_000 * NANO

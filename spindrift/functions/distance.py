@@ -32,20 +32,38 @@ def osa(a: str, b: str, most: int) -> int:
 
 
 def window(term: str, name: str, most: int) -> tuple[int, int]:
-    """Least distance of a term to any stretch of a name, and the earliest start of one that has it; (most + 1, -1) if none."""
-    n = len(term)
-    best, at = most + 1, -1
-    for start in range(max(1, len(name) - max(1, n - most) + 1)):
-        for size in range(max(1, n - most), n + most + 1):
-            part = name[start : start + size]
-            if len(part) < n - most:
-                break
-            d = osa(term, part, min(most, best))
-            if d < best:
-                best, at = d, start
-        if best == 0:
-            break
-    return best, at
+    """Least distance of a term to any stretch of a name, and the earliest start of one that has it; (most + 1, -1) if none.
+
+    One table for all stretches at once: a stretch may begin anywhere at no cost, and every cell keeps its start.
+    """
+    far = (most + 1, -1)
+    before: list[tuple[int, int]] = []
+    row = [(0, j) for j in range(len(name) + 1)]
+    for i, x in enumerate(term, 1):
+        new = [(i, 0)]
+        for j, y in enumerate(name, 1):
+            up, left, cross = row[j], new[j - 1], row[j - 1]
+            best = cross if x == y else (cross[0] + 1, cross[1])
+            if up[0] < best[0] or (up[0] + 1, up[1]) < best:
+                best = min(best, (up[0] + 1, up[1]))
+            if (left[0] + 1, left[1]) < best:
+                best = (left[0] + 1, left[1])
+            if i > 1 and j > 1 and x == name[j - 2] and term[i - 2] == y:
+                swap = before[j - 2]
+                if (swap[0] + 1, swap[1]) < best:
+                    best = (swap[0] + 1, swap[1])
+            new.append(best)
+        if min(c[0] for c in new) > most:
+            return far
+        before, row = row, new
+    return min(min(row), far)
+
+
+def pieces(term: str, most: int) -> list[str]:
+    """Stretches of a term of which a name within ``most`` edits holds one as it is: an edit touches two of them at most."""
+    n = 2 * most + 1
+    size = len(term) // n
+    return [term[i * size : (i + 1) * size if i < n - 1 else len(term)] for i in range(n)] if size else []
 
 
 def osa_within(column: Column, word: str, most: int) -> Column:

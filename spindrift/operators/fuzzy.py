@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import dataclasses
+import operator
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spindrift.functions.distance import best_window, budget, osa_within
+from spindrift.functions.distance import best_window, budget, osa_within, pieces
 from spindrift.plans.grammar import Leaf, Query
 from spindrift.plans.predicates import compile_query
 
@@ -36,15 +38,16 @@ def eligible(q: Query) -> bool:
 def close_names(entries: DataFrame, q: Query) -> DataFrame:
     """Entries whose name comes close to the query's term, best first: adds dist, whole, at. Other conditions hold.
 
-    Every name is looked at; names that lack more letters of the term than edits are allowed are left out before Python
-    sees them, and distances are found once a distinct name.
+    Every name is looked at; names that lack more letters of the term than edits are allowed, or hold no piece of it,
+    are left out before Python sees them, and distances are found once a distinct name.
     """
     term = q.of("term")[0].value
     most = budget(term)
     others = compile_query(dataclasses.replace(q, leaves=[x for x in q.leaves if x.kind != "term"]), set(entries.columns))
     kept = entries.where(others)
     lacking = F.bit_count(F.lit(_mask(term)).cast("long").bitwiseAND(F.bitwise_not(letters(F.col("name_f")))))
-    names = kept.select("name_f").distinct().where(lacking <= most)
+    held = [F.col("name_f").contains(x) for x in pieces(term, most)]
+    names = kept.where(reduce(operator.or_, held) if held else F.lit(True)).where(lacking <= most).select("name_f").distinct()
     near = names.withColumn("w", best_window(F.col("name_f"), term, most)).where(F.col("w.dist") <= most)
     near = near.select("name_f", F.col("w.dist").alias("dist"), F.col("w.at").alias("at"), F.levenshtein("name_f", F.lit(term)).alias("whole"))
     return kept.join(near, "name_f").orderBy("dist", "whole", (F.col("at") != 0).asc(), "at", F.abs(F.length("name_f") - len(term)), "name_l", "path")

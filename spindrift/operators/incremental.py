@@ -14,16 +14,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindrift.session import fresh_path, remove
+from spindrift.session import exists, fresh_path, remove
 
 PLAN = "volume string, open_run long, source string, mode string, from_usn long, journal_id long"
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
-
-
 def offsets(runs: DataFrame) -> DataFrame:
     """The plan: for each volume with an open run, how its files are to be told apart.
 
@@ -67,15 +62,15 @@ class IncrementalJob:
     def plan(self, batch: int, runs: DataFrame) -> DataFrame:
         """The written plan of a batch; written now if there is none yet, else the one that an earlier attempt wrote."""
         at = f"{self.path}/plans/{batch}"
-        if not _exists(self.spark, f"{at}/_SUCCESS"):
+        if not exists(self.spark, f"{at}/_SUCCESS"):
             offsets(runs).coalesce(1).write.mode("overwrite").parquet(at)
         return self.spark.read.schema(PLAN).parquet(at)
 
     def run(self, batch: int, prints: DataFrame, runs: DataFrame) -> None:
         """Process a batch once: a batch that is marked done is left alone; what an unfinished attempt wrote is replaced."""
         at = f"{self.path}/batches/{batch}"
-        if not _exists(self.spark, f"{at}/_SUCCESS"):
-            if _exists(self.spark, at):
+        if not exists(self.spark, f"{at}/_SUCCESS"):
+            if exists(self.spark, at):
                 remove(self.spark, at)
             changed(prints, runs, self.plan(batch, runs)).withColumn("batch", F.lit(batch).cast("long")).write.option("compression", "zstd").parquet(at)
 
@@ -84,7 +79,7 @@ class IncrementalJob:
         schema = "volume string, frn long, print_size long, print_mod long, usn long, seen_at timestamp, batch long"
         root = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/batches")
         fs = root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        done = [str(x.getPath()) for x in fs.listStatus(root) if _exists(self.spark, f"{x.getPath()}/_SUCCESS")] if fs.exists(root) else []
+        done = [str(x.getPath()) for x in fs.listStatus(root) if exists(self.spark, f"{x.getPath()}/_SUCCESS")] if fs.exists(root) else []
         if not done:
             return self.spark.createDataFrame([], schema)
         rest = ["print_size", "print_mod"]

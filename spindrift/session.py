@@ -57,3 +57,8 @@ def no_rows(spark: SparkSession, schema: str) -> DataFrame:
 
 def text_or(column: str, other: str = "") -> F.Column:
     return F.coalesce(F.col(column), F.lit(other))
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from spindrift.functions.folding import folded
 from spindrift.operators.changefeed import current_files
-from spindrift.session import table
+from spindrift.session import exists, table, written
 
 DIR_BIT = 1 << 31
 #: Extensions given to documents in turn.
@@ -53,6 +53,25 @@ def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return enriched(files.unionByName(folders(files)))
 
 
+_INDEXED: dict[tuple[str, str], tuple[str, str]] = {}
+
+
+def index(spark: SparkSession, rows: DataFrame) -> tuple[DataFrame, str]:
+    """A listing written to the shared folder, to be searched again and again."""
+    return written(rows, "index")
+
+
+def indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``entries``, indexed once a session and data folder: the first search builds the index, later ones read it."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    path, schema = _INDEXED.get(key, ("", ""))
+    if path and exists(spark, f"{path}/_SUCCESS"):
+        return spark.read.schema(schema).parquet(path)
+    found, path = index(spark, entries(spark, sf_dir))
+    _INDEXED[key] = (path, found.schema)
+    return found
+
+
 ENTRIES_SQL = """
 with fl as (select * from (select *, row_number() over (partition by volume, frn order by checkpoint_usn desc, feed_cursor desc) as rn from feature_feed where frn is not null and frn <> 0 and volume is not null) where rn = 1 and not coalesce(deleted, false)),
 files as (select volume, doc_id as frn, volume || chr(92) || 'corpus' || chr(92) || source || chr(92) || coalesce(lang, 'und') || chr(92) || 'doc_' || doc_id || '.' || (['txt', 'md', 'json', 'log', 'csv', 'html'])[doc_id % 6 + 1] as path,

@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from spindrift.api import SYNTAX, Catalogue
-from spindrift.functions.distance import budget, osa, window
+from spindrift.functions.distance import budget, osa, pieces, window
 from spindrift.operators import admission, content, fuzzy, ranking, rollup, search
 from spindrift.operators.changefeed import EqualityDeleteTable
 from spindrift.plans.grammar import NANO, Settings, parse
@@ -46,6 +46,16 @@ def test_distance_examples():
     assert [budget(w) for w in ("ab", "abc", "abcdefgh")] == [0, 1, 2] and budget("abc", content=True) == 0
 
 
+@given(st.text("abc", min_size=3, max_size=6), st.text("abc", max_size=9))
+def test_window_like_all_stretches(term, name):
+    most = 2
+    best = min(((osa(term, name[i:j], most), i) for i in range(len(name) + 1) for j in range(i, len(name) + 1)), default=(most + 1, -1))
+    got = window(term, name, most)
+    assert got[0] == best[0] and (got[0] > most or osa(term, name[got[1] :], 99) >= got[0])
+    if got[0] <= 1 and pieces(term, 1):
+        assert got[0] == 0 or any(p in name for p in pieces(term, 1)) or best[0] > 1
+
+
 def test_close_names_and_top_up(spark, files):
     q = parse("report", AT)
     assert [(r["name"], r["dist"]) for r in fuzzy.close_names(files, q).collect()] == [("report.md", 0), ("reprot.py", 1)]
