@@ -376,3 +376,40 @@ def w_occupants(spark, sf_dir):
     """Rows of the file that holds a record number last."""
     rows = table(spark, sf_dir, "records").select("volume", "frn", "scan_month", "seq", F.col("scan_month").alias("usn"))
     return feed.current_occupant(rows).select("volume", "frn", "scan_month", "seq")
+
+
+@_query(f"{ENTRIES_SQL}, k as (select volume, path, mod_ns, size, coalesce('f' || frn, 'p' || path_l) as k from e) select volume, path from (select *, row_number() over (partition by volume, k order by mod_ns desc, path desc, size desc) as rn from k) where rn = 1")
+def d_dedupe(spark, sf_dir):
+    """One row a file of a listing that holds everything twice."""
+    files = entries(spark, sf_dir)
+    return search.dedupe(files.unionByName(files)).select("volume", "path")
+
+
+@_query(f"{ENTRIES_SQL}, p as (select path, row_number() over (order by {_NAME_ORDER}) as rn from e where ext_l = 'md') select sha256(string_agg(path, chr(0) order by rn) || chr(0)) as hash from p where rn <= 100")
+def d_page_hash(spark, sf_dir):
+    return search.page_hash(search.search(entries(spark, sf_dir), "ext:md", AT).select("path"), [])
+
+
+_LAST = ("doc_1002000.md", "", "")
+
+
+@_query(f"{ENTRIES_SQL} select path from e where ext_l = 'md' and (name_l > '{_LAST[0]}' or (name_l = '{_LAST[0]}' and path_l > '')) order by {_NAME_ORDER} limit 100")
+def s_keyset(spark, sf_dir):
+    """The page behind a row, by its sort key."""
+    rows = search.matching(entries(spark, sf_dir), parse("ext:md", AT))
+    return search.after(rows, ["name_l", "path_l", "path"], _LAST).orderBy(*search.order(parse("ext:md", AT))).limit(100).select("path")
+
+
+@_query("select user_id, query_norm, path, pick_count, last_unix, place from (select *, cast(row_number() over (partition by user_id, query_norm order by pick_count desc nulls last, last_unix desc nulls last, path) as int) as place from (select user_id, query_norm, path, max(pick_count) as pick_count, max(last_unix) as last_unix from query_picks group by all)) where place <= 8")
+def u_compacted_picks(spark, sf_dir):
+    return ranking.compact_picks(table(spark, sf_dir, "query_picks"))
+
+
+_WORDS = f"{ENTRIES_SQL}, w as (select path, unnest(regexp_extract_all(lower(text), '[a-z0-9_\u0080-￿]+')) as term from e where text is not null)"
+SQL["f_near_content"] = _WORDS + " select distinct path from w where damerau_levenshtein(term, 'jurnal') <= 1"
+SQL["f_corrected_words"] = _WORDS + " select term, cast(damerau_levenshtein(term, 'jurnal') as int) as distance, count(distinct path) as df from w where damerau_levenshtein(term, 'jurnal') = 1 group by all"
+SQL["f_close_names"] = f"""{ENTRIES_SQL}, n as (select distinct name_f from e), i as (select name_f, unnest(range(0, greatest(length(name_f) - 4, 0))) as i from n), l as (select name_f, i, unnest([5, 6, 7]) as l from i),
+d as (select name_f, i, damerau_levenshtein(substring(name_f, i + 1, l), 'quarri') as d from l where i + l <= length(name_f)), b as (select name_f, min(d) as dist from d where d <= 1 group by 1),
+a as (select b.name_f, dist, min(i) as at from b join d on d.name_f = b.name_f and d.d = b.dist group by all)
+select e.path, cast(dist as int) as dist, cast(levenshtein(a.name_f, 'quarri') as int) as whole, cast("at" as int) as "at" from e join a on a.name_f = e.name_f""".replace("min(i) as at", 'min(i) as "at"')
+SQL["r_latencies"] = "select " + ", ".join(f"quantile_disc(value, {p}) as {n}" for n, p in (("min", 0.0), ("p50", 0.5), ("p90", 0.9), ("p95", 0.95), ("p99", 0.99), ("max", 1.0))) + " from events"
