@@ -413,3 +413,36 @@ d as (select name_f, i, damerau_levenshtein(substring(name_f, i + 1, l), 'quarri
 a as (select b.name_f, dist, min(i) as at from b join d on d.name_f = b.name_f and d.d = b.dist group by all)
 select e.path, cast(dist as int) as dist, cast(levenshtein(a.name_f, 'quarri') as int) as whole, cast("at" as int) as "at" from e join a on a.name_f = e.name_f""".replace("min(i) as at", 'min(i) as "at"')
 SQL["r_latencies"] = "select " + ", ".join(f"quantile_disc(value, {p}) as {n}" for n, p in (("min", 0.0), ("p50", 0.5), ("p90", 0.9), ("p95", 0.95), ("p99", 0.99), ("max", 1.0))) + " from events"
+
+
+@_query(f"""with {_state_sql('a', "received_at < timestamptz '2026-04-01 00:00:00+00'")}, {_state_sql('b', 'true')}, c as (select coalesce(b.path, a.path) as path, a.size as old_size, b.size as new_size from a full join b on a.volume = b.volume and a.frn = b.frn where a.path is null or b.path is null or a.path = b.path),
+u as (select unnest(list_transform(range(1, len(string_split(replace(path, '/', chr(92)), chr(92)))), lambda i: array_to_string(string_split(replace(path, '/', chr(92)), chr(92))[1:i], chr(92)))) as path, coalesce(new_size, 0) - coalesce(old_size, 0) as d from c)
+select path, cast(sum(d) as bigint) as delta from u group by path""")
+def r_folder_deltas(spark, sf_dir):
+    """How folders grew since the beginning of April, by files that stayed where they were, came or went."""
+    a, b = (x.alias(n) for x, n in zip(_states(spark, sf_dir), "ab"))
+    both = a.join(b, (F.col("a.volume") == F.col("b.volume")) & (F.col("a.frn") == F.col("b.frn")), "full").where("a.path is null or b.path is null or a.path = b.path")
+    return rollup.folder_deltas(both.select(F.translate(F.coalesce("b.path", "a.path"), "/", "\\").alias("path"), F.col("a.size").alias("old_size"), F.col("b.size").alias("new_size")))
+
+
+@_query("""with r as (select run_id, state from index_runs where source = 'walk' group by all), p as (select volume, frn, max((print_mod, print_size)) as v, state = 'replaying' as opened from file_prints join r using (run_id) where state in ('ready', 'replaying') and frn is not null group by all),
+o as (select * from p where not opened), n as (select * from p where opened)
+select coalesce(o.volume, n.volume) as volume, coalesce(o.frn, n.frn) as frn, case when o.frn is null then 'added' when n.frn is null then 'removed' when o.v is not distinct from n.v then 'same' else 'changed' end as state from o full join n on o.volume = n.volume and o.frn = n.frn""")
+def w_reconcile(spark, sf_dir):
+    """Walked volumes: what the open run found against what the successful runs hold."""
+    from spindrift.operators.incremental import reconcile
+
+    runs = table(spark, sf_dir, "index_runs").where("source = 'walk'").select("run_id", "state").distinct()
+    prints = table(spark, sf_dir, "file_prints").join(runs, "run_id").select("volume", "frn", F.col("print_size").alias("size"), F.col("print_mod").alias("mod"), "state")
+    return reconcile(prints.where("state = 'ready'"), prints.where("state = 'replaying'"))
+
+
+@_query(f"""{ENTRIES_SQL}, l as (select path, unnest(range(1, len(string_split(text, chr(10))) + 1)) as line, unnest(string_split(text, chr(10))) as text from e where contains(text, 'Journal'))
+select path, cast(line as int) as line, path || ':' || line || ':' || text as shown from l where contains(text, 'Journal') and octet_length(encode(text)) <= 500""")
+def o_grep(spark, sf_dir):
+    """Matching lines as they are printed; longer lines than are shown whole are left out here."""
+    from spindrift.sources.sinks import grep_lines
+
+    q = parse("content:Journal", AT)
+    found = content.lines(search.matching(entries(spark, sf_dir), q), q)
+    return grep_lines(found.where("not endswith(text, '…')"))

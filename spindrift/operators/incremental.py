@@ -85,3 +85,14 @@ class IncrementalJob:
         rest = ["print_size", "print_mod"]
         rows = self.spark.read.schema(schema).parquet(*done).groupBy("volume", "frn").agg(F.max(F.struct("usn", "seen_at", "batch", *rest)).alias("r"))
         return rows.select("volume", "frn", *[F.col(f"r.{c}").alias(c) for c in (*rest, "usn", "seen_at", "batch")])
+
+
+def reconcile(old: DataFrame, new: DataFrame) -> DataFrame:
+    """What a walk found against what is indexed, by (volume, frn): state is added, changed, removed or same.
+
+    Both have volume, frn, size and mod; repeated rows count once (the greatest size and time), nulls compare as equal.
+    """
+    one = lambda rows, side: rows.where("frn is not null").groupBy("volume", "frn").agg(F.max(F.struct("mod", "size")).alias(side))
+    both = one(old, "o").join(one(new, "n"), ["volume", "frn"], "full")
+    state = F.when(F.col("o").isNull(), "added").when(F.col("n").isNull(), "removed").when(F.col("o.size").eqNullSafe(F.col("n.size")) & F.col("o.mod").eqNullSafe(F.col("n.mod")), "same").otherwise("changed")
+    return both.select("volume", "frn", state.alias("state"))

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spindrift.operators.ordering import running_total
 from spindrift.plans.grammar import Query
 
 #: Days in which an opening loses half of its weight; picks of a path for a query from which it counts as a habit; sizes of a compacted store.
@@ -39,19 +40,20 @@ def normal_query(text: str) -> str:
 
 
 def compact(signals: DataFrame, files: int = FILES) -> DataFrame:
-    """The store of one user cut to its best files; what is cut is the feature. Users are cut one by one."""
-    best = Window.partitionBy("user_id").orderBy(F.desc_nulls_last("score"), F.desc_nulls_last("last_open_unix"), "path")
+    """Every user's store cut to its best files; what is cut is the feature. A user who owns most rows spans many tasks."""
     once = signals.groupBy("user_id", "path").agg(F.max("opens").alias("opens"), F.max("score").alias("score"), F.max("last_open_unix").alias("last_open_unix"))
-    return once.withColumn("place", F.row_number().over(best)).where(F.col("place") <= files)
+    placed = running_total(once, ["user_id"], [F.desc_nulls_last("score"), F.desc_nulls_last("last_open_unix"), F.col("path").asc()], F.lit(1), "place")
+    return placed.withColumn("place", F.col("place").cast("int")).where(F.col("place") <= files)
 
 
 def compact_picks(picks: DataFrame, queries: int = QUERIES, paths: int = PATHS) -> DataFrame:
-    """The picks of one user cut to the latest queries, and of a query to the most picked paths."""
+    """Every user's picks cut to the latest queries, and of a query to the most picked paths."""
     once = picks.groupBy("user_id", "query_norm", "path").agg(F.max("pick_count").alias("pick_count"), F.max("last_unix").alias("last_unix"))
-    latest = once.groupBy("user_id", "query_norm").agg(F.max("last_unix").alias("at")).withColumn("nth", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc_nulls_last("at"), "query_norm"))).where(F.col("nth") <= queries)
+    asked = once.groupBy("user_id", "query_norm").agg(F.max("last_unix").alias("at"))
+    latest = running_total(asked, ["user_id"], [F.desc_nulls_last("at"), F.col("query_norm").asc()], F.lit(1), "nth").where(F.col("nth") <= queries)
     kept = once.join(latest.select("user_id", "query_norm"), ["user_id", "query_norm"], "left_semi")
-    best = Window.partitionBy("user_id", "query_norm").orderBy(F.desc_nulls_last("pick_count"), F.desc_nulls_last("last_unix"), "path")
-    return kept.withColumn("place", F.row_number().over(best)).where(F.col("place") <= paths)
+    placed = running_total(kept, ["user_id", "query_norm"], [F.desc_nulls_last("pick_count"), F.desc_nulls_last("last_unix"), F.col("path").asc()], F.lit(1), "place")
+    return placed.withColumn("place", F.col("place").cast("int")).where(F.col("place") <= paths)
 
 
 def hops(path: Column, anchor: str) -> Column:

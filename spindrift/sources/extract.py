@@ -382,3 +382,20 @@ def folder_texts(spark: SparkSession, folder: str) -> DataFrame:
     """All files below a folder with their text."""
     read = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
     return texts(read.select(F.regexp_replace("path", "^file:/*", "/").alias("path"), "content"))
+
+
+def indexed_texts(entries: DataFrame) -> DataFrame:
+    """The texts of listed files that executors can open: path and what became of it. A file that is gone is skipped."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for path in frame["path"]:
+                try:
+                    with open(path.replace("\\", "/"), "rb") as f:
+                        rows.append((path, *extract(path, f.read())))
+                except OSError as e:
+                    rows.append((path, None, 0, True, False, False, f"{type(e).__name__}"))
+            yield pd.DataFrame(rows, columns=["path", *[x.split()[0] for x in SCHEMA.split(", ")]])
+
+    return entries.where("not is_dir").select("path").mapInPandas(run, f"path string, {SCHEMA}")

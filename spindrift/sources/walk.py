@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import time
 from collections.abc import Iterator
 
 import pandas as pd
@@ -58,3 +59,30 @@ def queries_of(path: str) -> list[str]:
     """One query a line; ``#`` begins a comment."""
     with open(path, encoding="utf-8") as lines:
         return [x.strip() for x in lines if x.strip() and not x.lstrip().startswith("#")]
+
+
+#: Entries that a fallback walk lists at most, and seconds that it takes.
+VISITS, SECONDS = 100_000, 2.0
+
+
+def fallback(spark: SparkSession, folder: str, visits: int = VISITS, seconds: float = SECONDS) -> tuple[DataFrame, bool]:
+    """A bounded listing of one folder for a search whose index has nothing there, and whether it is complete.
+
+    It runs on the driver and is bounded by ``visits`` and ``seconds``; it is never used for counts.
+    """
+    began, rows, stack, complete = time.monotonic(), [], [folder], True
+    while stack:
+        if len(rows) >= visits or time.monotonic() - began > seconds:
+            complete = False
+            break
+        at = stack.pop()
+        try:
+            for x in os.scandir(at):
+                s = x.stat(follow_symlinks=False)
+                is_dir = x.is_dir(follow_symlinks=False)
+                rows.append((None, s.st_ino, x.path, DIR_BIT | 0x10 if is_dir else 0x20, 0 if is_dir else s.st_size, s.st_mtime_ns, "fallback", None))
+                if is_dir:
+                    stack.append(x.path)
+        except OSError:
+            continue
+    return enriched(spark.createDataFrame(rows[:visits], ROWS)), complete

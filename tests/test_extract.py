@@ -6,9 +6,11 @@ import struct
 import zipfile
 import zlib
 
-from spindrift.sources import walk
+from pyspark.sql import functions as F
+
+from spindrift.sources import sinks, walk
 from spindrift.sources.encoding import decode
-from spindrift.sources.extract import extract, folder_texts, html, rtf, unpacked_rtf
+from spindrift.sources.extract import extract, folder_texts, html, indexed_texts, rtf, unpacked_rtf
 
 
 def box(parts):
@@ -79,4 +81,12 @@ def test_folders(spark, tmp_path):
     assert seen == {"sub": True, "a.txt": False, "b.html": False, "queries.txt": False}
     assert walk.walk(spark, []).count() == 0
     assert all(r["exists"] for r in walk.exists(walk.walk(spark, [str(tmp_path)])).collect())
+    found, complete = walk.fallback(spark, str(tmp_path))
+    assert found.count() == 4 and complete and not walk.fallback(spark, str(tmp_path), visits=1)[1]
+    texts = {r["path"].rsplit("/", 1)[-1]: r["text"] for r in indexed_texts(walk.walk(spark, [str(tmp_path)]).withColumn("path", F.translate("path", "\\", "/"))).collect()}
+    assert texts["a.txt"] == "text" and len(texts) == 3
+    sinks.write_paths(found, str(tmp_path / "out"))
+    sinks.write_index(found, str(tmp_path / "index"))
+    sinks.write_json(found.select("name"), str(tmp_path / "json"))
+    assert spark.read.text(str(tmp_path / "out")).count() == 4 == spark.read.parquet(str(tmp_path / "index")).count() == spark.read.json(str(tmp_path / "json")).count()
     assert walk.queries_of(str(tmp_path / "queries.txt")) == ["ext:md  # no", "a b"]
