@@ -34,7 +34,9 @@ def mid_ranks(items: DataFrame, scores: Sequence[str]) -> DataFrame:
     out = items
     for i, c in enumerate(scores):
         own = ranks.where(F.col("signal") == i).select(F.col("value").alias("_v"), ((F.col("upto") - F.col("count") + (F.col("count") + 1) / 2) / F.lit(float(totals.get(i, 1)))).alias("_r"))
-        out = out.withColumn("_x", F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double"))).join(own, F.col("_x") == F.col("_v"), "left").withColumn(c, F.col("_r")).drop("_x", "_v", "_r")
+        # rows without a value match nothing, and are kept from meeting in one partition
+        apart = F.lit(-1e300) * (1 + F.pmod(F.xxhash64(*items.columns), F.lit(4096)))
+        out = out.withColumn("_x", F.coalesce(F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")), apart)).join(own, F.col("_x") == F.col("_v"), "left").withColumn(c, F.col("_r")).drop("_x", "_v", "_r")
     return out
 
 
