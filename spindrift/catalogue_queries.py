@@ -328,7 +328,7 @@ def _states(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
         at.append(rows, "deleted", ["path", "size", "mod_unix"])
         return at.read().where("path is not null").select("volume", "frn", "path", "size", F.col("mod_unix").alias("mod_ns"))
 
-    return state(changes.where("received_at < timestamp '2026-04-01 00:00:00'")), state(changes)
+    return state(changes.where("received_at < timestamp '2026-04-01 00:00:00Z'")), state(changes)
 
 
 def _state_sql(name: str, condition: str) -> str:
@@ -367,7 +367,7 @@ select volume, frn, path from a where not exists (select 1 from c where c.volume
 def w_overlay(spark, sf_dir):
     """The April state under the changes that came after."""
     base, _ = _states(spark, sf_dir)
-    later = table(spark, sf_dir, "feature_feed").where("received_at >= timestamp '2026-04-01 00:00:00'")
+    later = table(spark, sf_dir, "feature_feed").where("received_at >= timestamp '2026-04-01 00:00:00Z'")
     return feed.overlay(base, later.select("volume", "frn", F.col("checkpoint_usn").alias("usn"), F.col("feed_cursor").alias("seq"), "deleted", "path", "size", F.col("mod_unix").alias("mod_ns"))).select("volume", "frn", "path")
 
 

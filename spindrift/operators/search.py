@@ -100,7 +100,7 @@ def results(rows: DataFrame, q: Query | None = None) -> DataFrame:
     """The result rows that callers see: path, name, volume, is_dir, size, modified (RFC 3339, null if unknown), index_source[, snippet, git_status]."""
     seconds = (F.col("mod_ns") / 1_000_000_000).cast("long")
     fraction = F.rtrim(F.lpad((F.col("mod_ns") % 1_000_000_000).cast("string"), 9, "0"), F.lit("0"))
-    modified = F.when(F.col("mod_ns") != 0, F.concat(F.date_format(F.timestamp_seconds(seconds), "yyyy-MM-dd'T'HH:mm:ss"), F.when(fraction != "", F.concat(F.lit("."), fraction)).otherwise(""), F.lit("Z")))
+    modified = F.when(F.col("mod_ns") != 0, F.concat(F.date_format(F.to_utc_timestamp(F.timestamp_seconds(seconds), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss"), F.when(fraction != "", F.concat(F.lit("."), fraction)).otherwise(""), F.lit("Z")))
     columns = ["path", "name", "volume", "is_dir", "size", modified.alias("modified"), F.col("source").alias("index_source")]
     if q is not None and "text" in rows.columns:
         columns.append(content.snippet(q, smart_case(q)).alias("snippet"))
