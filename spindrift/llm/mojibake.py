@@ -200,11 +200,12 @@ class Labeller:
                 i = p + 2
         return out, more, None
 
-    def suspects(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def suspects(self, texts: list[str], winners: bool = False) -> tuple[np.ndarray, np.ndarray]:
         """Which texts hold two characters that are likelier one, misread as UTF-8, and which any path through a pair's state could win, by an upper bound of what it gains; the rest are clean.
 
         Mapped pairs gain at a bigram what their reading of it is likelier than the text as it stands, so the sum of the
         positive gains over the text bounds every path. Pairs of multi-byte encodings need a whole unit somewhere.
+        With ``winners``, ``active`` is left as the pairs that could win in any of these texts, by the same bound.
         """
         lens = np.array([len(t) for t in texts])
         points = _points("".join(texts))
@@ -226,6 +227,8 @@ class Labeller:
         clean = self.model.log[own[cp], own[cc]]
         gain = np.zeros(len(pair), np.float32)
         double = np.zeros(len(pair), np.float32)
+        self.active = []
+        need = -(ENTER + LEAVE)
         unit, likely = np.zeros(len(pair), bool), np.zeros(len(pair), bool)
         whole = np.ones(len(uniq), bool)
         for k, (kind, w, true) in enumerate(self.pairs):
@@ -237,10 +240,14 @@ class Labeller:
                     last = np.where(second >= 0, self.model.ids(np.maximum(second, 0)), ids)
                     e = np.where(read[cc] < 0, INVALID, self.model.log[last[cp], ids[cc]] + np.where(second[cc] >= 0, self.model.log[ids[cc], last[cc]], 0))
                 gain = np.maximum(gain, e - clean)
+                if winners and np.bincount(text[at], np.maximum(e - clean, 0)[back], len(texts)).max() >= need:
+                    self.active.append(k)
             elif kind == "bytes" and "*" not in true:
                 byte = np.array([self.tables[k].get(u, -1) for u in uniq.tolist()], np.int64)
                 whole_unit = (byte[cp] >= 0xC2) & (byte[cp] <= 0xF4) & (byte[cc] >= 0x80) & (byte[cc] < 0xC0)
                 unit |= whole_unit
+                if whole_unit.any():
+                    self.active += [i for i, x in enumerate(self.pairs) if x[0] == "bytes" and x[1] == w]
                 read = np.where(whole_unit & (byte[cp] < 0xE0), ((byte[cp] & 0x1F) << 6) | (byte[cc] & 0x3F), 0)
                 likely |= (read > 0) & (self.model.single[self.model.ids(read)] > self.model.single[own[cp]] + clean)
             elif kind == "multi":
@@ -248,8 +255,12 @@ class Labeller:
                 read, more, _ = self._multi(k, np.stack([p, c], 1).ravel(), np.stack([np.where(p < 128, -1, byte[cp]), np.where(c < 128, -1, byte[cc])], 1).ravel(), np.full(2 * len(p), -1), np.zeros(2 * len(p), bool), np.tile([True, False], len(p)))
                 u = read[::2]
                 e = self.model.single[self.model.ids(np.maximum(u, 0))] - self.model.single[own[cp]] - self.model.single[own[cc]]
-                double = np.maximum(double, np.where(more[1::2] & (u >= 0), e, 0))
-        need = -(ENTER + LEAVE)
+                e = np.where(more[1::2] & (u >= 0), e, 0)
+                double = np.maximum(double, e)
+                if winners and np.bincount(text[at], np.maximum(e, 0)[back], len(texts)).max() >= need:
+                    self.active.append(k)
+            elif kind == "lost":
+                self.active.append(k)
         found |= np.bincount(text[at], gain[back], len(texts)) >= need
         found |= np.bincount(text[at], double[back], len(texts)) >= need
         units = np.zeros(len(texts), bool)
@@ -261,12 +272,18 @@ class Labeller:
     def label(self, texts: list[str]) -> list[np.ndarray]:
         """The state of every character: 0 clean, k + 1 the k-th pair."""
         model, log = self.model, self.model.log
+        self.active = []
+        self.suspects(texts, winners=True)
+        active = sorted(set(self.active))
+        if not active:
+            return [np.zeros(len(t), np.uint8) for t in texts]
+        pairs, late_cost, enter_cost = [self.pairs[k] for k in active], self.late[active], self.enter[active]
         size = np.array([len(t) for t in texts])
         order = np.argsort(-size, kind="stable")
         points = _points("".join(texts[i] for i in order))
         lens = size[order]
         start = np.cumsum(lens) - lens
-        total, states = len(points), len(self.pairs) + 1
+        total, states = len(points), len(pairs) + 1
         if not total:
             return [np.zeros(0, np.uint8) for _ in texts]
         first = np.zeros(total, bool)
@@ -283,11 +300,8 @@ class Labeller:
 
         own = model.ids(uniq)[code]
         emit[:, 0] = score(own, own)
-        for k, (kind, *_) in enumerate(self.pairs):
-            if kind != "lost" and kind not in {"swap", "wide"} and not any(u in self.tables[k] for u in uniq.tolist()):
-                emit[:, k + 1], closed[:, k + 1] = emit[:, 0] + np.where(points < 128, 0, INVALID), points >= 128
-                continue
-            read, more, second = self._decoded(k, points, uniq, code, first)
+        for k, (kind, *_) in enumerate(pairs):
+            read, more, second = self._decoded(active[k], points, uniq, code, first)
             seen, back = np.unique(read, return_inverse=True)
             ids = model.ids(seen)[back]
             last = ids if second is None else np.where(second >= 0, model.ids(np.maximum(second, 0)), ids)
@@ -315,7 +329,7 @@ class Labeller:
             leave = now[np.arange(live), out + 1] + LEAVE
             clean = np.maximum(now[:, 0], leave)
             behind = ((t > 0) & (points[np.maximum(at - 1, 0)] > 127)).astype(np.float32)
-            enter = np.where(closed[at, 1:], -1e30, now[:, :1] + self.enter + behind[:, None] * self.late)
+            enter = np.where(closed[at, 1:], -1e30, now[:, :1] + enter_cost + behind[:, None] * late_cost)
             came[at, 0] = np.where(leave > now[:, 0], out + 1, 0)
             came[at, 1:] = enter > now[:, 1:]
             best[:live, 1:] = np.maximum(now[:, 1:], enter) + emit[at, 1:]
@@ -332,8 +346,9 @@ class Labeller:
             labels[at] = s
             c = came[at, s]
             state[:live] = np.where(s == 0, c, np.where(c == 1, 0, s))
+        number = np.array([0, *[k + 1 for k in active]], np.uint8)
         for i, o in enumerate(order):
-            out_labels[o] = labels[start[i] : start[i] + lens[i]]
+            out_labels[o] = number[labels[start[i] : start[i] + lens[i]]]
         return out_labels
 
     def _undo(self, text: str, state: int) -> tuple[str, bool]:
