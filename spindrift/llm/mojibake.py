@@ -200,12 +200,12 @@ class Labeller:
                 i = p + 2
         return out, more, None
 
-    def suspects(self, texts: list[str], winners: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    def suspects(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Which texts hold two characters that are likelier one, misread as UTF-8, and which any path through a pair's state could win, by an upper bound of what it gains; the rest are clean.
 
-        Mapped pairs gain at a bigram what their reading of it is likelier than the text as it stands, so the sum of the
-        positive gains over the text bounds every path. Pairs of multi-byte encodings need a whole unit somewhere.
-        With ``winners``, ``active`` is left as the pairs that could win in any of these texts, by the same bound.
+        A mapped pair gains at a bigram what its reading of it is likelier than the text as it stands, so the sum of its
+        positive gains over the text bounds every span of it. Pairs of multi-byte encodings need a whole unit somewhere.
+        ``active`` is left as the pairs that could win in any of these texts, by the same bound.
         """
         lens = np.array([len(t) for t in texts])
         points = _points("".join(texts))
@@ -225,7 +225,6 @@ class Labeller:
         cp, cc = code[: len(p)], code[len(p) :]
         own = self.model.ids(uniq)
         clean = self.model.log[own[cp], own[cc]]
-        gain = np.zeros(len(pair), np.float32)
         double = np.zeros(len(pair), np.float32)
         self.active = []
         need = -(ENTER + LEAVE)
@@ -239,9 +238,12 @@ class Labeller:
                 if second is not None:
                     last = np.where(second >= 0, self.model.ids(np.maximum(second, 0)), ids)
                     e = np.where(read[cc] < 0, INVALID, self.model.log[last[cp], ids[cc]] + np.where(second[cc] >= 0, self.model.log[ids[cc], last[cc]], 0))
-                gain = np.maximum(gain, e - clean)
-                if winners and np.bincount(text[at], np.maximum(e - clean, 0)[back], len(texts)).max() >= need:
-                    self.active.append(k)
+                win = np.maximum(e - clean, 0)
+                if win.any():
+                    wins = np.bincount(text[at], win[back], len(texts)) >= need
+                    found |= wins
+                    if wins.any():
+                        self.active.append(k)
             elif kind == "bytes" and "*" not in true:
                 byte = np.array([self.tables[k].get(u, -1) for u in uniq.tolist()], np.int64)
                 whole_unit = (byte[cp] >= 0xC2) & (byte[cp] <= 0xF4) & (byte[cc] >= 0x80) & (byte[cc] < 0xC0)
@@ -257,11 +259,10 @@ class Labeller:
                 e = self.model.single[self.model.ids(np.maximum(u, 0))] - self.model.single[own[cp]] - self.model.single[own[cc]]
                 e = np.where(more[1::2] & (u >= 0), e, 0)
                 double = np.maximum(double, e)
-                if winners and np.bincount(text[at], np.maximum(e, 0)[back], len(texts)).max() >= need:
+                if np.bincount(text[at], np.maximum(e, 0)[back], len(texts)).max() >= need:
                     self.active.append(k)
             elif kind == "lost":
                 self.active.append(k)
-        found |= np.bincount(text[at], gain[back], len(texts)) >= need
         found |= np.bincount(text[at], double[back], len(texts)) >= need
         units = np.zeros(len(texts), bool)
         units[text[at[likely[back]]]] = True
@@ -273,7 +274,7 @@ class Labeller:
         """The state of every character: 0 clean, k + 1 the k-th pair."""
         model, log = self.model, self.model.log
         self.active = []
-        self.suspects(texts, winners=True)
+        self.suspects(texts)
         active = sorted(set(self.active))
         if not active:
             return [np.zeros(len(t), np.uint8) for t in texts]
@@ -302,8 +303,11 @@ class Labeller:
         emit[:, 0] = score(own, own)
         for k, (kind, *_) in enumerate(pairs):
             read, more, second = self._decoded(active[k], points, uniq, code, first)
-            seen, back = np.unique(read, return_inverse=True)
-            ids = model.ids(seen)[back]
+            if kind == "table":
+                ids = model.ids(np.array([u if u < 128 else self.tables[active[k]].get(u, -1) for u in uniq.tolist()], np.int64))[code]
+            else:
+                seen, back = np.unique(read, return_inverse=True)
+                ids = model.ids(seen)[back]
             last = ids if second is None else np.where(second >= 0, model.ids(np.maximum(second, 0)), ids)
             e = score(ids, last)
             if second is not None:
