@@ -3,14 +3,14 @@
 Texts and items are reduced to lower-case words. From every word of every item's sentence a string of fixed length is
 taken, and all of them are searched in all texts at once (``wu_manber``). What is hit often enough is confirmed by
 direct comparison: byte by byte where the sentence stands there as it is, else word by word, with altered words as
-gaps. A sentence that many texts or several items share is stock and proves nothing.
+gaps. A sentence that many different texts or several items share is stock and proves nothing by itself.
 """
 
 from __future__ import annotations
 
 import pickle
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
@@ -26,7 +26,7 @@ from spindrift.session import written
 
 #: Share of a sentence's words that must be found; share of an item's words that a run must exceed; words of the run that must agree.
 SENTENCE, RUN, AGREE = 0.7, 0.5, 0.75
-#: A sentence is stock if more than this share of the texts hold it, and more than this many, or if so many items hold it.
+#: A sentence is stock if more than this share of the different texts hold it, and more than this many, or if so many items hold it.
 STOCK_SHARE, STOCK_LEAST, STOCK_ITEMS = 0.01, 10, 3
 #: Hits that an item needs in a text before altered text is looked at; words between two pieces of one run; items searched at a time.
 HITS, GAP, ITEMS = 3, 3, 20_000
@@ -58,15 +58,15 @@ def _blocks(a: list[str], b: list[str]) -> list[tuple[int, int, int]]:
     return out
 
 
-def _run(blocks: list[tuple[int, int, int]]) -> tuple[int, int]:
-    """Span in words and agreeing words of the longest run of stretches with short gaps only."""
-    best = (0, 0)
+def _run(blocks: list[tuple[int, int, int]]) -> tuple[int, int, int]:
+    """Span in words, agreeing words and first word of the longest run of stretches with short gaps only."""
+    best = (0, 0, 0)
     start = matched = 0
     for at, (i, j, n) in enumerate(blocks):
         if not at or i - sum(blocks[at - 1][::2]) > GAP or j - blocks[at - 1][1] - blocks[at - 1][2] > GAP:
             start, matched = i, 0
         matched += n
-        best = max(best, (i + n - start, matched))
+        best = max(best, (i + n - start, matched, start))
     return best
 
 
@@ -75,12 +75,13 @@ class Items:
 
     def __init__(self, items: list[tuple[int, list[str]]]):
         numbers: dict[str, int] = {}
-        self.item_ids, self.item_words, self.item_sentences = [], [], []
+        self.item_ids, self.item_words, self.item_sentences, self.word_sentences = [], [], [], []
         for item, sentences in items:
             own = [numbers.setdefault(s, len(numbers)) for s in sentences if s]
             self.item_ids.append(item)
             self.item_sentences.append(own)
             self.item_words.append([w for s in sentences for w in s.split()])
+            self.word_sentences.append([n for n, s in zip(own, filter(None, sentences)) for _ in s.split()])
         self.sentences = list(numbers)
         self.raw = [s.encode() for s in self.sentences]
         self.words = [s.split() for s in self.sentences]
@@ -98,8 +99,11 @@ class Items:
         self.patterns = Patterns(strings)
         self.owner, self.offset = np.array(self.owner, np.int64), np.array(self.offset, np.int64)
 
-    def search(self, text: bytes, hits: dict[int, list[tuple[int, int]]]) -> tuple[set[int], set[int]]:
-        """Sentences and items (numbers) that a text holds, from the hits (position, offset) of each sentence."""
+    def search(self, text: bytes, hits: dict[int, list[tuple[int, int]]]) -> tuple[set[int], dict[int, int]]:
+        """Sentences and items (numbers) that a text holds, from the hits (position, offset) of each sentence.
+
+        For an item, the one sentence that the run found doesn't reach beyond, -1 if it does.
+        """
         whole: set[int] = set()
         by_item: dict[int, int] = defaultdict(int)
         for s, at in hits.items():
@@ -108,25 +112,28 @@ class Items:
                 whole.add(s)
             for i in self.holders[s]:
                 by_item[i] += len(at)
-        runs: set[int] = set()
+        runs: dict[int, int] = {}
         looked: set[int] = set()
         for i, n in by_item.items():
             own = [s for s in self.item_sentences[i] if s in hits]
-            if n < HITS or all(s in whole for s in own):
+            if n < HITS:
                 continue
             for s in own:
                 if s not in whole and s not in looked:
                     looked.add(s)
                     if self._altered(text, s, hits[s]):
                         whole.add(s)
-            if not any(s in whole for s in own):
+            # where all that was hit stands whole, all of it may turn out to be stock
+            if not any(s in whole for s in own) or all(s in whole for s in own):
                 size = len(self.item_words[i])
                 at = [p for s in own for p, _ in hits[s]]
                 if max(at) - min(at) + LENGTH > 2 * size:  # in bytes: too short a stretch can't hold half of the words
                     reach = 12 * size
-                    span, agree = _run(_blocks(self.item_words[i], text[max(0, min(at) - reach) : max(at) + reach].decode("utf-8", "ignore").split()))
+                    blocks = _blocks(self.item_words[i], text[max(0, min(at) - reach) : max(at) + reach].decode("utf-8", "ignore").split())
+                    span, agree, begin = _run(blocks)
                     if span > RUN * size and agree >= AGREE * span:
-                        runs.add(i)
+                        (most, count), *_ = Counter(self.word_sentences[i][x] for a, _, k in blocks for x in range(a, a + k) if begin <= x < begin + span).most_common(1)
+                        runs[i] = most if agree - count <= GAP else -1
         return whole, runs
 
     def _altered(self, text: bytes, s: int, at: list[tuple[int, int]]) -> bool:
@@ -151,7 +158,7 @@ def _sentences(items: DataFrame, key: str, column: str) -> DataFrame:
 
 
 def _found(texts: DataFrame, items: Items) -> DataFrame:
-    """(doc, sentence, item): one of the two is -1."""
+    """(doc, text, sentence, item): sentences that stand in a text have no item (-1), runs of items the sentence they lie in; every text has a row with neither. ``text`` is the same for equal texts."""
     # pickled by value, so executors need no copy of this package
     sent = texts.sparkSession.sparkContext.broadcast(cloudpickle.dumps(items))
 
@@ -165,8 +172,8 @@ def _found(texts: DataFrame, items: Items) -> DataFrame:
             pos, pattern = own.patterns.search(data, offsets[:-1], np.diff(offsets))
             row = np.searchsorted(offsets, pos, "right") - 1
             order = np.argsort(row, kind="stable")
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            out: list[tuple[int, int, int]] = []
+            ids, same = (batch.column(i).to_pylist() for i in (0, 2))
+            out: list[tuple[int, int, int, int]] = [(d, t, -1, -1) for d, t in zip(ids, same)]
             edge = np.flatnonzero(np.diff(row[order], prepend=-1)) if len(order) else []
             for a, b in zip(edge, [*edge[1:], len(order)]):
                 r, part = int(row[order[a]]), order[a:b]
@@ -175,22 +182,22 @@ def _found(texts: DataFrame, items: Items) -> DataFrame:
                 for p, k in zip((pos[part] - begin).tolist(), pattern[part].tolist()):
                     hits[int(own.owner[k])].append((p, int(own.offset[k])))
                 whole, runs = own.search(data[begin : int(offsets[r + 1])].tobytes(), hits)
-                out += [(int(ids[r]), s, -1) for s in whole] + [(int(ids[r]), -1, own.item_ids[i]) for i in runs]
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in range(3)], ["doc", "sentence", "item"])
+                out += [(ids[r], same[r], s, -1) for s in whole] + [(ids[r], same[r], s, own.item_ids[i]) for i, s in runs.items()]
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in range(4)], ["doc", "text", "sentence", "item"])
 
-    return texts.mapInArrow(run, "doc long, sentence long, item long")
+    return texts.mapInArrow(run, "doc long, text long, sentence long, item long")
 
 
 def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
     """The pairs of item and document that leaked: item_id, doc_id.
 
     ``documents``: doc_id, text; ``items``: item_id, text. Null and empty texts match nothing; sentences shorter than a
-    pattern count within runs only; repeated rows give each pair once. Items are searched in blocks, each of a bounded
-    size, so the tables sent to the tasks don't grow with the items.
+    pattern count within runs only; repeated rows give each pair once. Stock is judged by different texts, so copies of
+    one text count once; a run that reaches beyond one sentence leaked whatever is stock in it. Items are searched in
+    blocks, each of a bounded size, so the tables sent to the tasks don't grow with the items.
     """
     spark = documents.sparkSession
-    texts = documents.where("doc_id is not null and text is not null").select("doc_id", words_only(F.col("text")).alias("t")).where(F.length("t") >= LENGTH)
-    limit = max(STOCK_LEAST, STOCK_SHARE * documents.where("doc_id is not null").count())
+    texts = documents.where("doc_id is not null and text is not null").select("doc_id", words_only(F.col("text")).alias("t")).withColumn("text", F.xxhash64("t"))
     parts = _sentences(items, "item_id", "text")
     ids = [r["item_id"] for r in items.where("item_id is not null").select("item_id").distinct().orderBy("item_id").collect()]
     out = None
@@ -202,9 +209,10 @@ def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
         block = Items(sorted(by.items()))
         found, _ = written(_found(texts, block), "leaks")
         holders = spark.createDataFrame([(s, block.item_ids[i]) for s, own in block.holders.items() for i in own], "sentence long, item_id long")
-        held = found.where("sentence >= 0").select("doc", "sentence").distinct()
-        runs = found.where("item >= 0").select(F.col("item").alias("item_id"), F.col("doc").alias("doc_id"))
-        stock = held.groupBy("sentence").count().where(F.col("count") > limit).select("sentence")
+        limit = max(STOCK_LEAST, STOCK_SHARE * found.select("text").distinct().count())
+        held = found.where("sentence >= 0 and item = -1").select("doc", "text", "sentence").distinct()
+        stock = held.select("text", "sentence").distinct().groupBy("sentence").count().where(F.col("count") > limit).select("sentence")
+        runs = found.where("item <> -1").join(stock, "sentence", "left_anti").select(F.col("item").alias("item_id"), F.col("doc").alias("doc_id"))
         shared = holders.groupBy("sentence").count().where(F.col("count") >= STOCK_ITEMS).select("sentence")
         pairs = held.join(stock.unionByName(shared), "sentence", "left_anti").join(holders, "sentence").select("item_id", F.col("doc").alias("doc_id")).unionByName(runs)
         out = pairs if out is None else out.unionByName(pairs)

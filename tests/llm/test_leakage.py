@@ -62,3 +62,19 @@ def test_items_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(leakage, "ITEMS", 4)
     got = sorted((x["item_id"], x["doc_id"]) for x in leakage.leaks(docs, spark.createDataFrame(items, "item_id long, text string")).collect())
     assert got == [(k, k) for k in range(9)]
+
+
+def _pairs(spark, docs, items):
+    docs = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    return {(x["item_id"], x["doc_id"]) for x in leakage.leaks(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
+
+
+def test_copies_of_a_leaked_text_do_not_make_its_sentences_stock(spark):
+    r = random.Random(3)
+    own, other, one = ([sentence(r) for _ in range(4)] for _ in range(3))
+    items = [(0, " ".join(own)), (1, " ".join(other)), (2, STOCK)]
+    leaked = " ".join([sentence(r), *own, sentence(r)])
+    docs = [leaked] * 30 + [f"{sentence(r)} {own[2]} {sentence(r)}"]  # one text, and one sentence elsewhere
+    docs += [f"{sentence(r)} {' '.join(other)} {sentence(r)}" for _ in range(30)]  # different texts, more than half of an item in each
+    docs += [f"{sentence(r)} {STOCK} {sentence(r)}" for _ in range(30)] + one
+    assert _pairs(spark, docs, items) == {(0, k) for k in range(31)} | {(1, k) for k in range(31, 61)}
