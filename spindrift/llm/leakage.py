@@ -123,19 +123,30 @@ class Items:
                     looked.add(s)
                     if self._altered(text, s, hits[s]):
                         whole.add(s)
-            # where all that was hit stands whole, all of it may turn out to be stock
-            if not any(s in whole for s in own) or all(s in whole for s in own):
-                size = len(self.item_words[i])
-                at = [p for s in own for p, _ in hits[s]]
-                if max(at) - min(at) + LENGTH > 2 * size:  # in bytes: too short a stretch can't hold half of the words
-                    reach = 12 * size
-                    blocks = _blocks(self.item_words[i], text[max(0, min(at) - reach) : max(at) + reach].decode("utf-8", "ignore").split())
-                    span, agree, begin = _run(blocks)
-                    if span > RUN * size and agree >= AGREE * span:
-                        (most, count), *_ = Counter(self.word_sentences[i][x] for a, _, k in blocks for x in range(a, a + k) if begin <= x < begin + span).most_common(1)
-                        runs[i] = most if agree - count <= GAP else -1
+            # whatever stands whole may turn out to be stock, so runs are looked for in any case
+            within = self._within(text, i, sorted(p for s in own for p, _ in hits[s]))
+            if within is not None:
+                runs[i] = within
         return whole, runs
 
+    def _within(self, text: bytes, i: int, at: list[int]) -> int | None:
+        """The one sentence that a run of more than half of an item doesn't reach beyond, -1 if it does; None without such a run."""
+        size, found = len(self.item_words[i]), None
+        reach = max(12 * size, sum(len(w) + 1 for w in self.item_words[i]))
+        cuts = [0, *[k for k in range(1, len(at)) if at[k] - at[k - 1] > reach], len(at)]
+        for low, high in zip(cuts, cuts[1:]):
+            first, last = at[low], at[high - 1]
+            if last - first + LENGTH <= 2 * size:  # in bytes: too short a stretch can't hold half of the words
+                continue
+            blocks = _blocks(self.item_words[i], text[max(0, first - reach) : last + reach].decode("utf-8", "ignore").split())
+            span, agree, begin = _run(blocks)
+            if span > RUN * size and agree >= AGREE * span:
+                (most, count), *_ = Counter(self.word_sentences[i][x] for a, _, k in blocks for x in range(a, a + k) if begin <= x < begin + span).most_common(1)
+                if agree - count > GAP:
+                    return -1
+                found = most
+        return found
+
     def _altered(self, text: bytes, s: int, at: list[tuple[int, int]]) -> bool:
         words, size = self.words[s], len(self.raw[s])
         starts = sorted(p - o for p, o in at)

@@ -78,3 +78,12 @@ def test_copies_of_a_leaked_text_do_not_make_its_sentences_stock(spark):
     docs += [f"{sentence(r)} {' '.join(other)} {sentence(r)}" for _ in range(30)]  # different texts, more than half of an item in each
     docs += [f"{sentence(r)} {STOCK} {sentence(r)}" for _ in range(30)] + one
     assert _pairs(spark, docs, items) == {(0, k) for k in range(31)} | {(1, k) for k in range(31, 61)}
+
+
+def test_a_run_around_a_stock_sentence_leaks(spark):
+    r = random.Random(4)
+    b, c = (sentence(r).split() for _ in range(2))
+    items = [(0, " ".join([*b, STOCK, *c])), (1, f"{sentence(r, 5)} {STOCK}")]  # the stock is more than half of the second
+    run = " ".join([*b[-(len(b) * 6 // 10) :], STOCK, *c[: len(c) * 6 // 10]])
+    docs = [f"{sentence(r)} {run} {sentence(r)}", f"{STOCK} {sentence(r) * 30} {run} {sentence(r)}"] + [f"{sentence(r)} {STOCK} {sentence(r)}" for _ in range(30)]
+    assert _pairs(spark, docs, items) == {(0, 0), (0, 1)}
