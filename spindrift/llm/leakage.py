@@ -3,7 +3,7 @@
 Texts and items are reduced to lower-case words. From every word of every item's sentence a string of fixed length is
 taken, and all of them are searched in all texts at once (``wu_manber``). What is hit often enough is confirmed by
 direct comparison: byte by byte where the sentence stands there as it is, else word by word, with altered words as
-gaps. A sentence that many different texts or several items share is stock and proves nothing by itself.
+gaps. A sentence that many different texts share is stock and proves nothing by itself.
 """
 
 from __future__ import annotations
@@ -13,6 +13,8 @@ import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from difflib import SequenceMatcher
+from functools import reduce
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +28,8 @@ from spindrift.session import written
 
 #: Share of a sentence's words that must be found; share of an item's words that a run must exceed; words of the run that must agree.
 SENTENCE, RUN, AGREE = 0.7, 0.5, 0.75
-#: A sentence is stock if more than this share of the different texts hold it, and more than this many, or if so many items hold it.
-STOCK_SHARE, STOCK_LEAST, STOCK_ITEMS = 0.01, 10, 3
+#: A sentence is stock if more than this share of the different texts hold it, and more than this many.
+STOCK_SHARE, STOCK_LEAST = 0.01, 10
 #: Hits that an item needs in a text before altered text is looked at; words between two pieces of one run; items searched at a time.
 HITS, GAP, ITEMS = 3, 3, 20_000
 
@@ -84,6 +86,7 @@ class Items:
             self.word_sentences.append([n for n, s in zip(own, filter(None, sentences)) for _ in s.split()])
         self.sentences = list(numbers)
         self.raw = [s.encode() for s in self.sentences]
+        self.keys = [int.from_bytes(blake2b(raw, digest_size=8).digest(), "little", signed=True) for raw in self.raw]
         self.words = [s.split() for s in self.sentences]
         self.holders: dict[int, list[int]] = defaultdict(list)
         for i, own in enumerate(self.item_sentences):
@@ -169,7 +172,10 @@ def _sentences(items: DataFrame, key: str, column: str) -> DataFrame:
 
 
 def _found(texts: DataFrame, items: Items) -> DataFrame:
-    """(doc, text, sentence, item): sentences that stand in a text have no item (-1), runs of items the sentence they lie in; every text has a row with neither. ``text`` is the same for equal texts."""
+    """(doc, text, sentence, item): sentences that stand in a text have no item, runs of items the one sentence they lie in or none; every text has a row with neither.
+
+    ``text`` is the same for equal texts, ``sentence`` for equal sentences of any block.
+    """
     # pickled by value, so executors need no copy of this package
     sent = texts.sparkSession.sparkContext.broadcast(cloudpickle.dumps(items))
 
@@ -184,7 +190,7 @@ def _found(texts: DataFrame, items: Items) -> DataFrame:
             row = np.searchsorted(offsets, pos, "right") - 1
             order = np.argsort(row, kind="stable")
             ids, same = (batch.column(i).to_pylist() for i in (0, 2))
-            out: list[tuple[int, int, int, int]] = [(d, t, -1, -1) for d, t in zip(ids, same)]
+            out: list[tuple[int, int, int | None, int | None]] = [(d, t, None, None) for d, t in zip(ids, same)]
             edge = np.flatnonzero(np.diff(row[order], prepend=-1)) if len(order) else []
             for a, b in zip(edge, [*edge[1:], len(order)]):
                 r, part = int(row[order[a]]), order[a:b]
@@ -193,7 +199,7 @@ def _found(texts: DataFrame, items: Items) -> DataFrame:
                 for p, k in zip((pos[part] - begin).tolist(), pattern[part].tolist()):
                     hits[int(own.owner[k])].append((p, int(own.offset[k])))
                 whole, runs = own.search(data[begin : int(offsets[r + 1])].tobytes(), hits)
-                out += [(ids[r], same[r], s, -1) for s in whole] + [(ids[r], same[r], s, own.item_ids[i]) for i, s in runs.items()]
+                out += [(ids[r], same[r], own.keys[s], None) for s in whole] + [(ids[r], same[r], own.keys[s] if s >= 0 else None, own.item_ids[i]) for i, s in runs.items()]
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in range(4)], ["doc", "text", "sentence", "item"])
 
     return texts.mapInArrow(run, "doc long, text long, sentence long, item long")
@@ -204,27 +210,27 @@ def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
 
     ``documents``: doc_id, text; ``items``: item_id, text. Null and empty texts match nothing; sentences shorter than a
     pattern count within runs only; repeated rows give each pair once. Stock is judged by different texts, so copies of
-    one text count once; a run that reaches beyond one sentence leaked whatever is stock in it. Items are searched in
+    one text count once, however many items hold a sentence; a run that reaches beyond one sentence leaked whatever is stock in it. Items are searched in
     blocks, each of a bounded size, so the tables sent to the tasks don't grow with the items.
     """
     spark = documents.sparkSession
     texts = documents.where("doc_id is not null and text is not null").select("doc_id", words_only(F.col("text")).alias("t")).withColumn("text", F.xxhash64("t"))
     parts = _sentences(items, "item_id", "text")
     ids = [r["item_id"] for r in items.where("item_id is not null").select("item_id").distinct().orderBy("item_id").collect()]
-    out = None
+    found, holders = [], []
     for a in range(0, len(ids), ITEMS):
         rows = parts.where(F.col("item_id").between(ids[a], ids[min(a + ITEMS, len(ids)) - 1])).distinct().orderBy("item_id", "_i").collect()
         by: dict[int, list[str]] = defaultdict(list)
         for r in rows:
             by[r["item_id"]].append(r["_s"])
         block = Items(sorted(by.items()))
-        found, _ = written(_found(texts, block), "leaks")
-        holders = spark.createDataFrame([(s, block.item_ids[i]) for s, own in block.holders.items() for i in own], "sentence long, item_id long")
-        limit = max(STOCK_LEAST, STOCK_SHARE * found.select("text").distinct().count())
-        held = found.where("sentence >= 0 and item = -1").select("doc", "text", "sentence").distinct()
-        stock = held.select("text", "sentence").distinct().groupBy("sentence").count().where(F.col("count") > limit).select("sentence")
-        runs = found.where("item <> -1").join(stock, "sentence", "left_anti").select(F.col("item").alias("item_id"), F.col("doc").alias("doc_id"))
-        shared = holders.groupBy("sentence").count().where(F.col("count") >= STOCK_ITEMS).select("sentence")
-        pairs = held.join(stock.unionByName(shared), "sentence", "left_anti").join(holders, "sentence").select("item_id", F.col("doc").alias("doc_id")).unionByName(runs)
-        out = pairs if out is None else out.unionByName(pairs)
-    return spark.createDataFrame([], "item_id long, doc_id long") if out is None else out.distinct()
+        found.append(written(_found(texts, block), "leaks")[0])
+        holders.append(spark.createDataFrame([(block.keys[s], block.item_ids[i]) for s, own in block.holders.items() for i in own], "sentence long, item_id long"))
+    if not found:
+        return spark.createDataFrame([], "item_id long, doc_id long")
+    limit = max(STOCK_LEAST, STOCK_SHARE * found[0].select("text").distinct().count())
+    every, holding = reduce(DataFrame.unionByName, found), reduce(DataFrame.unionByName, holders)
+    held = every.where("sentence is not null and item is null").select("doc", "text", "sentence").distinct()
+    stock = held.select("text", "sentence").distinct().groupBy("sentence").count().where(F.col("count") > limit).select("sentence")
+    runs = every.where("item is not null").join(stock, "sentence", "left_anti").select(F.col("item").alias("item_id"), F.col("doc").alias("doc_id"))
+    return held.join(stock, "sentence", "left_anti").join(holding, "sentence").select("item_id", F.col("doc").alias("doc_id")).unionByName(runs).distinct()

@@ -87,3 +87,13 @@ def test_a_run_around_a_stock_sentence_leaks(spark):
     run = " ".join([*b[-(len(b) * 6 // 10) :], STOCK, *c[: len(c) * 6 // 10]])
     docs = [f"{sentence(r)} {run} {sentence(r)}", f"{STOCK} {sentence(r) * 30} {run} {sentence(r)}"] + [f"{sentence(r)} {STOCK} {sentence(r)}" for _ in range(30)]
     assert _pairs(spark, docs, items) == {(0, 0), (0, 1)}
+
+
+def test_sentences_that_several_items_share_leak_in_any_blocks(spark, monkeypatch):
+    r = random.Random(5)
+    shared = [sentence(r) for _ in range(3)]
+    items = [(k, " ".join([*shared, STOCK])) for k in range(-2, 3)]
+    docs = [f"{sentence(r)} {' '.join(shared)} {sentence(r)}", f"{sentence(r)} {shared[1]} {sentence(r)}"] + [f"{sentence(r)} {STOCK} {sentence(r)}" for _ in range(30)]
+    for size in (2, 20_000):
+        monkeypatch.setattr(leakage, "ITEMS", size)
+        assert _pairs(spark, docs, items) == {(k, d) for k in range(-2, 3) for d in (0, 1)}
