@@ -440,9 +440,8 @@ def w_reconcile(spark, sf_dir):
 @_query(f"""{ENTRIES_SQL}, l as (select path, unnest(range(1, len(string_split(text, chr(10))) + 1)) as line, unnest(string_split(text, chr(10))) as text from e where contains(text, 'Journal'))
 select path, cast(line as int) as line, path || ':' || line || ':' || text as shown from l where contains(text, 'Journal') and octet_length(encode(text)) <= 500""")
 def o_grep(spark, sf_dir):
-    """Matching lines as they are printed; longer lines than are shown whole are left out here."""
+    """Matching lines as they are printed, cut where they are too long; the SQL has only those of 500 bytes or less."""
     from spindrift.sources.sinks import grep_lines
 
     q = parse("content:Journal", AT)
-    found = content.lines(search.matching(entries(spark, sf_dir), q), q)
-    return grep_lines(found.where("not endswith(text, '…')"))
+    return grep_lines(content.lines(search.matching(entries(spark, sf_dir), q), q))

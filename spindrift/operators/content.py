@@ -106,6 +106,15 @@ def snippet(q: Query, smart: bool = False) -> Column:
     return F.coalesce(out, F.lit(""))
 
 
+def _shown(text: str) -> Column:
+    """A line, cut behind the last whole character within ``LINE`` bytes if it has more."""
+    raw = F.encode(F.col(text), "UTF-8")
+    cut = F.lit(LINE - 3)
+    for n in (LINE - 2, LINE - 1, LINE):
+        cut = F.when(F.hex(F.substring(raw, n + 1, 1)).rlike("^[89AB]"), cut).otherwise(n)
+    return F.when(F.octet_length(text) > LINE, F.concat(F.decode(F.substring(raw, F.lit(1), cut), "UTF-8"), F.lit("…"))).otherwise(F.col(text))
+
+
 def lines(rows: DataFrame, q: Query, before: int = 0, after: int = 0, most: int = 0) -> DataFrame:
     """Matching lines with their neighbours: path, line (from 1), text, match; ``most`` limits the matches of a file."""
     compiler = Compiler({"text"}, smart=smart_case(q))
@@ -119,5 +128,4 @@ def lines(rows: DataFrame, q: Query, before: int = 0, after: int = 0, most: int
     if most > 0:
         marked = marked.withColumn("match", F.col("match") & (F.sum(F.col("match").cast("int")).over(w) <= most))
     near = F.max(F.col("match").cast("int")).over(w.rowsBetween(-after, before)) == 1
-    shown = F.when(F.octet_length("text") > LINE, F.concat(F.substring("text", 1, LINE), F.lit("…"))).otherwise(F.col("text"))
-    return marked.withColumn("near", near).where("near").select("path", (F.col("i") + 1).alias("line"), shown.alias("text"), "match")
+    return marked.withColumn("near", near).where("near").select("path", (F.col("i") + 1).alias("line"), _shown("text").alias("text"), "match")

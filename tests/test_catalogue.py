@@ -173,3 +173,13 @@ def test_overlay_cascade_and_occupants(spark):
     assert [r["path"] for r in feed.cascade(files, spark.createDataFrame([("c:\\x",)], "path_l string")).collect()] == ["C:\\xy"]
     reused = spark.createDataFrame([("C:", 1, 1, 5), ("C:", 1, 2, 9), ("C:", 1, 2, 10)], "volume string, frn long, seq long, usn long")
     assert sorted(r["usn"] for r in feed.current_occupant(reused).collect()) == [9, 10]
+
+
+def test_long_lines_are_printed_cut_behind_a_whole_character(spark, tmp_path, monkeypatch):
+    from spindrift import catalogue_queries
+
+    lines = ["Journal " + "x" * 492, "Journal " + "x" * 493, "Journal " + "é" * 400, "Journal x" + "é" * 300, "Journal " + "検" * 200, "Journal ends…", "other " + "x" * 600]
+    files = enriched(spark.createDataFrame([("C:", 1, r"C:\a.txt", 32, 0, 0, "x", "\n".join(lines))], "volume string, frn long, path string, mode long, size long, mod_ns long, source string, text string"))
+    monkeypatch.setattr(catalogue_queries, "entries", lambda *_: files)
+    want = [lines[0], lines[0] + "…", "Journal " + "é" * 246 + "…", "Journal x" + "é" * 245 + "…", "Journal " + "検" * 164 + "…", lines[5]]
+    assert [r["shown"] for r in catalogue_queries.o_grep(spark, "").orderBy("line").collect()] == [rf"C:\a.txt:{k}:{t}" for k, t in enumerate(want, 1)]
