@@ -132,6 +132,9 @@ class Labeller:
         self.model, self.pairs = model, _pairs()
         self.late = np.array([ENTER_LATE if kind == "table" else 0.0 for kind, *_ in self.pairs], np.float32)
         self.enter = np.array([ENTER_UNIT if kind == "bytes" else ENTER for kind, *_ in self.pairs], np.float32)
+        # pairs of ASCII characters that are likelier with their bytes swapped
+        plain, turned = model.ids(np.arange(128)), model.ids(np.arange(128) << 8)
+        self.turned = model.log[turned[:, None], turned] > model.log[plain[:, None], plain]
         self.tables = []
         for kind, w, t in self.pairs:
             table: dict[int, int] = {}
@@ -156,12 +159,11 @@ class Labeller:
         if kind == "lost":
             return np.where(ascii_, points, -1), none, None
         if kind == "swap":
-            ok = (points > 255) & (points < 0x10000) & ((points & 0xFF) < 0x32)
-            return np.where(ascii_, points, np.where(ok, ((points & 0xFF) << 8) | (points >> 8), -1)), none, None
+            turned = ((points & 0xFF) << 8) | (points >> 8)  # ASCII as well: U+4E00 looks like N
+            ok = (points > 0) & (points < 0x10000) & ((turned < 0xD800) | (turned > 0xDFFF))
+            return np.where(ok, turned, -1), none, None
         if kind == "wide":
-            a, b = (points & 0xFF, points >> 8) if self.pairs[k][1] == "utf_16_le" else (points >> 8, points & 0xFF)
-            ok = (points > 0x2000) & (points < 0x10000) & (a >= 32) & (a < 127) & (b >= 32) & (b < 127)
-            return np.where(ascii_, points, np.where(ok, a, -1)), none, np.where(ok, b, -1)
+            return self._wide(k, points, first)
         own = np.array([self.tables[k].get(u, -1) for u in uniq.tolist()], np.int64)
         if kind == "multi":
             return self._multi(k, points, own[code], np.where(ascii_, points, -1), none.copy(), first)
@@ -181,6 +183,20 @@ class Labeller:
             out = out[where]
         return out, more, None
 
+    def _wide(self, k: int, points: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """UTF-8 read two bytes at a time: the characters that begin in each position, up to two; units may cross positions."""
+        a, b = (points & 0xFF, points >> 8) if self.pairs[k][1] == "utf_16_le" else (points >> 8, points & 0xFF)
+        ascii_, fits = points < 128, points < 0x10000
+        byte, begin = np.empty(2 * len(points), np.int64), np.zeros(2 * len(points), bool)
+        byte[::2], byte[1::2], begin[::2] = np.where(ascii_, points, np.where(fits, a, -1)), np.where(ascii_ | ~fits, -1, b), first
+        out, more = _units(byte, byte, begin)
+        control = (out >= 0) & (out < 32) & ~np.isin(out, (9, 10, 13))
+        out[control & ~np.repeat(ascii_, 2)] = -1
+        one, two, goes_on, ends = out[::2], out[1::2], more[::2], more[1::2]
+        valid = ascii_ | ((one >= 0) & (two >= 0))
+        read = np.where(valid, np.where(goes_on & ~ends, two, one), -1)
+        return read, valid & goes_on & ends, np.where(valid & ~ascii_ & ~goes_on & ~ends, two, -1)
+
     def _multi(self, k: int, points: np.ndarray, byte: np.ndarray, out: np.ndarray, more: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, None]:
         """Double-byte text: runs that hold two high bytes at least are decoded one after the other."""
         true, n = self.pairs[k][2], len(points)
@@ -204,7 +220,7 @@ class Labeller:
         """Which texts hold two characters that are likelier one, misread as UTF-8, and which any path through a pair's state could win, by an upper bound of what it gains; the rest are clean.
 
         A mapped pair gains at a bigram what its reading of it is likelier than the text as it stands, so the sum of its
-        positive gains over the text bounds every span of it. Pairs of multi-byte encodings need a whole unit somewhere.
+        positive gains over the text bounds every span of it; for UTF-8 read as UTF-16 the text is read as a whole. Pairs of multi-byte encodings need a whole unit somewhere.
         ``active`` is left as the pairs that could win in any of these texts, by the same bound.
         """
         lens = np.array([len(t) for t in texts])
@@ -215,7 +231,8 @@ class Labeller:
         text = np.repeat(np.arange(len(texts)), lens)
         before = np.r_[32, points[:-1]]
         before[start[lens > 0]] = 32
-        at = np.flatnonzero((points > 127) | (before > 127))
+        odd = (points > 127) | (before > 127)
+        at = np.flatnonzero(odd | self.turned[np.minimum(before, 127), np.minimum(points, 127)])
         found = np.zeros(len(texts), bool)
         if not len(at):
             return found, found
@@ -231,13 +248,15 @@ class Labeller:
         unit, likely = np.zeros(len(pair), bool), np.zeros(len(pair), bool)
         whole = np.ones(len(uniq), bool)
         for k, (kind, w, true) in enumerate(self.pairs):
-            if kind in {"table", "swap", "wide"}:
-                read, _, second = self._decoded(k, uniq, uniq, np.arange(len(uniq)), whole)
+            if kind == "wide":
+                wins = self._wide_gains(k, points, lens) >= need
+                found |= wins
+                if wins.any():
+                    self.active.append(k)
+            elif kind in {"table", "swap"}:
+                read, _, _ = self._decoded(k, uniq, uniq, np.arange(len(uniq)), whole)
                 ids = self.model.ids(read)
                 e = np.where(read[cc] < 0, INVALID, self.model.log[ids[cp], ids[cc]])
-                if second is not None:
-                    last = np.where(second >= 0, self.model.ids(np.maximum(second, 0)), ids)
-                    e = np.where(read[cc] < 0, INVALID, self.model.log[last[cp], ids[cc]] + np.where(second[cc] >= 0, self.model.log[ids[cc], last[cc]], 0))
                 win = np.maximum(e - clean, 0)
                 if win.any():
                     wins = np.bincount(text[at], win[back], len(texts)) >= need
@@ -270,6 +289,27 @@ class Labeller:
         found[text[at[points[at] == 0xFFFD]]] = True
         return units, found
 
+    def _wide_gains(self, k: int, points: np.ndarray, lens: np.ndarray) -> np.ndarray:
+        """What a span of UTF-8 read as UTF-16 gains at most in each text."""
+        text, model = np.repeat(np.arange(len(lens)), lens), self.model
+        low, high = points & 0xFF, points >> 8
+        fit = lambda x: (x >= 32) | (x == 9) | (x == 10) | (x == 13)
+        some = np.zeros(len(lens), bool)
+        some[text[(points < 0x10000) & (points > 127) & fit(low) & fit(high)]] = True
+        here = some[text]
+        gains, points, text = np.zeros(len(lens)), points[here], text[here]
+        if not len(points):
+            return gains
+        first = np.r_[True, text[1:] != text[:-1]]
+        read, more, second = self._wide(k, points, first)
+        own, ids = model.ids(points), model.ids(read)
+        last = np.where(second >= 0, model.ids(np.maximum(second, 0)), ids)
+        space = model.ids(np.array([32]))[0]
+        was, last_was = (np.where(first, space, np.r_[space, x[:-1]]) for x in (own, last))
+        e = model.log[last_was, ids] + np.where(second >= 0, model.log[ids, last], 0)
+        e = np.where(more, 0, np.where(read < 0, INVALID, e))
+        return np.bincount(text, np.maximum(e - model.log[was, own], 0), len(lens))
+
     def label(self, texts: list[str]) -> list[np.ndarray]:
         """The state of every character: 0 clean, k + 1 the k-th pair."""
         model, log = self.model, self.model.log
@@ -319,7 +359,7 @@ class Labeller:
             emit[:, k + 1], closed[:, k + 1] = e, more | (read < 0)
             if kind == "lost":
                 closed[:, k + 1] = points != 0xFFFD
-            else:
+            elif kind != "swap":
                 closed[:, k + 1] |= points < 128  # a span begins with something that was garbled
         best = np.full((len(texts), states), -1e30, np.float32)
         best[:, 0] = 0

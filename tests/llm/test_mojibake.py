@@ -51,3 +51,14 @@ def test_suspects_miss_nothing_that_labelling_finds(spark):
     _, found = labeller.suspects(texts)
     labelled = np.array([x.any() for x in labeller.label(texts)])
     assert not (labelled & ~found).any() and labelled[-len(PAIRS) :].all()
+
+
+def test_swapped_and_wide_text_comes_back_whole(spark):
+    kanji = "検索の最後の結果は一件ＯＫです。"
+    labeller = mojibake.Labeller(mojibake.train(spark.createDataFrame([*_corpus(), *[(5000 + i, kanji) for i in range(50)]], "id long, s string"), "s"))
+    line = SENTENCES[9].replace("保存", "検索")  # 保 swapped is half of a surrogate pair
+    swapped = [line.format(n=3), kanji + line.format(n=4)]
+    wide = [s.format(n=n) for s in SENTENCES for n in (3, 44) if len(s.format(n=n).encode()) % 2 == 0]
+    want = swapped + wide + wide
+    texts = [t.encode("utf-16-le").decode("utf-16-be") for t in swapped] + [t.encode().decode(order) for order in ("utf-16-le", "utf-16-be") for t in wide]
+    assert [(t, whole) for _, t, whole in labeller.restore(texts)[0]] == [(t, True) for t in want]
