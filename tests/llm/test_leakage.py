@@ -5,21 +5,22 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from spindrift.llm import leakage
-from spindrift.llm.wu_manber import LENGTH, Patterns
+from spindrift.llm.wu_manber import Patterns
 
 VERBS = "opens hides moves counts signs sends quotes tags".split()
 NOUNS = "garden ledger manual harbour printer calendar teacher window river office button letter".split()
 STOCK = "Please attach the output of the doctor command when you report a problem to us."
 
 
-@settings(max_examples=30, deadline=None)
-@given(st.lists(st.text("ab ", min_size=LENGTH, max_size=LENGTH), min_size=1, max_size=5), st.lists(st.text("ab ", max_size=90), max_size=6))
-def test_search_like_brute_force(patterns, texts):
-    raw = [p.encode() for p in patterns]
+@settings(max_examples=60, deadline=None)
+@given(st.sampled_from([3, 6, 12, 20]), st.data())
+def test_search_like_brute_force(length, data):
+    patterns = data.draw(st.lists(st.text("ab ", min_size=length, max_size=length), min_size=1, max_size=5))
+    texts = data.draw(st.lists(st.text("ab ", max_size=90), max_size=6))
     lengths = np.array([len(t) for t in texts], np.int64)
     starts = np.cumsum(lengths) - lengths
-    pos, number = Patterns(raw).search(np.frombuffer("".join(texts).encode() + bytes(16), np.uint8), starts, lengths)
-    want = sorted((int(s) + i, k) for s, t in zip(starts, texts) for i in range(len(t) - LENGTH + 1) for k, p in enumerate(patterns) if t[i : i + LENGTH] == p)
+    pos, number = Patterns([p.encode() for p in patterns], length).search(np.frombuffer("".join(texts).encode() + bytes(16), np.uint8), starts, lengths)
+    want = sorted((int(s) + i, k) for s, t in zip(starts, texts) for i in range(len(t) - length + 1) for k, p in enumerate(patterns) if t[i : i + length] == p)
     assert sorted(zip(pos.tolist(), number.tolist())) == want
 
 
@@ -59,7 +60,7 @@ def test_items_in_blocks(spark, monkeypatch):
     r = random.Random(2)
     items = [(k, sentence(r)) for k in range(9)]
     docs = spark.createDataFrame([(k, f"before {t} after") for k, t in items], "doc_id long, text string")
-    monkeypatch.setattr(leakage, "ITEMS", 4)
+    monkeypatch.setattr(leakage, "BLOCK_BYTES", 400)
     got = sorted((x["item_id"], x["doc_id"]) for x in leakage.leaks(docs, spark.createDataFrame(items, "item_id long, text string")).collect())
     assert got == [(k, k) for k in range(9)]
 
@@ -94,6 +95,29 @@ def test_sentences_that_several_items_share_leak_in_any_blocks(spark, monkeypatc
     shared = [sentence(r) for _ in range(3)]
     items = [(k, " ".join([*shared, STOCK])) for k in range(-2, 3)]
     docs = [f"{sentence(r)} {' '.join(shared)} {sentence(r)}", f"{sentence(r)} {shared[1]} {sentence(r)}"] + [f"{sentence(r)} {STOCK} {sentence(r)}" for _ in range(30)]
-    for size in (2, 20_000):
-        monkeypatch.setattr(leakage, "ITEMS", size)
+    for size in (1, 700, 1 << 22):
+        monkeypatch.setattr(leakage, "BLOCK_BYTES", size)
         assert _pairs(spark, docs, items) == {(k, d) for k in range(-2, 3) for d in (0, 1)}
+
+
+def test_short_sentences_and_texts_leak_where_they_stand_as_sentences(spark):
+    r = random.Random(6)
+    items = [(0, "Go home now. " + sentence(r)), (1, "検索は速いです。索引は小さいままです。"), (2, "Ja."), (3, "Try it twice. Then rest. Wake up late. Eat well. Sing aloud.")]
+    docs = ["Go home now.", "He said: “Go\nhome now!” and left", "when you go home now and then", "検索は速いです。", "それから、検索は速いです。次へ", "ja, ja", "x\nJa\ny"]
+    docs += ["they did it twice then rest wake up late eat well and so on", "", "-" * 100_000 + "\n" + "= " * 50_000]
+    assert _pairs(spark, docs, items) == {(0, 0), (0, 1), (1, 3), (1, 4), (2, 6), (3, 7)}
+
+
+def test_one_hit_and_long_words_are_enough(spark):
+    r = random.Random(7)
+    words = sentence(r, 12).rstrip(".").split()
+    items = [(0, " ".join(words) + "."), (1, "The quick brown fox jumps over the lazy dog.")]
+    long = [w + "x" * 40 if i % 5 == 4 else w for i, w in enumerate(words)]
+    docs = [f"{sentence(r)} {' '.join(long)} {sentence(r)}", "once the quick brown cat jumps over the lazy dog again", "the slow brown fox sleeps below a lazy dog"]
+    assert _pairs(spark, docs, items) == {(0, 0), (1, 1)}
+
+
+def test_a_run_in_a_script_of_wide_characters(spark):
+    text = "索引は夜の間に静かに作られ古い記録は別の棚に移され利用者は朝になると新しい結果をすぐに見ることができる"
+    docs = ["前置き" + text[5:40] + "後書き", "前置き" + text[5:15] + "後書き"]
+    assert _pairs(spark, docs, [(0, text + "。")]) == {(0, 0)}
