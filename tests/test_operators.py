@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from spindrift import session
 from spindrift.operators import changefeed, hierarchy, incremental, ordering, references
 from spindrift.operators.bitmaps import Bitmap
 
@@ -93,6 +94,30 @@ def test_a_failed_run_is_replayed_from_its_written_plan(spark):
     assert rows_of(job.plan(0, later)) == first and rows_of(job.read().select("volume", "frn")) == WANT
 
 
+@pytest.mark.parametrize("crash", ["planned", "half written", "not marked", None])
+def test_three_batches_over_a_replaced_journal(spark, crash):
+    """Whatever step a batch dies behind, the row of the later journal holds, though its change numbers are smaller."""
+    day = lambda n: T0 + timedelta(days=n)
+    runs = [(1, "C:", "usn", 7, 9000), (2, "C:", "usn", 8, 11), (3, "C:", "usn", 8, 20)]
+    prints = spark.createDataFrame([(1, "C:", 1, 1, 1, 9000, day(1), "m", True), (1, "C:", 2, 1, 1, 9001, day(1), "m", True), (2, "C:", 1, 2, 2, 10, day(2), "m", True), (3, "C:", 1, 2, 2, 10, day(3), "m", True), (3, "C:", 2, 3, 3, 20, day(3), "m", True)], PRINTS)
+    job = incremental.IncrementalJob(spark)
+    for k in range(3):
+        state = lambda i: "ready" if i < k else "replaying"  # noqa: B023, E731
+        known = spark.createDataFrame([(*r, state(i), day(r[0]), day(r[0]) if i < k else None, "") for i, r in enumerate(runs[: k + 1])], RUNS)
+        if crash == "planned":
+            job.plan(k, known)
+        elif crash == "half written":
+            with pytest.raises(Exception):
+                job.run(k, prints.withColumn("usn", F.expr("raise_error('lost')").cast("long")), known)
+        elif crash == "not marked":
+            job.run(k, prints, known)
+            session.remove(spark, f"{job.path}/batches/{k}/_SUCCESS")
+            assert rows_of(job.read().where(f"batch = {k}")) == []
+        job.run(k, prints, known)
+        job.run(k, prints, known)
+    assert rows_of(job.read().select("frn", "journal_id", "usn", "print_size", "batch")) == [(1, 8, 10, 2, 1), (2, 8, 20, 3, 2)]
+
+
 def test_incremental_on_nothing(spark):
     prints, runs = _world(spark)
     job = incremental.IncrementalJob(spark)
@@ -146,10 +171,11 @@ def _brute(nodes):
     return out
 
 
-@pytest.mark.parametrize("split", [1, 3, 1000])
-def test_hierarchies_like_brute_force(spark, split, monkeypatch):
-    """With many splitters, few, and none at all; deep chains, wide folders, circles of all sizes, gaps and deletions."""
+@pytest.mark.parametrize("split,local", [(3, 0), (3, 1 << 20), (1000, 0)])
+def test_hierarchies_like_brute_force(spark, split, local, monkeypatch):
+    """With many splitters, few, and none at all, solved in one task and by rounds; deep chains, wide folders, circles of all sizes, gaps and deletions."""
     monkeypatch.setattr(hierarchy, "SPLIT", split)
+    monkeypatch.setattr(hierarchy, "LOCAL", local)
     r = random.Random(4)
     rows, n = [], 0
 
@@ -186,10 +212,35 @@ def test_hierarchies_like_brute_force(spark, split, monkeypatch):
         if v and ((v, f) not in latest or m >= latest[v, f][3]):
             latest[v, f] = (p or None, name or "", d, m)
     want = _brute({k: x for k, x in latest.items() if not x[2]})
-    got = {(x["volume"], x["frn"]): (x["path"], x["depth"], x["root_frn"], x["cycle_frn"]) for x in hierarchy.tree(df).collect()}
+    above = {k: 0 for k in want}
+    for (v, f), (_, _, _, c) in want.items():
+        at = (v, f)
+        while c is None and latest[at][0] is not None and (v, latest[at][0]) in want:
+            at = (v, latest[at][0])
+            above[at] += 1
+    rows_found = hierarchy.tree(df).collect()
+    got = {(x["volume"], x["frn"]): (x["path"], x["depth"], x["root_frn"], x["cycle_frn"]) for x in rows_found}
     assert got == want
+    assert {(x["volume"], x["frn"]): x["n_descendants"] for x in rows_found} == {k: n if want[k][3] is None else None for k, n in above.items()}
+    assert {(x["volume"], x["frn"]): x["status"] for x in rows_found if x["root_frn"] == 300} == {("C:", 300): "missing", ("C:", 301): "missing"}
     circles = sorted((v, f, c[3]) for (v, f), c in want.items() if c[3] is not None)
     assert rows_of(hierarchy.circles(df)) == circles
+    if local:
+        found = {(x["volume"], x["frn"]): x for x in hierarchy.intervals(df).collect()}
+        assert set(found) == {k for k, x in want.items() if x[3] is None}
+        for k, x in found.items():
+            below = {j for j, y in found.items() if j[0] == k[0] and y["root_frn"] == x["root_frn"] and x["first"] < y["first"] <= x["last"]}
+            assert len(below) == above[k] and all(want[j][0].startswith(want[k][0] + "\\") for j in below)
+
+
+def test_a_chain_of_a_hundred_thousand(spark, monkeypatch):
+    monkeypatch.setattr(hierarchy, "LOCAL", 10_000)
+    n = 100_000
+    chain = spark.range(1, n + 1).selectExpr("id as row_id", "'C:' as volume", "id as frn", "nullif(id - 1, 0) as parent_frn", "'x' as name", "false as deleted", "'2026-01' as scan_month", "timestamp '2026-01-01' as received_at")
+    got = hierarchy.tree(chain, paths=False).where(f"depth = frn - 1 and root_frn = 1 and n_descendants = {n} - frn").count()
+    assert got == n
+    ring = chain.withColumn("parent_frn", F.expr(f"if(frn = 1, {n}, frn - 1)"))
+    assert hierarchy.circles(ring).where("cycle_frn = 1").count() == n
 
 
 def test_descendants_count_what_pairs_list(spark):
