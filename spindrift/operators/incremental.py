@@ -7,6 +7,8 @@ taken up where it stopped:
 2. ``execute``: reads what the *written* plan says - a second attempt reads the same plan, not a new one;
 3. ``commit``: rows go to a folder of the batch, then a marker. Readers see marked batches only and keep, per key, the
    row of the highest offset, so a batch that is delivered again adds nothing.
+
+Change numbers restart when a volume's journal is replaced, so an offset is (time of the run, change number, time seen).
 """
 
 from __future__ import annotations
@@ -16,7 +18,9 @@ from pyspark.sql import functions as F
 
 from spindrift.session import exists, fresh_path, remove
 
-PLAN = "volume string, open_run long, source string, mode string, from_usn long, journal_id long"
+PLAN = "volume string, open_run long, source string, mode string, from_usn long, journal_id long, built_at timestamp"
+#: What a sink row carries besides its key; the first three are its offset.
+ROW = "built_at timestamp, usn long, seen_at timestamp, journal_id long, print_size long, print_mod long, batch long"
 
 
 def offsets(runs: DataFrame) -> DataFrame:
@@ -30,11 +34,11 @@ def offsets(runs: DataFrame) -> DataFrame:
     done = runs.where("state = 'ready' and last_persist is not null and volume is not null")
     last = done.join(opened, "volume").where("built_at < o.built_at or (built_at = o.built_at and run_id <> o.run_id)").groupBy("volume").agg(F.max(F.struct("built_at", "run_id", "journal_id", "checkpoint_usn")).alias("l"))
     mode = F.when(F.col("o.source") == "walk", "compare").when(F.col("l").isNull() | ~F.col("l.journal_id").eqNullSafe(F.col("o.journal_id")) | F.col("l.checkpoint_usn").isNull(), "all").otherwise("journal")
-    return opened.join(last, "volume", "left").select("volume", F.col("o.run_id").alias("open_run"), F.col("o.source").alias("source"), mode.alias("mode"), F.col("l.checkpoint_usn").alias("from_usn"), F.col("o.journal_id").alias("journal_id"))
+    return opened.join(last, "volume", "left").select("volume", F.col("o.run_id").alias("open_run"), F.col("o.source").alias("source"), mode.alias("mode"), F.col("l.checkpoint_usn").alias("from_usn"), F.col("o.journal_id").alias("journal_id"), F.col("o.built_at").alias("built_at"))
 
 
 def changed(prints: DataFrame, runs: DataFrame, plan: DataFrame) -> DataFrame:
-    """The files of the planned runs that are new or changed: volume, frn, print_size, print_mod, usn, seen_at.
+    """The files of the planned runs that are new or changed: volume, frn, built_at, usn, seen_at, journal_id, print_size, print_mod.
 
     Of several prints of a file in one run the latest ``seen_at`` holds. Prints of runs that neither succeeded nor are
     planned say nothing. Sizes and times compare null-safe; a null change number counts as changed.
@@ -50,7 +54,7 @@ def changed(prints: DataFrame, runs: DataFrame, plan: DataFrame) -> DataFrame:
     )
     same = F.col("before").isNotNull() & F.col("before.p.print_size").eqNullSafe(F.col("now.print_size")) & F.col("before.p.print_mod").eqNullSafe(F.col("now.print_mod"))
     case = F.when(F.col("mode") == "all", True).when(F.col("mode") == "journal", F.coalesce(F.col("now.usn") >= F.col("from_usn"), F.lit(True))).otherwise(~same)
-    return seen.where("now is not null").join(plan.select("volume", "mode", "from_usn"), "volume").where(case).select("volume", "frn", "now.print_size", "now.print_mod", "now.usn", "now.seen_at")
+    return seen.where("now is not null").join(plan.select("volume", "mode", "from_usn", F.col("built_at").alias("o_built_at"), F.col("journal_id").alias("o_journal_id")), "volume").where(case).select("volume", "frn", F.col("o_built_at").alias("built_at"), "now.usn", "now.seen_at", F.col("o_journal_id").alias("journal_id"), "now.print_size", "now.print_mod")
 
 
 class IncrementalJob:
@@ -76,15 +80,16 @@ class IncrementalJob:
 
     def read(self) -> DataFrame:
         """All committed rows, one a key: the one of the highest offset, then of the latest batch."""
-        schema = "volume string, frn long, print_size long, print_mod long, usn long, seen_at timestamp, batch long"
         root = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/batches")
         fs = root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
         done = [str(x.getPath()) for x in fs.listStatus(root) if exists(self.spark, f"{x.getPath()}/_SUCCESS")] if fs.exists(root) else []
+        schema = f"volume string, frn long, {ROW}"
         if not done:
             return self.spark.createDataFrame([], schema)
-        rest = ["print_size", "print_mod"]
-        rows = self.spark.read.schema(schema).parquet(*done).groupBy("volume", "frn").agg(F.max(F.struct("usn", "seen_at", "batch", *rest)).alias("r"))
-        return rows.select("volume", "frn", *[F.col(f"r.{c}").alias(c) for c in (*rest, "usn", "seen_at", "batch")])
+        names = [x.split()[0] for x in ROW.split(", ")]
+        order = ["built_at", "usn", "seen_at", "batch", *[c for c in names[3:] if c != "batch"]]
+        rows = self.spark.read.schema(schema).parquet(*done).groupBy("volume", "frn").agg(F.max(F.struct(*order)).alias("r"))
+        return rows.select("volume", "frn", *[F.col(f"r.{c}").alias(c) for c in names])
 
 
 def reconcile(old: DataFrame, new: DataFrame) -> DataFrame:
