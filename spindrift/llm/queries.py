@@ -17,6 +17,11 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p1_counts(spark, sf_dir).where("mark is not null").select("posting_kind", "term", "mark")
 
 
+def p1_grams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grams of one to five words that are not rare, over whole texts."""
+    return value_counts.text_grams(table(spark, sf_dir, "documents"), "doc_id", "text", 5)
+
+
 def p3_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rank_fusion.rank_paths(table(spark, sf_dir, "query_picks"), table(spark, sf_dir, "file_signals"))
 
@@ -50,7 +55,7 @@ def p10_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truncation.by_source(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_counts, p3_ranking, p5_found, p5_restored, p8_containers, p9_found, p9_items, p10_found, p10_by_source)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_counts, p1_grams, p3_ranking, p5_found, p5_restored, p8_containers, p9_found, p9_items, p10_found, p10_by_source)}
 
 _COUNTS = """
 with d as (select posting_kind, shard, term, doc_id, arg_max(coalesce(tf, entry_count, gram_count), received_at) as n from posting_counts where posting_kind is not null and term is not null group by all),
@@ -60,5 +65,9 @@ m as (select c.posting_kind, term, occurrences, records, case when records < 3 t
 """
 SQL = {
     "p1_counts": _COUNTS + "select posting_kind, term, occurrences, records, mark from m",
+    "p1_grams": r"""with w as (select doc_id, regexp_extract_all(text, '[\p{L}\p{N}]+') as w from documents where text is not null and doc_id is not null),
+i as (select doc_id, w, unnest(range(1, len(w) + 1)) as i from w), g as (select doc_id, w, i, unnest([1, 2, 3, 4, 5]) as n from i),
+c as (select n, array_to_string(w[i:i + n - 1], ' ') as gram, count(*) as occurrences, count(distinct doc_id) as records from g where i + n - 1 <= len(w) group by 1, 2)
+select n, gram, occurrences, records, case when records > 0.1 * (select count(distinct doc_id) from w) then 'common' end as mark from c where records >= 3""",
     "p1_found": _COUNTS + "select posting_kind, term, mark from m where mark is not null",
 }
