@@ -21,23 +21,21 @@ from spindrift.session import written
 def mid_ranks(items: DataFrame, scores: Sequence[str]) -> DataFrame:
     """``items`` with each score replaced by its mid-rank in (0, 1]: equal values share one, null and NaN stay null.
 
-    Values are counted before they are ordered, so a value that most items have costs one row a task.
+    All scores are ranked at once, as rows of (item, score, value). Values are counted before they are ordered, so a
+    value that most items have costs one row a task; the ranks are joined back by value - a side that is unique, and
+    sent to the others or split by its measured size - and gathered by item.
     """
-    long = None
-    for i, c in enumerate(scores):
-        value = F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double"))
-        part = items.select(F.lit(i).alias("signal"), value.alias("value")).where("value is not null").groupBy("signal", "value").count()
-        long = part if long is None else long.unionByName(part)
-    upto = running_total(long, ["signal"], [F.col("value")], F.col("count"), "upto")
-    ranks, _ = written(upto, "ranks")
+    held, _ = written(items.withColumn("_item", F.monotonically_increasing_id()), "items")
+    pairs = ", ".join(f"{i}, cast(`{c}` as double)" for i, c in enumerate(scores))
+    long = held.selectExpr("_item", f"stack({len(scores)}, {pairs}) as (signal, value)").where("value is not null and not isnan(value)")
+    counted = long.groupBy("signal", "value").count()
+    ranks, _ = written(running_total(counted, ["signal"], [F.col("value")], F.col("count"), "upto"), "ranks")
     totals = {r["signal"]: r["n"] for r in ranks.groupBy("signal").agg(F.sum("count").alias("n")).collect()}  # one row a score
-    out = items
-    for i, c in enumerate(scores):
-        own = ranks.where(F.col("signal") == i).select(F.col("value").alias("_v"), ((F.col("upto") - F.col("count") + (F.col("count") + 1) / 2) / F.lit(float(totals.get(i, 1)))).alias("_r"))
-        # rows without a value match nothing, and are kept from meeting in one partition
-        apart = F.lit(-1e300) * (1 + F.pmod(F.xxhash64(*items.columns), F.lit(4096)))
-        out = out.withColumn("_x", F.coalesce(F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")), apart)).join(own, F.col("_x") == F.col("_v"), "left").withColumn(c, F.col("_r")).drop("_x", "_v", "_r")
-    return out
+    total = F.element_at(F.create_map(*[F.lit(x) for i in range(len(scores)) for x in (i, float(totals.get(i, 1)))]), F.col("signal"))
+    own = ranks.select("signal", "value", ((F.col("upto") - F.col("count") + (F.col("count") + 1) / 2) / total).alias("_r"))
+    wide = long.join(own, ["signal", "value"]).groupBy("_item").agg(*[F.max(F.when(F.col("signal") == i, F.col("_r"))).alias(f"_r{i}") for i in range(len(scores))])
+    out = held.join(wide, "_item", "left")
+    return out.select(*[F.col(f"_r{scores.index(c)}").alias(c) if c in scores else F.col(c) for c in items.columns])
 
 
 def first_component(ranked: DataFrame, directions: Mapping[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -71,19 +69,18 @@ def first_component(ranked: DataFrame, directions: Mapping[str, int]) -> tuple[n
 def fuse(items: DataFrame, group: Sequence[str], item: str, directions: Mapping[str, int]) -> DataFrame:
     """Items with ``fused`` (the projection) and ``place`` (1 is best) within each group.
 
-    ``directions`` has +1 for a score where more is better, -1 where less is. An unknown score is left out of an item's
-    projection, which is scaled to the loadings that are known; an item without any gets 0, the middle. Ties are
-    ordered by ``item``. Whole repeated rows are ranked like any other; no items give no rows.
+    ``directions`` has +1 for a score where more is better, -1 where less is. An unknown score stands in the middle of
+    its ranks, so one known score never weighs as much as several; an item without any gets 0. Ties are ordered by
+    ``item``. Whole repeated rows are ranked like any other; no items give no rows.
     """
     names = list(directions)
     ranked, _ = written(mid_ranks(items.select(*group, item, *names), names), "ranked")
     mean, dev, loading = first_component(ranked, directions)
-    top, weight = F.lit(0.0), F.lit(0.0)
+    top = F.lit(0.0)
     for i, c in enumerate(names):
         if dev[i] > 0:
             top = top + F.coalesce((F.col(c) - float(mean[i])) / float(dev[i]) * float(loading[i]), F.lit(0.0))
-            weight = weight + F.when(F.col(c).isNotNull(), float(loading[i] ** 2)).otherwise(0.0)
-    fused = F.round(F.when(weight > 0, top / weight).otherwise(0.0), 9)
+    fused = F.round(top, 9)
     scored = ranked.select(*group, item, fused.alias("fused"))
     return running_total(scored, list(group), [F.col("fused").desc(), F.col(item).asc()], F.lit(1).cast("long"), "place")
 
