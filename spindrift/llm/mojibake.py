@@ -22,17 +22,17 @@ from pyspark.sql import functions as F
 
 from spindrift.session import written
 
-#: Characters that the model tells apart, by frequency; all others share a class per block of 256 code points.
-ALPHABET = 2000
+#: Characters that the model tells apart, by frequency; the others seen share a class per block of so many code points.
+ALPHABET, SPAN = 2000, 256
 ENTER, LEAVE, INVALID, FLOOR = -9.0, -1.0, -14.0, 1e-8
 #: Entering a state that reads UTF-8 costs less: its lead and continuation bytes seldom meet by chance.
 ENTER_UNIT = -2.0
 #: Entering a mapped state right behind a character that it would have changed as well: words are garbled whole.
 ENTER_LATE = -3.0
-#: Share of the collection by which bigrams are smoothed; log share of one rare character in their class.
+#: Share of the collection by which bigrams are smoothed; log probability of one character of blocks never seen, given that it is such a one.
 SMOOTH, RARE = 2e-4, -8.0
-#: How often text is undone at most.
-LAYERS = 4
+#: Bytes of the table (as stored) that a task labels, about.
+PART = 4 << 20
 #: Texts labelled at once.
 BATCH = 512
 
@@ -72,28 +72,53 @@ def _pairs() -> list[tuple[str, str, str]]:
 
 
 class Model:
-    """Log probabilities of bigrams over an alphabet of the collection. Row and column 0 stand for anything rare.
+    """Log probabilities of bigrams over an alphabet of the collection: its frequent characters, then the classes of its
+    other characters (one a block of code points). Row and column 0 stand for characters of blocks never seen.
 
     The weight of the single characters grows with the collection: else a few garbled texts, whose bigrams follow each
     other as regularly as those of the text they came from, would look as likely as that.
     """
 
-    def __init__(self, chars: np.ndarray, bigrams: np.ndarray):
-        self.chars = chars
-        n = len(chars) + 1
+    def __init__(self, alphabet: Alphabet, bigrams: np.ndarray):
+        self.alphabet = alphabet
+        n = alphabet.size
         single = bigrams.sum(0) + 0.01
         single = np.maximum(single / single.sum(), FLOOR)
         rows = bigrams.sum(1, keepdims=True)
         weight = 4.0 + SMOOTH * bigrams.sum()
         self.log = np.log((bigrams + weight * single) / (rows + weight)).astype(np.float32)
-        self.log[:, 0] += np.float32(RARE)
-        self.single = np.log(single).astype(np.float32)
+        self.log += alphabet.share.astype(np.float32)  # of one character in its class
+        self.single = (np.log(single) + alphabet.share).astype(np.float32)
+        self.single[0] = np.log(single[0])
         assert self.log.shape == (n, n)
 
     def ids(self, points: np.ndarray) -> np.ndarray:
-        at = np.searchsorted(self.chars, points)
-        at[at == len(self.chars)] = 0
-        return np.where(self.chars[at] == points, at + 1, 0) if len(self.chars) else np.zeros(len(points), np.int64)
+        return self.alphabet.ids(points)
+
+
+class Alphabet:
+    """Numbers of characters: 1.. for frequent ones, then for the blocks of the others, 0 for what was never seen."""
+
+    def __init__(self, chars: np.ndarray, blocks: np.ndarray, members: np.ndarray):
+        self.chars, self.blocks = chars, blocks
+        self.size = 1 + len(chars) + len(blocks)
+        self.share = np.r_[RARE, np.zeros(len(chars)), -np.log(np.maximum(members, 1))]
+
+    @staticmethod
+    def _at(known: np.ndarray, values: np.ndarray) -> np.ndarray:
+        """Places in a sorted list from 1, 0 for what isn't in it."""
+        if not len(known):
+            return np.zeros(len(values), np.int64)
+        at = np.minimum(np.searchsorted(known, values), len(known) - 1)
+        return np.where(known[at] == values, at + 1, 0)
+
+    def ids(self, points: np.ndarray) -> np.ndarray:
+        found = self._at(self.chars, points)
+        rest = np.flatnonzero(found == 0)
+        if len(rest) and len(self.blocks):
+            block = self._at(self.blocks, points[rest] // SPAN)
+            found[rest] = np.where(block > 0, len(self.chars) + block, 0)
+        return found
 
 
 def _points(text: str) -> np.ndarray:
@@ -427,7 +452,8 @@ class Labeller:
             units, found = self.suspects([texts[i] for i in todo])
             fit[np.array(todo)[units]] = False
             todo = [todo[i] for i in np.flatnonzero(found).tolist()]
-        for _ in range(LAYERS):
+        seen = {i: {texts[i]} for i in todo}
+        while todo:  # every layer makes a text likelier; one that comes back to an earlier form is left
             for a in range(0, len(todo), BATCH):
                 part = todo[a : a + BATCH]
                 for i, labels in zip(part, self.label([state[i][1] for i in part])):
@@ -444,11 +470,10 @@ class Labeller:
                             names = [*names, ">".join(self.pairs[labels[x] - 1][2:0:-1])]
                         out.append(piece)
                     state[i] = (names, "".join(out), whole)
-            todo = [i for i in todo if state[i][0] and not state[i][1].isascii() and state[i][1] != texts[i] and state[i][2]]
-            if not todo:
-                break
             # only text that changed in this round is read again
-            texts = [s[1] for s in state]
+            todo = [i for i in todo if state[i][0] and state[i][2] and not state[i][1].isascii() and state[i][1] not in seen[i]]
+            for i in todo:
+                seen[i].add(state[i][1])
         fit &= np.array([not s[0] for s in state], bool)
         return state, fit
 
@@ -461,32 +486,35 @@ def _char_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train(texts: DataFrame, column: str) -> Model:
-    """A bigram model of a column over all rows; its size is bounded by the alphabet."""
-    chars = texts.select(column).mapInArrow(_char_counts, "c int, n long").groupBy("c").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "c").limit(ALPHABET).collect()
+    """A bigram model of a column over all rows; its size is bounded by the alphabet and the blocks of code points there are."""
+    counted = texts.select(column).mapInArrow(_char_counts, "c int, n long").groupBy("c").agg(F.sum("n").alias("n"))
+    chars = counted.orderBy(F.desc("n"), "c").limit(ALPHABET).collect()
     known = np.array(sorted(r["c"] for r in chars), np.int64)
-    size = len(known) + 1
+    found = counted.groupBy(F.expr(f"c div {SPAN}").alias("block")).agg(F.collect_set(F.col("c").cast("long")).alias("c")).collect()  # code points, by block
+    rest = {r["block"]: n for r in found if (n := len(set(r["c"]) - set(known.tolist())))}
+    blocks = np.array(sorted(rest), np.int64)
+    alphabet = Alphabet(known, blocks, np.array([rest[b] for b in blocks.tolist()]))
+    size = alphabet.size
 
     def bigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            points = _points(" " + " ".join(t for t in batch.column(0).to_pylist() if t))
-            at = np.searchsorted(known, points)
-            at[at == len(known)] = 0
-            ids = np.where(known[at] == points, at + 1, 0) if len(known) else np.zeros(len(points), np.int64)
+            ids = alphabet.ids(_points(" " + " ".join(t for t in batch.column(0).to_pylist() if t)))
             pair, n = np.unique(ids[:-1] * size + ids[1:], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(pair), pa.array(n)], ["pair", "n"])
 
     counts = texts.select(column).mapInArrow(bigrams, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toPandas()
     dense = np.zeros(size * size, np.float32)
     dense[counts["pair"].to_numpy(np.int64)] = counts["n"].to_numpy(np.float32)
-    return Model(known, dense.reshape(size, size))
+    return Model(alphabet, dense.reshape(size, size))
 
 
 def _apply(texts: DataFrame, key: str, column: str, model: Model) -> DataFrame:
-    sent = texts.sparkSession.sparkContext.broadcast((model.chars, model.log, model.single))
+    sent = texts.sparkSession.sparkContext.broadcast((model.alphabet.chars, model.alphabet.blocks, model.alphabet.share, model.log, model.single))
 
     def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = Model.__new__(Model)
-        own.chars, own.log, own.single = sent.value
+        chars, blocks, share, own.log, own.single = sent.value
+        own.alphabet = Alphabet(chars, blocks, share)
         labeller = Labeller(own)
         for frame in frames:
             found, fit = labeller.restore(frame[column].tolist())
@@ -501,8 +529,12 @@ def garbled(rows: DataFrame, key: str, column: str) -> DataFrame:
     ``restored`` is null where bytes were lost on the way (replacement characters, unmapped bytes). Null and empty
     texts are clean; repeated rows are looked at once; no rows give no rows.
     """
-    # labelling is all computation, so the texts are spread over all cores however few bytes they are
-    tasks = 3 * rows.sparkSession.sparkContext.defaultParallelism
-    texts, _ = written(rows.where(F.col(key).isNotNull() & (F.length(column) > 0)).select(key, column).distinct().repartition(tasks, key), "texts")
+    # labelling is all computation: texts are spread over all cores however few bytes they are, over more parts the more they are
+    wanted = rows.where(F.col(key).isNotNull() & (F.length(column) > 0)).select(key, column)
+    stored = int(str(wanted._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if stored >= 1 << 60:  # unknown
+        stored = wanted.agg(F.sum(F.octet_length(column))).collect()[0][0] or 0
+    tasks = max(3 * rows.sparkSession.sparkContext.defaultParallelism, stored // PART)
+    texts, _ = written(wanted.repartition(tasks, key, column).distinct(), "texts")
     first, _ = written(_apply(texts, key, column, train(texts, column)).select("text", "fit"), "labelled")
     return _apply(texts, key, column, train(first.where("fit"), "text")).where("size(pairs) > 0").drop("fit")

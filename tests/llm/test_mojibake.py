@@ -1,9 +1,13 @@
 """Round trips: clean text, garbled by known pairs, must be found and come back."""
 
+from pathlib import Path
+
 import numpy as np
+import pytest
 
 from spindrift.llm import mojibake
 
+DATA = "/root/testdata/sf0.1"
 SENTENCES = """Où se trouve la clé qui décrit le répertoire numéro {n} du système protégé ?
 Für {n} müssen zunächst größere Blöcke gelesen werden, bevor die Prüfung fertig ist.
 Después de la versión {n}, el índice guardó más páginas que ningún otro año.
@@ -62,3 +66,43 @@ def test_swapped_and_wide_text_comes_back_whole(spark):
     want = swapped + wide + wide
     texts = [t.encode("utf-16-le").decode("utf-16-be") for t in swapped] + [t.encode().decode(order) for order in ("utf-16-le", "utf-16-be") for t in wide]
     assert [(t, whole) for _, t, whole in labeller.restore(texts)[0]] == [(t, True) for t in want]
+
+
+def test_text_garbled_many_times_comes_back_whole(spark):
+    text, rows, want = SENTENCES[1].format(n=5), _corpus(), {}
+    for k in range(1, 8):
+        rows.append((40_000 + k, text))
+        for _ in range(k):
+            rows[-1] = (rows[-1][0], rows[-1][1].encode().decode("latin-1"))
+        want[40_000 + k] = text
+    assert {r["id"]: r["restored"] for r in mojibake.garbled(spark.createDataFrame(rows, "id long, s string"), "id", "s").collect()} == want
+
+
+def test_characters_beyond_the_alphabet_share_a_class_per_block(spark, monkeypatch):
+    monkeypatch.setattr(mojibake, "ALPHABET", 60)
+    model = mojibake.train(spark.createDataFrame(_corpus()[:300], "id long, s string"), "s")
+    one, two, other = model.ids(np.array([ord("検"), ord("椼"), ord("件")])).tolist()
+    assert one == two > 60 and other > 60 and other != one and model.ids(np.array([0x1F600]))[0] == 0
+    assert model.log.shape[0] == model.alphabet.size == 61 + len(model.alphabet.blocks)
+
+
+@pytest.mark.skipif(not Path(DATA).exists(), reason="no test tables")
+def test_held_out_snippets_come_back(spark):
+    """Snippets that the model hasn't seen, garbled here: at least nine in ten are found, and of those that lost no byte nine in ten are restored exactly."""
+    clean = spark.read.parquet(f"{DATA}/search_results.parquet").select("result_id", "snippet").where("snippet is not null").distinct().orderBy("result_id").limit(4000).collect()
+    seen, held = [tuple(r) for r in clean[:3000]], [r["snippet"] for r in clean[3000:]]
+    labeller = mojibake.Labeller(mojibake.train(spark.createDataFrame(seen, "id long, s string"), "s"))
+    ready, _ = labeller.restore(held)
+    held = [t for t, (pairs, *_) in zip(held, ready) if not pairs and sum(ord(c) > 127 for c in t) > 4]
+    made = []
+    for t in held:
+        for true, wrong in (("utf-8", "cp1252"), ("utf-8", "cp1251"), ("cp1251", "cp1252"), ("cp1250", "cp1252")):
+            try:
+                garbled = t.encode(true).decode(wrong)
+                made += [(t, garbled)] if garbled != t else []
+            except UnicodeError:
+                continue
+    found, _ = labeller.restore([g for _, g in made])
+    assert len(made) > 300
+    assert sum(bool(p) for p, *_ in found) > 0.9 * len(made)
+    assert sum(text == t for (t, _), (_, text, _) in zip(made, found)) > 0.9 * len(made)
