@@ -4,16 +4,17 @@ The vocabulary of the collection is laid out as a trie whose nodes are rows (a p
 from it), so it grows with the data like any table. Evidence, all of it counted over all texts:
 
 * ``prefix``: the last token is no known word but a proper prefix of known ones;
-* ``open``: the last line is prose - lines that begin like it end with a full stop elsewhere - and has none;
 * ``limit``: the text has exactly a length (in characters or bytes) at which cut texts of its source pile up, and no full stop;
-* ``marker``: a sign of omission was put after the cut.
+* ``marker``: a sign of omission was put after the cut;
+* ``open``: the last line is prose - lines that begin like it end with a full stop elsewhere - and has none. This one is
+  an addition to the method: a text cut behind a whole word shows in no vocabulary. It is reported apart.
 
 What was put after the cut is taken off first. A full stop, whatever the length, means that the text is whole.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spindrift.session import written
@@ -28,7 +29,7 @@ LONG = 6
 #: Signs of omission at the end of a text, and what closes a sentence (with closing quotes and brackets).
 MARKER = r"(?:\s*(?:\[(?:truncated|more|cut|\.\.\.|…)\]|\((?:truncated|more|cut|\.\.\.|…)\)|\.\.\.|…|�+))+\s*$"
 SPACE = " \t\r\n\u00a0\u3000"
-#: Characters that signs of omission take up at most.
+#: Characters in which signs of omission are looked for first; where they fill them, in the whole text.
 MARKS = 64
 STOP = r"[.!?。！？:;][\"'”»’)\]`]*$"
 
@@ -36,14 +37,16 @@ STOP = r"[.!?。！？:;][\"'”»’)\]`]*$"
 def _ending(texts: DataFrame) -> DataFrame:
     """Per text: what is left without markers, its last line and last token, and the lengths of the whole."""
     rows = texts.select("doc_id", "source", F.length("text").alias("chars"), F.octet_length("text").alias("bytes"), F.xxhash64("text").alias("print"), F.rtrim("text", F.lit(SPACE)).alias("whole"))
-    rows = rows.withColumn("marks", F.length(F.regexp_extract(F.right("whole", F.lit(MARKS)), MARKER, 0)))
+    marks = lambda part: F.length(F.regexp_extract(part, MARKER, 0))
+    rows = rows.withColumn("marks", marks(F.right("whole", F.lit(MARKS))))
+    rows = rows.withColumn("marks", F.when(F.col("marks") >= MARKS - 16, marks(F.col("whole"))).otherwise(F.col("marks")))
     body = F.rtrim(F.substring("whole", F.lit(1), F.length("whole") - F.col("marks")), F.lit(SPACE))
     rows = rows.select("doc_id", "source", "chars", "bytes", "print", (F.col("marks") > 0).alias("marker"), F.substring_index(body, "\n", -1).alias("line"))
     return rows.withColumn("token", F.lower(F.regexp_extract("line", r"(\p{L}+)$", 1)))
 
 
 def _beginning(line: Column) -> Column:
-    return F.substring(F.regexp_replace(F.regexp_extract(line, r"^\s*(\S+)", 1), r"\d", "0"), 1, 24)
+    return F.regexp_replace(F.regexp_extract(line, r"^\s*(\S+)", 1), r"\d", "0")
 
 
 def vocabulary(texts: DataFrame) -> DataFrame:
@@ -64,9 +67,13 @@ def limits(judged: DataFrame) -> DataFrame:
     once = judged.groupBy("source", "chars", "bytes", "print").agg(F.max("other").alias("other"))
     sized = once.select("source", "other", F.explode(F.map_from_arrays(F.array(F.lit("chars"), F.lit("bytes")), F.array("chars", "bytes"))).alias("measure", "size"))
     at = sized.groupBy("source", "measure", "size").agg(F.count("*").alias("n"), F.sum(F.col("other").cast("int")).alias("cut_n"))
-    by = Window.partitionBy("source", "measure").orderBy("size")
-    beside = F.greatest(F.lit(0), F.max("n").over(by.rangeBetween(-NEAR, -1)), F.max("n").over(by.rangeBetween(1, NEAR)))
-    return at.withColumn("beside", beside).where((F.col("n") >= PEAK) & (F.col("n") >= TIMES * F.col("beside")) & (F.col("cut_n") >= OPEN * F.col("n"))).select("source", "measure", "size")
+    # a peak is compared with the lengths beside it by equality, so no source's lengths meet in one task
+    peaks = at.where((F.col("n") >= PEAK) & (F.col("cut_n") >= OPEN * F.col("n")))
+    near = peaks.select("source", "measure", "size", "n", F.explode(F.array(*[F.col("size") + d for d in range(-NEAR, NEAR + 1) if d])).alias("s2"))
+    other = at.select(F.col("source").alias("o_source"), F.col("measure").alias("o_measure"), F.col("size").alias("o_size"), F.col("n").alias("o_n"))
+    on = F.col("source").eqNullSafe(F.col("o_source")) & (F.col("measure") == F.col("o_measure")) & (F.col("s2") == F.col("o_size"))
+    beside = near.join(other, on, "left").groupBy("source", "measure", "size", "n").agg(F.coalesce(F.max("o_n"), F.lit(0)).alias("beside"))
+    return beside.where(F.col("n") >= TIMES * F.col("beside")).select("source", "measure", "size")
 
 
 def endings(documents: DataFrame) -> DataFrame:
@@ -111,6 +118,7 @@ def truncated(documents: DataFrame) -> DataFrame:
 
 
 def by_source(documents: DataFrame) -> DataFrame:
-    """How often each source truncates: source, texts, cut, share, and by which evidence."""
+    """How often each source truncates: source, texts, cut, share, by which evidence, and by vocabulary, length or marker (``by_method``) or by nothing but open prose (``by_open_only``)."""
+    found = endings(documents).withColumn("method", F.expr("prefix or `limit` or marker")).withColumn("open_only", F.expr("cut and not method"))
     count = lambda c: F.sum(F.col(c).cast("int")).cast("long").alias(f"by_{c}")
-    return endings(documents).groupBy("source").agg(F.count("*").alias("texts"), F.sum(F.col("cut").cast("int")).cast("long").alias("cut"), F.round(F.avg(F.col("cut").cast("double")), 6).alias("share"), *[count(c) for c in ("marker", "prefix", "open", "limit")])
+    return found.groupBy("source").agg(F.count("*").alias("texts"), F.sum(F.col("cut").cast("int")).cast("long").alias("cut"), F.round(F.avg(F.col("cut").cast("double")), 6).alias("share"), *[count(c) for c in ("marker", "prefix", "open", "limit", "method", "open_only")])
