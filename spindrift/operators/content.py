@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from spindrift.functions.distance import budget, osa_within
 from spindrift.functions.folding import folded
 from spindrift.plans.grammar import Leaf, Query, smart_case
-from spindrift.plans.predicates import Compiler, definition_line
+from spindrift.plans.definitions import definition_line
+from spindrift.plans.predicates import Compiler
 
 #: Words that one misspelt word may stand for; characters of a snippet and before its match; bytes of a line that is shown.
 EXPANSIONS, SNIPPET, BEFORE, LINE = 64, 200, 60, 500
