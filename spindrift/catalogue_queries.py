@@ -13,8 +13,23 @@ from spindrift.plans.grammar import NANO, Settings, aliases, parse
 from spindrift.session import fresh_path, table
 from spindrift.sources.entries import ENTRIES_SQL, enriched
 from spindrift.sources.entries import indexed as entries
+from spindrift.sources.entries import indexed_words
+from spindrift.api import Catalogue
+from spindrift.sources import extract
+from spindrift.sources.sinks import grep_lines, write_index, write_paths
 from spindrift.streaming import feed
 
+
+
+def words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vocabulary of the texts, written once beside the listing."""
+    return indexed_words(spark, sf_dir, content.vocabulary, "words")
+
+
+def name_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return indexed_words(spark, sf_dir, fuzzy.name_words, "name_words")
+
+
 NOW = 1_782_800_000 * NANO
 AT = Settings(now=NOW)
 B = "chr(92)"
@@ -92,6 +107,13 @@ MATCHES: dict[str, tuple[str, str, Settings]] = {
 }
 
 
+_WORDS_SQL = f"{ENTRIES_SQL}, w as (select path, unnest(regexp_extract_all(lower(text), '[a-z0-9_\u0080-\uffff]+')) as term from e where text is not null)"
+#: Names within one edit of a word of some letters.
+_CLOSE = ENTRIES_SQL.replace("{", "{{").replace("}", "}}") + """, n as (select distinct name_f from e), i as (select name_f, unnest(range(0, greatest(length(name_f) - {1} + 2, 0))) as i from n), l as (select name_f, i, unnest([{1} - 1, {1}, {1} + 1]) as l from i),
+d as (select name_f, i, damerau_levenshtein(substring(name_f, i + 1, l), '{0}') as d from l where i + l <= length(name_f)), b as (select name_f, min(d) as dist from d where d <= 1 group by 1),
+a as (select b.name_f, dist, min(i) as "at" from b join d on d.name_f = b.name_f and d.d = b.dist group by all)"""
+
+
 def _match(text: str, settings: Settings) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: search.matching(entries(spark, sf_dir), parse(text, settings)).select("path", "size", "is_dir")
 
@@ -104,7 +126,6 @@ _NAME_ORDER = "name_l, path_l, path, frn nulls last"
 #: name: (query, condition, order in SQL, keyword arguments of ``search``, offset)
 PAGES: dict[str, tuple[str, str, str, dict]] = {
     "s_default": ("quarry", _both("quarry"), _NAME_ORDER, {}),
-    "s_size": ("quarry sort:size", _both("quarry"), f"size, {_NAME_ORDER}", {}),
     "s_modified": ("quarry sort:modified", _both("quarry"), f"(mod_ns = 0), mod_ns desc, {_NAME_ORDER}", {}),
     "s_extension": ("quarry sort:extension", _both("quarry"), f"ext_l, {_NAME_ORDER}", {}),
     "s_type": ("vendor sort:type", _both("vendor"), f"is_dir desc, {_NAME_ORDER}", {}),
@@ -125,6 +146,15 @@ for _name, (_text, _condition, _order, _more) in PAGES.items():
     SQL[_name] = f"{ENTRIES_SQL} select path, size, mod_ns from e where {_condition} order by {_order} limit {_more.get('limit', 100)} offset {_more.get('offset', 0)}"
 
 
+_FOLDER_BYTES = f"""fs as (select volume, string_split(path, {B}) as p, size, name_l from e where not is_dir),
+up as (select volume, array_to_string(p[1:i], {B}) as path, size, name_l from (select volume, p, size, name_l, unnest(range(1, len(p))) as i from fs)),
+sized as (select e.* replace (cast(coalesce(case when is_dir then s.b else e.size end, 0) as bigint) as size) from e left join (select volume, path, sum(size) as b from up group by 1, 2) as s on s.volume is not distinct from e.volume and s.path = e.path)"""
+QUERIES["s_size"] = _page("quarry sort:size", {})
+SQL["s_size"] = f"{ENTRIES_SQL}, {_FOLDER_BYTES} select path, size, mod_ns from sized where {_both('quarry')} order by size, {_NAME_ORDER} limit 100"
+QUERIES["s_size_folders"] = _page("type:dir vendor sort:size", {})
+SQL["s_size_folders"] = f"{ENTRIES_SQL}, {_FOLDER_BYTES} select path, size, mod_ns from sized where is_dir and {_both('vendor')} order by size, {_NAME_ORDER} limit 100"
+
+
 def _query(sql: str | None = None):
     def keep(f: Callable[[SparkSession, str], DataFrame]):
         QUERIES[f.__name__] = f
@@ -145,15 +175,23 @@ def c_count_content(spark, sf_dir):
     return search.count(entries(spark, sf_dir), "content:journal", AT)
 
 
-@_query(f"{ENTRIES_SQL} select path, name, volume, is_dir, size, case when mod_ns = 0 then null else strftime(make_timestamp(mod_ns // 1000000000 * 1000000), '%Y-%m-%dT%H:%M:%S') || case when mod_ns % 1000000000 = 0 then '' else '.' || rtrim(lpad(cast(mod_ns % 1000000000 as varchar), 9, '0'), '0') end || 'Z' end as modified, source as index_source from e where ext_l = 'md'")
+_MODIFIED = "case when mod_ns = 0 then null else strftime(make_timestamp(mod_ns // 1000000000 * 1000000), '%Y-%m-%dT%H:%M:%S') || case when mod_ns % 1000000000 = 0 then '' else '.' || rtrim(lpad(cast(mod_ns % 1000000000 as varchar), 9, '0'), '0') end || 'Z' end"
+
+
+@_query(f"{ENTRIES_SQL} select path, name, volume, is_dir, size, {_MODIFIED} as modified, source as index_source from e where ext_l = 'md'")
 def o_results(spark, sf_dir):
     """Result rows as callers see them."""
-    return search.results(search.matching(entries(spark, sf_dir), parse("ext:md", AT)))
+    return search.results(search.matching(entries(spark, sf_dir), parse("ext:md", AT))).drop("snippet")
 
 
-@_query()
+_JSON_FIELD = "'\"{0}\":' || to_json({0})"
+
+
+@_query(f"""{ENTRIES_SQL}, r as (select path, name, volume, is_dir, size, {_MODIFIED} as modified, source as index_source from e where ext_l = 'md')
+select '{{' || concat_ws(',', {', '.join(_JSON_FIELD.format(c) for c in ('path', 'name', 'volume', 'is_dir', 'size', 'modified', 'index_source'))}) || '}}' as json from r""")
 def o_json(spark, sf_dir):
-    return search.as_json(search.results(search.matching(entries(spark, sf_dir), parse("ext:md", AT))))
+    """Result rows as JSON lines; unknown fields are left out."""
+    return search.as_json(o_results(spark, sf_dir))
 
 
 @_query(f"""{ENTRIES_SQL}, m as (select path, text, strpos(lower(text), 'journal') as p from e where contains(lower(text), 'journal')), s as (select path, text, greatest(1, p - 60) as b from m)
@@ -172,56 +210,80 @@ def o_lines(spark, sf_dir):
     return content.lines(search.matching(entries(spark, sf_dir), q), q, before=1, after=1).select("path", "line", "match")
 
 
-@_query()
+@_query(f"""{ENTRIES_SQL}, m as (select *, strpos(lower(text), 'journal') as a, strpos(lower(text), 'index') as b from e where (contains(lower(text), 'journal') or contains(strip_accents(lower(text)), 'journal')) and (contains(lower(text), 'index') or contains(strip_accents(lower(text)), 'index')))
+select path, 2 as relevance, 2 as tier, cast(coalesce(least(nullif(a, 0), nullif(b, 0)), 1073741824) as int) as first_at from m order by first_at, {_NAME_ORDER} limit 100""")
 def o_relevance(spark, sf_dir):
     return search.search(entries(spark, sf_dir), "content:journal content:index sort:relevance", AT).select("path", "relevance", "tier", "first_at")
 
 
-@_query()
+#: A definition of a name, and a line that only uses it, per language.
+_CODE = {
+    "go": ("func (s *T) {0}(x int) {{", "\t{0}()"), "h": ("class {0} : public Base {{", "class {0};"), "py": ("    async def {0}(self):", "# def {0}()"),
+    "ts": ("  {0}(a: number): void {{", "const x = new {0}();"), "rs": ("pub fn {0}() {{}}", "let y = {0}();"), "java": ("  public static int {0}(int x) {{ return x; }}", "  int {0}(int x);"),
+}
+_NAMED = r"\b([a-z]+)[A-Z][A-Za-z]+\b"
+
+
+def _code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Source files, one a document: files of an even number define the first name in it that is spelt like a function, the others use it."""
+    name, shape = F.regexp_extract("text", _NAMED, 1), F.lit("")
+    for i, (yes, no) in enumerate(_CODE.values()):
+        line = [F.concat(F.lit(x.split("{0}")[0].replace("{{", "{").replace("}}", "}")), name, F.lit(x.split("{0}")[1].replace("{{", "{").replace("}}", "}"))) for x in (yes, no)]
+        shape = F.when(F.col("doc_id") % 6 == i, F.when(F.floor(F.col("doc_id") / 6) % 2 == 0, line[0]).otherwise(line[1])).otherwise(shape)
+    ext = F.get(F.array(*map(F.lit, _CODE)), (F.col("doc_id") % 6).cast("int"))
+    docs = table(spark, sf_dir, "documents").where(name != "")
+    return enriched(docs.select("volume", F.col("doc_id").alias("frn"), F.concat("volume", F.lit("\\code\\f"), F.col("doc_id").cast("string"), F.lit("."), ext).alias("path"), F.lit(32).cast("long").alias("mode"), F.lit(1).cast("long").alias("size"), F.lit(1).cast("long").alias("mod_ns"), F.lit("code").alias("source"), F.concat(F.lit("// \n"), shape, F.lit("\nend")).alias("text")))
+
+
+_CODE_SQL = f"with c as (select volume || {B} || 'code' || {B} || 'f' || doc_id || '.' || (['go', 'h', 'py', 'ts', 'rs', 'java'])[doc_id % 6 + 1] as path, doc_id, regexp_extract(text, '{_NAMED}', 1) as name from documents)"
+
+
+@_query(f"{_CODE_SQL} select path from c where name = 'flush' and doc_id // 6 % 2 = 0")
 def o_symbols(spark, sf_dir):
-    return search.matching(entries(spark, sf_dir), parse("sym:journal", AT)).select("path")
+    return search.matching(_code(spark, sf_dir), parse("sym:flush", AT)).select("path")
 
 
-@_query()
+@_query(_WORDS_SQL + " select distinct path from w where damerau_levenshtein(term, 'jurnal') <= 1")
 def f_near_content(spark, sf_dir):
-    return search.matching(entries(spark, sf_dir), parse("content~1:jurnal", AT)).select("path")
+    return search.matching(entries(spark, sf_dir), parse("content~1:jurnal", AT), words=words(spark, sf_dir)).select("path")
 
 
-@_query()
+@_query(_CLOSE.format("quarri", 6) + """ select e.path, cast(dist as int) as dist, cast(levenshtein(a.name_f, 'quarri') as int) as whole, cast("at" as int) as "at" from e join a on a.name_f = e.name_f""")
 def f_close_names(spark, sf_dir):
     """Names within the edits that the term may need."""
     return fuzzy.close_names(entries(spark, sf_dir), parse("quarri", AT)).select("path", "dist", "whole", "at")
 
 
-@_query()
+@_query(_CLOSE.format("qaurry", 6) + " select path, cast(dist as int) as dist from (select e.*, dist from e join a on a.name_f = e.name_f) order by dist, name_l, path limit 100")
 def f_topped_up(spark, sf_dir):
     files, q = entries(spark, sf_dir), parse("qaurry", AT)
     return fuzzy.topped_up(files, search.matching(files, q), q, 100).select("path", "dist")
 
 
-@_query()
+@_query(f"{ENTRIES_SQL} select path from e where {_both('quarry')} and {_both('amber')} order by {_NAME_ORDER} limit 100")
 def f_rewritten(spark, sf_dir):
-    files = entries(spark, sf_dir)
-    found = fuzzy.rewritten(files, parse("qaurry amber", AT))
-    return search.matching(files, found[0] if found else parse("qaurry amber", AT)).select("path")
+    """What a search without a match gives: the same with one term respelt."""
+    shop = Catalogue(entries(spark, sf_dir), words=words(spark, sf_dir), name_words=name_words(spark, sf_dir))
+    return shop.search("qaurry amber", AT).select("path")
 
 
-@_query()
-def f_corrected_words(spark, sf_dir):
-    return content.corrected(entries(spark, sf_dir), "jurnal").select("term", "distance", "df")
+@_query(f"{ENTRIES_SQL} select count(*) as n from e where contains(lower(text), 'journal') or contains(strip_accents(lower(text)), 'journal')")
+def f_count_respelt(spark, sf_dir):
+    """The count of a query on texts follows the search: a word that no text holds is respelt."""
+    return Catalogue(entries(spark, sf_dir), words=words(spark, sf_dir), name_words=name_words(spark, sf_dir)).count("content:joyrnal", AT)
 
 
-_ABOVE = f"""{ENTRIES_SQL}, fs as (select string_split(path, {B}) as p, size, name_l from e where not is_dir),
-up as (select array_to_string(p[1:i], {B}) as path, size, name_l from (select p, size, name_l, unnest(range(1, len(p))) as i from fs))
-"""
+@_query(_WORDS_SQL + " select term, cast(damerau_levenshtein(term, 'jurnal') as int) as distance, count(distinct path) as df from w where damerau_levenshtein(term, 'jurnal') = 1 group by all")
+def f_corrected_words(spark, sf_dir):
+    return content.corrected(entries(spark, sf_dir), "jurnal", words(spark, sf_dir)).select("term", "distance", "df")
 
 
-@_query(_ABOVE + "select path, cast(sum(size) as bigint) as bytes, count(*) as files, min(name_l) as first_name from up group by path")
+@_query(f"{ENTRIES_SQL}, {_FOLDER_BYTES} select volume, path, cast(sum(size) as bigint) as bytes, count(*) as files, min(name_l) as first_name from up group by 1, 2")
 def r_folder_bytes(spark, sf_dir):
     return rollup.folder_bytes(entries(spark, sf_dir))
 
 
-@_query(_ABOVE + ", s as (select path, sum(size) as b from up group by path) select e.path, cast(coalesce(case when is_dir then s.b else e.size end, 0) as bigint) as size from e left join s on s.path = e.path")
+@_query(f"{ENTRIES_SQL}, {_FOLDER_BYTES} select path, size from sized")
 def r_effective_sizes(spark, sf_dir):
     return rollup.with_sizes(entries(spark, sf_dir)).select("path", "size")
 
@@ -305,30 +367,33 @@ def u_blended(spark, sf_dir):
 
 
 def _with_git(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "search_results").select("path", "volume", "size", "is_dir", "git_status").distinct().where("path is not null")
-    flags = [(F.col("git_status") == c).alias(c) for c in ("modified", "staged", "untracked", "ignored", "conflict", "clean", "tracked")]
-    shaped = rows.select(F.coalesce("volume", F.lit("")).alias("volume"), F.lit(None).cast("long").alias("frn"), "path", F.when(F.col("is_dir"), 16).otherwise(32).cast("long").alias("mode"), "size", F.lit(0).cast("long").alias("mod_ns"), F.lit("results").alias("source"), F.lit(None).cast("string").alias("text"), F.when(F.col("git_status").isNotNull(), F.struct(*flags)).alias("git"))
-    made = enriched(shaped.drop("git"))
-    return made.join(shaped.select(F.translate("path", "/", "\\").alias("path"), "git").dropDuplicates(["path"]), "path")
+    """Paths of search results with every state that any result reports of them."""
+    states = ("modified", "staged", "untracked", "ignored", "conflict", "clean", "tracked")
+    rows = table(spark, sf_dir, "search_results").where("path is not null").withColumn("path", F.translate("path", "/", "\\"))
+    once = rows.groupBy("path").agg(F.min("volume").alias("volume"), F.max("size").alias("size"), F.max("is_dir").alias("is_dir"), *[F.max(F.col("git_status") == c).alias(c) for c in states])
+    shaped = enriched(once.select("volume", F.lit(None).cast("long").alias("frn"), "path", F.when(F.col("is_dir"), 16).otherwise(32).cast("long").alias("mode"), "size", F.lit(0).cast("long").alias("mod_ns"), F.lit("results").alias("source"), F.lit(None).cast("string").alias("text")))
+    return shaped.join(once.select("path", F.struct(*states).alias("git")), "path")
 
 
-@_query("""with r as (select replace(path, '/', chr(92)) as path, count(distinct coalesce(git_status, '')) as n, max(git_status) as git_status from search_results where path is not null and path <> '' group by 1)
-select path from r where n = 1 and git_status in ('modified', 'untracked')""")
+@_query("""select replace(path, '/', chr(92)) as path from search_results where path is not null and path <> '' group by 1 having bool_or(git_status in ('modified', 'untracked'))""")
 def q_git(spark, sf_dir):
-    """Files in one of several states of version control; paths reported in more than one state are left out here."""
-    once = table(spark, sf_dir, "search_results").where("path is not null").select(F.translate("path", "/", "\\").alias("path"), "git_status").groupBy("path").agg(F.countDistinct(F.coalesce("git_status", F.lit(""))).alias("n")).where("n = 1")
-    return search.matching(_with_git(spark, sf_dir), parse("git:modified git:untracked", AT)).join(once, "path", "left_semi").select("path").distinct()
+    """Files in one of several states of version control; a path that is reported in several states has all of them."""
+    return search.matching(_with_git(spark, sf_dir), parse("git:modified git:untracked", AT)).select("path")
 
 
-def _states(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    changes = table(spark, sf_dir, "feature_feed").where("frn <> 0")
+@_query("""with p as (select replace(path, '/', chr(92)) as path, list(git_status) filter (git_status is not null) as s from search_results where path is not null and path <> '' group by 1)
+select path, list_filter(['conflict', 'modified', 'staged', 'ignored', 'untracked', 'clean', 'tracked'], lambda x: list_contains(s, x))[1] as git_status from p""")
+def o_git_status(spark, sf_dir):
+    """The most telling state of every path."""
+    return search.results(_with_git(spark, sf_dir)).select("path", "git_status")
+
+
+_APRIL = "received_at < timestamp '2026-04-01 00:00:00Z'"
+_ORDER = ["checkpoint_usn", "feed_cursor"]
 
-    def state(rows: DataFrame) -> DataFrame:
-        at = EqualityDeleteTable.fresh(spark, ("volume", "frn"), ("checkpoint_usn", "feed_cursor"))
-        at.append(rows, "deleted", ["path", "size", "mod_unix"])
-        return at.read().where("path is not null").select("volume", "frn", "path", "size", F.col("mod_unix").alias("mod_ns"))
 
-    return state(changes.where("received_at < timestamp '2026-04-01 00:00:00Z'")), state(changes)
+def _changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "feature_feed").withColumnRenamed("mod_unix", "mod_ns")
 
 
 def _state_sql(name: str, condition: str) -> str:
@@ -341,7 +406,7 @@ select 'created' as event, bp as path, bsize as size, bm as mod_ns from f where
 union all select 'modified', bp, bsize, bm from f where not come and not gone and ap = bp and (asize is distinct from bsize or am is distinct from bm)""")
 def w_watch(spark, sf_dir):
     """Events between the state at the beginning of April and the last."""
-    return feed.watch(*_states(spark, sf_dir))
+    return feed.watch_feed(_changes(spark, sf_dir), _ORDER, _APRIL)
 
 
 @_query("""with l as (select * from (select *, row_number() over (partition by volume, frn order by checkpoint_usn desc, feed_cursor desc) as rn from feature_feed where frn is not null and frn <> 0 and volume is not null) where rn = 1 and not coalesce(deleted, false))
@@ -358,7 +423,7 @@ def w_stream(spark, sf_dir):
 @_query(f"{ENTRIES_SQL} select path from e where not (path_l = 'c:' || {B} || 'corpus' or starts_with(path_l, 'c:' || {B} || 'corpus' || {B}))")
 def w_cascade(spark, sf_dir):
     """What is left when a folder goes with everything below it."""
-    gone = spark.createDataFrame([("c:\\corpus",)], "path_l string")
+    gone = spark.createDataFrame([("C:", "c:\\corpus")], "volume string, path_l string")
     return feed.cascade(entries(spark, sf_dir), gone).select("path")
 
 
@@ -366,7 +431,7 @@ def w_cascade(spark, sf_dir):
 select volume, frn, path from a where not exists (select 1 from c where c.volume = a.volume and c.frn = a.frn) union all select volume, frn, path from c where not coalesce(deleted, false)""")
 def w_overlay(spark, sf_dir):
     """The April state under the changes that came after."""
-    base, _ = _states(spark, sf_dir)
+    base = feed.transitions(_changes(spark, sf_dir).where(_APRIL), _ORDER, "true").where("b is not null").select("volume", "frn", "b.*")
     later = table(spark, sf_dir, "feature_feed").where("received_at >= timestamp '2026-04-01 00:00:00Z'")
     return feed.overlay(base, later.select("volume", "frn", F.col("checkpoint_usn").alias("usn"), F.col("feed_cursor").alias("seq"), "deleted", "path", "size", F.col("mod_unix").alias("mod_ns"))).select("volume", "frn", "path")
 
@@ -387,17 +452,21 @@ def d_dedupe(spark, sf_dir):
 
 @_query(f"{ENTRIES_SQL}, p as (select path, row_number() over (order by {_NAME_ORDER}) as rn from e where ext_l = 'md') select sha256(string_agg(path, chr(0) order by rn) || chr(0)) as hash from p where rn <= 100")
 def d_page_hash(spark, sf_dir):
-    return search.page_hash(search.search(entries(spark, sf_dir), "ext:md", AT).select("path"), [])
+    return search.page_hash(search.search(entries(spark, sf_dir), "ext:md", AT))
 
 
-_LAST = ("doc_1002000.md", "", "")
+@_query(f"{ENTRIES_SQL} select sha256(string_agg(path, chr(0) order by name_l, path_l, path, frn nulls last) || chr(0)) as hash from e where ext_l = 'md'")
+def d_whole_hash(spark, sf_dir):
+    """The hash of a page that holds every match."""
+    return search.page_hash(search.search(entries(spark, sf_dir), "ext:md", AT, limit=1 << 30))
 
 
-@_query(f"{ENTRIES_SQL} select path from e where ext_l = 'md' and (name_l > '{_LAST[0]}' or (name_l = '{_LAST[0]}' and path_l > '')) order by {_NAME_ORDER} limit 100")
+@_query(f"{ENTRIES_SQL} select path from e where ext_l = 'md' order by (mod_ns = 0), mod_ns desc, {_NAME_ORDER} limit 100 offset 100")
 def s_keyset(spark, sf_dir):
-    """The page behind a row, by its sort key."""
-    rows = search.matching(entries(spark, sf_dir), parse("ext:md", AT))
-    return search.after(rows, ["name_l", "path_l", "path"], _LAST).orderBy(*search.order(parse("ext:md", AT))).limit(100).select("path")
+    """The second page by time, newest first, behind the keys of the last row of the first."""
+    shop = Catalogue(entries(spark, sf_dir))
+    text = "ext:md sort:modified"
+    return shop.search(text, AT, cursor=shop.cursor_behind(shop.search(text, AT), text, AT)).select("path")
 
 
 @_query("select user_id, query_norm, path, pick_count, last_unix, place from (select *, cast(row_number() over (partition by user_id, query_norm order by pick_count desc nulls last, last_unix desc nulls last, path) as int) as place from (select user_id, query_norm, path, max(pick_count) as pick_count, max(last_unix) as last_unix from query_picks group by all)) where place <= 8")
@@ -405,13 +474,6 @@ def u_compacted_picks(spark, sf_dir):
     return ranking.compact_picks(table(spark, sf_dir, "query_picks"))
 
 
-_WORDS = f"{ENTRIES_SQL}, w as (select path, unnest(regexp_extract_all(lower(text), '[a-z0-9_\u0080-￿]+')) as term from e where text is not null)"
-SQL["f_near_content"] = _WORDS + " select distinct path from w where damerau_levenshtein(term, 'jurnal') <= 1"
-SQL["f_corrected_words"] = _WORDS + " select term, cast(damerau_levenshtein(term, 'jurnal') as int) as distance, count(distinct path) as df from w where damerau_levenshtein(term, 'jurnal') = 1 group by all"
-SQL["f_close_names"] = f"""{ENTRIES_SQL}, n as (select distinct name_f from e), i as (select name_f, unnest(range(0, greatest(length(name_f) - 4, 0))) as i from n), l as (select name_f, i, unnest([5, 6, 7]) as l from i),
-d as (select name_f, i, damerau_levenshtein(substring(name_f, i + 1, l), 'quarri') as d from l where i + l <= length(name_f)), b as (select name_f, min(d) as dist from d where d <= 1 group by 1),
-a as (select b.name_f, dist, min(i) as at from b join d on d.name_f = b.name_f and d.d = b.dist group by all)
-select e.path, cast(dist as int) as dist, cast(levenshtein(a.name_f, 'quarri') as int) as whole, cast("at" as int) as "at" from e join a on a.name_f = e.name_f""".replace("min(i) as at", 'min(i) as "at"')
 SQL["r_latencies"] = "select " + ", ".join(f"quantile_disc(value, {p}) as {n}" for n, p in (("min", 0.0), ("p50", 0.5), ("p90", 0.9), ("p95", 0.95), ("p99", 0.99), ("max", 1.0))) + " from events"
 
 
@@ -420,8 +482,7 @@ u as (select unnest(list_transform(range(1, len(string_split(replace(path, '/',
 select path, cast(sum(d) as bigint) as delta from u group by path""")
 def r_folder_deltas(spark, sf_dir):
     """How folders grew since the beginning of April, by files that stayed where they were, came or went."""
-    a, b = (x.alias(n) for x, n in zip(_states(spark, sf_dir), "ab"))
-    both = a.join(b, (F.col("a.volume") == F.col("b.volume")) & (F.col("a.frn") == F.col("b.frn")), "full").where("a.path is null or b.path is null or a.path = b.path")
+    both = feed.transitions(_changes(spark, sf_dir), _ORDER, _APRIL).where("a.path is null or b.path is null or a.path = b.path")
     return rollup.folder_deltas(both.select(F.translate(F.coalesce("b.path", "a.path"), "/", "\\").alias("path"), F.col("a.size").alias("old_size"), F.col("b.size").alias("new_size")))
 
 
@@ -437,11 +498,109 @@ def w_reconcile(spark, sf_dir):
     return reconcile(prints.where("state = 'ready'"), prints.where("state = 'replaying'"))
 
 
-@_query(f"""{ENTRIES_SQL}, l as (select path, unnest(range(1, len(string_split(text, chr(10))) + 1)) as line, unnest(string_split(text, chr(10))) as text from e where contains(text, 'Journal'))
-select path, cast(line as int) as line, path || ':' || line || ':' || text as shown from l where contains(text, 'Journal') and octet_length(encode(text)) <= 500""")
+@_query(f"""{ENTRIES_SQL}, l as (select path, unnest(range(1, len(string_split(text, chr(10))) + 1)) as line, unnest(string_split(text, chr(10))) as text from e where contains(text, 'Journal')),
+h as (select *, hex(encode(text)) as x from l where contains(text, 'Journal')), k as (select *, list_filter([500, 499, 498, 497], lambda n: not regexp_matches(substring(x, 2 * n + 1, 1), '[89AB]'))[1] as n from h)
+select path, cast(line as int) as line, path || ':' || line || ':' || case when octet_length(encode(text)) <= 500 then text else decode(unhex(substring(x, 1, 2 * n))) || '…' end as shown from k""")
 def o_grep(spark, sf_dir):
-    """Matching lines as they are printed, cut where they are too long; the SQL has only those of 500 bytes or less."""
-    from spindrift.sources.sinks import grep_lines
-
+    """All matching lines as they are printed, those of more than 500 bytes cut behind a whole character."""
     q = parse("content:Journal", AT)
     return grep_lines(content.lines(search.matching(entries(spark, sf_dir), q), q))
+
+
+def _companion(spark: SparkSession, sf_dir: str) -> dict:
+    """A companion that answers with a set of files: those that the feed holds with at least so many bytes."""
+    changes = table(spark, sf_dir, "feature_feed")
+    return {"seen": lambda term: changes.where(F.col("size") >= int(term)).select("volume", "frn")}
+
+
+@_query(f"{ENTRIES_SQL} select path from e where (volume, frn) in (select (volume, frn) from feature_feed where size >= 100000 and frn is not null) and not ext_l = 'md'")
+def q_feature(spark, sf_dir):
+    """A companion's set of files, joined by key."""
+    return search.matching(entries(spark, sf_dir), parse("feature:seen:100000 !ext:md", AT), _companion(spark, sf_dir)).select("path")
+
+
+@_query(f"{ENTRIES_SQL} select path from e where contains(lower(text), 'journal') or contains(strip_accents(lower(text)), 'journal') order by {_NAME_ORDER} limit 100")
+def q_contents(spark, sf_dir):
+    """Plain words searched in texts."""
+    return Catalogue(entries(spark, sf_dir)).content("journal", AT).select("path")
+
+
+@_query("""with l as (select * from (select *, row_number() over (partition by volume, frn order by checkpoint_usn desc, feed_cursor desc) as rn from feature_feed where frn <> 0 and volume is not null) where rn = 1 and not coalesce(deleted, false) and path is not null),
+m as (select volume, max(checkpoint_usn) as top from feature_feed where volume is not null group by 1), c as (select volume, top, case when volume = 'C:' then top + 1 when volume = 'D:' then null else top end as since from m)
+select volume, top as seq, coalesce(since > top, false) as reset from c""")
+def w_cursors(spark, sf_dir):
+    """Cursors of a watcher whose cursor of one volume is too new, and that doesn't know another."""
+    changes = _changes(spark, sf_dir).withColumn("seq", F.col("checkpoint_usn"))
+    cursors = changes.where("volume is not null and volume <> 'D:'").groupBy("volume").agg((F.max("seq") + F.when(F.col("volume") == "C:", 1).otherwise(0)).alias("seq"))
+    return feed.watch_from(changes, cursors)[0]
+
+
+@_query(f"{ENTRIES_SQL} select volume, frn, case when starts_with(path_l, 'c:' || {B} || 'corpus' || {B}) or path_l = 'c:' || {B} || 'corpus' then 'C:' || {B} || 'texts' || substring(path, 10) else path end as path from e")
+def w_renamed(spark, sf_dir):
+    """A folder renamed, with everything below it."""
+    return feed.renamed(entries(spark, sf_dir), spark.createDataFrame([("C:", "C:\\corpus", "C:\\texts")], "volume string, old string, new string"))
+
+
+@_query("""with l as (select * from (select *, row_number() over (partition by volume, frn order by checkpoint_usn desc, feed_cursor desc) as rn from feature_feed where frn is not null and frn <> 0 and volume is not null) where rn = 1 and not coalesce(deleted, false))
+select volume, frn, checkpoint_usn, feed_cursor from l""")
+def w_folded(spark, sf_dir):
+    """The table after two batches, folded between them."""
+    changes = table(spark, sf_dir, "feature_feed").where("frn <> 0")
+    at = EqualityDeleteTable.fresh(spark, ("volume", "frn"), ("checkpoint_usn", "feed_cursor"))
+    at.append(changes.where(f"not coalesce({_APRIL}, false)"), "deleted")
+    at = at.fold()
+    at.append(changes.where(f"coalesce({_APRIL}, false)"), "deleted")
+    return at.read()
+
+
+@_query(f"{ENTRIES_SQL} select ext_l as ext, 'C:' || {B} || 'corpus' as unit, case when ext_l = 'json' and size >= {admission.LARGE_JSON} then 'large_json' else 'admitted' end as reason, count(*) as files, cast(sum(case when ext_l = 'json' and size >= {admission.LARGE_JSON} then size else least(size, {admission.TEXT_OUTSIDE}) end) as bigint) as bytes from e where not is_dir and starts_with(path_l, 'c:' || {B} || 'corpus' || {B}) group by all")
+def a_estimate(spark, sf_dir):
+    """What an index of one folder would hold."""
+    return admission.estimate(entries(spark, sf_dir), admission.reason(), ["C:\\corpus"])
+
+
+@_query(f"{ENTRIES_SQL}, c as (select path, text, size from e where text is not null) select path, size > {2 * admission.TEXT_OUTSIDE} as skipped, octet_length(encode(text)) > {admission.TEXT_OUTSIDE} and size <= {2 * admission.TEXT_OUTSIDE} as truncated, case when size <= {2 * admission.TEXT_OUTSIDE} then least(octet_length(encode(text)), {admission.TEXT_OUTSIDE}) end as bytes from c")
+def a_capped(spark, sf_dir):
+    """Texts under the caps of an index."""
+    return admission.capped(entries(spark, sf_dir).where("text is not null")).select("path", "skipped", "truncated", F.octet_length("text").cast("long").alias("bytes"))
+
+
+def _extracted(spark: SparkSession, sf_dir: str, ext: str, to_bytes: Callable) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").where("text is not null")
+    files = docs.select(F.concat(F.col("doc_id").cast("string"), F.lit("." + ext)).alias("path"), to_bytes(F.col("text")).alias("content"))
+    return extract.texts(files).select(F.substring_index("path", ".", 1).cast("long").alias("doc_id"), "content_class", "skipped", "truncated", "text")
+
+
+@_query("select doc_id, 1 as content_class, false as skipped, false as truncated, text from documents where text is not null")
+def x_plain(spark, sf_dir):
+    """Texts that went through bytes and the text extractor."""
+    return _extracted(spark, sf_dir, "txt", lambda text: F.encode(text, "UTF-8"))
+
+
+@_query("select doc_id, 4 as content_class, false as skipped, false as truncated, '<html><body><p>' || text || '</p></body></html>' as text from documents where text is not null")
+def x_html(spark, sf_dir):
+    """Texts in a page of HTML, with its markup."""
+    return _extracted(spark, sf_dir, "html", lambda text: F.encode(F.concat(F.lit("<html><body><p>"), text, F.lit("</p></body></html>")), "UTF-8"))
+
+
+@_query("select doc_id, 5 as content_class, false as skipped, false as truncated, 'Subject: ' || doc_id || chr(10) || text as text from documents where text is not null")
+def x_mail(spark, sf_dir):
+    """Texts sent as mail: the subject, then the body."""
+    mail = lambda text: F.encode(F.concat(F.lit("Subject: "), F.col("doc_id").cast("string"), F.lit("\r\nMIME-Version: 1.0\r\nContent-Type: text/plain; charset=utf-8\r\nContent-Transfer-Encoding: base64\r\n\r\n"), F.base64(F.encode(text, "UTF-8")), F.lit("\r\n")), "UTF-8")
+    return _extracted(spark, sf_dir, "eml", mail)
+
+
+@_query(f"{ENTRIES_SQL} select path from e where ext_l = 'md'")
+def k_paths(spark, sf_dir):
+    """Paths written as plain lines and read again."""
+    at = fresh_path(spark, "paths")
+    write_paths(search.matching(entries(spark, sf_dir), parse("ext:md", AT)), at)
+    return spark.read.text(at).withColumnRenamed("value", "path")
+
+
+@_query(f"{ENTRIES_SQL} select volume, path, size from e where ext_l = 'md'")
+def k_index(spark, sf_dir):
+    """A listing written by volume and read again."""
+    at = fresh_path(spark, "listing")
+    write_index(search.matching(entries(spark, sf_dir), parse("ext:md", AT)), at)
+    return spark.read.parquet(at).select("volume", "path", "size")

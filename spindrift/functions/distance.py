@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -59,11 +61,27 @@ def window(term: str, name: str, most: int) -> tuple[int, int]:
     return min(min(row), far)
 
 
-def pieces(term: str, most: int) -> list[str]:
-    """Stretches of a term of which a name within ``most`` edits holds one as it is: an edit touches two of them at most."""
-    n = 2 * most + 1
-    size = len(term) // n
-    return [term[i * size : (i + 1) * size if i < n - 1 else len(term)] for i in range(n)] if size else []
+def _one_edit(term: str) -> list[str]:
+    """Expressions for a term with one edit in it: a letter lost or wrong, one put in, two changed places."""
+    e = [re.escape(c) for c in term]
+    n, join = len(term), "".join
+    lost = [join(e[:i] + e[i + 1 :]) for i in (0, n - 1)]
+    wrong = [join([*e[:i], ".?", *e[i + 1 :]]) for i in range(1, n - 1)]
+    more = [join([*e[:i], ".", *e[i:]]) for i in range(1, n)]
+    turned = [join([*e[:i], e[i + 1], e[i], *e[i + 2 :]]) for i in range(n - 1)]
+    return list(dict.fromkeys([*lost, *wrong, *more, *turned]))
+
+
+def likely(term: str, most: int) -> str:
+    """An expression that every name within ``most`` (at most 2) edits of a term matches somewhere.
+
+    Of two edits, at least one half of the term has one at most; a swap across the middle leaves each half with one
+    wrong letter at its end.
+    """
+    if most == 0 or len(term) < 3:
+        return re.escape(term) if most == 0 else "."
+    parts = [term] if most == 1 else [term[: len(term) // 2], term[len(term) // 2 :]]
+    return "|".join(x for p in parts for x in _one_edit(p))
 
 
 def osa_within(column: Column, word: str, most: int) -> Column:

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindrift.session import fresh_path
+from spindrift.session import exists, fresh_path
 
 
 class EqualityDeleteTable:
@@ -38,27 +38,44 @@ class EqualityDeleteTable:
     def _position(self) -> F.Column:
         return F.struct(*self.sequence)
 
-    def _latest(self, rows: DataFrame, payload: Sequence[str]) -> DataFrame:
+    def _latest(self, rows: DataFrame, payload: Sequence[str], more: Sequence[str] = ()) -> DataFrame:
         """One row a key, the latest; combined before the shuffle, so a hot key costs a row per task."""
         value = F.struct(self._position().alias("s"), *[F.col(c).alias(f"p{i}") for i, c in enumerate(payload)])
-        best = rows.groupBy(*self.key).agg(F.max(value).alias("_v"))
-        return best.select(*self.key, *[F.col(f"_v.s.{c}").alias(c) for c in self.sequence], *[F.col(f"_v.p{i}").alias(c) for i, c in enumerate(payload)])
+        best = rows.groupBy(*self.key, *more).agg(F.max(value).alias("_v"))
+        return best.select(*self.key, *more, *[F.col(f"_v.s.{c}").alias(c) for c in self.sequence], *[F.col(f"_v.p{i}").alias(c) for i, c in enumerate(payload)])
 
     def append(self, changes: DataFrame, deleted: str, payload: Sequence[str] = ()) -> None:
-        """Add one batch. A batch is compacted to the latest change per key and kind; earlier ones can't be seen by any reader."""
-        named = changes.where(" and ".join(f"`{c}` is not null" for c in self.key)).select(*self.key, *self.sequence, F.coalesce(F.col(deleted), F.lit(False)).alias("_deleted"), *[c for c in payload])
-        self._latest(named.where("not _deleted"), payload).write.mode("append").option("compression", "zstd").parquet(f"{self.path}/data")
-        self._latest(named.where("_deleted"), ()).write.mode("append").option("compression", "zstd").parquet(f"{self.path}/deletes")
+        """Add one batch, read once. It is compacted to the latest change per key and kind; earlier ones can't be seen by any reader."""
+        gone = F.coalesce(F.col(deleted), F.lit(False))
+        named = changes.where(" and ".join(f"`{c}` is not null" for c in self.key)).select(*self.key, *self.sequence, F.when(gone, "deletes").otherwise("data").alias("kind"), *[F.when(~gone, F.col(c)).alias(c) for c in payload])
+        self._latest(named, payload, ["kind"]).write.mode("append").option("compression", "zstd").partitionBy("kind").parquet(self.path)
+        for kind, kept in (("data", payload), ("deletes", ())):
+            if not exists(self.spark, f"{self.path}/kind={kind}"):  # a kind without rows keeps its columns
+                named.where("false").select(*self.key, *self.sequence, *kept).write.mode("ignore").parquet(f"{self.path}/kind={kind}")
+
+    def _kind(self, kind: str) -> DataFrame:
+        found = self.spark.read.parquet(f"{self.path}/kind={kind}")
+        return found if kind == "data" else found.select(*self.key, *self.sequence)
 
     def read(self) -> DataFrame:
         """The current rows: latest data row per key, without those that a later delete key matches."""
-        data, deletes = (self.spark.read.parquet(f"{self.path}/{x}") for x in ("data", "deletes"))
-        payload = [c for c in data.columns if c not in {*self.key, *self.sequence}]
-        rows = self._latest(data, payload)
-        keys = self._latest(deletes, ()).select(*[F.col(c).alias(f"_d_{c}") for c in self.key], F.struct(*[F.col(c) for c in self.sequence]).alias("_d_seq"))
+        data = self._kind("data")
+        rows = self._latest(data, [c for c in data.columns if c not in {*self.key, *self.sequence}])
+        keys = self._latest(self._kind("deletes"), ()).select(*[F.col(c).alias(f"_d_{c}") for c in self.key], F.struct(*[F.col(c) for c in self.sequence]).alias("_d_seq"))
         match = [F.col(c) == F.col(f"_d_{c}") for c in self.key]
         return rows.join(keys, [*match, F.col("_d_seq") > self._position()], "left_anti")
 
+    def fold(self, path: str | None = None) -> EqualityDeleteTable:
+        """The same table in one data file set and one delete file set: current rows, and the last deletion of every key.
+
+        Deletions stay, since an earlier change may still arrive. Nothing is changed in place; readers of the old
+        folder are not disturbed, writers go on with the new table.
+        """
+        new = EqualityDeleteTable(self.spark, path or fresh_path(self.spark, "changefeed"), self.key, self.sequence)
+        self.read().write.option("compression", "zstd").parquet(f"{new.path}/kind=data")
+        self._latest(self._kind("deletes"), ()).write.option("compression", "zstd").parquet(f"{new.path}/kind=deletes")
+        return new
+
 
 def current_files(feed: DataFrame, payload: Sequence[str] = ()) -> DataFrame:
     """The files that a feed of file changes leaves: (volume, frn, checkpoint_usn, feed_cursor, payload...).

@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 import dataclasses
-import operator
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spindrift.functions.distance import best_window, budget, osa_within, pieces
+from spindrift.functions.distance import best_window, budget, likely, osa_within
 from spindrift.plans.grammar import Leaf, Query
 from spindrift.plans.predicates import compile_query
 
@@ -38,16 +37,15 @@ def eligible(q: Query) -> bool:
 def close_names(entries: DataFrame, q: Query) -> DataFrame:
     """Entries whose name comes close to the query's term, best first: adds dist, whole, at. Other conditions hold.
 
-    Every name is looked at; names that lack more letters of the term than edits are allowed, or hold no piece of it,
-    are left out before Python sees them, and distances are found once a distinct name.
+    Every name is looked at; names that lack more letters of the term than edits are allowed, or match no form of it
+    that the edits leave, are left out before Python sees them, and distances are found once a distinct name.
     """
     term = q.of("term")[0].value
     most = budget(term)
     others = compile_query(dataclasses.replace(q, leaves=[x for x in q.leaves if x.kind != "term"]), set(entries.columns))
     kept = entries.where(others)
     lacking = F.bit_count(F.lit(_mask(term)).cast("long").bitwiseAND(F.bitwise_not(letters(F.col("name_f")))))
-    held = [F.col("name_f").contains(x) for x in pieces(term, most)]
-    names = kept.where(reduce(operator.or_, held) if held else F.lit(True)).where(lacking <= most).select("name_f").distinct()
+    names = kept.where(lacking <= most).where(F.col("name_f").rlike(likely(term, most))).select("name_f").distinct()
     near = names.withColumn("w", best_window(F.col("name_f"), term, most)).where(F.col("w.dist") <= most)
     near = near.select("name_f", F.col("w.dist").alias("dist"), F.col("w.at").alias("at"), F.levenshtein("name_f", F.lit(term)).alias("whole"))
     return kept.join(near, "name_f").orderBy("dist", "whole", (F.col("at") != 0).asc(), "at", F.abs(F.length("name_f") - len(term)), "name_l", "path")
@@ -61,31 +59,45 @@ def topped_up(entries: DataFrame, exact: DataFrame, q: Query, limit: int) -> Dat
     return exact.select(*entries.columns, F.lit(0).alias("dist")).unionByName(close).orderBy("dist", "name_l", "path").limit(limit)
 
 
-def variants(entries: DataFrame, term: str) -> DataFrame:
-    """Words of names near a term, by distance, then frequency: word, dist, n."""
+def name_words(entries: DataFrame) -> DataFrame:
+    """Words of all names: word, n."""
+    return entries.select(F.explode(F.split("name_f", r"[^\p{L}\p{N}]+")).alias("word")).where("word <> ''").groupBy("word").agg(F.count("*").alias("n"))
+
+
+def variants(entries: DataFrame, term: str, words: DataFrame | None = None) -> DataFrame:
+    """Words of names near a term, by distance, then frequency: word, dist, n. ``words``: ``name_words`` written before."""
     most = budget(term)
-    words = entries.select(F.explode(F.split("name_f", r"[^\p{L}\p{N}]+")).alias("word")).where(F.abs(F.length("word") - len(term)) <= most)
-    near = words.groupBy("word").agg(F.count("*").alias("n")).withColumn("dist", osa_within(F.col("word"), term, most))
-    return near.where((F.col("dist") > 0) & (F.col("dist") <= most)).orderBy("dist", F.desc("n"), "word").limit(VARIANTS)
+    known = name_words(entries) if words is None else words
+    near = known.where((F.abs(F.length("word") - len(term)) <= most) & (F.levenshtein("word", F.lit(term), 2 * most) >= 0)).withColumn("dist", osa_within(F.col("word"), term, most))
+    return near.where((F.col("dist") > 0) & (F.col("dist") <= most)).select("word", "dist", "n").orderBy("dist", F.desc("n"), "word").limit(VARIANTS)
+
+
+def rewritable(q: Query) -> bool:
+    """Whether one of several terms may be respelt: no case, path, text, alternatives or patterns."""
+    return len(q.of("term")) > 1 and not q.exact_case and not q.path_mode and not q.of("content", "content_regex", "vocabulary", "symbol", "any", "regex", "glob", "path_glob")
 
 
-def rewritten(entries: DataFrame, q: Query) -> tuple[Query, list[str]] | None:
+def rewritten(entries: DataFrame, q: Query, words: DataFrame | None = None) -> tuple[Query, list[str]] | None:
     """A query of several terms that matches after one term is respelt, with its terms; None if no trial matches.
 
-    Terms without any match are respelt first, shorter ones before longer. Each trial is one small job.
+    Terms without any match are respelt first, shorter ones before longer. Three jobs whatever the number of trials:
+    matches of the terms, spellings of all terms, matches of all trials.
     """
     terms = [x.value for x in q.of("term") if not x.quoted]
     has = set(entries.columns)
-    counts = entries.agg(*[F.count_if(F.col("name_f").contains(t)).alias(f"n{i}") for i, t in enumerate(terms)]).collect()[0] if terms else []
-    tried = 0
-    for i in sorted(range(len(terms)), key=lambda i: (counts[f"n{i}"] > 0, len(terms[i]))):
-        if budget(terms[i]) == 0:
-            continue
-        for row in variants(entries, terms[i]).collect():  # VARIANTS rows at most
-            if tried >= TRIALS:
-                return None
-            tried += 1
-            new = dataclasses.replace(q, leaves=[Leaf("term", row["word"], x.exact_case) if x.kind == "term" and x.value == terms[i] else x for x in q.leaves])
-            if entries.where(compile_query(new, has)).limit(1).count():
-                return new, new.terms
-    return None
+    asked = [i for i, t in enumerate(terms) if budget(t) > 0]
+    if not asked:
+        return None
+    counts = entries.agg(*[F.count_if(F.col("name_f").contains(t)).alias(f"n{i}") for i, t in enumerate(terms)]).collect()[0]
+    near = reduce(DataFrame.unionByName, [variants(entries, terms[i], words).select(F.lit(i).alias("i"), "word", "dist", "n") for i in asked])
+    spelt = sorted(near.collect(), key=lambda r: (counts[f"n{r['i']}"] > 0, len(terms[r["i"]]), r["i"], r["dist"], -r["n"], r["word"]))[:TRIALS]  # VARIANTS rows a term
+    trials = [dataclasses.replace(q, leaves=[Leaf("term", r["word"], x.exact_case) if x.kind == "term" and x.value == terms[r["i"]] else x for x in q.leaves]) for r in spelt]
+    return first_match(entries, trials, has)
+
+
+def first_match(entries: DataFrame, trials: list[Query], has: set[str]) -> tuple[Query, list[str]] | None:
+    """The first of some queries that matches anything, from one reading of the entries."""
+    if not trials:
+        return None
+    found = entries.agg(*[F.max(compile_query(x, has)).alias(f"t{i}") for i, x in enumerate(trials)]).collect()[0]
+    return next(((x, x.terms) for i, x in enumerate(trials) if found[f"t{i}"]), None)

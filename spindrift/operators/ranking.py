@@ -78,11 +78,12 @@ def git_class() -> Column:
     return F.when(F.col("git").isNull(), 1).when(flag("conflict") | flag("modified") | flag("staged"), 0).when(flag("untracked"), 2).otherwise(3)
 
 
-def blend(page: DataFrame, q: Query, query_text: str, user: str, signals: DataFrame, picks: DataFrame, near: str = "", current: str = "") -> DataFrame:
+def blend(page: DataFrame, q: Query, query_text: str, user: str, signals: DataFrame, picks: DataFrame, near: str = "", current: str = "", commits: DataFrame | None = None) -> DataFrame:
     """A page (in order, with its ``position``) reordered by one person's signals; adds ``place``.
 
-    Inside a band: habits for this query first, then nearness, frecency, state in version control, time, the file at
-    hand last, and the path. A page is limited already, so one task orders it.
+    Inside a band: habits for this query first, then nearness, frecency, state in version control, files (and folders
+    above files) of the latest ``commits`` (path), time, the file at hand last, and the path. A page is limited
+    already, so one task orders it.
     """
     mine = signals.where(F.col("user_id") == user).groupBy("path").agg(F.max("score").alias("frecency"))
     habit = habits(picks.where((F.col("user_id") == user) & (F.col("query_norm") == normal_query(query_text)))).select("path", F.lit(1).alias("habit"))
@@ -94,14 +95,19 @@ def blend(page: DataFrame, q: Query, query_text: str, user: str, signals: DataFr
     keys.append(F.coalesce("frecency", F.lit(0.0)).desc())
     if "git" in page.columns:
         keys.append(git_class().asc())
+    if commits is not None:
+        parts = F.split("path", r"\\")
+        above = commits.select(F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "\\"))).alias("path")).distinct()
+        rows = rows.join(above.select("path", F.lit(1).alias("_commit")), "path", "left")
+        keys.append(F.coalesce("_commit", F.lit(0)).desc())
     keys.append(F.col("mod_ns").desc())
     if current:
         keys.append((F.col("path_l") == current.lower()).asc())
     everything = Window.partitionBy()
-    any_signal = F.lit(bool(near or current)) | (F.max(F.when(F.col("habit").isNotNull() | F.col("frecency").isNotNull(), 1).otherwise(0)).over(everything) == 1)
+    any_signal = F.lit(bool(near or current or commits is not None)) | (F.max(F.when(F.col("habit").isNotNull() | F.col("frecency").isNotNull(), 1).otherwise(0)).over(everything) == 1)
     banded = rows.withColumn("_b", band(q)).withColumn("_any", any_signal)
     blended = F.row_number().over(Window.orderBy("_b", *keys, "path"))
-    return banded.withColumn("place", F.when(F.col("_any"), blended).otherwise(F.col("position"))).drop("_b", "_any")
+    return banded.withColumn("place", F.when(F.col("_any"), blended).otherwise(F.col("position"))).drop("_b", "_any", "_commit")
 
 
 def evidence(paths: DataFrame, repositories: DataFrame, states: DataFrame) -> DataFrame:

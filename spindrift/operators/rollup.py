@@ -12,17 +12,17 @@ def _above(paths: str = "path") -> F.Column:
 
 
 def folder_bytes(entries: DataFrame) -> DataFrame:
-    """Bytes and files below every folder, however deep, and the first name: path, bytes, files, first_name."""
+    """Bytes and files below every folder, however deep, and the first name: volume, path, bytes, files, first_name."""
     files = entries.where("not is_dir").where(F.size(F.split("path", r"\\")) > 1)
-    own = files.withColumn("folder", F.substring("path", F.lit(1), F.length("path") - F.length("name") - 1)).groupBy("folder").agg(F.sum("size").alias("b"), F.count("*").alias("n"), F.min("name_l").alias("m"))
-    up = own.select(F.explode(F.when(F.instr("folder", "\\") > 0, F.concat(_above("folder"), F.array("folder"))).otherwise(F.array("folder"))).alias("path"), "b", "n", "m")
-    return up.groupBy("path").agg(F.sum("b").alias("bytes"), F.sum("n").alias("files"), F.min("m").alias("first_name"))
+    own = files.withColumn("folder", F.substring("path", F.lit(1), F.length("path") - F.length("name") - 1)).groupBy("volume", "folder").agg(F.sum("size").alias("b"), F.count("*").alias("n"), F.min("name_l").alias("m"))
+    up = own.select("volume", F.explode(F.when(F.instr("folder", "\\") > 0, F.concat(_above("folder"), F.array("folder"))).otherwise(F.array("folder"))).alias("path"), "b", "n", "m")
+    return up.groupBy("volume", "path").agg(F.sum("b").alias("bytes"), F.sum("n").alias("files"), F.min("m").alias("first_name"))
 
 
-def with_sizes(entries: DataFrame) -> DataFrame:
-    """Entries whose folders carry the bytes below them instead of their own size."""
-    sums = folder_bytes(entries).select(F.col("path").alias("_p"), "bytes")
-    return entries.join(sums, F.col("path") == F.col("_p"), "left").withColumn("size", F.when(F.col("is_dir"), F.coalesce("bytes", F.lit(0))).otherwise(F.col("size"))).drop("_p", "bytes")
+def with_sizes(rows: DataFrame, entries: DataFrame | None = None) -> DataFrame:
+    """Rows of ``entries`` (all, if not given) whose folders carry the bytes below them instead of their own size."""
+    sums = folder_bytes(rows if entries is None else entries).select(F.col("volume").alias("_v"), F.col("path").alias("_p"), "bytes")
+    return rows.join(sums, F.col("volume").eqNullSafe(F.col("_v")) & (F.col("path") == F.col("_p")), "left").withColumn("size", F.when(F.col("is_dir"), F.coalesce("bytes", F.lit(0))).otherwise(F.col("size"))).drop("_v", "_p", "bytes")
 
 
 def folder_deltas(changes: DataFrame) -> DataFrame:

@@ -5,65 +5,104 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spindrift.functions.folding import folded
-from spindrift.operators import content
+from spindrift.operators import content, rollup
 from spindrift.plans.grammar import Query, QueryError, Settings, parse, smart_case
 from spindrift.plans.predicates import compile_query
+from spindrift.sources.walk import exists as there
 
 DEFAULT_LIMIT = 100
 
 
-def order(q: Query) -> list[Column]:
-    """Sort keys of a query, ending in the path; the path is unique but for files known twice."""
-    by_name = [F.col("name_l").asc(), F.col("path_l").asc(), F.col("path").asc()]
-    by_path = [F.col("path_l").asc(), F.col("path").asc()]
-    keys = {
-        "size": [F.col("size").asc(), *by_name],
-        "modified": [(F.col("mod_ns") == 0).asc(), F.col("mod_ns").desc(), *by_name],
-        "extension": [F.col("ext_l").asc(), *by_name],
-        "type": [F.col("is_dir").desc(), *by_name],
-        "path": by_path,
-        "relevance": [F.col("relevance").desc(), F.col("tier").asc(), F.col("first_at").asc(), *by_name],
-        "": by_path if q.path_mode else by_name,
-    }[q.sort]
-    return [*keys, F.col("frn").asc_nulls_last()]
+#: Sort keys in SQL, with whether they descend; none is ever null.
+_BY_NAME = [("name_l", False), ("path_l", False), ("path", False)]
+_BY_PATH = [("path_l", False), ("path", False)]
+_LAST = [("frn is null", False), ("coalesce(frn, 0)", False)]
+_KEYS = {
+    "size": [("size", False), *_BY_NAME],
+    "modified": [("mod_ns = 0", False), ("mod_ns", True), *_BY_NAME],
+    "extension": [("ext_l", False), *_BY_NAME],
+    "type": [("is_dir", True), *_BY_NAME],
+    "path": _BY_PATH,
+    "relevance": [("relevance", True), ("tier", False), ("first_at", False), *_BY_NAME],
+}
 
 
-def _with_content(rows: DataFrame, q: Query) -> DataFrame:
+def keys(q: Query, bias: str = "") -> list[tuple[str, bool]]:
+    """The order of a query's results, ending in the path; the path is unique but for files known twice.
+
+    A query on texts that names one symbol has files named after it first. ``bias``: a folder whose files come first.
+    """
+    promoted = content.promotion(q) if not q.sort else None
+    found = _KEYS.get(q.sort) or [*([(promoted, False)] if promoted else []), *(_BY_PATH if q.path_mode else _BY_NAME)]
+    if bias:
+        low = bias.lower().rstrip("\\").replace("\\", "\\\\").replace("'", "\\'")
+        found = [(f"path_l = '{low}' or startswith(path_l, '{low}\\\\')", True), *found]
+    return [*found, *_LAST]
+
+
+def order(q: Query, bias: str = "") -> list[Column]:
+    return [F.expr(e).desc() if down else F.expr(e).asc() for e, down in keys(q, bias)]
+
+
+def with_content(rows: DataFrame, q: Query) -> DataFrame:
     if "text" in rows.columns and "text_f" not in rows.columns and any(x.of("content") for x in q.queries()):
         rows = rows.withColumn("text_f", folded(F.col("text")))
     return rows
 
 
-def matching(entries: DataFrame, q: Query, features: dict[str, Callable[[str], Column]] | None = None) -> DataFrame:
-    """All entries that a query matches, unordered."""
-    q = content.expand(entries, q)
-    rows = _with_content(entries, q)
-    return rows.where(compile_query(q, set(entries.columns), features)).drop("text_f")
-
-
-def search(entries: DataFrame, text: str, settings: Settings = Settings(), limit: int = DEFAULT_LIMIT, offset: int = 0, bias: str = "", features: dict | None = None) -> DataFrame:
-    """One page of results in order. ``limit`` 0 or less means the default; ``bias`` puts what lies under a folder first."""
-    q = parse(text, settings)
-    rows = matching(entries, q, features)
+def matching(entries: DataFrame, q: Query, features: dict[str, Callable] | None = None, words: DataFrame | None = None) -> DataFrame:
+    """All entries that a query matches, unordered. ``words``: a vocabulary written before, for ``content~``.
+
+    ``features`` are companions: from a term to a condition, or to a set of files (volume, frn), which is joined by
+    key, however large it is.
+    """
+    q = content.expand(entries, q, words)
+    rows, conditions = _with_features(with_content(entries, q), q, features or {})
+    return rows.where(compile_query(q, set(entries.columns), conditions)).select(*entries.columns)
+
+
+def _with_features(rows: DataFrame, q: Query, features: dict[str, Callable]) -> tuple[DataFrame, dict[str, Callable[[str], Column]]]:
+    flags: dict[tuple[str, str], Column] = {}
+    for name, term in dict.fromkeys(x.value for y in q.queries() for x in y.of("feature")):
+        if name in features:
+            found = features[name](term)
+            if isinstance(found, DataFrame):
+                flag = f"_feature_{len(flags)}"
+                held = found.where("frn is not null").select("volume", "frn").distinct().withColumn(flag, F.lit(True))
+                rows, found = rows.join(held, ["volume", "frn"], "left"), F.coalesce(F.col(flag), F.lit(False))
+            flags[name, term] = found
+    return rows, {name: (lambda term, name=name: flags[name, term]) for name in features}
+
+
+def search(entries: DataFrame, text: str, settings: Settings = Settings(), limit: int = DEFAULT_LIMIT, offset: int = 0, bias: str = "", features: dict | None = None, words: DataFrame | None = None, query: Query | None = None, existing: bool = False, last: list | None = None) -> DataFrame:
+    """One page of results in order. ``limit`` 0 or less means the default; ``bias`` puts what lies under a folder first.
+
+    ``existing`` keeps files that are there now; ``last`` has the keys of a row behind which the page begins.
+    ``sort:size`` gives folders the bytes below them.
+    """
+    q = query or parse(text, settings)
+    rows = matching(entries, q, features, words)
+    if existing:
+        rows = there(rows).where("exists").drop("exists")
     if q.sort == "relevance":
         rows = content.relevance(rows, q)
-    keys = order(q)
-    if bias:
-        low = bias.lower().rstrip("\\")
-        keys = [((F.col("path_l") == low) | F.col("path_l").startswith(low + "\\")).desc(), *keys]
-    page = rows.orderBy(*keys)
+    elif q.sort == "size":
+        rows = rollup.with_sizes(rows, entries)
+    if last is not None:
+        rows = after(rows, keys(q, bias), last)
+    page = rows.orderBy(*order(q, bias))
     return (page.offset(offset) if offset else page).limit(limit if limit > 0 else DEFAULT_LIMIT)
 
 
-def count(entries: DataFrame, text: str, settings: Settings = Settings(), features: dict | None = None) -> DataFrame:
+def count(entries: DataFrame, text: str, settings: Settings = Settings(), features: dict | None = None, words: DataFrame | None = None, query: Query | None = None) -> DataFrame:
     """The number of matches; limits don't apply."""
-    return matching(entries, parse(text, settings), features).agg(F.count("*").alias("n"))
+    return matching(entries, query or parse(text, settings), features, words).agg(F.count("*").alias("n"))
 
 
 def cursor(text: str, settings: Settings, offset: int) -> str:
@@ -85,14 +124,37 @@ def _print(text: str, settings: Settings) -> str:
     return hashlib.sha256(repr((text, settings)).encode()).hexdigest()[:16]
 
 
-def after(rows: DataFrame, keys: list[str], last: tuple) -> DataFrame:
-    """Keyset paging on ascending keys: the rows behind a row, without counting what came before."""
+def key_cursor(page: DataFrame, text: str, settings: Settings, identity: str = "", bias: str = "") -> str | None:
+    """A token for what comes behind a page, by the keys of its last row; None behind an empty page.
+
+    It is bound to the query and to ``identity``, the version of the listing.
+    """
+    rows = page.selectExpr(*[f"{e} as k{i}" for i, (e, _) in enumerate(keys(parse(text, settings), bias))]).tail(1)
+    if not rows:
+        return None
+    return base64.urlsafe_b64encode(json.dumps({"v": 2, "k": list(rows[0]), "h": _print(text, settings), "i": identity}).encode()).decode()
+
+
+def resume_keys(token: str, text: str, settings: Settings, identity: str = "") -> list:
+    """The keys in a token; a token of another query or of another version of the listing raises ``QueryError``."""
+    try:
+        found = json.loads(base64.urlsafe_b64decode(token))
+        if found["v"] != 2 or found["h"] != _print(text, settings):
+            raise ValueError
+    except (ValueError, KeyError, TypeError):
+        raise QueryError("the cursor belongs to another query") from None
+    if found["i"] != identity:
+        raise QueryError("the listing has changed since: start again")
+    return found["k"]
+
+
+def after(rows: DataFrame, by: list[tuple[str, bool]], last: Sequence) -> DataFrame:
+    """Keyset paging: the rows behind a row in an order of (SQL, descends), without counting what came before. Keys are never null."""
     ahead = F.lit(False)
-    for i in range(len(keys)):
-        same = F.lit(True)
-        for k, v in zip(keys[:i], last[:i]):
-            same = same & (F.col(k) == v)
-        ahead = ahead | (same & (F.col(keys[i]) > last[i]))
+    same = F.lit(True)
+    for (e, down), v in zip(by, last):
+        ahead = ahead | (same & (F.expr(e) < F.lit(v) if down else F.expr(e) > F.lit(v)))
+        same = same & (F.expr(e) == F.lit(v))
     return rows.where(ahead)
 
 
@@ -122,11 +184,16 @@ def as_json(rows: DataFrame) -> DataFrame:
     return rows.select(F.to_json(F.struct(*rows.columns)).alias("json"))
 
 
-def page_hash(rows: DataFrame, keys: list[Column]) -> DataFrame:
-    """SHA-256 of the ordered paths of one page, each ended by a NUL."""
-    listed = F.array_sort(F.collect_list(F.struct(F.col("_at"), F.col("path"))))
-    numbered = rows.limit(50_000).withColumn("_at", F.monotonically_increasing_id())
-    return numbered.agg(F.sha2(F.concat(F.array_join(F.transform(listed, lambda x: x["path"]), "\0"), F.lit("\0")), 256).alias("hash"))
+def page_hash(page: DataFrame) -> DataFrame:
+    """SHA-256 of the paths of one page in its order, each ended by a NUL: hash.
+
+    The paths of an ordered page pass through the driver one partition at a time, so a page of any length has its
+    hash; an empty page has that of nothing.
+    """
+    digest = hashlib.sha256()
+    for row in page.select("path").toLocalIterator():
+        digest.update(row["path"].encode() + b"\0")
+    return page.sparkSession.createDataFrame([(digest.hexdigest(),)], "hash string")
 
 
 def dedupe(rows: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from spindrift.functions.folding import fold
+from spindrift.functions.folding import fold, folded
 from spindrift.plans import globs
 from spindrift.plans.definitions import definition_line
 from spindrift.plans.grammar import Leaf, Query, QueryError, smart_case
@@ -27,8 +27,9 @@ _NEEDS = {"size": "size", "when": "mod_ns", "after": "mod_ns", "attributes": "mo
 class Compiler:
     """Columns for the leaves of a query; ``has`` names the optional columns that the entries carry."""
 
-    def __init__(self, has: set[str], features: dict[str, Callable[[str], Column]] | None = None, smart: bool = False):
+    def __init__(self, has: set[str], features: dict[str, Callable[[str], Column]] | None = None, smart: bool = False, text: Column | None = None):
         self.has, self.features, self.smart = has, features or {}, smart
+        self.text, self.text_f = (F.col("text"), F.col("text_f")) if text is None else (text, folded(text))
 
     def query(self, q: Query) -> Column:
         if q.impossible:
@@ -128,16 +129,16 @@ class Compiler:
 
     def do_content(self, q: Query, leaf: Leaf) -> Column:
         if q.exact_case or self.smart:
-            return F.col("text").contains(leaf.value)
-        needle = leaf.value.lower()
+            return self.text.contains(leaf.value)
+        needle, low = leaf.value.lower(), F.lower(self.text)
         if fold(needle) == needle:
-            return F.lower("text").contains(needle) | F.col("text_f").contains(needle)
-        return F.lower("text").contains(unicodedata.normalize("NFC", needle)) | F.lower("text").contains(unicodedata.normalize("NFD", needle))
+            return low.contains(needle) | self.text_f.contains(needle)
+        return low.contains(unicodedata.normalize("NFC", needle)) | low.contains(unicodedata.normalize("NFD", needle))
 
     def do_content_regex(self, q: Query, leaf: Leaf) -> Column:
         anchored = re.search(r"(?<!\\)[\^$]", re.sub(r"\[[^\]]*\]", "", leaf.value)) is not None
         flags = ("" if q.exact_case or self.smart else "i") + ("m" if anchored else "")
-        text = F.regexp_replace("text", "\r\n", "\n") if anchored else F.col("text")
+        text = F.regexp_replace(self.text, "\r\n", "\n") if anchored else self.text
         return text.rlike((f"(?{flags})" if flags else "") + leaf.value)
 
     def do_vocabulary(self, q: Query, leaf: Leaf) -> Column:
@@ -145,10 +146,10 @@ class Compiler:
         words = leaf.value if isinstance(leaf.value, list) else [leaf.value[0].lower()]
         if not words:
             return F.lit(False)
-        return F.lower("text").rlike(r"(?<![\w])(?:" + "|".join(re.escape(w) for w in words) + r")(?![\w])")
+        return F.lower(self.text).rlike(r"(?<![\w])(?:" + "|".join(re.escape(w) for w in words) + r")(?![\w])")
 
     def do_symbol(self, q: Query, leaf: Leaf) -> Column:
-        return F.col("text").contains(leaf.value) & F.exists(F.split("text", "\r?\n"), lambda line: definition_line(line, leaf.value))
+        return self.text.contains(leaf.value) & F.exists(F.split(self.text, "\r?\n"), lambda line: definition_line(line, leaf.value))
 
 
 def required_literals(pattern: str) -> list[str]:

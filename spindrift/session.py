@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import hashlib
 import re
 import shutil
 import tempfile
@@ -100,3 +101,14 @@ def text_or(column: str, other: str = "") -> F.Column:
 def exists(spark: SparkSession, path: str) -> bool:
     where, fs = _file_system(spark, path)
     return fs.exists(where)
+
+
+def listing_of(df: DataFrame) -> str:
+    """A name for the present files of the tables that a frame reads: it changes when any file comes, goes or is written anew."""
+    spark = df.sparkSession
+    found = []
+    for path in sorted(df.inputFiles()):
+        where, fs = _file_system(spark, path)
+        status = fs.getFileStatus(where)
+        found.append(f"{path} {status.getLen()} {status.getModificationTime()}")
+    return hashlib.sha256("\n".join(found).encode()).hexdigest()[:16]

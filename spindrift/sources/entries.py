@@ -7,12 +7,14 @@ projected from its tables; the same projection in SQL is ``ENTRIES_SQL``.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spindrift.functions.folding import folded
 from spindrift.operators.changefeed import current_files
-from spindrift.session import exists, table, written
+from spindrift.session import exists, listing_of, table, written
 
 DIR_BIT = 1 << 31
 #: Extensions given to documents in turn.
@@ -53,7 +55,7 @@ def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return enriched(files.unionByName(folders(files)))
 
 
-_INDEXED: dict[tuple[str, str], tuple[str, str]] = {}
+_INDEXED: dict[tuple[str, str, str], tuple[str, object]] = {}
 
 
 def index(spark: SparkSession, rows: DataFrame) -> tuple[DataFrame, str]:
@@ -61,17 +63,28 @@ def index(spark: SparkSession, rows: DataFrame) -> tuple[DataFrame, str]:
     return written(rows, "index")
 
 
-def indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``entries``, indexed once a session and data folder: the first search builds the index, later ones read it."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    path, schema = _INDEXED.get(key, ("", ""))
+def _kept(spark: SparkSession, sf_dir: str, what: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """A table made from the data folder, written once a session for the present files of its tables."""
+    sources = listing_of(table(spark, sf_dir, "documents")) + listing_of(table(spark, sf_dir, "feature_feed"))
+    key = (spark.sparkContext.applicationId, f"{sf_dir} {sources}", what)
+    path, schema = _INDEXED.get(key, ("", None))
     if path and exists(spark, f"{path}/_SUCCESS"):
         return spark.read.schema(schema).parquet(path)
-    found, path = index(spark, entries(spark, sf_dir))
+    found, path = index(spark, make())
     _INDEXED[key] = (path, found.schema)
     return found
 
 
+def indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``entries``, indexed: the first search builds the index, later ones read it until a table changes."""
+    return _kept(spark, sf_dir, "entries", lambda: entries(spark, sf_dir))
+
+
+def indexed_words(spark: SparkSession, sf_dir: str, make: Callable[[DataFrame], DataFrame], what: str) -> DataFrame:
+    """A vocabulary of the indexed entries, written beside them."""
+    return _kept(spark, sf_dir, what, lambda: make(indexed(spark, sf_dir)))
+
+
 ENTRIES_SQL = """
 with fl as (select * from (select *, row_number() over (partition by volume, frn order by checkpoint_usn desc, feed_cursor desc) as rn from feature_feed where frn is not null and frn <> 0 and volume is not null) where rn = 1 and not coalesce(deleted, false)),
 files as (select volume, doc_id as frn, volume || chr(92) || 'corpus' || chr(92) || source || chr(92) || coalesce(lang, 'und') || chr(92) || 'doc_' || doc_id || '.' || (['txt', 'md', 'json', 'log', 'csv', 'html'])[doc_id % 6 + 1] as path,

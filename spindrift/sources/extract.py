@@ -21,6 +21,8 @@ from spindrift.sources.encoding import decode, is_binary
 
 #: Bytes of one part of a container, of all parts, and of a text; depth of nested mail; messages of a mailbox.
 PART, TOTAL, TEXT, DEPTH, MESSAGES = 32 << 20, 128 << 20, 10 << 20, 8, 65_536
+#: What the extractor at work had to leave out of the present file; such a text counts as truncated.
+_lost: list[str] = []
 SCHEMA = "text string, content_class int, skipped boolean, truncated boolean, binary boolean, reason string"
 
 
@@ -89,7 +91,10 @@ def office(data: bytes) -> str:
     out, total = [], 0
     with zipfile.ZipFile(io.BytesIO(data)) as box:
         for info in sorted(box.infolist(), key=lambda i: [int(x) if x.isdigit() else x for x in re.split(r"(\d+)", i.filename)]):
-            if not _members(info.filename) or info.file_size > PART or total + info.file_size > TOTAL:
+            if not _members(info.filename):
+                continue
+            if info.file_size > PART or total + info.file_size > TOTAL:
+                _lost.append("a long part")
                 continue
             total += info.file_size
             raw = box.read(info)
@@ -206,15 +211,24 @@ def pdf(data: bytes) -> str:
     if b"/Encrypt" in data:
         raise ValueError("encrypted")
     pages, maps = [], {}
-    for m in re.finditer(rb"<<(.{0,4000}?)>>\s*stream\r?\n", data, re.S):
-        end = data.find(b"endstream", m.end())
+    for m in re.finditer(rb"stream\r?\n", data):
+        begin = data.rfind(b" obj", 0, m.start())
+        if begin < 0 or data.find(b"endstream", begin, m.start() + 1) >= 0 or data[m.start() - 3 : m.start()] == b"end":
+            continue
+        head, end = data[begin : m.start()], data.find(b"endstream", m.end())
         raw = data[m.end() : end if end > 0 else None]
-        if b"FlateDecode" in m[1]:
+        if b"FlateDecode" in head:
             try:
-                raw = zlib.decompressobj().decompress(raw, PART)
+                unpack = zlib.decompressobj()
+                raw = unpack.decompress(raw, PART)
+                if unpack.unconsumed_tail:
+                    _lost.append("a long stream")
             except zlib.error:
+                _lost.append("a broken stream")
                 continue
-        elif b"/Filter" in m[1]:
+        elif b"/Filter" in head:
+            if b"/Image" not in head:
+                _lost.append("a stream in another encoding")
             continue
         if b"begincmap" in raw:
             for block in re.findall(rb"beginbfchar(.*?)endbfchar", raw, re.S):
@@ -356,6 +370,7 @@ def extract(name: str, data: bytes) -> tuple[str | None, int, bool, bool, bool,
     kind, run = FORMATS.get(ext, (0, None))
     if run is None:
         kind, run = next(((k, f) for head, k, f in SNIFFED if data.startswith(head)), (1, None))
+    _lost.clear()
     try:
         if run is None:
             if is_binary(data):
@@ -364,7 +379,7 @@ def extract(name: str, data: bytes) -> tuple[str | None, int, bool, bool, bool,
         text = run(data)
     except Exception as e:  # a broken file is that file's trouble
         return None, kind, True, False, False, f"{type(e).__name__}: {e}"[:200]
-    return text[:TEXT], kind, False, len(text) > TEXT, False, None
+    return text[:TEXT], kind, False, len(text) > TEXT or bool(_lost), False, None
 
 
 def texts(files: DataFrame) -> DataFrame:
