@@ -217,7 +217,9 @@ class Items:
             blocks = _blocks(self.item_words[i], _tokens(text[_back(text, first, reach) : end].decode("utf-8", "ignore")))
             span, agree, begin = _run(blocks)
             if span > RUN * size and agree >= AGREE * span:
-                (most, count), *_ = Counter(self.word_sentences[i][x] for a, _, n in blocks for x in range(a, a + n) if begin <= x < begin + span).most_common(1)
+                (most, count), *_ = (
+                    Counter(self.word_sentences[i][x] for a, _, n in blocks for x in range(a, a + n) if begin <= x < begin + span).most_common(1)
+                )
                 if agree - count > GAP:
                     return -1
                 found = most
@@ -238,7 +240,9 @@ class Items:
             if _covered([(p, self.size[s]) for p, *_ in sorted(cluster)]) < COVER * size:
                 cluster = [h] if h is not None else []
                 continue
-            part = _tokens(text[_back(text, first[0], first[2] + half) : _ahead(text, last[0], len(words) - last[2] + half)].decode("utf-8", "ignore"))
+            part = _tokens(
+                text[_back(text, first[0], first[2] + half) : _ahead(text, last[0], len(words) - last[2] + half)].decode("utf-8", "ignore")
+            )
             if sum(n for _, _, n in _blocks(words, part)) >= SENTENCE * len(words):
                 return True
             cluster = [h] if h is not None else []
@@ -306,7 +310,9 @@ def _found(texts: DataFrame, items: Items) -> DataFrame:
                 for p, (s, o, k) in zip((pos[part] - begin).tolist(), owner[part].tolist()):
                     hits[s].append((p, o, k))
                 whole, runs = own.search(lined[begin:end].tobytes(), data[begin:end].tobytes(), hits)
-                out += [(ids[r], same[r], own.keys[s], None) for s in whole] + [(ids[r], same[r], own.keys[s] if s >= 0 else None, own.item_ids[i]) for i, s in runs.items()]
+                out += [(ids[r], same[r], own.keys[s], None) for s in whole] + [
+                    (ids[r], same[r], own.keys[s] if s >= 0 else None, own.item_ids[i]) for i, s in runs.items()
+                ]
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in range(4)], ["doc", "text", "sentence", "item"])
 
     return texts.mapInArrow(run, "doc long, text long, sentence long, item long")
@@ -322,7 +328,11 @@ def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
     so the tables sent to the tasks don't grow with the items; with more than one block, texts are folded once and kept.
     """
     spark = documents.sparkSession
-    texts = documents.where("doc_id is not null and text is not null").select("doc_id", sentence_lines(F.col("text")).alias("t")).withColumn("text", F.xxhash64("t"))
+    texts = (
+        documents.where("doc_id is not null and text is not null")
+            .select("doc_id", sentence_lines(F.col("text")).alias("t"))
+            .withColumn("text", F.xxhash64("t"))
+    )
     blocks = _item_blocks(items)
     block, found, holders = next(blocks, None), [], []
     while block is not None:
@@ -330,7 +340,11 @@ def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
         if following is not None and not found:
             texts, _ = written(texts, "folded")
         found.append(written(_found(texts, block), "leaks")[0])
-        holders.append(spark.createDataFrame([(block.keys[s], block.item_ids[i]) for s in range(block.sentences) for i in block.holders[s]], "sentence long, item_id long"))
+        holders.append(
+            spark.createDataFrame(
+                [(block.keys[s], block.item_ids[i]) for s in range(block.sentences) for i in block.holders[s]], "sentence long, item_id long"
+            )
+        )
         block = following
     if not found:
         return spark.createDataFrame([], "item_id long, doc_id long")
@@ -339,4 +353,10 @@ def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
     held = every.where("sentence is not null and item is null").select("doc", "text", "sentence").distinct()
     stock = held.select("text", "sentence").distinct().groupBy("sentence").count().where(F.col("count") > limit).select("sentence")
     runs = every.where("item is not null").join(stock, "sentence", "left_anti").select(F.col("item").alias("item_id"), F.col("doc").alias("doc_id"))
-    return held.join(stock, "sentence", "left_anti").join(holding, "sentence").select("item_id", F.col("doc").alias("doc_id")).unionByName(runs).distinct()
+    return (
+        held.join(stock, "sentence", "left_anti")
+            .join(holding, "sentence")
+            .select("item_id", F.col("doc").alias("doc_id"))
+            .unionByName(runs)
+            .distinct()
+    )

@@ -41,7 +41,10 @@ WESTERN = ["cp1252", "mac_roman", "cp850", "cp437"]
 CENTRAL = ["cp1250", "iso8859_2", "cp852"]
 CYRILLIC = ["cp1251", "koi8_r", "cp866", "iso8859_5", "mac_cyrillic"]
 GREEK = ["cp1253", "iso8859_7", "cp737"]
-READ_AS = ["cp1252", "mac_roman", "cp850", "cp437", "cp1251", "koi8_r", "cp866", "cp1250", "cp852", "cp1253", "iso8859_2", "iso8859_5", "iso8859_7", "latin_1"]
+READ_AS = [
+    "cp1252", "mac_roman", "cp850", "cp437", "cp1251", "koi8_r", "cp866", "cp1250", "cp852", "cp1253", "iso8859_2", "iso8859_5", "iso8859_7",
+    "latin_1"
+]
 JAPANESE = ["cp932", "euc_jp"]
 
 
@@ -57,7 +60,11 @@ def _pairs() -> list[tuple[str, str, str]]:
     """(kind, read as, true): ``bytes`` decode as UTF-8 (``utf_8*utf_8``: twice), ``table`` maps character by character."""
     out = [("bytes", w, "utf_8") for w in READ_AS]
     twice = [("bytes", "cp1252", "*".join(["utf_8"] * n)) for n in (2, 3)]
-    for true, wrong in ((WESTERN, READ_AS), (CENTRAL, ["cp1252", "mac_roman", "cp850", "cp437", "cp1251", "koi8_r", "cp866", "cp1250", "cp852", "iso8859_2"]), (CYRILLIC, ["cp1252", "mac_roman", "cp850", "cp437", "cp1251", "koi8_r", "cp866", "mac_cyrillic"]), (GREEK, ["cp1252", "mac_roman", "cp850", "cp437", "cp1251", "koi8_r", "cp866"])):
+    for true, wrong in (
+        (WESTERN, READ_AS), (CENTRAL, ["cp1252", "mac_roman", "cp850", "cp437", "cp1251", "koi8_r", "cp866", "cp1250", "cp852", "iso8859_2"]),
+        (CYRILLIC, ["cp1252", "mac_roman", "cp850", "cp437", "cp1251", "koi8_r", "cp866", "mac_cyrillic"]),
+        (GREEK, ["cp1252", "mac_roman", "cp850", "cp437", "cp1251", "koi8_r", "cp866"])
+    ):
         out += [("table", w, t) for t in true for w in wrong if w != t]
     # two single-byte encodings can agree on what matters; the first of equal tables stays
     seen, kept = set(), []
@@ -173,7 +180,9 @@ class Labeller:
                         table.setdefault(b, b)
             self.tables.append(table)
 
-    def _decoded(self, k: int, points: np.ndarray, uniq: np.ndarray, code: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+    def _decoded(
+        self, k: int, points: np.ndarray, uniq: np.ndarray, code: np.ndarray, first: np.ndarray
+    ) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
         """Per position: the code point that the state reads there (-1: none), whether it continues a unit, and a second point."""
         kind = self.pairs[k][0]
         ascii_ = points < 128
@@ -222,7 +231,9 @@ class Labeller:
         read = np.where(valid, np.where(goes_on & ~ends, two, one), -1)
         return read, valid & goes_on & ends, np.where(valid & ~ascii_ & ~goes_on & ~ends, two, -1)
 
-    def _multi(self, k: int, points: np.ndarray, byte: np.ndarray, out: np.ndarray, more: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, None]:
+    def _multi(
+        self, k: int, points: np.ndarray, byte: np.ndarray, out: np.ndarray, more: np.ndarray, first: np.ndarray
+    ) -> tuple[np.ndarray, np.ndarray, None]:
         """Double-byte text: runs that hold two high bytes at least are decoded one after the other."""
         true, n = self.pairs[k][2], len(points)
         high = np.where(points < 128, points, byte)
@@ -298,7 +309,10 @@ class Labeller:
                 likely |= (read > 0) & (self.model.single[self.model.ids(read)] > self.model.single[own[cp]] + clean)
             elif kind == "multi":
                 byte = np.array([u if u < 128 else self.tables[k].get(u, -1) for u in uniq.tolist()], np.int64)
-                read, more, _ = self._multi(k, np.stack([p, c], 1).ravel(), np.stack([np.where(p < 128, -1, byte[cp]), np.where(c < 128, -1, byte[cc])], 1).ravel(), np.full(2 * len(p), -1), np.zeros(2 * len(p), bool), np.tile([True, False], len(p)))
+                read, more, _ = self._multi(
+                    k, np.stack([p, c], 1).ravel(), np.stack([np.where(p < 128, -1, byte[cp]), np.where(c < 128, -1, byte[cc])], 1).ravel(),
+                    np.full(2 * len(p), -1), np.zeros(2 * len(p), bool), np.tile([True, False], len(p))
+                )
                 u = read[::2]
                 e = self.model.single[self.model.ids(np.maximum(u, 0))] - self.model.single[own[cp]] - self.model.single[own[cc]]
                 e = np.where(more[1::2] & (u >= 0), e, 0)
@@ -518,7 +532,12 @@ def _apply(texts: DataFrame, key: str, column: str, model: Model) -> DataFrame:
         labeller = Labeller(own)
         for frame in frames:
             found, fit = labeller.restore(frame[column].tolist())
-            yield pd.DataFrame({key: frame[key], "text": frame[column], "fit": fit, "pairs": [x[0] for x in found], "restored": [x[1] if x[2] else None for x in found]})
+            yield pd.DataFrame(
+                {
+                    key: frame[key], "text": frame[column], "fit": fit, "pairs": [x[0] for x in found],
+                    "restored": [x[1] if x[2] else None for x in found]
+                }
+            )
 
     return texts.mapInPandas(run, f"{key} long, text string, fit boolean, pairs array<string>, restored string")
 

@@ -59,7 +59,9 @@ def _pack(group: int, ids: np.ndarray, sizes: np.ndarray, configs: list[tuple[in
         order = np.lexsort((part, doc, -size))
         doc, part, size = doc[order], part[order], size[order]
         where = np.asarray(first_fit_decreasing(size.tolist(), capacity), np.int64) if len(size) else np.zeros(0, np.int64)
-        yield pd.DataFrame({"pack_id": pack, "container": (np.int64(group) << 32) + where, "doc_id": doc, "part": part.astype(np.int32), "tokens": size})
+        yield pd.DataFrame(
+            {"pack_id": pack, "container": (np.int64(group) << 32) + where, "doc_id": doc, "part": part.astype(np.int32), "tokens": size}
+        )
 
 
 def pack(items: DataFrame, configs: DataFrame, group_size: int = GROUP) -> DataFrame:
@@ -69,7 +71,10 @@ def pack(items: DataFrame, configs: DataFrame, group_size: int = GROUP) -> DataF
     rows. Repeated items are placed once, at their greatest size. ``configs`` is a table of parameters and is read to
     the driver. No items give no rows.
     """
-    wanted = sorted((r["pack_id"], r["capacity"]) for r in configs.where("pack_id is not null and capacity > 0").select("pack_id", "capacity").distinct().collect())
+    wanted = sorted(
+        (r["pack_id"], r["capacity"])
+        for r in configs.where("pack_id is not null and capacity > 0").select("pack_id", "capacity").distinct().collect()
+    )
     sized = items.where("doc_id is not null").select("doc_id", F.greatest(F.coalesce("n_tokens", F.lit(0)), F.lit(0)).cast("long").alias("n_tokens"))
     groups = max(1, math.ceil(sized.count() / group_size))
 

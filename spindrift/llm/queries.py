@@ -27,7 +27,10 @@ def p3_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mojibake.garbled(table(spark, sf_dir, "search_results"), "result_id", "snippet").select("result_id", F.array_join("pairs", ", ").alias("pairs"), "restored")
+    return (
+        mojibake.garbled(table(spark, sf_dir, "search_results"), "result_id", "snippet")
+            .select("result_id", F.array_join("pairs", ", ").alias("pairs"), "restored")
+    )
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,7 +58,10 @@ def p10_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truncation.by_source(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_counts, p1_grams, p3_ranking, p5_found, p5_restored, p8_containers, p9_found, p9_items, p10_found, p10_by_source)}
+QUERIES = {
+    f.__name__: f
+    for f in (p1_found, p1_counts, p1_grams, p3_ranking, p5_found, p5_restored, p8_containers, p9_found, p9_items, p10_found, p10_by_source)
+}
 
 _COUNTS = """
 with d as (select posting_kind, shard, term, doc_id, arg_max(coalesce(tf, entry_count, gram_count), received_at) as n from posting_counts where posting_kind is not null and term is not null group by all),

@@ -33,7 +33,11 @@ def mid_ranks(items: DataFrame, scores: Sequence[str]) -> DataFrame:
     totals = {r["signal"]: r["n"] for r in ranks.groupBy("signal").agg(F.sum("count").alias("n")).collect()}  # one row a score
     total = F.element_at(F.create_map(*[F.lit(x) for i in range(len(scores)) for x in (i, float(totals.get(i, 1)))]), F.col("signal"))
     own = ranks.select("signal", "value", ((F.col("upto") - F.col("count") + (F.col("count") + 1) / 2) / total).alias("_r"))
-    wide = long.join(own, ["signal", "value"]).groupBy("_item").agg(*[F.max(F.when(F.col("signal") == i, F.col("_r"))).alias(f"_r{i}") for i in range(len(scores))])
+    wide = (
+        long.join(own, ["signal", "value"])
+            .groupBy("_item")
+            .agg(*[F.max(F.when(F.col("signal") == i, F.col("_r"))).alias(f"_r{i}") for i in range(len(scores))])
+    )
     out = held.join(wide, "_item", "left")
     return out.select(*[F.col(f"_r{scores.index(c)}").alias(c) if c in scores else F.col(c) for c in items.columns])
 
@@ -98,10 +102,19 @@ def search_items(picks: DataFrame, signals: DataFrame) -> DataFrame:
     the latest pick of all (and a day) comes from a wrong clock and counts as unknown, as do zeros and negatives.
     """
     now = picks.agg(F.max(seconds("last_unix")).alias("t")).collect()[0]["t"]
-    one = signals.groupBy("user_id", "path").agg(F.max("opens").alias("opens"), F.max("score").alias("score"), F.max(seconds("last_open_unix")).alias("opened"))
-    opened = F.when((F.col("opened") > 0) & (F.col("opened") <= F.lit(now) + 86400), F.col("opened")) if now is not None else F.when(F.col("opened") > 0, F.col("opened"))
+    one = (
+        signals.groupBy("user_id", "path")
+            .agg(F.max("opens").alias("opens"), F.max("score").alias("score"), F.max(seconds("last_open_unix")).alias("opened"))
+    )
+    opened = (
+        F.when((F.col("opened") > 0) & (F.col("opened") <= F.lit(now) + 86400), F.col("opened"))
+        if now is not None
+        else F.when(F.col("opened") > 0, F.col("opened"))
+    )
     mine = picks.groupBy("user_id", "query_norm", "path").agg(F.coalesce(F.max("pick_count"), F.lit(0)).alias("pick_count"))
-    return mine.join(one, ["user_id", "path"], "left").select("user_id", "query_norm", "path", "pick_count", "opens", "score", opened.alias("last_open"))
+    return (
+        mine.join(one, ["user_id", "path"], "left").select("user_id", "query_norm", "path", "pick_count", "opens", "score", opened.alias("last_open"))
+    )
 
 
 def rank_paths(picks: DataFrame, signals: DataFrame) -> DataFrame:

@@ -36,12 +36,17 @@ STOP = r"[.!?。！？:;][\"'”»’)\]`]*$"
 
 def _ending(texts: DataFrame) -> DataFrame:
     """Per text: what is left without markers, its last line and last token, and the lengths of the whole."""
-    rows = texts.select("doc_id", "source", F.length("text").alias("chars"), F.octet_length("text").alias("bytes"), F.xxhash64("text").alias("print"), F.rtrim("text", F.lit(SPACE)).alias("whole"))
+    rows = texts.select(
+        "doc_id", "source", F.length("text").alias("chars"), F.octet_length("text").alias("bytes"), F.xxhash64("text").alias("print"),
+        F.rtrim("text", F.lit(SPACE)).alias("whole")
+    )
     marks = lambda part: F.length(F.regexp_extract(part, MARKER, 0))
     rows = rows.withColumn("marks", marks(F.right("whole", F.lit(MARKS))))
     rows = rows.withColumn("marks", F.when(F.col("marks") >= MARKS - 16, marks(F.col("whole"))).otherwise(F.col("marks")))
     body = F.rtrim(F.substring("whole", F.lit(1), F.length("whole") - F.col("marks")), F.lit(SPACE))
-    rows = rows.select("doc_id", "source", "chars", "bytes", "print", (F.col("marks") > 0).alias("marker"), F.substring_index(body, "\n", -1).alias("line"))
+    rows = rows.select(
+        "doc_id", "source", "chars", "bytes", "print", (F.col("marks") > 0).alias("marker"), F.substring_index(body, "\n", -1).alias("line")
+    )
     return rows.withColumn("token", F.lower(F.regexp_extract("line", r"(\p{L}+)$", 1)))
 
 
@@ -53,7 +58,9 @@ def vocabulary(texts: DataFrame) -> DataFrame:
     """Words and the number of texts that hold them elsewhere than at their very end: word, texts."""
     words = F.split(F.trim(F.lower(F.regexp_replace("text", r"[^\p{L}]+", " "))), " ")
     inner = F.array_distinct(F.slice("words", 1, F.greatest(F.lit(0), F.size("words") - 1)))
-    return texts.select(words.alias("words")).select(F.explode(inner).alias("word")).where("word <> ''").groupBy("word").agg(F.count("*").alias("texts"))
+    return (
+        texts.select(words.alias("words")).select(F.explode(inner).alias("word")).where("word <> ''").groupBy("word").agg(F.count("*").alias("texts"))
+    )
 
 
 def trie(words: DataFrame) -> DataFrame:
@@ -65,7 +72,9 @@ def trie(words: DataFrame) -> DataFrame:
 def limits(judged: DataFrame) -> DataFrame:
     """Lengths at which the texts of a source pile up cut: source, measure, size. Copies count once."""
     once = judged.groupBy("source", "chars", "bytes", "print").agg(F.max("other").alias("other"))
-    sized = once.select("source", "other", F.explode(F.map_from_arrays(F.array(F.lit("chars"), F.lit("bytes")), F.array("chars", "bytes"))).alias("measure", "size"))
+    sized = once.select(
+        "source", "other", F.explode(F.map_from_arrays(F.array(F.lit("chars"), F.lit("bytes")), F.array("chars", "bytes"))).alias("measure", "size")
+    )
     at = sized.groupBy("source", "measure", "size").agg(F.count("*").alias("n"), F.sum(F.col("other").cast("int")).alias("cut_n"))
     # a peak is compared with the lengths beside it by equality, so no source's lengths meet in one task
     peaks = at.where((F.col("n") >= PEAK) & (F.col("cut_n") >= OPEN * F.col("n")))
@@ -85,10 +94,20 @@ def endings(documents: DataFrame) -> DataFrame:
     texts = documents.where("doc_id is not null").select("doc_id", "source", F.coalesce("text", F.lit("")).alias("text"))
     ends = _ending(texts).withColumn("start", _beginning(F.col("line")))
     ends = ends.withColumn("open_end", (F.col("line") != "") & ~F.col("line").rlike(STOP))
-    ends, _ = written(ends.withColumn("words", F.size(F.split(F.trim("line"), r"\s+"))).withColumn("inner_stop", F.col("line").rlike(r"[.!?。！？][\"'”»’)]*\s+\S|[。！？]\S")).withColumn("kana", F.col("line").rlike(r"[぀-ヿ]")).drop("line"), "endings")
+    ends, _ = written(
+        ends.withColumn("words", F.size(F.split(F.trim("line"), r"\s+")))
+            .withColumn("inner_stop", F.col("line").rlike(r"[.!?。！？][\"'”»’)]*\s+\S|[。！？]\S"))
+            .withColumn("kana", F.col("line").rlike(r"[぀-ヿ]"))
+            .drop("line"),
+        "endings"
+    )
 
     lines = texts.select(F.explode(F.split("text", "\n")).alias("line")).where(F.length(F.trim("line")) > 0)
-    habit = lines.select(_beginning(F.col("line")).alias("h_start"), F.rtrim("line", F.lit(SPACE)).rlike(STOP).alias("stop")).groupBy("h_start").agg(F.count("*").alias("h_lines"), F.sum((~F.col("stop")).cast("int")).alias("h_open"))
+    habit = (
+        lines.select(_beginning(F.col("line")).alias("h_start"), F.rtrim("line", F.lit(SPACE)).rlike(STOP).alias("stop"))
+            .groupBy("h_start")
+            .agg(F.count("*").alias("h_lines"), F.sum((~F.col("stop")).cast("int")).alias("h_open"))
+    )
     words, _ = written(vocabulary(texts).where(F.col("texts") >= KNOWN), "words")
     tokens = ends.where("open_end and token <> ''").select(F.col("token").alias("t")).distinct()
     unknown = tokens.join(words.select(F.col("word").alias("t")), "t", "left_anti")
@@ -99,8 +118,15 @@ def endings(documents: DataFrame) -> DataFrame:
     share = F.coalesce(F.col("h_open") / F.col("h_lines"), F.lit(1.0))
     familiar = F.coalesce(F.col("h_lines"), F.lit(0)) >= LINES
     fixed = familiar & (share >= 1 - HABIT)
-    prose = (familiar & (share <= HABIT)) | (~fixed & ((F.col("words") >= LONG) | F.col("inner_stop") | F.col("kana"))) | (F.col("inner_stop") & (F.col("words") >= 2 * LONG))
-    rows = rows.select("doc_id", "source", "chars", "bytes", "print", "open_end", (F.col("marker") & open_end).alias("marker"), (open_end & F.coalesce("is_prefix", F.lit(False))).alias("prefix"), (open_end & prose).alias("open"))
+    prose = (
+        (familiar & (share <= HABIT))
+        | (~fixed & ((F.col("words") >= LONG) | F.col("inner_stop") | F.col("kana")))
+        | (F.col("inner_stop") & (F.col("words") >= 2 * LONG))
+    )
+    rows = rows.select(
+        "doc_id", "source", "chars", "bytes", "print", "open_end", (F.col("marker") & open_end).alias("marker"),
+        (open_end & F.coalesce("is_prefix", F.lit(False))).alias("prefix"), (open_end & prose).alias("open")
+    )
     judged, _ = written(rows.withColumn("other", F.col("marker") | F.col("prefix") | F.col("open")), "judged")
 
     found = limits(judged)
@@ -121,4 +147,11 @@ def by_source(documents: DataFrame) -> DataFrame:
     """How often each source truncates: source, texts, cut, share, by which evidence, and by vocabulary, length or marker (``by_method``) or by nothing but open prose (``by_open_only``)."""
     found = endings(documents).withColumn("method", F.expr("prefix or `limit` or marker")).withColumn("open_only", F.expr("cut and not method"))
     count = lambda c: F.sum(F.col(c).cast("int")).cast("long").alias(f"by_{c}")
-    return found.groupBy("source").agg(F.count("*").alias("texts"), F.sum(F.col("cut").cast("int")).cast("long").alias("cut"), F.round(F.avg(F.col("cut").cast("double")), 6).alias("share"), *[count(c) for c in ("marker", "prefix", "open", "limit", "method", "open_only")])
+    return (
+        found.groupBy("source")
+            .agg(
+                F.count("*").alias("texts"), F.sum(F.col("cut").cast("int")).cast("long").alias("cut"),
+                F.round(F.avg(F.col("cut").cast("double")), 6).alias("share"),
+                *[count(c) for c in ("marker", "prefix", "open", "limit", "method", "open_only")]
+            )
+    )

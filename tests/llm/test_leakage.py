@@ -19,13 +19,24 @@ def test_search_like_brute_force(length, data):
     texts = data.draw(st.lists(st.text("ab ", max_size=90), max_size=6))
     lengths = np.array([len(t) for t in texts], np.int64)
     starts = np.cumsum(lengths) - lengths
-    pos, number = Patterns([p.encode() for p in patterns], length).search(np.frombuffer("".join(texts).encode() + bytes(16), np.uint8), starts, lengths)
-    want = sorted((int(s) + i, k) for s, t in zip(starts, texts) for i in range(len(t) - length + 1) for k, p in enumerate(patterns) if t[i : i + length] == p)
+    pos, number = (
+        Patterns([p.encode() for p in patterns], length).search(np.frombuffer("".join(texts).encode() + bytes(16), np.uint8), starts, lengths)
+    )
+    want = sorted(
+        (int(s) + i, k) for s, t in zip(starts, texts) for i in range(len(t) - length + 1) for k, p in enumerate(patterns) if t[i : i + length] == p
+    )
     assert sorted(zip(pos.tolist(), number.tolist())) == want
 
 
 def sentence(r, n=14):
-    return " ".join(f"{r.choice(['the', 'every', 'our'])} {r.choice(NOUNS)} {r.choice(VERBS)}" if i % 3 == 0 else f"{r.choice(NOUNS)}{r.randint(1, 99)}" for i in range(n)).capitalize() + "."
+    return (
+        " ".join(
+            f"{r.choice(['the', 'every', 'our'])} {r.choice(NOUNS)} {r.choice(VERBS)}" if i % 3 == 0 else f"{r.choice(NOUNS)}{r.randint(1, 99)}"
+            for i in range(n)
+        )
+            .capitalize()
+        + "."
+    )
 
 
 def test_whole_sentences_runs_and_altered_text_leak_but_quotes_and_stock_do_not(spark):
@@ -50,7 +61,10 @@ def test_whole_sentences_runs_and_altered_text_leak_but_quotes_and_stock_do_not(
         doc(STOCK if i % 10 == 0 else "")
     rows += [(9998, None, "x"), (9999, "", "x"), (None, items[0][1][0], "x"), (9997, "x" * 200_000, "x"), rows[0]]
     docs = spark.createDataFrame(rows, "doc_id long, text string, item_id string").repartition(4)
-    tests = spark.createDataFrame([(k, " ".join([*own, STOCK])) for k, own in items] + [(None, "x"), (77, None), (78, ""), (0, " ".join([*items[0][1], STOCK]))], "item_id long, text string")
+    tests = spark.createDataFrame(
+        [(k, " ".join([*own, STOCK])) for k, own in items] + [(None, "x"), (77, None), (78, ""), (0, " ".join([*items[0][1], STOCK]))],
+        "item_id long, text string"
+    )
     got = {(x["item_id"], x["doc_id"]) for x in leakage.leaks(docs, tests).collect()}
     assert got == want
     assert leakage.leaks(docs.where("false"), tests).count() == 0 and leakage.leaks(docs, tests.where("false")).count() == 0
@@ -86,7 +100,10 @@ def test_a_run_around_a_stock_sentence_leaks(spark):
     b, c = (sentence(r).split() for _ in range(2))
     items = [(0, " ".join([*b, STOCK, *c])), (1, f"{sentence(r, 5)} {STOCK}")]  # the stock is more than half of the second
     run = " ".join([*b[-(len(b) * 6 // 10) :], STOCK, *c[: len(c) * 6 // 10]])
-    docs = [f"{sentence(r)} {run} {sentence(r)}", f"{STOCK} {sentence(r) * 30} {run} {sentence(r)}"] + [f"{sentence(r)} {STOCK} {sentence(r)}" for _ in range(30)]
+    docs = (
+        [f"{sentence(r)} {run} {sentence(r)}", f"{STOCK} {sentence(r) * 30} {run} {sentence(r)}"]
+        + [f"{sentence(r)} {STOCK} {sentence(r)}" for _ in range(30)]
+    )
     assert _pairs(spark, docs, items) == {(0, 0), (0, 1)}
 
 
@@ -94,7 +111,10 @@ def test_sentences_that_several_items_share_leak_in_any_blocks(spark, monkeypatc
     r = random.Random(5)
     shared = [sentence(r) for _ in range(3)]
     items = [(k, " ".join([*shared, STOCK])) for k in range(-2, 3)]
-    docs = [f"{sentence(r)} {' '.join(shared)} {sentence(r)}", f"{sentence(r)} {shared[1]} {sentence(r)}"] + [f"{sentence(r)} {STOCK} {sentence(r)}" for _ in range(30)]
+    docs = (
+        [f"{sentence(r)} {' '.join(shared)} {sentence(r)}", f"{sentence(r)} {shared[1]} {sentence(r)}"]
+        + [f"{sentence(r)} {STOCK} {sentence(r)}" for _ in range(30)]
+    )
     for size in (1, 700, 1 << 22):
         monkeypatch.setattr(leakage, "BLOCK_BYTES", size)
         assert _pairs(spark, docs, items) == {(k, d) for k in range(-2, 3) for d in (0, 1)}
@@ -102,7 +122,10 @@ def test_sentences_that_several_items_share_leak_in_any_blocks(spark, monkeypatc
 
 def test_short_sentences_and_texts_leak_where_they_stand_as_sentences(spark):
     r = random.Random(6)
-    items = [(0, "Go home now. " + sentence(r)), (1, "検索は速いです。索引は小さいままです。"), (2, "Ja."), (3, "Try it twice. Then rest. Wake up late. Eat well. Sing aloud.")]
+    items = [
+        (0, "Go home now. " + sentence(r)), (1, "検索は速いです。索引は小さいままです。"), (2, "Ja."),
+        (3, "Try it twice. Then rest. Wake up late. Eat well. Sing aloud.")
+    ]
     docs = ["Go home now.", "He said: “Go\nhome now!” and left", "when you go home now and then", "検索は速いです。", "それから、検索は速いです。次へ", "ja, ja", "x\nJa\ny"]
     docs += ["they did it twice then rest wake up late eat well and so on", "", "-" * 100_000 + "\n" + "= " * 50_000]
     assert _pairs(spark, docs, items) == {(0, 0), (0, 1), (1, 3), (1, 4), (2, 6), (3, 7)}
@@ -113,7 +136,10 @@ def test_one_hit_and_long_words_are_enough(spark):
     words = sentence(r, 12).rstrip(".").split()
     items = [(0, " ".join(words) + "."), (1, "The quick brown fox jumps over the lazy dog.")]
     long = [w + "x" * 40 if i % 5 == 4 else w for i, w in enumerate(words)]
-    docs = [f"{sentence(r)} {' '.join(long)} {sentence(r)}", "once the quick brown cat jumps over the lazy dog again", "the slow brown fox sleeps below a lazy dog"]
+    docs = [
+        f"{sentence(r)} {' '.join(long)} {sentence(r)}", "once the quick brown cat jumps over the lazy dog again",
+        "the slow brown fox sleeps below a lazy dog"
+    ]
     assert _pairs(spark, docs, items) == {(0, 0), (1, 1)}
 
 

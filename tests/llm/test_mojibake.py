@@ -18,7 +18,11 @@ Proszę sprawdzić, czy plik {n} leży w folderze i czy wskaźnik został zamkni
 Ο κατάλογος δεν περιέχει το αρχείο στη θέση {n}.
 The report lists {n} files and none of them was moved.
 検索結果は {n} 件までしか保存できません。""".split("\n")
-PAIRS = [("utf-8", "cp1252", "Für"), ("utf-8", "cp1251", "Für"), ("utf-8", "mac_roman", "Não"), ("utf-8", "cp437", "Проверьте"), ("cp1251", "cp1252", "Проверьте"), ("koi8_r", "cp1251", "Проверьте"), ("cp1250", "cp1252", "Proszę"), ("cp1253", "cp1252", "Ο κατ"), ("cp1252", "cp850", "Für")]
+PAIRS = [
+    ("utf-8", "cp1252", "Für"), ("utf-8", "cp1251", "Für"), ("utf-8", "mac_roman", "Não"), ("utf-8", "cp437", "Проверьте"),
+    ("cp1251", "cp1252", "Проверьте"), ("koi8_r", "cp1251", "Проверьте"), ("cp1250", "cp1252", "Proszę"), ("cp1253", "cp1252", "Ο κατ"),
+    ("cp1252", "cp850", "Für")
+]
 
 
 def _corpus():
@@ -37,7 +41,10 @@ def test_garbled_text_is_found_and_restored(spark):
     rows.append((20_001, "The report lists 5 files, nÃ©"))
     rows.append((20_002, "Für � gr��ere Bl�cke"))
     want |= {20_000: twice, 20_001: partly, 20_002: None}
-    rows += [(30_000, None), (30_001, ""), (30_002, "plain"), (30_003, "ÄÖÜ ß | ÅØÆ " + SENTENCES[5].format(n=1)), (10_000, rows[3000][1]), (30_004, SENTENCES[1].format(n=2) * 400)]
+    rows += [
+        (30_000, None), (30_001, ""), (30_002, "plain"), (30_003, "ÄÖÜ ß | ÅØÆ " + SENTENCES[5].format(n=1)), (10_000, rows[3000][1]),
+        (30_004, SENTENCES[1].format(n=2) * 400)
+    ]
     df = spark.createDataFrame([(*x, "clash") for x in rows], "id long, snippet string, text string")
     got = {r["id"]: r["restored"] for r in mojibake.garbled(df, "id", "snippet").collect()}
     assert got == want
@@ -59,12 +66,17 @@ def test_suspects_miss_nothing_that_labelling_finds(spark):
 
 def test_swapped_and_wide_text_comes_back_whole(spark):
     kanji = "検索の最後の結果は一件ＯＫです。"
-    labeller = mojibake.Labeller(mojibake.train(spark.createDataFrame([*_corpus(), *[(5000 + i, kanji) for i in range(50)]], "id long, s string"), "s"))
+    labeller = mojibake.Labeller(
+        mojibake.train(spark.createDataFrame([*_corpus(), *[(5000 + i, kanji) for i in range(50)]], "id long, s string"), "s")
+    )
     line = SENTENCES[9].replace("保存", "検索")  # 保 swapped is half of a surrogate pair
     swapped = [line.format(n=3), kanji + line.format(n=4)]
     wide = [s.format(n=n) for s in SENTENCES for n in (3, 44) if len(s.format(n=n).encode()) % 2 == 0]
     want = swapped + wide + wide
-    texts = [t.encode("utf-16-le").decode("utf-16-be") for t in swapped] + [t.encode().decode(order) for order in ("utf-16-le", "utf-16-be") for t in wide]
+    texts = (
+        [t.encode("utf-16-le").decode("utf-16-be") for t in swapped]
+        + [t.encode().decode(order) for order in ("utf-16-le", "utf-16-be") for t in wide]
+    )
     assert [(t, whole) for _, t, whole in labeller.restore(texts)[0]] == [(t, True) for t in want]
 
 
@@ -89,7 +101,15 @@ def test_characters_beyond_the_alphabet_share_a_class_per_block(spark, monkeypat
 @pytest.mark.skipif(not Path(DATA).exists(), reason="no test tables")
 def test_held_out_snippets_come_back(spark):
     """Snippets that the model hasn't seen, garbled here: at least nine in ten are found, and of those that lost no byte nine in ten are restored exactly."""
-    clean = spark.read.parquet(f"{DATA}/search_results.parquet").select("result_id", "snippet").where("snippet is not null").distinct().orderBy("result_id").limit(4000).collect()
+    clean = (
+        spark.read.parquet(f"{DATA}/search_results.parquet")
+            .select("result_id", "snippet")
+            .where("snippet is not null")
+            .distinct()
+            .orderBy("result_id")
+            .limit(4000)
+            .collect()
+    )
     seen, held = [tuple(r) for r in clean[:3000]], [r["snippet"] for r in clean[3000:]]
     labeller = mojibake.Labeller(mojibake.train(spark.createDataFrame(seen, "id long, s string"), "s"))
     ready, _ = labeller.restore(held)

@@ -48,11 +48,22 @@ def test_trie_holds_proper_prefixes(spark):
 
 def test_long_marks_and_peaks_beside_others(spark):
     r = random.Random(4)
-    rows = [(k, prose(r), "a") for k in range(60)] + [(100, prose(r)[:100].rstrip() + " gar" + " [truncated]" * 30, "a"), (101, prose(r) + " ..." * 60, "a")]
+    rows = (
+        [(k, prose(r), "a") for k in range(60)]
+        + [(100, prose(r)[:100].rstrip() + " gar" + " [truncated]" * 30, "a"), (101, prose(r) + " ..." * 60, "a")]
+    )
     texts = spark.createDataFrame(rows, "doc_id long, text string, source string")
     found = {x["doc_id"]: x for x in truncation.endings(texts).where("doc_id >= 100").collect()}
     assert found[100]["marker"] and found[100]["prefix"] and found[100]["cut"] and not found[101]["cut"]
-    judged = [(s, n, 0, 1000 * n + k, True) for s, n, times in (("a", 50, 6), ("a", 55, 1), ("a", 300, 6), ("a", 310, 3), (None, 50, 3), ("b", 50, 2)) for k in range(times)]
+    judged = [
+        (s, n, 0, 1000 * n + k, True)
+        for s, n, times in (("a", 50, 6), ("a", 55, 1), ("a", 300, 6), ("a", 310, 3), (None, 50, 3), ("b", 50, 2))
+        for k in range(times)
+    ]
     judged += [("a", 700, 0, 9_000_000 + k, k < 2) for k in range(8)]  # most of them are whole
-    peaks = truncation.limits(spark.createDataFrame(judged, "source string, chars int, bytes int, print long, other boolean")).where("measure = 'chars'").collect()
+    peaks = (
+        truncation.limits(spark.createDataFrame(judged, "source string, chars int, bytes int, print long, other boolean"))
+            .where("measure = 'chars'")
+            .collect()
+    )
     assert {(x["source"], x["size"]) for x in peaks} == {("a", 50), (None, 50)}
