@@ -24,11 +24,18 @@ class Catalogue:
     listing: cursors hold for it only.
     """
 
-    def __init__(self, entries: DataFrame, signals: DataFrame | None = None, picks: DataFrame | None = None, features: dict[str, Callable[[str], Column | DataFrame]] | None = None, words: DataFrame | None = None, name_words: DataFrame | None = None, identity: str = ""):
+    def __init__(
+        self, entries: DataFrame, signals: DataFrame | None = None, picks: DataFrame | None = None,
+        features: dict[str, Callable[[str], Column | DataFrame]] | None = None, words: DataFrame | None = None, name_words: DataFrame | None = None,
+        identity: str = ""
+    ):
         self.entries, self.signals, self.picks, self.features = entries, signals, picks, features or {}
         self.words, self.name_words, self.identity = words, name_words, identity
 
-    def search(self, text: str, settings: Settings = Settings(), limit: int = searching.DEFAULT_LIMIT, cursor: str = "", bias: str = "", forgive: bool = True, existing: bool = False) -> DataFrame:
+    def search(
+        self, text: str, settings: Settings = Settings(), limit: int = searching.DEFAULT_LIMIT, cursor: str = "", bias: str = "",
+        forgive: bool = True, existing: bool = False
+    ) -> DataFrame:
         """One page of entries. A first page without any row is searched again with slips forgiven, unless ``forgive`` is off.
 
         ``existing`` keeps files that are there now; below a folder of this machine (``settings.under``) it always does.
@@ -74,7 +81,10 @@ class Catalogue:
     def results(self, text: str, settings: Settings = Settings(), **more) -> DataFrame:
         return searching.results(self.search(text, settings, **more), parse(text, settings))
 
-    def ranked(self, text: str, user: str, settings: Settings = Settings(), limit: int = searching.DEFAULT_LIMIT, current: str = "", commits: DataFrame | None = None) -> DataFrame:
+    def ranked(
+        self, text: str, user: str, settings: Settings = Settings(), limit: int = searching.DEFAULT_LIMIT, current: str = "",
+        commits: DataFrame | None = None
+    ) -> DataFrame:
         """A page in the order of a person's habits; adds position and place."""
         from pyspark.sql import Window
 
@@ -108,7 +118,9 @@ class Catalogue:
         return Catalogue.opened_at(self.entries.sparkSession, at, self.signals, self.picks, self.features)
 
     @classmethod
-    def opened_at(cls, spark: SparkSession, path: str, signals: DataFrame | None = None, picks: DataFrame | None = None, features: dict | None = None) -> Catalogue:
+    def opened_at(
+        cls, spark: SparkSession, path: str, signals: DataFrame | None = None, picks: DataFrame | None = None, features: dict | None = None
+    ) -> Catalogue:
         """The catalogue that ``content_index`` wrote; its identity is what its files are called."""
         read = {name: spark.read.parquet(f"{path}/{name}") for name in ("entries", "words", "name_words")}
         return cls(read["entries"], signals, picks, features, read["words"], read["name_words"], listing_of(read["entries"]))
@@ -121,9 +133,14 @@ class Catalogue:
 
     def opened(self, user: str, path: str, at: int | None = None) -> Catalogue:
         """A catalogue that knows of one more opening."""
-        row = self.entries.sparkSession.createDataFrame([(user, path, 1, 1.0, at or int(time.time()))], "user_id string, path string, opens long, score double, last_open_unix long")
+        row = self.entries.sparkSession.createDataFrame(
+            [(user, path, 1, 1.0, at or int(time.time()))], "user_id string, path string, opens long, score double, last_open_unix long"
+        )
         columns = ["user_id", "path", "opens", "score", "last_open_unix"]
-        return Catalogue(self.entries, row if self.signals is None else self.signals.select(*columns).unionByName(row), self.picks, self.features, self.words, self.name_words, self.identity)
+        return Catalogue(
+            self.entries, row if self.signals is None else self.signals.select(*columns).unionByName(row), self.picks, self.features, self.words,
+            self.name_words, self.identity
+        )
 
     def watch(self, since: DataFrame) -> DataFrame:
         """Events that lead from an earlier state of the entries to this one."""

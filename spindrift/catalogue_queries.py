@@ -103,7 +103,11 @@ MATCHES: dict[str, tuple[str, str, Settings]] = {
     "q_content_regex": (r"content:/build \d+,/", "regexp_matches(text, '(?i)build \\d+,')", AT),
     "q_content_regex_lines": (r"content:/^limit = \d+$/", "regexp_matches(text, '(?im)^limit = \\d+$')", AT),
     "q_content_not": ("!content:journal ext:md", "not coalesce(contains(lower(text), 'journal') or contains(strip_accents(lower(text)), 'journal'), false) and ext_l = 'md'", AT),
-    "q_content_joint": ("ext:md content:journal|quarry", f"ext_l = 'md' and (coalesce(contains(lower(text), 'journal') or contains(strip_accents(lower(text)), 'journal'), false) or {_both('quarry')})", AT),
+    "q_content_joint": (
+        "ext:md content:journal|quarry",
+        f"ext_l = 'md' and (coalesce(contains(lower(text), 'journal') or contains(strip_accents(lower(text)), 'journal'), false) or {_both('quarry')})",
+        AT
+    )
 }
 
 
@@ -143,7 +147,9 @@ def _page(text: str, more: dict) -> Callable[[SparkSession, str], DataFrame]:
 
 for _name, (_text, _condition, _order, _more) in PAGES.items():
     QUERIES[_name] = _page(_text, _more)
-    SQL[_name] = f"{ENTRIES_SQL} select path, size, mod_ns from e where {_condition} order by {_order} limit {_more.get('limit', 100)} offset {_more.get('offset', 0)}"
+    SQL[
+        _name
+    ] = f"{ENTRIES_SQL} select path, size, mod_ns from e where {_condition} order by {_order} limit {_more.get('limit', 100)} offset {_more.get('offset', 0)}"
 
 
 _FOLDER_BYTES = f"""fs as (select volume, string_split(path, {B}) as p, size, name_l from e where not is_dir),
@@ -152,7 +158,9 @@ sized as (select e.* replace (cast(coalesce(case when is_dir then s.b else e.siz
 QUERIES["s_size"] = _page("quarry sort:size", {})
 SQL["s_size"] = f"{ENTRIES_SQL}, {_FOLDER_BYTES} select path, size, mod_ns from sized where {_both('quarry')} order by size, {_NAME_ORDER} limit 100"
 QUERIES["s_size_folders"] = _page("type:dir vendor sort:size", {})
-SQL["s_size_folders"] = f"{ENTRIES_SQL}, {_FOLDER_BYTES} select path, size, mod_ns from sized where is_dir and {_both('vendor')} order by size, {_NAME_ORDER} limit 100"
+SQL[
+    "s_size_folders"
+] = f"{ENTRIES_SQL}, {_FOLDER_BYTES} select path, size, mod_ns from sized where is_dir and {_both('vendor')} order by size, {_NAME_ORDER} limit 100"
 
 
 def _query(sql: str | None = None):
@@ -219,7 +227,8 @@ def o_relevance(spark, sf_dir):
 #: A definition of a name, and a line that only uses it, per language.
 _CODE = {
     "go": ("func (s *T) {0}(x int) {{", "\t{0}()"), "h": ("class {0} : public Base {{", "class {0};"), "py": ("    async def {0}(self):", "# def {0}()"),
-    "ts": ("  {0}(a: number): void {{", "const x = new {0}();"), "rs": ("pub fn {0}() {{}}", "let y = {0}();"), "java": ("  public static int {0}(int x) {{ return x; }}", "  int {0}(int x);"),
+    "ts": ("  {0}(a: number): void {{", "const x = new {0}();"), "rs": ("pub fn {0}() {{}}", "let y = {0}();"),
+    "java": ("  public static int {0}(int x) {{ return x; }}", "  int {0}(int x);")
 }
 _NAMED = r"\b([a-z]+)[A-Z][A-Za-z]+\b"
 
@@ -228,11 +237,23 @@ def _code(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Source files, one a document: files of an even number define the first name in it that is spelt like a function, the others use it."""
     name, shape = F.regexp_extract("text", _NAMED, 1), F.lit("")
     for i, (yes, no) in enumerate(_CODE.values()):
-        line = [F.concat(F.lit(x.split("{0}")[0].replace("{{", "{").replace("}}", "}")), name, F.lit(x.split("{0}")[1].replace("{{", "{").replace("}}", "}"))) for x in (yes, no)]
+        line = [
+            F.concat(
+                F.lit(x.split("{0}")[0].replace("{{", "{").replace("}}", "}")), name, F.lit(x.split("{0}")[1].replace("{{", "{").replace("}}", "}"))
+            )
+            for x in (yes, no)
+        ]
         shape = F.when(F.col("doc_id") % 6 == i, F.when(F.floor(F.col("doc_id") / 6) % 2 == 0, line[0]).otherwise(line[1])).otherwise(shape)
     ext = F.get(F.array(*map(F.lit, _CODE)), (F.col("doc_id") % 6).cast("int"))
     docs = table(spark, sf_dir, "documents").where(name != "")
-    return enriched(docs.select("volume", F.col("doc_id").alias("frn"), F.concat("volume", F.lit("\\code\\f"), F.col("doc_id").cast("string"), F.lit("."), ext).alias("path"), F.lit(32).cast("long").alias("mode"), F.lit(1).cast("long").alias("size"), F.lit(1).cast("long").alias("mod_ns"), F.lit("code").alias("source"), F.concat(F.lit("// \n"), shape, F.lit("\nend")).alias("text")))
+    return enriched(
+        docs.select(
+            "volume", F.col("doc_id").alias("frn"),
+            F.concat("volume", F.lit("\\code\\f"), F.col("doc_id").cast("string"), F.lit("."), ext).alias("path"),
+            F.lit(32).cast("long").alias("mode"), F.lit(1).cast("long").alias("size"), F.lit(1).cast("long").alias("mod_ns"),
+            F.lit("code").alias("source"), F.concat(F.lit("// \n"), shape, F.lit("\nend")).alias("text")
+        )
+    )
 
 
 _CODE_SQL = f"with c as (select volume || {B} || 'code' || {B} || 'f' || doc_id || '.' || (['go', 'h', 'py', 'ts', 'rs', 'java'])[doc_id % 6 + 1] as path, doc_id, regexp_extract(text, '{_NAMED}', 1) as name from documents)"
@@ -248,13 +269,1013 @@ def f_near_content(spark, sf_dir):
     return search.matching(entries(spark, sf_dir), parse("content~1:jurnal", AT), words=words(spark, sf_dir)).select("path")
 
 
-@_query(_CLOSE.format("quarri", 6) + """ select e.path, cast(dist as int) as dist, cast(levenshtein(a.name_f, 'quarri') as int) as whole, cast("at" as int) as "at" from e join a on a.name_f = e.name_f""")
+@_query(
+    _CLOSE.format("quarri", 6)
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    + """ select e.path, cast(dist as int) as dist, cast(levenshtein(a.name_f, 'quarri') as int) as whole, cast("at" as int) as "at" from e join a on a.name_f = e.name_f"""
+)
 def f_close_names(spark, sf_dir):
     """Names within the edits that the term may need."""
     return fuzzy.close_names(entries(spark, sf_dir), parse("quarri", AT)).select("path", "dist", "whole", "at")
 
 
-@_query(_CLOSE.format("qaurry", 6) + " select path, cast(dist as int) as dist from (select e.*, dist from e join a on a.name_f = e.name_f) order by dist, name_l, path limit 100")
+@_query(
+    _CLOSE.format("qaurry", 6)
+    + " select path, cast(dist as int) as dist from (select e.*, dist from e join a on a.name_f = e.name_f) order by dist, name_l, path limit 100"
+)
 def f_topped_up(spark, sf_dir):
     files, q = entries(spark, sf_dir), parse("qaurry", AT)
     return fuzzy.topped_up(files, search.matching(files, q), q, 100).select("path", "dist")
@@ -273,12 +1294,1011 @@ def f_count_respelt(spark, sf_dir):
     return Catalogue(entries(spark, sf_dir), words=words(spark, sf_dir), name_words=name_words(spark, sf_dir)).count("content:joyrnal", AT)
 
 
-@_query(_WORDS_SQL + " select term, cast(damerau_levenshtein(term, 'jurnal') as int) as distance, count(distinct path) as df from w where damerau_levenshtein(term, 'jurnal') = 1 group by all")
+@_query(
+    _WORDS_SQL
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    + " select term, cast(damerau_levenshtein(term, 'jurnal') as int) as distance, count(distinct path) as df from w where damerau_levenshtein(term, 'jurnal') = 1 group by all"
+)
 def f_corrected_words(spark, sf_dir):
     return content.corrected(entries(spark, sf_dir), "jurnal", words(spark, sf_dir)).select("term", "distance", "df")
 
 
-@_query(f"{ENTRIES_SQL}, {_FOLDER_BYTES} select volume, path, cast(sum(size) as bigint) as bytes, count(*) as files, min(name_l) as first_name from up group by 1, 2")
+@_query(
+    f"{ENTRIES_SQL}, {_FOLDER_BYTES} select volume, path, cast(sum(size) as bigint) as bytes, count(*) as files, min(name_l) as first_name from up group by 1, 2"
+)
 def r_folder_bytes(spark, sf_dir):
     return rollup.folder_bytes(entries(spark, sf_dir))
 
@@ -294,22 +2314,30 @@ def r_vocabulary(spark, sf_dir):
     return content.vocabulary(entries(spark, sf_dir))
 
 
-@_query(f"""{ENTRIES_SQL}, g as (select distinct path, substring(name_l, i, 3) as gram from (select path, name_l, unnest(range(1, length(name_l) - 1)) as i from e where length(name_l) >= 3)) select gram, count(*) as n_rows from g group by gram""")
+@_query(
+    f"""{ENTRIES_SQL}, g as (select distinct path, substring(name_l, i, 3) as gram from (select path, name_l, unnest(range(1, length(name_l) - 1)) as i from e where length(name_l) >= 3)) select gram, count(*) as n_rows from g group by gram"""
+)
 def r_gram_counts(spark, sf_dir):
     return rollup.gram_counts(entries(spark, sf_dir).select("path", "name").distinct(), "path", "name")
 
 
-@_query(f"{ENTRIES_SQL}, d as (select sha256(text) as digest, octet_length(encode(text)) as b, count(*) as files from e where text is not null group by 1, 2) select digest, files, cast(b * (files - 1) as bigint) as bytes from d where files > 1")
+@_query(
+    f"{ENTRIES_SQL}, d as (select sha256(text) as digest, octet_length(encode(text)) as b, count(*) as files from e where text is not null group by 1, 2) select digest, files, cast(b * (files - 1) as bigint) as bytes from d where files > 1"
+)
 def r_duplicates(spark, sf_dir):
     return rollup.duplicates(entries(spark, sf_dir))
 
 
-@_query(f"{ENTRIES_SQL}, k as (select path, sha256(text) as digest from e where text is not null), f as (select digest, min(path) as first_path from k group by 1) select path, first_path from k join f using (digest) where path <> first_path")
+@_query(
+    f"{ENTRIES_SQL}, k as (select path, sha256(text) as digest from e where text is not null), f as (select digest, min(path) as first_path from k group by 1) select path, first_path from k join f using (digest) where path <> first_path"
+)
 def r_copies(spark, sf_dir):
     return rollup.aliases(entries(spark, sf_dir))
 
 
-@_query(f"{ENTRIES_SQL} select volume, count(*) as n_entries, count(distinct name) as n_names, cast(sum(length(name)) as bigint) as name_chars, cast(sum(is_dir::int) as bigint) as n_folders from e group by volume")
+@_query(
+    f"{ENTRIES_SQL} select volume, count(*) as n_entries, count(distinct name) as n_names, cast(sum(length(name)) as bigint) as name_chars, cast(sum(is_dir::int) as bigint) as n_folders from e group by volume"
+)
 def r_statistics(spark, sf_dir):
     return rollup.statistics(entries(spark, sf_dir))
 
@@ -336,7 +2364,9 @@ def u_habits(spark, sf_dir):
     return ranking.habits(table(spark, sf_dir, "query_picks"))
 
 
-@_query("select user_id, path, max(last_open_unix) as last_open_unix from file_signals where last_open_unix is not null group by all order by 3 desc, path, user_id limit 50")
+@_query(
+    "select user_id, path, max(last_open_unix) as last_open_unix from file_signals where last_open_unix is not null group by all order by 3 desc, path, user_id limit 50"
+)
 def u_recent(spark, sf_dir):
     return ranking.recent(table(spark, sf_dir, "file_signals"), 50)
 
@@ -347,7 +2377,9 @@ def u_compacted(spark, sf_dir):
     return ranking.compact(table(spark, sf_dir, "file_signals"))
 
 
-@_query("select user_id, path, count(*) as opens, round(sum(pow(0.5, greatest(0, (1782800000 - coalesce(last_open_unix, 1782800000)) / 86400.0) / 30.0)), 9) as score, max(last_open_unix) as last_open from file_signals where path is not null group by all")
+@_query(
+    "select user_id, path, count(*) as opens, round(sum(pow(0.5, greatest(0, (1782800000 - coalesce(last_open_unix, 1782800000)) / 86400.0) / 30.0)), 9) as score, max(last_open_unix) as last_open from file_signals where path is not null group by all"
+)
 def u_frecency(spark, sf_dir):
     opens = table(spark, sf_dir, "file_signals").withColumn("opened", F.col("last_open_unix"))
     return ranking.frecency(opens, F.lit(1_782_800_000)).withColumn("score", F.round("score", 9)).withColumn("last_open", F.col("last_open"))
@@ -359,7 +2391,15 @@ def u_blended(spark, sf_dir):
     from pyspark.sql import Window
 
     signals, picks = table(spark, sf_dir, "file_signals"), table(spark, sf_dir, "query_picks")
-    rows = enriched(signals.where("user_id = 'user-000'").select(F.substring("path", 1, 2).alias("volume"), F.lit(None).cast("long").alias("frn"), "path", F.lit(32).cast("long").alias("mode"), F.lit(0).cast("long").alias("size"), F.lit(0).cast("long").alias("mod_ns"), F.lit("signals").alias("source"), F.lit(None).cast("string").alias("text")).distinct())
+    rows = enriched(
+        signals.where("user_id = 'user-000'")
+            .select(
+                F.substring("path", 1, 2).alias("volume"), F.lit(None).cast("long").alias("frn"), "path", F.lit(32).cast("long").alias("mode"),
+                F.lit(0).cast("long").alias("size"), F.lit(0).cast("long").alias("mod_ns"), F.lit("signals").alias("source"),
+                F.lit(None).cast("string").alias("text")
+            )
+            .distinct()
+    )
     page = search.search(rows, "raven", AT)
     q = parse("raven", AT)
     ordered = page.withColumn("position", F.row_number().over(Window.orderBy(*search.order(q))))
@@ -370,12 +2410,25 @@ def _with_git(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paths of search results with every state that any result reports of them."""
     states = ("modified", "staged", "untracked", "ignored", "conflict", "clean", "tracked")
     rows = table(spark, sf_dir, "search_results").where("path is not null").withColumn("path", F.translate("path", "/", "\\"))
-    once = rows.groupBy("path").agg(F.min("volume").alias("volume"), F.max("size").alias("size"), F.max("is_dir").alias("is_dir"), *[F.max(F.col("git_status") == c).alias(c) for c in states])
-    shaped = enriched(once.select("volume", F.lit(None).cast("long").alias("frn"), "path", F.when(F.col("is_dir"), 16).otherwise(32).cast("long").alias("mode"), "size", F.lit(0).cast("long").alias("mod_ns"), F.lit("results").alias("source"), F.lit(None).cast("string").alias("text")))
+    once = (
+        rows.groupBy("path")
+            .agg(
+                F.min("volume").alias("volume"), F.max("size").alias("size"), F.max("is_dir").alias("is_dir"),
+                *[F.max(F.col("git_status") == c).alias(c) for c in states]
+            )
+    )
+    shaped = enriched(
+        once.select(
+            "volume", F.lit(None).cast("long").alias("frn"), "path", F.when(F.col("is_dir"), 16).otherwise(32).cast("long").alias("mode"), "size",
+            F.lit(0).cast("long").alias("mod_ns"), F.lit("results").alias("source"), F.lit(None).cast("string").alias("text")
+        )
+    )
     return shaped.join(once.select("path", F.struct(*states).alias("git")), "path")
 
 
-@_query("""select replace(path, '/', chr(92)) as path from search_results where path is not null and path <> '' group by 1 having bool_or(git_status in ('modified', 'untracked'))""")
+@_query(
+    """select replace(path, '/', chr(92)) as path from search_results where path is not null and path <> '' group by 1 having bool_or(git_status in ('modified', 'untracked'))"""
+)
 def q_git(spark, sf_dir):
     """Files in one of several states of version control; a path that is reported in several states has all of them."""
     return search.matching(_with_git(spark, sf_dir), parse("git:modified git:untracked", AT)).select("path")
@@ -433,29 +2486,46 @@ def w_overlay(spark, sf_dir):
     """The April state under the changes that came after."""
     base = feed.transitions(_changes(spark, sf_dir).where(_APRIL), _ORDER, "true").where("b is not null").select("volume", "frn", "b.*")
     later = table(spark, sf_dir, "feature_feed").where("received_at >= timestamp '2026-04-01 00:00:00Z'")
-    return feed.overlay(base, later.select("volume", "frn", F.col("checkpoint_usn").alias("usn"), F.col("feed_cursor").alias("seq"), "deleted", "path", "size", F.col("mod_unix").alias("mod_ns"))).select("volume", "frn", "path")
-
-
-@_query("select volume, frn, scan_month, seq from records r where seq = (select max(seq) from (select seq, rank() over (order by scan_month desc, seq desc) as k from records x where x.volume = r.volume and x.frn = r.frn) where k = 1)")
+    return (
+        feed.overlay(
+            base,
+            later.select(
+                "volume", "frn", F.col("checkpoint_usn").alias("usn"), F.col("feed_cursor").alias("seq"), "deleted", "path", "size",
+                F.col("mod_unix").alias("mod_ns")
+            )
+        )
+            .select("volume", "frn", "path")
+    )
+
+
+@_query(
+    "select volume, frn, scan_month, seq from records r where seq = (select max(seq) from (select seq, rank() over (order by scan_month desc, seq desc) as k from records x where x.volume = r.volume and x.frn = r.frn) where k = 1)"
+)
 def w_occupants(spark, sf_dir):
     """Rows of the file that holds a record number last."""
     rows = table(spark, sf_dir, "records").select("volume", "frn", "scan_month", "seq", F.col("scan_month").alias("usn"))
     return feed.current_occupant(rows).select("volume", "frn", "scan_month", "seq")
 
 
-@_query(f"{ENTRIES_SQL}, k as (select volume, path, mod_ns, size, coalesce('f' || frn, 'p' || path_l) as k from e) select volume, path from (select *, row_number() over (partition by volume, k order by mod_ns desc, path desc, size desc) as rn from k) where rn = 1")
+@_query(
+    f"{ENTRIES_SQL}, k as (select volume, path, mod_ns, size, coalesce('f' || frn, 'p' || path_l) as k from e) select volume, path from (select *, row_number() over (partition by volume, k order by mod_ns desc, path desc, size desc) as rn from k) where rn = 1"
+)
 def d_dedupe(spark, sf_dir):
     """One row a file of a listing that holds everything twice."""
     files = entries(spark, sf_dir)
     return search.dedupe(files.unionByName(files)).select("volume", "path")
 
 
-@_query(f"{ENTRIES_SQL}, p as (select path, row_number() over (order by {_NAME_ORDER}) as rn from e where ext_l = 'md') select sha256(string_agg(path, chr(0) order by rn) || chr(0)) as hash from p where rn <= 100")
+@_query(
+    f"{ENTRIES_SQL}, p as (select path, row_number() over (order by {_NAME_ORDER}) as rn from e where ext_l = 'md') select sha256(string_agg(path, chr(0) order by rn) || chr(0)) as hash from p where rn <= 100"
+)
 def d_page_hash(spark, sf_dir):
     return search.page_hash(search.search(entries(spark, sf_dir), "ext:md", AT))
 
 
-@_query(f"{ENTRIES_SQL} select sha256(string_agg(path, chr(0) order by name_l, path_l, path, frn nulls last) || chr(0)) as hash from e where ext_l = 'md'")
+@_query(
+    f"{ENTRIES_SQL} select sha256(string_agg(path, chr(0) order by name_l, path_l, path, frn nulls last) || chr(0)) as hash from e where ext_l = 'md'"
+)
 def d_whole_hash(spark, sf_dir):
     """The hash of a page that holds every match."""
     return search.page_hash(search.search(entries(spark, sf_dir), "ext:md", AT, limit=1 << 30))
@@ -469,12 +2539,1012 @@ def s_keyset(spark, sf_dir):
     return shop.search(text, AT, cursor=shop.cursor_behind(shop.search(text, AT), text, AT)).select("path")
 
 
-@_query("select user_id, query_norm, path, pick_count, last_unix, place from (select *, cast(row_number() over (partition by user_id, query_norm order by pick_count desc nulls last, last_unix desc nulls last, path) as int) as place from (select user_id, query_norm, path, max(pick_count) as pick_count, max(last_unix) as last_unix from query_picks group by all)) where place <= 8")
+@_query(
+    "select user_id, query_norm, path, pick_count, last_unix, place from (select *, cast(row_number() over (partition by user_id, query_norm order by pick_count desc nulls last, last_unix desc nulls last, path) as int) as place from (select user_id, query_norm, path, max(pick_count) as pick_count, max(last_unix) as last_unix from query_picks group by all)) where place <= 8"
+)
 def u_compacted_picks(spark, sf_dir):
     return ranking.compact_picks(table(spark, sf_dir, "query_picks"))
 
 
-SQL["r_latencies"] = "select " + ", ".join(f"quantile_disc(value, {p}) as {n}" for n, p in (("min", 0.0), ("p50", 0.5), ("p90", 0.9), ("p95", 0.95), ("p99", 0.99), ("max", 1.0))) + " from events"
+SQL["r_latencies"] = (
+    "select "
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    + ", ".join(f"quantile_disc(value, {p}) as {n}" for n, p in (("min", 0.0), ("p50", 0.5), ("p90", 0.9), ("p95", 0.95), ("p99", 0.99), ("max", 1.0)))
+    + " from events"
+)
 
 
 @_query(f"""with {_state_sql('a', "received_at < timestamptz '2026-04-01 00:00:00+00'")}, {_state_sql('b', 'true')}, c as (select coalesce(b.path, a.path) as path, a.size as old_size, b.size as new_size from a full join b on a.volume = b.volume and a.frn = b.frn where a.path is null or b.path is null or a.path = b.path),
@@ -483,7 +3553,11 @@ select path, cast(sum(d) as bigint) as delta from u group by path""")
 def r_folder_deltas(spark, sf_dir):
     """How folders grew since the beginning of April, by files that stayed where they were, came or went."""
     both = feed.transitions(_changes(spark, sf_dir), _ORDER, _APRIL).where("a.path is null or b.path is null or a.path = b.path")
-    return rollup.folder_deltas(both.select(F.translate(F.coalesce("b.path", "a.path"), "/", "\\").alias("path"), F.col("a.size").alias("old_size"), F.col("b.size").alias("new_size")))
+    return rollup.folder_deltas(
+        both.select(
+            F.translate(F.coalesce("b.path", "a.path"), "/", "\\").alias("path"), F.col("a.size").alias("old_size"), F.col("b.size").alias("new_size")
+        )
+    )
 
 
 @_query("""with r as (select run_id, state from index_runs where source = 'walk' group by all), p as (select volume, frn, max((print_mod, print_size)) as v, state = 'replaying' as opened from file_prints join r using (run_id) where state in ('ready', 'replaying') and frn is not null group by all),
@@ -494,7 +3568,11 @@ def w_reconcile(spark, sf_dir):
     from spindrift.operators.incremental import reconcile
 
     runs = table(spark, sf_dir, "index_runs").where("source = 'walk'").select("run_id", "state").distinct()
-    prints = table(spark, sf_dir, "file_prints").join(runs, "run_id").select("volume", "frn", F.col("print_size").alias("size"), F.col("print_mod").alias("mod"), "state")
+    prints = (
+        table(spark, sf_dir, "file_prints")
+            .join(runs, "run_id")
+            .select("volume", "frn", F.col("print_size").alias("size"), F.col("print_mod").alias("mod"), "state")
+    )
     return reconcile(prints.where("state = 'ready'"), prints.where("state = 'replaying'"))
 
 
@@ -513,13 +3591,17 @@ def _companion(spark: SparkSession, sf_dir: str) -> dict:
     return {"seen": lambda term: changes.where(F.col("size") >= int(term)).select("volume", "frn")}
 
 
-@_query(f"{ENTRIES_SQL} select path from e where (volume, frn) in (select (volume, frn) from feature_feed where size >= 100000 and frn is not null) and not ext_l = 'md'")
+@_query(
+    f"{ENTRIES_SQL} select path from e where (volume, frn) in (select (volume, frn) from feature_feed where size >= 100000 and frn is not null) and not ext_l = 'md'"
+)
 def q_feature(spark, sf_dir):
     """A companion's set of files, joined by key."""
     return search.matching(entries(spark, sf_dir), parse("feature:seen:100000 !ext:md", AT), _companion(spark, sf_dir)).select("path")
 
 
-@_query(f"{ENTRIES_SQL} select path from e where contains(lower(text), 'journal') or contains(strip_accents(lower(text)), 'journal') order by {_NAME_ORDER} limit 100")
+@_query(
+    f"{ENTRIES_SQL} select path from e where contains(lower(text), 'journal') or contains(strip_accents(lower(text)), 'journal') order by {_NAME_ORDER} limit 100"
+)
 def q_contents(spark, sf_dir):
     """Plain words searched in texts."""
     return Catalogue(entries(spark, sf_dir)).content("journal", AT).select("path")
@@ -531,11 +3613,17 @@ select volume, top as seq, coalesce(since > top, false) as reset from c""")
 def w_cursors(spark, sf_dir):
     """Cursors of a watcher whose cursor of one volume is too new, and that doesn't know another."""
     changes = _changes(spark, sf_dir).withColumn("seq", F.col("checkpoint_usn"))
-    cursors = changes.where("volume is not null and volume <> 'D:'").groupBy("volume").agg((F.max("seq") + F.when(F.col("volume") == "C:", 1).otherwise(0)).alias("seq"))
+    cursors = (
+        changes.where("volume is not null and volume <> 'D:'")
+            .groupBy("volume")
+            .agg((F.max("seq") + F.when(F.col("volume") == "C:", 1).otherwise(0)).alias("seq"))
+    )
     return feed.watch_from(changes, cursors)[0]
 
 
-@_query(f"{ENTRIES_SQL} select volume, frn, case when starts_with(path_l, 'c:' || {B} || 'corpus' || {B}) or path_l = 'c:' || {B} || 'corpus' then 'C:' || {B} || 'texts' || substring(path, 10) else path end as path from e")
+@_query(
+    f"{ENTRIES_SQL} select volume, frn, case when starts_with(path_l, 'c:' || {B} || 'corpus' || {B}) or path_l = 'c:' || {B} || 'corpus' then 'C:' || {B} || 'texts' || substring(path, 10) else path end as path from e"
+)
 def w_renamed(spark, sf_dir):
     """A folder renamed, with everything below it."""
     return feed.renamed(entries(spark, sf_dir), spark.createDataFrame([("C:", "C:\\corpus", "C:\\texts")], "volume string, old string, new string"))
@@ -553,22 +3641,31 @@ def w_folded(spark, sf_dir):
     return at.read()
 
 
-@_query(f"{ENTRIES_SQL} select ext_l as ext, 'C:' || {B} || 'corpus' as unit, case when ext_l = 'json' and size >= {admission.LARGE_JSON} then 'large_json' else 'admitted' end as reason, count(*) as files, cast(sum(case when ext_l = 'json' and size >= {admission.LARGE_JSON} then size else least(size, {admission.TEXT_OUTSIDE}) end) as bigint) as bytes from e where not is_dir and starts_with(path_l, 'c:' || {B} || 'corpus' || {B}) group by all")
+@_query(
+    f"{ENTRIES_SQL} select ext_l as ext, 'C:' || {B} || 'corpus' as unit, case when ext_l = 'json' and size >= {admission.LARGE_JSON} then 'large_json' else 'admitted' end as reason, count(*) as files, cast(sum(case when ext_l = 'json' and size >= {admission.LARGE_JSON} then size else least(size, {admission.TEXT_OUTSIDE}) end) as bigint) as bytes from e where not is_dir and starts_with(path_l, 'c:' || {B} || 'corpus' || {B}) group by all"
+)
 def a_estimate(spark, sf_dir):
     """What an index of one folder would hold."""
     return admission.estimate(entries(spark, sf_dir), admission.reason(), ["C:\\corpus"])
 
 
-@_query(f"{ENTRIES_SQL}, c as (select path, text, size from e where text is not null) select path, size > {2 * admission.TEXT_OUTSIDE} as skipped, octet_length(encode(text)) > {admission.TEXT_OUTSIDE} and size <= {2 * admission.TEXT_OUTSIDE} as truncated, case when size <= {2 * admission.TEXT_OUTSIDE} then least(octet_length(encode(text)), {admission.TEXT_OUTSIDE}) end as bytes from c")
+@_query(
+    f"{ENTRIES_SQL}, c as (select path, text, size from e where text is not null) select path, size > {2 * admission.TEXT_OUTSIDE} as skipped, octet_length(encode(text)) > {admission.TEXT_OUTSIDE} and size <= {2 * admission.TEXT_OUTSIDE} as truncated, case when size <= {2 * admission.TEXT_OUTSIDE} then least(octet_length(encode(text)), {admission.TEXT_OUTSIDE}) end as bytes from c"
+)
 def a_capped(spark, sf_dir):
     """Texts under the caps of an index."""
-    return admission.capped(entries(spark, sf_dir).where("text is not null")).select("path", "skipped", "truncated", F.octet_length("text").cast("long").alias("bytes"))
+    return (
+        admission.capped(entries(spark, sf_dir).where("text is not null"))
+            .select("path", "skipped", "truncated", F.octet_length("text").cast("long").alias("bytes"))
+    )
 
 
 def _extracted(spark: SparkSession, sf_dir: str, ext: str, to_bytes: Callable) -> DataFrame:
     docs = table(spark, sf_dir, "documents").where("text is not null")
     files = docs.select(F.concat(F.col("doc_id").cast("string"), F.lit("." + ext)).alias("path"), to_bytes(F.col("text")).alias("content"))
-    return extract.texts(files).select(F.substring_index("path", ".", 1).cast("long").alias("doc_id"), "content_class", "skipped", "truncated", "text")
+    return (
+        extract.texts(files).select(F.substring_index("path", ".", 1).cast("long").alias("doc_id"), "content_class", "skipped", "truncated", "text")
+    )
 
 
 @_query("select doc_id, 1 as content_class, false as skipped, false as truncated, text from documents where text is not null")
@@ -577,16 +3674,27 @@ def x_plain(spark, sf_dir):
     return _extracted(spark, sf_dir, "txt", lambda text: F.encode(text, "UTF-8"))
 
 
-@_query("select doc_id, 4 as content_class, false as skipped, false as truncated, '<html><body><p>' || text || '</p></body></html>' as text from documents where text is not null")
+@_query(
+    "select doc_id, 4 as content_class, false as skipped, false as truncated, '<html><body><p>' || text || '</p></body></html>' as text from documents where text is not null"
+)
 def x_html(spark, sf_dir):
     """Texts in a page of HTML, with its markup."""
     return _extracted(spark, sf_dir, "html", lambda text: F.encode(F.concat(F.lit("<html><body><p>"), text, F.lit("</p></body></html>")), "UTF-8"))
 
 
-@_query("select doc_id, 5 as content_class, false as skipped, false as truncated, 'Subject: ' || doc_id || chr(10) || text as text from documents where text is not null")
+@_query(
+    "select doc_id, 5 as content_class, false as skipped, false as truncated, 'Subject: ' || doc_id || chr(10) || text as text from documents where text is not null"
+)
 def x_mail(spark, sf_dir):
     """Texts sent as mail: the subject, then the body."""
-    mail = lambda text: F.encode(F.concat(F.lit("Subject: "), F.col("doc_id").cast("string"), F.lit("\r\nMIME-Version: 1.0\r\nContent-Type: text/plain; charset=utf-8\r\nContent-Transfer-Encoding: base64\r\n\r\n"), F.base64(F.encode(text, "UTF-8")), F.lit("\r\n")), "UTF-8")
+    mail = lambda text: F.encode(
+        F.concat(
+            F.lit("Subject: "), F.col("doc_id").cast("string"),
+            F.lit("\r\nMIME-Version: 1.0\r\nContent-Type: text/plain; charset=utf-8\r\nContent-Transfer-Encoding: base64\r\n\r\n"),
+            F.base64(F.encode(text, "UTF-8")), F.lit("\r\n")
+        ),
+        "UTF-8"
+    )
     return _extracted(spark, sf_dir, "eml", mail)
 
 

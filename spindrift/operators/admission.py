@@ -15,7 +15,11 @@ MINIFIED = [".min.", "-min.", ".bundle.", ".chunk.", ".minified."]
 BUILD = "dist build out target bin obj _build .next .nuxt coverage deps incremental .fingerprint".split()
 DEPENDENCIES = "site-packages node_modules __pycache__ .venv venv .tox .mypy_cache .pytest_cache .ruff_cache".split()
 CACHES = "gocache go-build .npm _cacache .pnpm-store pnpm-store .yarn yarn-cache .cargo .gradle .nuget .cache".split()
-CACHE_PATHS = ["/cargo/registry/", "/cargo/git/", "/pip/cache/", "/pip-cache/", "/uv/cache/", "/.cache/uv/", "/cachestorage/", "/gpucache/", "/code cache/", "/dawncache/", "/mozilla/firefox/", "/google/chrome/", "/microsoft/edge/", "/chromium/user data/", "/node_modules/.cache/", "/go/pkg/mod/", "/.rustup/", "/.m2/repository/"]
+CACHE_PATHS = [
+    "/cargo/registry/", "/cargo/git/", "/pip/cache/", "/pip-cache/", "/uv/cache/", "/.cache/uv/", "/cachestorage/", "/gpucache/", "/code cache/",
+    "/dawncache/", "/mozilla/firefox/", "/google/chrome/", "/microsoft/edge/", "/chromium/user data/", "/node_modules/.cache/", "/go/pkg/mod/",
+    "/.rustup/", "/.m2/repository/"
+]
 BINARY = "exe dll so dylib bin obj o a lib class jar war pyc png jpg jpeg gif bmp ico webp tif tiff mp3 mp4 avi mov mkv wav flac zip gz tar 7z rar xz bz2 zst iso img nrrd raw ttf otf woff woff2 db sqlite".split()
 LARGE_JSON, MINIFIED_LINE, MINIFIED_SIZE, SAMPLE = 100 << 10, 2048, 32 << 10, 64 << 10
 #: Bytes of text kept outside and inside of repositories; files of more than twice as much aren't read.
@@ -41,7 +45,9 @@ def ignore_rules(lines: list[str]) -> list[tuple[str, bool, bool]]:
         body = body.lstrip("/")
         regex = ""
         for part in re.split(r"(\*\*/|/\*\*|\*|\?|\[[^\]]*\])", body):
-            regex += {"**/": "(?:.*/)?", "/**": "/.*", "*": "[^/]*", "?": "[^/]"}.get(part, part.replace("[!", "[^") if part.startswith("[") else re.escape(part))
+            regex += {"**/": "(?:.*/)?", "/**": "/.*", "*": "[^/]*", "?": "[^/]"}.get(
+                part, part.replace("[!", "[^") if part.startswith("[") else re.escape(part)
+            )
         out.append(("^" + ("" if rooted else "(?:.*/)?") + regex + "$", back, folder))
     return out
 
@@ -66,10 +72,16 @@ def ignored(path: Column, is_dir: Column, rules: dict[str, list[tuple[str, bool,
     slashed = F.translate(path, "\\", "/")
     parts = F.split(slashed, "/")
     above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
-    return F.coalesce(_verdict(slashed, is_dir, rules), F.lit(False)) | F.exists(F.slice(above, 1, F.greatest(F.lit(0), F.size(parts) - 1)), lambda a: F.coalesce(_verdict(a, F.lit(True), rules), F.lit(False)))
+    return (
+        F.coalesce(_verdict(slashed, is_dir, rules), F.lit(False))
+        | F.exists(F.slice(above, 1, F.greatest(F.lit(0), F.size(parts) - 1)), lambda a: F.coalesce(_verdict(a, F.lit(True), rules), F.lit(False)))
+    )
 
 
-def reason(roots: list[str] = (), excludes: list[str] = (), extensions: list[str] = (), user_skips: list[str] = (), repositories: list[str] = (), rules: dict[str, list[tuple[str, bool, bool]]] | None = None) -> Column:
+def reason(
+    roots: list[str] = (), excludes: list[str] = (), extensions: list[str] = (), user_skips: list[str] = (), repositories: list[str] = (),
+    rules: dict[str, list[tuple[str, bool, bool]]] | None = None
+) -> Column:
     """Why an entry isn't admitted, null if it is. In order: binary, ext, exclude, gitignore, user_skip, lockfile, large_json, minified, build_output, dependency, cache, root."""
     path = F.concat(F.lit("/"), F.translate("path_l", "\\", "/"))
     inside = lambda root: path.startswith("/" + root.lower().replace("\\", "/").rstrip("/") + "/")
@@ -122,7 +134,9 @@ def capped(entries: DataFrame, repositories: list[str] = ()) -> DataFrame:
     follows = [F.hex(F.substring(raw, cap - k + 1, F.lit(1))).rlike("^[89AB]") for k in range(4)]  # a character has 4 bytes at most
     at = F.when(~follows[0], cap).when(~follows[1], cap - 1).when(~follows[2], cap - 2).otherwise(cap - 3)
     text = F.when(skipped, F.lit(None).cast("string")).when(longer, F.decode(F.substring(raw, F.lit(1), at), "UTF-8")).otherwise(F.col("text"))
-    return entries.select(*[text.alias(c) if c == "text" else F.col(c) for c in entries.columns], (longer & ~skipped).alias("truncated"), skipped.alias("skipped"))
+    return entries.select(
+        *[text.alias(c) if c == "text" else F.col(c) for c in entries.columns], (longer & ~skipped).alias("truncated"), skipped.alias("skipped")
+    )
 
 
 def linked_worktrees(entries: DataFrame) -> DataFrame:
@@ -143,11 +157,22 @@ def estimate(entries: DataFrame, why: Column, units: list[str], repositories: li
     for u in sorted(units, key=len, reverse=True):
         inside = path.startswith("/" + u.lower().replace("\\", "/").rstrip("/") + "/")
         unit = F.when(inside, u) if unit is None else unit.when(inside, u)
-    shown = entries.where("not is_dir").select(unit.alias("unit"), F.col("ext_l").alias("ext"), F.coalesce(why, F.lit("admitted")).alias("reason"), "size", text_cap(repositories).alias("cap")).where("unit is not null")
+    shown = (
+        entries.where("not is_dir")
+            .select(
+                unit.alias("unit"), F.col("ext_l").alias("ext"), F.coalesce(why, F.lit("admitted")).alias("reason"), "size",
+                text_cap(repositories).alias("cap")
+            )
+            .where("unit is not null")
+    )
     kept = F.when(F.col("reason") == "admitted", F.least("size", "cap")).otherwise(F.col("size"))
     return shown.groupBy("unit", "ext", "reason").agg(F.count("*").alias("files"), F.sum(kept).alias("bytes"))
 
 
 def tally(entries: DataFrame, why: Column) -> DataFrame:
     """Files and bytes per reason; admitted files count under ``admitted``."""
-    return entries.where("not is_dir").groupBy(F.coalesce(why, F.lit("admitted")).alias("reason")).agg(F.count("*").alias("files"), F.sum("size").alias("bytes"))
+    return (
+        entries.where("not is_dir")
+            .groupBy(F.coalesce(why, F.lit("admitted")).alias("reason"))
+            .agg(F.count("*").alias("files"), F.sum("size").alias("bytes"))
+    )

@@ -42,12 +42,20 @@ class EqualityDeleteTable:
         """One row a key, the latest; combined before the shuffle, so a hot key costs a row per task."""
         value = F.struct(self._position().alias("s"), *[F.col(c).alias(f"p{i}") for i, c in enumerate(payload)])
         best = rows.groupBy(*self.key, *more).agg(F.max(value).alias("_v"))
-        return best.select(*self.key, *more, *[F.col(f"_v.s.{c}").alias(c) for c in self.sequence], *[F.col(f"_v.p{i}").alias(c) for i, c in enumerate(payload)])
+        return best.select(
+            *self.key, *more, *[F.col(f"_v.s.{c}").alias(c) for c in self.sequence], *[F.col(f"_v.p{i}").alias(c) for i, c in enumerate(payload)]
+        )
 
     def append(self, changes: DataFrame, deleted: str, payload: Sequence[str] = ()) -> None:
         """Add one batch, read once. It is compacted to the latest change per key and kind; earlier ones can't be seen by any reader."""
         gone = F.coalesce(F.col(deleted), F.lit(False))
-        named = changes.where(" and ".join(f"`{c}` is not null" for c in self.key)).select(*self.key, *self.sequence, F.when(gone, "deletes").otherwise("data").alias("kind"), *[F.when(~gone, F.col(c)).alias(c) for c in payload])
+        named = (
+            changes.where(" and ".join(f"`{c}` is not null" for c in self.key))
+                .select(
+                    *self.key, *self.sequence, F.when(gone, "deletes").otherwise("data").alias("kind"),
+                    *[F.when(~gone, F.col(c)).alias(c) for c in payload]
+                )
+        )
         self._latest(named, payload, ["kind"]).write.mode("append").option("compression", "zstd").partitionBy("kind").parquet(self.path)
         for kind, kept in (("data", payload), ("deletes", ())):
             if not exists(self.spark, f"{self.path}/kind={kind}"):  # a kind without rows keeps its columns
@@ -61,7 +69,10 @@ class EqualityDeleteTable:
         """The current rows: latest data row per key, without those that a later delete key matches."""
         data = self._kind("data")
         rows = self._latest(data, [c for c in data.columns if c not in {*self.key, *self.sequence}])
-        keys = self._latest(self._kind("deletes"), ()).select(*[F.col(c).alias(f"_d_{c}") for c in self.key], F.struct(*[F.col(c) for c in self.sequence]).alias("_d_seq"))
+        keys = (
+            self._latest(self._kind("deletes"), ())
+                .select(*[F.col(c).alias(f"_d_{c}") for c in self.key], F.struct(*[F.col(c) for c in self.sequence]).alias("_d_seq"))
+        )
         match = [F.col(c) == F.col(f"_d_{c}") for c in self.key]
         return rows.join(keys, [*match, F.col("_d_seq") > self._position()], "left_anti")
 

@@ -29,7 +29,9 @@ WORD = r"[A-Za-z0-9_\u0080-
 
 def vocabulary(entries: DataFrame) -> DataFrame:
     """Words of all texts: term, tf (occurrences), df (texts)."""
-    words = entries.where("text is not null").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(f"({WORD})"), F.lit(1))).alias("term"), "path")
+    words = (
+        entries.where("text is not null").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(f"({WORD})"), F.lit(1))).alias("term"), "path")
+    )
     return words.groupBy("term", "path").agg(F.count("*").alias("n")).groupBy("term").agg(F.sum("n").alias("tf"), F.count("*").alias("df"))
 
 
@@ -42,7 +44,13 @@ def near_words(entries: DataFrame, word: str, most: int | None = None, words: Da
     most = budget(word, content=True) if most is None else most
     known = vocabulary(entries) if words is None else words
     close = known.where((F.abs(F.length("term") - len(word)) <= most) & (F.levenshtein("term", F.lit(word), 2 * most) >= 0))
-    return close.withColumn("distance", osa_within(F.col("term"), word, most)).where(F.col("distance") <= most).select("term", "df", "distance").orderBy(F.desc("df"), "term").limit(EXPANSIONS)
+    return (
+        close.withColumn("distance", osa_within(F.col("term"), word, most))
+            .where(F.col("distance") <= most)
+            .select("term", "df", "distance")
+            .orderBy(F.desc("df"), "term")
+            .limit(EXPANSIONS)
+    )
 
 
 def expand(entries: DataFrame, q: Query, words: DataFrame | None = None) -> Query:
@@ -90,7 +98,9 @@ def respellings(entries: DataFrame, q: Query, words: DataFrame | None = None) ->
 
     def put(change: dict[str, str]) -> Query:
         again = lambda text: re.sub(r"\w+", lambda m: change.get(m.group().lower(), m.group()), text)
-        return dataclasses.replace(q, leaves=[Leaf("content", again(x.value), x.exact_case, x.quoted) if x.kind == "content" else x for x in q.leaves])
+        return dataclasses.replace(
+            q, leaves=[Leaf("content", again(x.value), x.exact_case, x.quoted) if x.kind == "content" else x for x in q.leaves]
+        )
 
     trials = [{w: x[0]} for w, x in best.items()]
     trials += [{w: x[0] for w, x in best.items()}] if len(best) > 1 else []
@@ -155,7 +165,11 @@ def relevance(rows: DataFrame, q: Query) -> DataFrame:
             stem = F.translate(F.substring_index("name_l", ".", 1), "_-", "")
             named = stem == word.lower().replace("_", "")
             tier = F.least(tier, F.when(named & F.col("ext_l").isin(HEADERS), 0).when(named, 1).otherwise(2))
-    return rows.withColumn("relevance", F.coalesce(score, F.lit(0))).withColumn("tier", tier).withColumn("first_at", F.coalesce(first if first is not None else F.lit(None), F.lit(1 << 30)))
+    return (
+        rows.withColumn("relevance", F.coalesce(score, F.lit(0)))
+            .withColumn("tier", tier)
+            .withColumn("first_at", F.coalesce(first if first is not None else F.lit(None), F.lit(1 << 30)))
+    )
 
 
 def snippet(q: Query, smart: bool = False) -> Column:
@@ -192,6 +206,16 @@ def lines(rows: DataFrame, q: Query, before: int = 0, after: int = 0, most: int
     if most > 0:
         split = split.withColumn("_m", F.slice("_m", 1, most))
     last = F.element_at("_m", -1)
-    near = F.flatten(F.transform("_m", lambda i: F.sequence(F.greatest(F.lit(0), i - before), F.least(F.size("_l") - 1, i + after)))) if before or after else F.col("_m")
-    shown = F.transform(F.array_distinct(near), lambda i: F.struct(i.alias("i"), F.get("_l", i).alias("text"), (F.get("_h", i) & (i <= last)).alias("match")))
-    return split.select("path", F.explode(shown).alias("_s")).select("path", (F.col("_s.i") + 1).alias("line"), F.col("_s.text").alias("text"), F.col("_s.match").alias("match")).withColumn("text", _shown("text"))
+    near = (
+        F.flatten(F.transform("_m", lambda i: F.sequence(F.greatest(F.lit(0), i - before), F.least(F.size("_l") - 1, i + after))))
+        if before or after
+        else F.col("_m")
+    )
+    shown = F.transform(
+        F.array_distinct(near), lambda i: F.struct(i.alias("i"), F.get("_l", i).alias("text"), (F.get("_h", i) & (i <= last)).alias("match"))
+    )
+    return (
+        split.select("path", F.explode(shown).alias("_s"))
+            .select("path", (F.col("_s.i") + 1).alias("line"), F.col("_s.text").alias("text"), F.col("_s.match").alias("match"))
+            .withColumn("text", _shown("text"))
+    )

@@ -31,7 +31,14 @@ def _mask(term: str) -> int:
 def eligible(q: Query) -> bool:
     """Whether slips may be forgiven: one plain term on names, no case, path, content, alternatives, patterns or anchors."""
     plain = q.of("term")
-    return len(plain) == 1 and not plain[0].quoted and not q.exact_case and not q.path_mode and budget(plain[0].value) > 0 and not q.of("content", "content_regex", "any", "regex", "equals", "starts", "ends", "path_glob")
+    return (
+        len(plain) == 1
+        and not plain[0].quoted
+        and not q.exact_case
+        and not q.path_mode
+        and budget(plain[0].value) > 0
+        and not q.of("content", "content_regex", "any", "regex", "equals", "starts", "ends", "path_glob")
+    )
 
 
 def close_names(entries: DataFrame, q: Query) -> DataFrame:
@@ -61,20 +68,30 @@ def topped_up(entries: DataFrame, exact: DataFrame, q: Query, limit: int) -> Dat
 
 def name_words(entries: DataFrame) -> DataFrame:
     """Words of all names: word, n."""
-    return entries.select(F.explode(F.split("name_f", r"[^\p{L}\p{N}]+")).alias("word")).where("word <> ''").groupBy("word").agg(F.count("*").alias("n"))
+    return (
+        entries.select(F.explode(F.split("name_f", r"[^\p{L}\p{N}]+")).alias("word")).where("word <> ''").groupBy("word").agg(F.count("*").alias("n"))
+    )
 
 
 def variants(entries: DataFrame, term: str, words: DataFrame | None = None) -> DataFrame:
     """Words of names near a term, by distance, then frequency: word, dist, n. ``words``: ``name_words`` written before."""
     most = budget(term)
     known = name_words(entries) if words is None else words
-    near = known.where((F.abs(F.length("word") - len(term)) <= most) & (F.levenshtein("word", F.lit(term), 2 * most) >= 0)).withColumn("dist", osa_within(F.col("word"), term, most))
+    near = (
+        known.where((F.abs(F.length("word") - len(term)) <= most) & (F.levenshtein("word", F.lit(term), 2 * most) >= 0))
+            .withColumn("dist", osa_within(F.col("word"), term, most))
+    )
     return near.where((F.col("dist") > 0) & (F.col("dist") <= most)).select("word", "dist", "n").orderBy("dist", F.desc("n"), "word").limit(VARIANTS)
 
 
 def rewritable(q: Query) -> bool:
     """Whether one of several terms may be respelt: no case, path, text, alternatives or patterns."""
-    return len(q.of("term")) > 1 and not q.exact_case and not q.path_mode and not q.of("content", "content_regex", "vocabulary", "symbol", "any", "regex", "glob", "path_glob")
+    return (
+        len(q.of("term")) > 1
+        and not q.exact_case
+        and not q.path_mode
+        and not q.of("content", "content_regex", "vocabulary", "symbol", "any", "regex", "glob", "path_glob")
+    )
 
 
 def rewritten(entries: DataFrame, q: Query, words: DataFrame | None = None) -> tuple[Query, list[str]] | None:
@@ -91,7 +108,12 @@ def rewritten(entries: DataFrame, q: Query, words: DataFrame | None = None) -> t
     counts = entries.agg(*[F.count_if(F.col("name_f").contains(t)).alias(f"n{i}") for i, t in enumerate(terms)]).collect()[0]
     near = reduce(DataFrame.unionByName, [variants(entries, terms[i], words).select(F.lit(i).alias("i"), "word", "dist", "n") for i in asked])
     spelt = sorted(near.collect(), key=lambda r: (counts[f"n{r['i']}"] > 0, len(terms[r["i"]]), r["i"], r["dist"], -r["n"], r["word"]))[:TRIALS]  # VARIANTS rows a term
-    trials = [dataclasses.replace(q, leaves=[Leaf("term", r["word"], x.exact_case) if x.kind == "term" and x.value == terms[r["i"]] else x for x in q.leaves]) for r in spelt]
+    trials = [
+        dataclasses.replace(
+            q, leaves=[Leaf("term", r["word"], x.exact_case) if x.kind == "term" and x.value == terms[r["i"]] else x for x in q.leaves]
+        )
+        for r in spelt
+    ]
     return first_match(entries, trials, has)
 
 

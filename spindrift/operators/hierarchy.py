@@ -35,13 +35,29 @@ from spindrift.session import Scratch
 SPLIT, LOCAL = 8, 1 << 20
 #: Where a walk stands: it goes on, it is at a splitter, it is at a top (or where a node of a reduced graph leaves it).
 WALKS, SPLITTER, TOP = 0, 1, 2
-_TYPES = {"v": "string", "id": "long", "ptr": "long", "hops": "long", "low": "long", "miss": "boolean", "state": "int", "weight": "long", "seg": "string", "chain": "array<long>", "between": "array<long>"}
+_TYPES = {
+    "v": "string", "id": "long", "ptr": "long", "hops": "long", "low": "long", "miss": "boolean", "state": "int", "weight": "long", "seg": "string",
+    "chain": "array<long>", "between": "array<long>"
+}
 
 
 def newest(records: DataFrame) -> DataFrame:
     """The newest row of every (volume, frn) by scan_month, then arrival; rows that are deleted or name no file are left out."""
-    best = records.where("volume is not null and frn is not null").groupBy("volume", "frn").agg(F.max(F.struct("scan_month", "received_at", "row_id", F.coalesce("deleted", F.lit(False)).alias("deleted"), "parent_frn", "name")).alias("r"))
-    return best.where("not r.deleted").select(F.col("volume").alias("v"), F.col("frn").alias("id"), F.when(F.col("r.parent_frn") != 0, F.col("r.parent_frn")).alias("parent"), F.coalesce(F.col("r.name"), F.lit("")).alias("name"))
+    best = (
+        records.where("volume is not null and frn is not null")
+            .groupBy("volume", "frn")
+            .agg(
+                F.max(F.struct("scan_month", "received_at", "row_id", F.coalesce("deleted", F.lit(False)).alias("deleted"), "parent_frn", "name"))
+                    .alias("r")
+            )
+    )
+    return (
+        best.where("not r.deleted")
+            .select(
+                F.col("volume").alias("v"), F.col("frn").alias("id"), F.when(F.col("r.parent_frn") != 0, F.col("r.parent_frn")).alias("parent"),
+                F.coalesce(F.col("r.name"), F.lit("")).alias("name")
+            )
+    )
 
 
 def _splitter(key: str, level: int) -> str:
@@ -68,7 +84,10 @@ class _Walk:
 
     def _keep(self, rows: DataFrame) -> None:
         seen = Observation()
-        counted = rows.observe(seen, F.expr(f"count_if(state = {WALKS})").alias("left"), F.expr(f"count_if({_splitter('id', self.level)} and state <> {WALKS})").alias("splitters"))
+        counted = rows.observe(
+            seen, F.expr(f"count_if(state = {WALKS})").alias("left"),
+            F.expr(f"count_if({_splitter('id', self.level)} and state <> {WALKS})").alias("splitters")
+        )
         self.parts.append(self.scratch.keep(counted, "walk", ["state"]).select(*self.columns))
         self.left = seen.get["left"]
         self.splitters += seen.get["splitters"]
@@ -171,18 +190,31 @@ def _solve(start: DataFrame, level: int, carried: list[str], scratch: Scratch) -
         # rows that stand at a top look nothing up, and are kept from meeting in one partition
         placed = arrived.join(solved, F.expr(f"v = av and if(state = {SPLITTER}, ptr, id) = aid"), "left")
         by = f"state = {SPLITTER} and aid is not null"
-        placed = placed.selectExpr("v", "id", f"if({by}, a_end, ptr) as end", f"if({by}, hops + a_hops, hops) as hops", f"if({by}, a_cycle, null) as cycle", f"if({by}, a_miss, miss) as miss", *[f"if({by}, concat(a_{c}, {c}), {c}) as {c}" for c in shown])
+        placed = placed.selectExpr(
+            "v", "id", f"if({by}, a_end, ptr) as end", f"if({by}, hops + a_hops, hops) as hops", f"if({by}, a_cycle, null) as cycle",
+            f"if({by}, a_miss, miss) as miss", *[f"if({by}, concat(a_{c}, {c}), {c}) as {c}" for c in shown]
+        )
     else:
         placed = arrived.selectExpr("v", "id", "ptr as end", "hops", "cast(null as long) as cycle", "miss", *shown)
     if ends is not None:
         placed = placed.join(ends, _on("end", "lv", "lid"), "left").withColumn("cycle", F.expr("coalesce(cycle, l_cycle)"))
-    placed = placed.selectExpr("v", "id", *[f"if(cycle is null, {c}, null) as {c}" for c in ("end", "hops")], "cycle", "miss", *[f"if(cycle is null, {c}, null) as {c}" for c in shown])
+    placed = placed.selectExpr(
+        "v", "id", *[f"if(cycle is null, {c}, null) as {c}" for c in ("end", "hops")], "cycle", "miss",
+        *[f"if(cycle is null, {c}, null) as {c}" for c in shown]
+    )
     if weights:
         # a node counts for those on its stretch (and the top that it reached), a splitter with all below it
         whole = arrived.selectExpr("*", "weight as mass")
         if solved is not None:
-            whole = arrived.join(solved.selectExpr("av", "aid", "a_weight"), _on("id", "av", "aid"), "left").selectExpr("*", "weight + coalesce(a_weight, 0) as mass")
-        spread = whole.selectExpr("v as wv", f"explode(if(state = {TOP} and ptr <> id, concat(between, array(ptr)), between)) as wid", "mass").groupBy("wv", "wid").agg(F.sum("mass").alias("way"))
+            whole = (
+                arrived.join(solved.selectExpr("av", "aid", "a_weight"), _on("id", "av", "aid"), "left")
+                    .selectExpr("*", "weight + coalesce(a_weight, 0) as mass")
+            )
+        spread = (
+            whole.selectExpr("v as wv", f"explode(if(state = {TOP} and ptr <> id, concat(between, array(ptr)), between)) as wid", "mass")
+                .groupBy("wv", "wid")
+                .agg(F.sum("mass").alias("way"))
+        )
         placed = placed.join(spread, _on("id", "wv", "wid"), "left")
         if solved is not None:
             placed = placed.join(solved.selectExpr("av as sv", "aid as sid", "a_weight"), _on("id", "sv", "sid"), "left")
@@ -226,7 +258,11 @@ def forest(nodes: DataFrame, carried: tuple[str, ...] = (), hops: str | None = N
     step = F.col(hops).alias("step") if hops else F.lit(1).cast("long").alias("step")
     nodes = nodes.select("v", "id", "parent", "name", step)
     children = nodes.where("parent is not null").groupBy(F.col("v").alias("cv"), F.col("parent").alias("cid")).agg(F.count("*").alias("kids"))
-    nodes = scratch.keep(nodes.join(children, _on("id", "cv", "cid"), "left").select("v", "id", "parent", "name", "step", F.col("kids").isNotNull().alias("inner"), F.coalesce("kids", F.lit(0)).alias("kids")), "nodes", ["inner"])
+    nodes = scratch.keep(
+        nodes.join(children, _on("id", "cv", "cid"), "left")
+            .select("v", "id", "parent", "name", "step", F.col("kids").isNotNull().alias("inner"), F.coalesce("kids", F.lit(0)).alias("kids")),
+        "nodes", ["inner"]
+    )
     inner = nodes.where("inner")
     up = inner.select(F.col("v").alias("pv"), F.col("id").alias("pid"))
     top = F.col("pid").isNull()
@@ -238,23 +274,53 @@ def forest(nodes: DataFrame, carried: tuple[str, ...] = (), hops: str | None = N
     own = inner
     if "weight" in wanted:  # a folder counts for itself and its leaves
         folders = inner.where("parent is not null").groupBy(F.col("v").alias("fv"), F.col("parent").alias("fid")).agg(F.count("*").alias("folders"))
-        own = inner.join(folders, _on("id", "fv", "fid"), "left").withColumn("n_leaves", F.col("kids") - F.coalesce("folders", F.lit(0))).withColumn("own", F.col("n_leaves") + 1).drop("fv", "fid", "folders")
+        own = (
+            inner.join(folders, _on("id", "fv", "fid"), "left")
+                .withColumn("n_leaves", F.col("kids") - F.coalesce("folders", F.lit(0)))
+                .withColumn("own", F.col("n_leaves") + 1)
+                .drop("fv", "fid", "folders")
+        )
     linked = own.join(up, _on("parent", "pv", "pid"), "left")
-    start = linked.select("v", "id", F.when(top, F.col("id")).otherwise(F.col("pid")).alias("ptr"), F.when(top, 0).otherwise(F.col("step")).cast("long").alias("hops"), F.col("id").alias("low"), (top & F.col("parent").isNotNull()).alias("miss"), F.when(top, TOP).when(F.expr(_splitter("pid", 0)), SPLITTER).otherwise(WALKS).alias("state"), *[columns[c].alias(c) for c in wanted])
+    start = linked.select(
+        "v", "id", F.when(top, F.col("id")).otherwise(F.col("pid")).alias("ptr"), F.when(top, 0).otherwise(F.col("step")).cast("long").alias("hops"),
+        F.col("id").alias("low"), (top & F.col("parent").isNotNull()).alias("miss"),
+        F.when(top, TOP).when(F.expr(_splitter("pid", 0)), SPLITTER).otherwise(WALKS).alias("state"), *[columns[c].alias(c) for c in wanted]
+    )
     placed, lost = _solve(start, 0, wanted, scratch)
     dirs = placed.unionByName(lost, allowMissingColumns=True)
     facts = own.select(F.col("v").alias("ov"), F.col("id").alias("oid"), F.col("parent"), *([F.col("n_leaves")] if "weight" in wanted else []))
     dirs = dirs.join(facts, _on("id", "ov", "oid"))
     alive = F.col("cycle").isNull()
     shown = {"path": F.col("seg"), "chain": F.col("chain"), "below": F.when(alive, F.col("weight") + F.col("n_leaves"))} if carried else {}
-    dirs = scratch.keep(dirs.select("v", "id", "parent", F.col("end").alias("top"), F.when(alive, F.col("miss")).alias("miss"), F.col("hops").alias("depth"), "cycle", *[shown[c].alias(c) for c in carried]), "dirs")
+    dirs = scratch.keep(
+        dirs.select(
+            "v", "id", "parent", F.col("end").alias("top"), F.when(alive, F.col("miss")).alias("miss"), F.col("hops").alias("depth"), "cycle",
+            *[shown[c].alias(c) for c in carried]
+        ),
+        "dirs"
+    )
     scratch.forget("walk", "lost", "solved")
 
-    above = dirs.select(F.col("v").alias("dv"), F.col("id").alias("did"), *[F.col(c).alias(f"d_{c}") for c in ("top", "miss", "depth", "cycle", *carried)])
+    above = dirs.select(
+        F.col("v").alias("dv"), F.col("id").alias("did"), *[F.col(c).alias(f"d_{c}") for c in ("top", "miss", "depth", "cycle", *carried)]
+    )
     under = nodes.where("not inner").join(above, _on("parent", "dv", "did"), "left")
     alone = F.col("did").isNull()
-    leaf = {"path": F.when(alone, name).otherwise(F.concat("d_path", name)), "chain": F.when(alone, F.array("id")).otherwise(F.concat("d_chain", F.array("id"))), "below": F.when(F.col("d_cycle").isNull(), F.lit(0).cast("long"))} if carried else {}
-    rows = under.select("v", "id", "parent", F.when(alone, F.col("id")).otherwise(F.col("d_top")).alias("top"), F.when(alone, F.col("parent").isNotNull()).otherwise(F.col("d_miss")).alias("miss"), F.when(alone, F.lit(0)).otherwise(F.col("d_depth") + F.col("step")).cast("long").alias("depth"), F.col("d_cycle").alias("cycle"), *[leaf[c].alias(c) for c in carried])
+    leaf = (
+        {
+            "path": F.when(alone, name).otherwise(F.concat("d_path", name)),
+            "chain": F.when(alone, F.array("id")).otherwise(F.concat("d_chain", F.array("id"))),
+            "below": F.when(F.col("d_cycle").isNull(), F.lit(0).cast("long"))
+        }
+        if carried
+        else {}
+    )
+    rows = under.select(
+        "v", "id", "parent", F.when(alone, F.col("id")).otherwise(F.col("d_top")).alias("top"),
+        F.when(alone, F.col("parent").isNotNull()).otherwise(F.col("d_miss")).alias("miss"),
+        F.when(alone, F.lit(0)).otherwise(F.col("d_depth") + F.col("step")).cast("long").alias("depth"), F.col("d_cycle").alias("cycle"),
+        *[leaf[c].alias(c) for c in carried]
+    )
     return dirs.unionByName(rows)
 
 
@@ -273,7 +339,10 @@ def tree(records: DataFrame, paths: bool = True) -> DataFrame:
     """
     found = forest(newest(records), ("path", "below") if paths else ("below",))
     status = F.when(F.col("cycle").isNotNull(), "circle").when(F.col("miss"), "missing").otherwise("root")
-    return found.select(F.col("v").alias("volume"), F.col("id").alias("frn"), *([F.substring("path", F.lit(2), F.length("path")).alias("path")] if paths else []), "depth", F.col("top").alias("root_frn"), F.col("below").alias("n_descendants"), status.alias("status"), F.col("cycle").alias("cycle_frn"))
+    return found.select(
+        F.col("v").alias("volume"), F.col("id").alias("frn"), *([F.substring("path", F.lit(2), F.length("path")).alias("path")] if paths else []),
+        "depth", F.col("top").alias("root_frn"), F.col("below").alias("n_descendants"), status.alias("status"), F.col("cycle").alias("cycle_frn")
+    )
 
 
 def intervals(records: DataFrame) -> DataFrame:
@@ -288,9 +357,17 @@ def intervals(records: DataFrame) -> DataFrame:
     # a folder may hold a third of all nodes, so siblings are put in order by range
     upto = running_total(sized.where("parent is not null"), ["v", "parent"], [F.col("id").asc()], F.col("below") + 1, "upto")
     placed = upto.select("v", "id", "parent", F.lit("").alias("name"), (F.col("upto") - F.col("below")).alias("offset"))
-    placed = placed.unionByName(sized.where("parent is null").select("v", "id", "parent", F.lit("").alias("name"), F.lit(0).cast("long").alias("offset")))
+    placed = placed.unionByName(
+        sized.where("parent is null").select("v", "id", "parent", F.lit("").alias("name"), F.lit(0).cast("long").alias("offset"))
+    )
     numbered = forest(placed, (), "offset").select(F.col("v").alias("nv"), F.col("id").alias("nid"), F.col("depth").alias("first"))
-    return sized.join(numbered, _on("id", "nv", "nid")).select(F.col("v").alias("volume"), F.col("id").alias("frn"), F.col("top").alias("root_frn"), "first", (F.col("first") + F.col("below")).alias("last"))
+    return (
+        sized.join(numbered, _on("id", "nv", "nid"))
+            .select(
+                F.col("v").alias("volume"), F.col("id").alias("frn"), F.col("top").alias("root_frn"), "first",
+                (F.col("first") + F.col("below")).alias("last")
+            )
+    )
 
 
 def descendants(records: DataFrame) -> DataFrame:
@@ -300,4 +377,7 @@ def descendants(records: DataFrame) -> DataFrame:
     """
     found = forest(newest(records), ("chain",)).where("cycle is null and size(chain) > 1")
     pairs = found.select("v", "id", F.size("chain").alias("n"), F.posexplode(F.slice("chain", 1, F.size("chain") - 1)).alias("at", "above"))
-    return pairs.select(F.col("v").alias("volume"), F.col("above").alias("frn"), F.col("id").alias("descendant_frn"), (F.col("n") - 1 - F.col("at")).cast("int").alias("distance"))
+    return pairs.select(
+        F.col("v").alias("volume"), F.col("above").alias("frn"), F.col("id").alias("descendant_frn"),
+        (F.col("n") - 1 - F.col("at")).cast("int").alias("distance")
+    )

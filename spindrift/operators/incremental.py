@@ -30,11 +30,30 @@ def offsets(runs: DataFrame) -> DataFrame:
     above ``from_usn``; ``compare``: no journal, so prints are compared with those of earlier successful runs.
     """
     runs = runs.select("run_id", "volume", "source", "journal_id", "checkpoint_usn", "state", "built_at", "last_persist")
-    opened = runs.where("state = 'replaying' and volume is not null").groupBy("volume").agg(F.max(F.struct("built_at", "run_id", "source", "journal_id")).alias("o"))
+    opened = (
+        runs.where("state = 'replaying' and volume is not null")
+            .groupBy("volume")
+            .agg(F.max(F.struct("built_at", "run_id", "source", "journal_id")).alias("o"))
+    )
     done = runs.where("state = 'ready' and last_persist is not null and volume is not null")
-    last = done.join(opened, "volume").where("built_at < o.built_at or (built_at = o.built_at and run_id <> o.run_id)").groupBy("volume").agg(F.max(F.struct("built_at", "run_id", "journal_id", "checkpoint_usn")).alias("l"))
-    mode = F.when(F.col("o.source") == "walk", "compare").when(F.col("l").isNull() | ~F.col("l.journal_id").eqNullSafe(F.col("o.journal_id")) | F.col("l.checkpoint_usn").isNull(), "all").otherwise("journal")
-    return opened.join(last, "volume", "left").select("volume", F.col("o.run_id").alias("open_run"), F.col("o.source").alias("source"), mode.alias("mode"), F.col("l.checkpoint_usn").alias("from_usn"), F.col("o.journal_id").alias("journal_id"), F.col("o.built_at").alias("built_at"))
+    last = (
+        done.join(opened, "volume")
+            .where("built_at < o.built_at or (built_at = o.built_at and run_id <> o.run_id)")
+            .groupBy("volume")
+            .agg(F.max(F.struct("built_at", "run_id", "journal_id", "checkpoint_usn")).alias("l"))
+    )
+    mode = (
+        F.when(F.col("o.source") == "walk", "compare")
+            .when(F.col("l").isNull() | ~F.col("l.journal_id").eqNullSafe(F.col("o.journal_id")) | F.col("l.checkpoint_usn").isNull(), "all")
+            .otherwise("journal")
+    )
+    return (
+        opened.join(last, "volume", "left")
+            .select(
+                "volume", F.col("o.run_id").alias("open_run"), F.col("o.source").alias("source"), mode.alias("mode"),
+                F.col("l.checkpoint_usn").alias("from_usn"), F.col("o.journal_id").alias("journal_id"), F.col("o.built_at").alias("built_at")
+            )
+    )
 
 
 def changed(prints: DataFrame, runs: DataFrame, plan: DataFrame) -> DataFrame:
@@ -44,17 +63,47 @@ def changed(prints: DataFrame, runs: DataFrame, plan: DataFrame) -> DataFrame:
     planned say nothing. Sizes and times compare null-safe; a null change number counts as changed.
     """
     prints = prints.select("run_id", "volume", "frn", "print_size", "print_mod", "usn", "seen_at")
-    done = runs.where("state = 'ready' and last_persist is not null").groupBy("run_id", F.col("volume").alias("_v")).agg(F.max("built_at").alias("built_at"))
-    roles = done.join(plan.where("mode = 'compare'").select(F.col("volume").alias("_v")), "_v", "left_semi").select("run_id", "_v", "built_at", F.lit(False).alias("opened"))
-    roles = roles.unionByName(plan.select(F.col("open_run").alias("run_id"), F.col("volume").alias("_v"), F.lit(None).cast("timestamp").alias("built_at"), F.lit(True).alias("opened")))
+    done = (
+        runs.where("state = 'ready' and last_persist is not null")
+            .groupBy("run_id", F.col("volume").alias("_v"))
+            .agg(F.max("built_at").alias("built_at"))
+    )
+    roles = (
+        done.join(plan.where("mode = 'compare'").select(F.col("volume").alias("_v")), "_v", "left_semi")
+            .select("run_id", "_v", "built_at", F.lit(False).alias("opened"))
+    )
+    roles = roles.unionByName(
+        plan.select(
+            F.col("open_run").alias("run_id"), F.col("volume").alias("_v"), F.lit(None).cast("timestamp").alias("built_at"),
+            F.lit(True).alias("opened")
+        )
+    )
     facts = F.struct("seen_at", "usn", "print_size", "print_mod")
     seen = prints.where("frn is not null").join(roles, [prints["run_id"] == roles["run_id"], prints["volume"] == roles["_v"]]).groupBy("volume", "frn").agg(
         F.max(F.when(F.col("opened"), facts)).alias("now"),
         F.max(F.when(~F.col("opened"), F.struct("built_at", roles["run_id"], facts.alias("p")))).alias("before"),
     )
-    same = F.col("before").isNotNull() & F.col("before.p.print_size").eqNullSafe(F.col("now.print_size")) & F.col("before.p.print_mod").eqNullSafe(F.col("now.print_mod"))
-    case = F.when(F.col("mode") == "all", True).when(F.col("mode") == "journal", F.coalesce(F.col("now.usn") >= F.col("from_usn"), F.lit(True))).otherwise(~same)
-    return seen.where("now is not null").join(plan.select("volume", "mode", "from_usn", F.col("built_at").alias("o_built_at"), F.col("journal_id").alias("o_journal_id")), "volume").where(case).select("volume", "frn", F.col("o_built_at").alias("built_at"), "now.usn", "now.seen_at", F.col("o_journal_id").alias("journal_id"), "now.print_size", "now.print_mod")
+    same = (
+        F.col("before").isNotNull()
+        & F.col("before.p.print_size").eqNullSafe(F.col("now.print_size"))
+        & F.col("before.p.print_mod").eqNullSafe(F.col("now.print_mod"))
+    )
+    case = (
+        F.when(F.col("mode") == "all", True)
+            .when(F.col("mode") == "journal", F.coalesce(F.col("now.usn") >= F.col("from_usn"), F.lit(True)))
+            .otherwise(~same)
+    )
+    return (
+        seen.where("now is not null")
+            .join(
+                plan.select("volume", "mode", "from_usn", F.col("built_at").alias("o_built_at"), F.col("journal_id").alias("o_journal_id")), "volume"
+            )
+            .where(case)
+            .select(
+                "volume", "frn", F.col("o_built_at").alias("built_at"), "now.usn", "now.seen_at", F.col("o_journal_id").alias("journal_id"),
+                "now.print_size", "now.print_mod"
+            )
+    )
 
 
 class IncrementalJob:
@@ -76,7 +125,9 @@ class IncrementalJob:
         if not exists(self.spark, f"{at}/_SUCCESS"):
             if exists(self.spark, at):
                 remove(self.spark, at)
-            changed(prints, runs, self.plan(batch, runs)).withColumn("batch", F.lit(batch).cast("long")).write.option("compression", "zstd").parquet(at)
+            changed(
+                prints, runs, self.plan(batch, runs)
+            ).withColumn("batch", F.lit(batch).cast("long")).write.option("compression", "zstd").parquet(at)
 
     def read(self) -> DataFrame:
         """All committed rows, one a key: the one of the highest offset, then of the latest batch."""
@@ -99,5 +150,10 @@ def reconcile(old: DataFrame, new: DataFrame) -> DataFrame:
     """
     one = lambda rows, side: rows.where("frn is not null").groupBy("volume", "frn").agg(F.max(F.struct("mod", "size")).alias(side))
     both = one(old, "o").join(one(new, "n"), ["volume", "frn"], "full")
-    state = F.when(F.col("o").isNull(), "added").when(F.col("n").isNull(), "removed").when(F.col("o.size").eqNullSafe(F.col("n.size")) & F.col("o.mod").eqNullSafe(F.col("n.mod")), "same").otherwise("changed")
+    state = (
+        F.when(F.col("o").isNull(), "added")
+            .when(F.col("n").isNull(), "removed")
+            .when(F.col("o.size").eqNullSafe(F.col("n.size")) & F.col("o.mod").eqNullSafe(F.col("n.mod")), "same")
+            .otherwise("changed")
+    )
     return both.select("volume", "frn", state.alias("state"))

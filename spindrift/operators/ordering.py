@@ -22,7 +22,14 @@ def running_total(rows: DataFrame, group: Sequence[str], order: Sequence[Column]
     placed, _ = written(placed, "ordered")
     slices = placed.groupBy(*group, "_p").agg(F.sum("_w").alias("_n"))
     before = Window.partitionBy(*group).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    starts = slices.select(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(group)], F.col("_p").alias("_q"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o"))
+    starts = slices.select(
+        *[F.col(c).alias(f"_g{i}") for i, c in enumerate(group)], F.col("_p").alias("_q"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o")
+    )
     own = Window.partitionBy("_p", *group).orderBy(*asc).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     on = [F.col("_p") == F.col("_q"), *[F.col(c).eqNullSafe(F.col(f"_g{i}")) for i, c in enumerate(group)]]
-    return placed.withColumn("_r", F.sum("_w").over(own)).join(starts, on, "left").withColumn(name, F.col("_o") + F.col("_r")).select(*rows.columns, name)
+    return (
+        placed.withColumn("_r", F.sum("_w").over(own))
+            .join(starts, on, "left")
+            .withColumn(name, F.col("_o") + F.col("_r"))
+            .select(*rows.columns, name)
+    )

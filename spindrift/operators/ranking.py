@@ -22,7 +22,11 @@ def frecency(opens: DataFrame, now: Column) -> DataFrame:
     ``opens``: user_id, path, opened (unix seconds). Unknown and future times count as now.
     """
     age = F.greatest(F.lit(0.0), (now - F.coalesce("opened", now)) / 86400.0)
-    return opens.where("path is not null").groupBy("user_id", "path").agg(F.count("*").alias("opens"), F.sum(F.pow(F.lit(0.5), age / HALF_LIFE)).alias("score"), F.max("opened").alias("last_open"))
+    return (
+        opens.where("path is not null")
+            .groupBy("user_id", "path")
+            .agg(F.count("*").alias("opens"), F.sum(F.pow(F.lit(0.5), age / HALF_LIFE)).alias("score"), F.max("opened").alias("last_open"))
+    )
 
 
 def habits(picks: DataFrame) -> DataFrame:
@@ -32,7 +36,13 @@ def habits(picks: DataFrame) -> DataFrame:
 
 def recent(signals: DataFrame, limit: int) -> DataFrame:
     """The paths opened last, newest first."""
-    return signals.where("last_open_unix is not null").groupBy("user_id", "path").agg(F.max("last_open_unix").alias("last_open_unix")).orderBy(F.desc("last_open_unix"), "path", "user_id").limit(limit)
+    return (
+        signals.where("last_open_unix is not null")
+            .groupBy("user_id", "path")
+            .agg(F.max("last_open_unix").alias("last_open_unix"))
+            .orderBy(F.desc("last_open_unix"), "path", "user_id")
+            .limit(limit)
+    )
 
 
 def normal_query(text: str) -> str:
@@ -41,8 +51,13 @@ def normal_query(text: str) -> str:
 
 def compact(signals: DataFrame, files: int = FILES) -> DataFrame:
     """Every user's store cut to its best files; what is cut is the feature. A user who owns most rows spans many tasks."""
-    once = signals.groupBy("user_id", "path").agg(F.max("opens").alias("opens"), F.max("score").alias("score"), F.max("last_open_unix").alias("last_open_unix"))
-    placed = running_total(once, ["user_id"], [F.desc_nulls_last("score"), F.desc_nulls_last("last_open_unix"), F.col("path").asc()], F.lit(1), "place")
+    once = (
+        signals.groupBy("user_id", "path")
+            .agg(F.max("opens").alias("opens"), F.max("score").alias("score"), F.max("last_open_unix").alias("last_open_unix"))
+    )
+    placed = running_total(
+        once, ["user_id"], [F.desc_nulls_last("score"), F.desc_nulls_last("last_open_unix"), F.col("path").asc()], F.lit(1), "place"
+    )
     return placed.withColumn("place", F.col("place").cast("int")).where(F.col("place") <= files)
 
 
@@ -52,7 +67,9 @@ def compact_picks(picks: DataFrame, queries: int = QUERIES, paths: int = PATHS)
     asked = once.groupBy("user_id", "query_norm").agg(F.max("last_unix").alias("at"))
     latest = running_total(asked, ["user_id"], [F.desc_nulls_last("at"), F.col("query_norm").asc()], F.lit(1), "nth").where(F.col("nth") <= queries)
     kept = once.join(latest.select("user_id", "query_norm"), ["user_id", "query_norm"], "left_semi")
-    placed = running_total(kept, ["user_id", "query_norm"], [F.desc_nulls_last("pick_count"), F.desc_nulls_last("last_unix"), F.col("path").asc()], F.lit(1), "place")
+    placed = running_total(
+        kept, ["user_id", "query_norm"], [F.desc_nulls_last("pick_count"), F.desc_nulls_last("last_unix"), F.col("path").asc()], F.lit(1), "place"
+    )
     return placed.withColumn("place", F.col("place").cast("int")).where(F.col("place") <= paths)
 
 
@@ -60,7 +77,15 @@ def hops(path: Column, anchor: str) -> Column:
     """Steps between two folders: up to the common one and down again; a file counts from its folder."""
     here = F.array(*[F.lit(x) for x in anchor.lower().rstrip("\\").split("\\")])
     there = F.slice(F.split(F.lower(path), r"\\"), 1, F.greatest(F.lit(0), F.size(F.split(path, r"\\")) - 1))
-    same = F.size(F.filter(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(F.size(here), F.size(there)))), lambda i: F.slice(here, 1, i) == F.slice(there, 1, i)), lambda x: x))
+    same = F.size(
+        F.filter(
+            F.transform(
+                F.sequence(
+                    F.lit(1), F.greatest(F.lit(1), F.least(F.size(here), F.size(there)))
+                ), lambda i: F.slice(here, 1, i) == F.slice(there, 1, i)
+            ), lambda x: x
+        )
+    )
     return F.size(here) + F.size(there) - 2 * same
 
 
@@ -78,7 +103,10 @@ def git_class() -> Column:
     return F.when(F.col("git").isNull(), 1).when(flag("conflict") | flag("modified") | flag("staged"), 0).when(flag("untracked"), 2).otherwise(3)
 
 
-def blend(page: DataFrame, q: Query, query_text: str, user: str, signals: DataFrame, picks: DataFrame, near: str = "", current: str = "", commits: DataFrame | None = None) -> DataFrame:
+def blend(
+    page: DataFrame, q: Query, query_text: str, user: str, signals: DataFrame, picks: DataFrame, near: str = "", current: str = "",
+    commits: DataFrame | None = None
+) -> DataFrame:
     """A page (in order, with its ``position``) reordered by one person's signals; adds ``place``.
 
     Inside a band: habits for this query first, then nearness, frecency, state in version control, files (and folders
@@ -86,7 +114,9 @@ def blend(page: DataFrame, q: Query, query_text: str, user: str, signals: DataFr
     already, so one task orders it.
     """
     mine = signals.where(F.col("user_id") == user).groupBy("path").agg(F.max("score").alias("frecency"))
-    habit = habits(picks.where((F.col("user_id") == user) & (F.col("query_norm") == normal_query(query_text)))).select("path", F.lit(1).alias("habit"))
+    habit = (
+        habits(picks.where((F.col("user_id") == user) & (F.col("query_norm") == normal_query(query_text)))).select("path", F.lit(1).alias("habit"))
+    )
     rows = page.join(mine, "path", "left").join(habit, "path", "left")
     near = near or q.near
     keys = [F.coalesce("habit", F.lit(0)).desc()]
@@ -97,14 +127,22 @@ def blend(page: DataFrame, q: Query, query_text: str, user: str, signals: DataFr
         keys.append(git_class().asc())
     if commits is not None:
         parts = F.split("path", r"\\")
-        above = commits.select(F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "\\"))).alias("path")).distinct()
+        above = (
+            commits.select(
+                F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "\\"))).alias("path")
+            )
+                .distinct()
+        )
         rows = rows.join(above.select("path", F.lit(1).alias("_commit")), "path", "left")
         keys.append(F.coalesce("_commit", F.lit(0)).desc())
     keys.append(F.col("mod_ns").desc())
     if current:
         keys.append((F.col("path_l") == current.lower()).asc())
     everything = Window.partitionBy()
-    any_signal = F.lit(bool(near or current or commits is not None)) | (F.max(F.when(F.col("habit").isNotNull() | F.col("frecency").isNotNull(), 1).otherwise(0)).over(everything) == 1)
+    any_signal = (
+        F.lit(bool(near or current or commits is not None))
+        | (F.max(F.when(F.col("habit").isNotNull() | F.col("frecency").isNotNull(), 1).otherwise(0)).over(everything) == 1)
+    )
     banded = rows.withColumn("_b", band(q)).withColumn("_any", any_signal)
     blended = F.row_number().over(Window.orderBy("_b", *keys, "path"))
     return banded.withColumn("place", F.when(F.col("_any"), blended).otherwise(F.col("position"))).drop("_b", "_any", "_commit")
@@ -117,8 +155,12 @@ def evidence(paths: DataFrame, repositories: DataFrame, states: DataFrame) -> Da
     so no path meets a repository that isn't above it.
     """
     parts = F.split("path", r"\\")
-    above = paths.select("path", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "\\"))).alias("root"))
+    above = paths.select(
+        "path", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "\\"))).alias("root")
+    )
     deepest = above.join(repositories.select("root").distinct(), "root").groupBy("path").agg(F.max_by("root", F.length("root")).alias("root"))
     flags = [c for c in states.columns if c not in ("root", "relative")]
-    found = deepest.withColumn("relative", F.substring(F.col("path"), F.length("root") + 2, F.length("path"))).join(states, ["root", "relative"], "left")
+    found = (
+        deepest.withColumn("relative", F.substring(F.col("path"), F.length("root") + 2, F.length("path"))).join(states, ["root", "relative"], "left")
+    )
     return paths.join(found.select("path", F.struct(*flags).alias("git")), "path", "left")

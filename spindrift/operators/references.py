@@ -42,7 +42,9 @@ def _orphans_of(block: pa.Table) -> pa.RecordBatch:
     rows = np.concatenate([x for x, _ in out]) if out else np.zeros(0, np.int64)
     when = np.concatenate([np.full(len(x), i) for x, i in out]) if out else np.zeros(0, np.int64)
     found = block.take(pa.array(rows))
-    return pa.RecordBatch.from_arrays([found["space"].combine_chunks(), found["key"].combine_chunks(), pa.array(names[when].tolist(), pa.string())], ["space", "key", "period"])
+    return pa.RecordBatch.from_arrays(
+        [found["space"].combine_chunks(), found["key"].combine_chunks(), pa.array(names[when].tolist(), pa.string())], ["space", "key", "period"]
+    )
 
 
 def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -71,9 +73,16 @@ def orphan_keys(parents: DataFrame, references: DataFrame) -> DataFrame:
     named = "space is not null and key is not null and period is not null"
     state = F.struct(F.col("version"), F.coalesce(F.col("deleted"), F.lit(False)).cast("int").alias("gone"))
     held = parents.where(named).select("space", "key", "period", state.alias("state"), F.lit(False).alias("ref"))
-    wanted = references.where(named).select("space", "key", "period", F.lit(None).cast(held.schema["state"].dataType).alias("state"), F.lit(True).alias("ref"))
+    wanted = (
+        references.where(named)
+            .select("space", "key", "period", F.lit(None).cast(held.schema["state"].dataType).alias("state"), F.lit(True).alias("ref"))
+    )
     facts = held.unionByName(wanted).groupBy("space", "key", "period").agg(F.max("state").alias("state"), F.max("ref").alias("ref"))
-    ordered = facts.select("space", "key", "period", F.col("state.gone").alias("gone"), "ref").repartitionByRange("space", "key").sortWithinPartitions("space", "key")
+    ordered = (
+        facts.select("space", "key", "period", F.col("state.gone").alias("gone"), "ref")
+            .repartitionByRange("space", "key")
+            .sortWithinPartitions("space", "key")
+    )
     return ordered.mapInArrow(_walk, "space string, key long, period string")
 
 
@@ -84,4 +93,8 @@ def orphan_rows(parents: DataFrame, references: DataFrame) -> DataFrame:
     partition (adaptive skew join); where the orphans are few it sends them to the rows instead, by their size.
     """
     found = orphan_keys(parents, references).select(F.col("space").alias("_s"), F.col("key").alias("_k"), F.col("period").alias("_p"))
-    return references.join(found, [F.col("space") == F.col("_s"), F.col("key") == F.col("_k"), F.col("period") == F.col("_p")]).drop("_s", "_k", "_p").distinct()
+    return (
+        references.join(found, [F.col("space") == F.col("_s"), F.col("key") == F.col("_k"), F.col("period") == F.col("_p")])
+            .drop("_s", "_k", "_p")
+            .distinct()
+    )

@@ -80,7 +80,10 @@ def _with_features(rows: DataFrame, q: Query, features: dict[str, Callable]) ->
     return rows, {name: (lambda term, name=name: flags[name, term]) for name in features}
 
 
-def search(entries: DataFrame, text: str, settings: Settings = Settings(), limit: int = DEFAULT_LIMIT, offset: int = 0, bias: str = "", features: dict | None = None, words: DataFrame | None = None, query: Query | None = None, existing: bool = False, last: list | None = None) -> DataFrame:
+def search(
+    entries: DataFrame, text: str, settings: Settings = Settings(), limit: int = DEFAULT_LIMIT, offset: int = 0, bias: str = "",
+    features: dict | None = None, words: DataFrame | None = None, query: Query | None = None, existing: bool = False, last: list | None = None
+) -> DataFrame:
     """One page of results in order. ``limit`` 0 or less means the default; ``bias`` puts what lies under a folder first.
 
     ``existing`` keeps files that are there now; ``last`` has the keys of a row behind which the page begins.
@@ -100,7 +103,10 @@ def search(entries: DataFrame, text: str, settings: Settings = Settings(), limit
     return (page.offset(offset) if offset else page).limit(limit if limit > 0 else DEFAULT_LIMIT)
 
 
-def count(entries: DataFrame, text: str, settings: Settings = Settings(), features: dict | None = None, words: DataFrame | None = None, query: Query | None = None) -> DataFrame:
+def count(
+    entries: DataFrame, text: str, settings: Settings = Settings(), features: dict | None = None, words: DataFrame | None = None,
+    query: Query | None = None
+) -> DataFrame:
     """The number of matches; limits don't apply."""
     return matching(entries, query or parse(text, settings), features, words).agg(F.count("*").alias("n"))
 
@@ -162,7 +168,13 @@ def results(rows: DataFrame, q: Query | None = None) -> DataFrame:
     """The result rows that callers see: path, name, volume, is_dir, size, modified (RFC 3339, null if unknown), index_source[, snippet, git_status]."""
     seconds = (F.col("mod_ns") / 1_000_000_000).cast("long")
     fraction = F.rtrim(F.lpad((F.col("mod_ns") % 1_000_000_000).cast("string"), 9, "0"), F.lit("0"))
-    modified = F.when(F.col("mod_ns") != 0, F.concat(F.date_format(F.to_utc_timestamp(F.timestamp_seconds(seconds), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss"), F.when(fraction != "", F.concat(F.lit("."), fraction)).otherwise(""), F.lit("Z")))
+    modified = F.when(
+        F.col("mod_ns") != 0,
+        F.concat(
+            F.date_format(F.to_utc_timestamp(F.timestamp_seconds(seconds), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss"),
+            F.when(fraction != "", F.concat(F.lit("."), fraction)).otherwise(""), F.lit("Z")
+        )
+    )
     columns = ["path", "name", "volume", "is_dir", "size", modified.alias("modified"), F.col("source").alias("index_source")]
     if q is not None and "text" in rows.columns:
         columns.append(content.snippet(q, smart_case(q)).alias("snippet"))
@@ -200,5 +212,9 @@ def dedupe(rows: DataFrame) -> DataFrame:
     """One row a file: by (volume, record number), else (volume, lower-case path); the newest, then the first path, stays."""
     key = F.coalesce(F.concat(F.lit("f"), F.col("frn").cast("string")), F.concat(F.lit("p"), F.col("path_l")))
     columns = rows.columns
-    best = rows.withColumn("_k", key).groupBy("volume", "_k").agg(F.max_by(F.struct(*columns), F.struct("mod_ns", F.struct(*[c for c in ("path", "size") if c in columns]))).alias("r"))
+    best = (
+        rows.withColumn("_k", key)
+            .groupBy("volume", "_k")
+            .agg(F.max_by(F.struct(*columns), F.struct("mod_ns", F.struct(*[c for c in ("path", "size") if c in columns]))).alias("r"))
+    )
     return best.select("r.*")

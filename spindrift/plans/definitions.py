@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 
 #: Extensions per language, and words that begin statements which define nothing.
 LANGUAGES = {
-    "go": "go", "c": "c cc cpp cxx h hh hpp hxx inl ipp m mm", "py": "py pyi", "js": "js jsx ts tsx mjs cjs mts cts", "rs": "rs", "java": "java cs kt kts scala swift",
+    "go": "go", "c": "c cc cpp cxx h hh hpp hxx inl ipp m mm", "py": "py pyi", "js": "js jsx ts tsx mjs cjs mts cts", "rs": "rs",
+    "java": "java cs kt kts scala swift"
 }
 CONTROL = "return if else while for switch case do new delete throw goto sizeof await yield not and or in assert print co_return co_await using friend".split()
 
@@ -96,7 +97,8 @@ DESCRIPTIONS = {
     "py": [Introduction("def", modifiers="async"), Introduction("class"), Assigned()],
     "js": [
         Introduction("function", first=False, between=r"(?:\*\s*+)?"), Introduction(r"function\*", first=False), Introduction("class", modifiers="export default abstract"), Introduction("const let var", modifiers="export", behind=r"\s*+[=:]"),
-        Introduction("interface type enum namespace", modifiers="export declare"), Method("public private protected static async readonly override get set"),
+        Introduction("interface type enum namespace", modifiers="export declare"),
+        Method("public private protected static async readonly override get set")
     ],
     "rs": [Introduction("fn struct enum trait type union mod const static", first=False), Introduction("macro[_]rules!", first=False)],
     "java": [Introduction("class interface enum record struct object", first=False), Introduction("fun", first=False, between=PARAMETERS + r"(?:\w++\.)*+"), Head(r"\w<>\[\],?@.")],
@@ -122,5 +124,11 @@ def definition_line(line: Column, name: str) -> Column:
         hit = reduce(operator.or_, [line.rlike(p) & ~declares if body else line.rlike(p) for p, body in patterns(language, name)])
         if language != "c":
             hit = hit & ~line.rlike(r"^\s*#")
-        out = F.when(F.col("ext_l").isin(exts.split()), hit) if out is None else out.when(F.col("ext_l").isin(exts.split()), hit) if exts else out.otherwise(hit)
+        out = (
+            F.when(F.col("ext_l").isin(exts.split()), hit)
+            if out is None
+            else out.when(F.col("ext_l").isin(exts.split()), hit)
+            if exts
+            else out.otherwise(hit)
+        )
     return line.contains(name) & ~line.rlike(rf"^\s*(//|/?\*|({'|'.join(CONTROL)})\b)") & out

@@ -11,9 +11,24 @@ from spindrift.session import table
 
 def _references(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     records, documents = table(spark, sf_dir, "records"), table(spark, sf_dir, "documents")
-    held = records.select(F.col("volume").alias("space"), F.col("frn").alias("key"), F.col("scan_month").alias("period"), "deleted", F.struct("received_at", "row_id").alias("version"))
-    named = records.where("not coalesce(deleted, false) and parent_frn <> 0").select(F.lit("records").alias("table_name"), "row_id", F.col("volume").alias("space"), F.col("parent_frn").alias("key"), F.col("scan_month").alias("period"))
-    named = named.unionByName(documents.where("frn <> 0").select(F.lit("documents").alias("table_name"), F.col("doc_id").alias("row_id"), F.col("volume").alias("space"), F.col("frn").alias("key"), F.col("scan_month").alias("period")))
+    held = records.select(
+        F.col("volume").alias("space"), F.col("frn").alias("key"), F.col("scan_month").alias("period"), "deleted",
+        F.struct("received_at", "row_id").alias("version")
+    )
+    named = (
+        records.where("not coalesce(deleted, false) and parent_frn <> 0")
+            .select(
+                F.lit("records").alias("table_name"), "row_id", F.col("volume").alias("space"), F.col("parent_frn").alias("key"),
+                F.col("scan_month").alias("period")
+            )
+    )
+    named = named.unionByName(
+        documents.where("frn <> 0")
+            .select(
+                F.lit("documents").alias("table_name"), F.col("doc_id").alias("row_id"), F.col("volume").alias("space"), F.col("frn").alias("key"),
+                F.col("scan_month").alias("period")
+            )
+    )
     return held, named
 
 
@@ -36,7 +51,12 @@ def p4_two_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sink after two batches: one as of the last successful run of every volume, and one of the open run."""
     prints, runs = table(spark, sf_dir, "file_prints"), table(spark, sf_dir, "index_runs")
     done = runs.where("state = 'ready' and last_persist is not null").groupBy("volume").agg(F.max(F.struct("built_at", "run_id")).alias("l"))
-    earlier = runs.where("state <> 'replaying'").join(done, "volume", "left").withColumn("state", F.when(F.col("run_id") == F.col("l.run_id"), "replaying").otherwise(F.col("state"))).drop("l")
+    earlier = (
+        runs.where("state <> 'replaying'")
+            .join(done, "volume", "left")
+            .withColumn("state", F.when(F.col("run_id") == F.col("l.run_id"), "replaying").otherwise(F.col("state")))
+            .drop("l")
+    )
     job = incremental.IncrementalJob(spark)
     job.run(0, prints, earlier)
     job.run(1, prints, runs)
@@ -69,7 +89,9 @@ def p7_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hierarchy.descendants(table(spark, sf_dir, "records"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_report, p4_found, p4_two_batches, p6_found, p6_files, p7_found, p7_tree, p7_intervals, p7_descendants)}
+QUERIES = {
+    f.__name__: f for f in (p2_found, p2_report, p4_found, p4_two_batches, p6_found, p6_files, p7_found, p7_tree, p7_intervals, p7_descendants)
+}
 
 _ORPHANS = """
 with refs as (select distinct 'records' as table_name, scan_month, row_id, volume, parent_frn as frn from records where not coalesce(deleted, false) and parent_frn <> 0

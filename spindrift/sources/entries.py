@@ -29,7 +29,9 @@ def enriched(rows: DataFrame) -> DataFrame:
     return clean.select(
         "volume", "frn", "path", name.alias("name"), F.lower(F.when(F.instr(name, ".") > 0, F.substring_index(name, ".", -1)).otherwise("")).alias("ext_l"),
         F.coalesce(F.lower(F.try_element_at(parts, F.lit(-2))), F.lit("")).alias("parent_l"), F.lower("path").alias("path_l"), F.lower(name).alias("name_l"), folded(F.col("path")).alias("path_f"), folded(name).alias("name_f"),
-        (F.col("mode").bitwiseAND(F.lit(DIR_BIT | 0x10)) != 0).alias("is_dir"), "mode", F.greatest(F.coalesce("size", F.lit(0)), F.lit(0)).cast("long").alias("size"), F.coalesce("mod_ns", F.lit(0)).cast("long").alias("mod_ns"), (F.size(parts) - 1).alias("depth"), "source", "text",
+        (F.col("mode").bitwiseAND(F.lit(DIR_BIT | 0x10)) != 0).alias("is_dir"), "mode",
+        F.greatest(F.coalesce("size", F.lit(0)), F.lit(0)).cast("long").alias("size"), F.coalesce("mod_ns", F.lit(0)).cast("long").alias("mod_ns"),
+        (F.size(parts) - 1).alias("depth"), "source", "text"
     )
 
 
@@ -37,21 +39,48 @@ def folders(files: DataFrame) -> DataFrame:
     """All folders above some files, with the latest time below; a folder has no record number here."""
     parts = F.split("path", r"\\")
     above = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, 1, i), "\\"))
-    rows = files.where(F.size(parts) > 1).select("volume", F.explode(above).alias("path"), "mod_ns").groupBy("volume", "path").agg(F.max("mod_ns").alias("mod_ns"))
-    return rows.select("volume", F.lit(None).cast("long").alias("frn"), "path", F.lit(DIR_BIT | 0x10).cast("long").alias("mode"), F.lit(0).cast("long").alias("size"), "mod_ns", F.lit("folder").alias("source"), F.lit(None).cast("string").alias("text"))
+    rows = (
+        files.where(F.size(parts) > 1)
+            .select("volume", F.explode(above).alias("path"), "mod_ns")
+            .groupBy("volume", "path")
+            .agg(F.max("mod_ns").alias("mod_ns"))
+    )
+    return rows.select(
+        "volume", F.lit(None).cast("long").alias("frn"), "path", F.lit(DIR_BIT | 0x10).cast("long").alias("mode"),
+        F.lit(0).cast("long").alias("size"), "mod_ns", F.lit("folder").alias("source"), F.lit(None).cast("string").alias("text")
+    )
 
 
 def _documents(documents: DataFrame) -> DataFrame:
     ext: Column = F.get(F.array(*map(F.lit, EXTENSIONS)), (F.col("doc_id") % 6).cast("int"))
-    path = F.concat(F.col("volume"), F.lit("\\corpus\\"), F.col("source"), F.lit("\\"), F.coalesce("lang", F.lit("und")), F.lit("\\doc_"), F.col("doc_id").cast("string"), F.lit("."), ext)
-    mode = F.when(F.col("doc_id") % 5 == 0, 1).otherwise(0) + F.when(F.col("doc_id") % 7 == 0, 2).otherwise(0) + F.when(F.col("doc_id") % 2 == 0, 32).otherwise(0)
-    return documents.select("volume", F.col("doc_id").alias("frn"), path.alias("path"), mode.cast("long").alias("mode"), F.col("n_chars").alias("size"), ((F.lit(1704067200) + F.col("doc_id") % 100000 * 600) * 1_000_000_000).alias("mod_ns"), F.lit("corpus").alias("source"), "text")
+    path = F.concat(
+        F.col("volume"), F.lit("\\corpus\\"), F.col("source"), F.lit("\\"), F.coalesce("lang", F.lit("und")), F.lit("\\doc_"),
+        F.col("doc_id").cast("string"), F.lit("."), ext
+    )
+    mode = (
+        F.when(F.col("doc_id") % 5 == 0, 1).otherwise(0)
+        + F.when(F.col("doc_id") % 7 == 0, 2).otherwise(0)
+        + F.when(F.col("doc_id") % 2 == 0, 32).otherwise(0)
+    )
+    return documents.select(
+        "volume", F.col("doc_id").alias("frn"), path.alias("path"), mode.cast("long").alias("mode"), F.col("n_chars").alias("size"),
+        ((F.lit(1704067200) + F.col("doc_id") % 100000 * 600) * 1_000_000_000).alias("mod_ns"), F.lit("corpus").alias("source"), "text"
+    )
 
 
 def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as files with text, the present files of the change feed, and all folders above either."""
     feed = current_files(table(spark, sf_dir, "feature_feed"), ["path", "size", "mod_unix", "mode"])
-    files = _documents(table(spark, sf_dir, "documents")).unionByName(feed.where("path is not null").select("volume", "frn", F.translate("path", "/", "\\").alias("path"), "mode", "size", F.col("mod_unix").alias("mod_ns"), F.lit("feed").alias("source"), F.lit(None).cast("string").alias("text")))
+    files = (
+        _documents(table(spark, sf_dir, "documents"))
+            .unionByName(
+                feed.where("path is not null")
+                    .select(
+                        "volume", "frn", F.translate("path", "/", "\\").alias("path"), "mode", "size", F.col("mod_unix").alias("mod_ns"),
+                        F.lit("feed").alias("source"), F.lit(None).cast("string").alias("text")
+                    )
+            )
+    )
     return enriched(files.unionByName(folders(files)))
 
 

@@ -63,7 +63,12 @@ def html(data: bytes) -> str:
 
 
 def _members(name: str) -> bool:
-    return bool(re.fullmatch(r"word/(document|header\d*|footer\d*|footnotes|endnotes|comments)\.xml|xl/sharedStrings\.xml|xl/worksheets/[^/]+\.xml|ppt/(slides|notesSlides)/[^/]+\.xml|content\.xml|.*\.(xhtml|html?)", name))
+    return bool(
+        re.fullmatch(
+            r"word/(document|header\d*|footer\d*|footnotes|endnotes|comments)\.xml|xl/sharedStrings\.xml|xl/worksheets/[^/]+\.xml|ppt/(slides|notesSlides)/[^/]+\.xml|content\.xml|.*\.(xhtml|html?)",
+            name
+        )
+    )
 
 
 _BLOCKS = {"p", "row", "si", "h", "title", "li", "tr", "h1", "h2", "h3", "div"}
@@ -135,7 +140,9 @@ def mailbox(data: bytes) -> str:
     return "\n\n".join(out)
 
 
-_NO_TEXT = set("fonttbl colortbl stylesheet info pict object themedata colorschememapping latentstyles datastore generator listtable listoverridetable rsidtbl xmlnstbl fldinst header footer".split())
+_NO_TEXT = set(
+    "fonttbl colortbl stylesheet info pict object themedata colorschememapping latentstyles datastore generator listtable listoverridetable rsidtbl xmlnstbl fldinst header footer".split()
+)
 
 
 def rtf(data: bytes) -> str:
@@ -197,10 +204,16 @@ def _pdf_string(raw: bytes) -> bytes:
         digits = re.sub(rb"[^0-9A-Fa-f]", b"", raw)
         return bytes.fromhex((digits + b"0" * (len(digits) % 2)).decode())
     simple = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}
-    return re.sub(rb"\\([0-7]{1,3}|\r?\n|.)", lambda m: bytes([int(m[1], 8) & 255]) if m[1][:1].isdigit() else simple.get(m[1], b"" if m[1].strip() == b"" else m[1]), raw[1:-1], flags=re.S)
+    return re.sub(
+        rb"\\([0-7]{1,3}|\r?\n|.)", lambda m: bytes([int(m[1], 8) & 255]) if m[1][:1].isdigit() else simple.get(
+            m[1], b"" if m[1].strip() == b"" else m[1]
+        ), raw[1:-1], flags=re.S
+    )
 
 
-_SHOWN = re.compile(rb"(\((?:[^()\\]|\\.|\((?:[^()\\]|\\.)*\))*\)|<[0-9A-Fa-f\s]*>)|(\[(?:[^\[\]()]|\((?:[^()\\]|\\.)*\))*\]\s*TJ)|\b(T\*|Td|TD|ET)\b|(['\"])", re.S)
+_SHOWN = re.compile(
+    rb"(\((?:[^()\\]|\\.|\((?:[^()\\]|\\.)*\))*\)|<[0-9A-Fa-f\s]*>)|(\[(?:[^\[\]()]|\((?:[^()\\]|\\.)*\))*\]\s*TJ)|\b(T\*|Td|TD|ET)\b|(['\"])", re.S
+)
 
 
 def pdf(data: bytes) -> str:
@@ -296,7 +309,10 @@ def _compound(data: bytes) -> dict[str, bytes]:
         entries.append((folder[i : i + max(0, n - 2)].decode("utf-16-le", "replace"), kind, start, length & 0xFFFFFFFF))
     root = next(e for e in entries if e[1] == 5)
     mini = chain(root[2], table, at)
-    return {name: (chain(start, links, lambda n: mini[n * small : (n + 1) * small]) if length < cutoff else chain(start, table, at))[:length] for name, kind, start, length in entries if kind == 2}
+    return {
+        name: (chain(start, links, lambda n: mini[n * small : (n + 1) * small]) if length < cutoff else chain(start, table, at))[:length]
+        for name, kind, start, length in entries if kind == 2
+    }
 
 
 #: Fixed value: what the dictionary of compressed RTF begins with.
@@ -358,7 +374,9 @@ def outlook(data: bytes) -> str:
 
 #: Class and extractor per extension; text is what is left.
 FORMATS: dict[str, tuple[int, Callable[[bytes], str]]] = (
-    {e: (2, office) for e in "docx docm xlsx xlsm pptx pptm odt ods odp epub".split()} | {"pdf": (3, pdf)} | {e: (4, html) for e in "html htm xhtml".split()}
+    {e: (2, office) for e in "docx docm xlsx xlsm pptx pptm odt ods odp epub".split()}
+    | {"pdf": (3, pdf)}
+    | {e: (4, html) for e in "html htm xhtml".split()}
     | {e: (5, mail) for e in "eml emlx mht".split()} | {"rtf": (7, rtf), "mbox": (8, mailbox), "msg": (9, outlook)}
 )
 SNIFFED = [(b"%PDF-", 3, pdf), (b"{\\rtf", 7, rtf)]
@@ -387,7 +405,10 @@ def texts(files: DataFrame) -> DataFrame:
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            found = [extract(p, bytes(c)) if c is not None else (None, 0, True, False, False, "no content") for p, c in zip(frame["path"], frame["content"])]
+            found = [
+                extract(p, bytes(c)) if c is not None else (None, 0, True, False, False, "no content")
+                for p, c in zip(frame["path"], frame["content"])
+            ]
             yield pd.concat([frame[["path"]].reset_index(drop=True), pd.DataFrame(found, columns=[x.split()[0] for x in SCHEMA.split(", ")])], axis=1)
 
     return files.select("path", "content").mapInPandas(run, f"path string, {SCHEMA}")

@@ -9,7 +9,9 @@ from pyspark.sql.streaming import StreamingQuery
 from spindrift.operators.changefeed import EqualityDeleteTable
 
 
-def apply_stream(changes: DataFrame, table: EqualityDeleteTable, deleted: str, checkpoint: str, payload: list[str] = (), floor: str | None = None) -> StreamingQuery:
+def apply_stream(
+    changes: DataFrame, table: EqualityDeleteTable, deleted: str, checkpoint: str, payload: list[str] = (), floor: str | None = None
+) -> StreamingQuery:
     """Append a stream of changes to an equality-delete table, batch by batch.
 
     A batch that runs again after a failure appends the same rows again; readers keep one, so the state is right after
@@ -31,7 +33,9 @@ def _events(rows: DataFrame, a: str, b: str, came: F.Column, gone: F.Column) ->
     moved = ~gone & ~came & (F.col(f"{a}.path") != F.col(f"{b}.path"))
     touched = ~gone & ~came & ~moved & ~(F.col(f"{a}.size").eqNullSafe(F.col(f"{b}.size")) & F.col(f"{a}.mod_ns").eqNullSafe(F.col(f"{b}.mod_ns")))
     event = lambda kind, side: F.struct(F.lit(kind).alias("event"), *[F.col(f"{side}.{c}").alias(c) for c in ("path", "size", "mod_ns")])
-    events = F.array_compact(F.array(F.when(came | moved, event("created", b)), F.when(touched, event("modified", b)), F.when(gone | moved, event("deleted", a))))
+    events = F.array_compact(
+        F.array(F.when(came | moved, event("created", b)), F.when(touched, event("modified", b)), F.when(gone | moved, event("deleted", a)))
+    )
     return rows.select(F.explode(events).alias("e")).select("e.*")
 
 
@@ -55,8 +59,12 @@ def transitions(changes: DataFrame, order: list[str], since: F.Column | str) ->
     """
     state = F.struct(*order, F.coalesce(~F.col("deleted"), F.lit(True)).alias("_live"), "path", "size", "mod_ns")
     upto = F.expr(since) if isinstance(since, str) else since
-    best = changes.where("volume is not null and frn <> 0").groupBy("volume", "frn").agg(F.max(F.when(upto, state)).alias("a"), F.max(state).alias("b"))
-    there = lambda s: F.when(F.col(f"{s}._live") & F.col(f"{s}.path").isNotNull(), F.struct(*[F.col(f"{s}.{c}").alias(c) for c in ("path", "size", "mod_ns")])).alias(s)
+    best = (
+        changes.where("volume is not null and frn <> 0").groupBy("volume", "frn").agg(F.max(F.when(upto, state)).alias("a"), F.max(state).alias("b"))
+    )
+    there = lambda s: F.when(
+        F.col(f"{s}._live") & F.col(f"{s}.path").isNotNull(), F.struct(*[F.col(f"{s}.{c}").alias(c) for c in ("path", "size", "mod_ns")])
+    ).alias(s)
     return best.select("volume", "frn", there("a"), there("b")).where("a is not null or b is not null")
 
 
@@ -75,7 +83,10 @@ def watch_from(changes: DataFrame, cursors: DataFrame) -> tuple[DataFrame, DataF
     """
     marks = changes.where("volume is not null").groupBy("volume").agg(F.max("seq").alias("_last"))
     known = cursors.select("volume", F.col("seq").alias("_since"))
-    placed = marks.join(known, "volume", "left").select("volume", F.col("_last").alias("seq"), F.coalesce(F.col("_since") > F.col("_last"), F.lit(False)).alias("reset"), "_since")
+    placed = (
+        marks.join(known, "volume", "left")
+            .select("volume", F.col("_last").alias("seq"), F.coalesce(F.col("_since") > F.col("_last"), F.lit(False)).alias("reset"), "_since")
+    )
     live = placed.where("_since is not null and not reset").select("volume", "_since")
     return placed.select("volume", "seq", "reset"), watch_feed(changes.join(live, "volume"), ["seq"], "seq <= _since")
 
@@ -86,15 +97,26 @@ def overlay(base: DataFrame, changes: DataFrame, checkpoint: str = "true") -> Da
     ``changes``: volume, frn, usn, seq, deleted and the columns of the base; ``checkpoint`` drops late ones.
     """
     columns = base.columns
-    latest = changes.where("frn <> 0").where(checkpoint).groupBy("volume", "frn").agg(F.max_by(F.struct("deleted", *[c for c in columns if c not in ("volume", "frn")]), F.struct("usn", "seq")).alias("c"))
-    live = latest.where("not coalesce(c.deleted, false)").select("volume", "frn", *[F.col(f"c.{c}").alias(c) for c in columns if c not in ("volume", "frn")])
+    latest = (
+        changes.where("frn <> 0")
+            .where(checkpoint)
+            .groupBy("volume", "frn")
+            .agg(F.max_by(F.struct("deleted", *[c for c in columns if c not in ("volume", "frn")]), F.struct("usn", "seq")).alias("c"))
+    )
+    live = (
+        latest.where("not coalesce(c.deleted, false)")
+            .select("volume", "frn", *[F.col(f"c.{c}").alias(c) for c in columns if c not in ("volume", "frn")])
+    )
     return base.join(latest.select("volume", "frn"), ["volume", "frn"], "left_anti").unionByName(live.select(*columns))
 
 
 def cascade(entries: DataFrame, gone: DataFrame) -> DataFrame:
     """Entries without deleted or renamed folders (volume, path_l) and everything below them, by equality on each ancestor."""
     parts = F.split("path_l", r"\\")
-    above = entries.select("volume", "path", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "\\"))).alias("root"))
+    above = entries.select(
+        "volume", "path",
+        F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "\\"))).alias("root")
+    )
     hidden = above.join(gone.select("volume", F.col("path_l").alias("root")).distinct(), ["volume", "root"]).select("volume", "path").distinct()
     return entries.join(hidden, ["volume", "path"], "left_anti")
 
@@ -106,12 +128,20 @@ def renamed(entries: DataFrame, moves: DataFrame) -> DataFrame:
     be made anew by the caller (``sources.entries.enriched``), so only volume, frn and path come back.
     """
     parts = F.split("path", r"\\")
-    above = entries.select("volume", "frn", "path", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "\\"))).alias("_at"))
+    above = entries.select(
+        "volume", "frn", "path",
+        F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "\\"))).alias("_at")
+    )
     named = moves.select(F.col("volume").alias("_v"), F.lower("old").alias("_old"), "new")
     hit = above.join(named, (F.col("volume") == F.col("_v")) & (F.lower("_at") == F.col("_old"))).select("volume", "path", "_at", "new")
     deepest = hit.groupBy("volume", "path").agg(F.max_by(F.struct("_at", "new"), F.length("_at")).alias("_m"))
     moved = entries.select("volume", "frn", "path").join(deepest, ["volume", "path"], "left")
-    return moved.select("volume", "frn", F.when(F.col("_m").isNotNull(), F.concat("_m.new", F.substring("path", F.length("_m._at") + 1, F.length("path")))).otherwise(F.col("path")).alias("path"))
+    return moved.select(
+        "volume", "frn",
+        F.when(F.col("_m").isNotNull(), F.concat("_m.new", F.substring("path", F.length("_m._at") + 1, F.length("path"))))
+            .otherwise(F.col("path"))
+            .alias("path")
+    )
 
 
 def current_occupant(changes: DataFrame) -> DataFrame:

@@ -63,7 +63,10 @@ def test_no_name_within_the_edits_is_left_out_beforehand(term, edits):
     name = term
     for kind, i, c in edits:
         i = min(i, len(name) - 1)
-        name = {"d": name[:i] + name[i + 1 :], "i": name[:i] + c + name[i:], "r": name[:i] + c + name[i + 1 :], "s": name[:i] + name[i : i + 2][::-1] + name[i + 2 :]}[kind]
+        name = {
+            "d": name[:i] + name[i + 1 :], "i": name[:i] + c + name[i:], "r": name[:i] + c + name[i + 1 :],
+            "s": name[:i] + name[i : i + 2][::-1] + name[i + 2 :]
+        }[kind]
     if osa(name, term, 2) <= 2:
         assert re.search(likely(term, 2), f"x{name}y")
 
@@ -169,32 +172,45 @@ def test_literals_of_patterns_only_widen():
 
 
 def test_admission_reasons(spark):
-    paths = ["C:\\a\\x.exe", "C:\\a\\go.sum", "C:\\a\\big.json", "C:\\a\\x.min.js", "C:\\build\\x.c", "C:\\node_modules\\x.c", "C:\\.cache\\x.c", "C:\\repo\\build\\x.c", "C:\\repo\\skip.log", "C:\\repo\\keep.log", "C:\\a\\build"]
+    paths = [
+        "C:\\a\\x.exe", "C:\\a\\go.sum", "C:\\a\\big.json", "C:\\a\\x.min.js", "C:\\build\\x.c", "C:\\node_modules\\x.c", "C:\\.cache\\x.c",
+        "C:\\repo\\build\\x.c", "C:\\repo\\skip.log", "C:\\repo\\keep.log", "C:\\a\\build"
+    ]
     rows = enriched(spark.createDataFrame([("C:", i, p, 32, 200_000, 1, "t", None) for i, p in enumerate(paths)], ROWS))
     rules = {"C:\\repo": admission.ignore_rules(["# no", "*.log", "!keep.log", "/out/"])}
     why = {r["path"]: r["why"] for r in rows.select("path", admission.reason(repositories=["C:\\repo"], rules=rules).alias("why")).collect()}
-    assert [why[p] for p in paths] == ["binary", "lockfile", "large_json", "minified", "build_output", "dependency", "cache", None, "gitignore", None, None]
+    assert [why[p] for p in paths] == [
+        "binary", "lockfile", "large_json", "minified", "build_output", "dependency", "cache", None, "gitignore", None, None
+    ]
     text = spark.createDataFrame([("x" * 50_000,), ("short\n" * 20_000,)], "t string")
     assert [r[0] for r in text.select(admission.minified_text(F.col("t"))).collect()] == [True, False]
 
 
 def test_signals_reorder_inside_bands_only(spark, files):
-    signals = spark.createDataFrame([("u", "C:\\src\\deep\\reprot.py", 3, 9.0, 1)], "user_id string, path string, opens long, score double, last_open_unix long")
-    picks = spark.createDataFrame([("u", "r", "C:\\src\\deep\\other.txt", 5, 1)], "user_id string, query_norm string, path string, pick_count long, last_unix long")
+    signals = spark.createDataFrame(
+        [("u", "C:\\src\\deep\\reprot.py", 3, 9.0, 1)], "user_id string, path string, opens long, score double, last_open_unix long"
+    )
+    picks = spark.createDataFrame(
+        [("u", "r", "C:\\src\\deep\\other.txt", 5, 1)], "user_id string, query_norm string, path string, pick_count long, last_unix long"
+    )
     shop = Catalogue(files, signals, picks)
     got = [r["name"] for r in shop.ranked("r type:file", "u", AT).orderBy("place").collect()]
     assert got[:2] == ["reprot.py", "report.md"]
     nobody = [(r["position"], r["place"]) for r in shop.ranked("r", "nobody", AT).collect()]
     assert all(a == b for a, b in nobody)
     assert shop.opened("u", "C:\\x", 99).recent(1).collect()[0]["path"] == "C:\\x"
-    hops = spark.createDataFrame([("C:\\a\\b\\x",), ("C:\\a\\y",), ("D:\\z",)], "path string").select(ranking.hops(F.col("path"), "C:\\a\\b")).collect()
+    hops = (
+        spark.createDataFrame([("C:\\a\\b\\x",), ("C:\\a\\y",), ("D:\\z",)], "path string").select(ranking.hops(F.col("path"), "C:\\a\\b")).collect()
+    )
     assert [h[0] for h in hops] == [0, 1, 4]
 
 
 def test_repository_state_comes_from_the_deepest_root(spark):
     paths = spark.createDataFrame([("C:\\r\\a",), ("C:\\r\\s\\b",), ("C:\\x",)], "path string")
     roots = spark.createDataFrame([("C:\\r",), ("C:\\r\\s",)], "root string")
-    states = spark.createDataFrame([("C:\\r", "a", True), ("C:\\r", "s\\b", False), ("C:\\r\\s", "b", True)], "root string, relative string, modified boolean")
+    states = spark.createDataFrame(
+        [("C:\\r", "a", True), ("C:\\r", "s\\b", False), ("C:\\r\\s", "b", True)], "root string, relative string, modified boolean"
+    )
     got = {r["path"]: r["git"]["modified"] if r["git"] else None for r in ranking.evidence(paths, roots, states).collect()}
     assert got == {"C:\\r\\a": True, "C:\\r\\s\\b": True, "C:\\x": None}
 
@@ -232,18 +248,35 @@ def test_files_of_the_latest_commits_come_before_others(spark, files):
 
 def test_caps_worktrees_and_estimates(spark):
     mb = 1 << 20
-    data = [("C:", 1, "C:\\a\\big.txt", 32, mb + 10, 1, "t", "é" * (mb // 2 + 5)), ("C:", 2, "C:\\a\\huge.txt", 32, 3 * mb, 1, "t", "x"), ("C:", 3, "C:\\r\\big.txt", 32, 3 * mb, 1, "t", "x" * (3 * mb)), ("C:", 4, "C:\\w\\.git", 32, 9, 1, "t", "gitdir: C:\\r\\.git\\worktrees\\w\n"), ("C:", 5, "C:\\r\\.git", 16, 0, 1, "t", None), ("C:", 6, "C:\\r\\go.sum", 32, 7, 1, "t", None)]
+    data = [
+        ("C:", 1, "C:\\a\\big.txt", 32, mb + 10, 1, "t", "é" * (mb // 2 + 5)), ("C:", 2, "C:\\a\\huge.txt", 32, 3 * mb, 1, "t", "x"),
+        ("C:", 3, "C:\\r\\big.txt", 32, 3 * mb, 1, "t", "x" * (3 * mb)),
+        ("C:", 4, "C:\\w\\.git", 32, 9, 1, "t", "gitdir: C:\\r\\.git\\worktrees\\w\n"), ("C:", 5, "C:\\r\\.git", 16, 0, 1, "t", None),
+        ("C:", 6, "C:\\r\\go.sum", 32, 7, 1, "t", None)
+    ]
     files = enriched(spark.createDataFrame(data, ROWS))
-    got = {r["frn"]: (len(r["text"].encode()) if r["text"] else None, r["truncated"], r["skipped"]) for r in admission.capped(files, ["C:\\r"]).where("frn < 4").collect()}
+    got = {
+        r["frn"]: (len(r["text"].encode()) if r["text"] else None, r["truncated"], r["skipped"])
+        for r in admission.capped(files, ["C:\\r"]).where("frn < 4").collect()
+    }
     assert got == {1: (mb, True, False), 2: (None, False, True), 3: (3 * mb, False, False)}
     assert [r["root"] for r in admission.linked_worktrees(files).collect()] == ["C:\\w"]
-    sums = {(r["unit"], r["ext"], r["reason"]): (r["files"], r["bytes"]) for r in admission.estimate(files, admission.reason(), ["C:\\a", "C:\\r"], ["C:\\r"]).collect()}
+    sums = {
+        (r["unit"], r["ext"], r["reason"]): (r["files"], r["bytes"])
+        for r in admission.estimate(files, admission.reason(), ["C:\\a", "C:\\r"], ["C:\\r"]).collect()
+    }
     assert sums == {("C:\\a", "txt", "admitted"): (2, 2 * mb), ("C:\\r", "txt", "admitted"): (1, 3 * mb), ("C:\\r", "sum", "lockfile"): (1, 7)}
 
 
 def test_ignore_files_deepest_wins_and_ignored_folders_are_final(spark):
-    rules = {"C:\\r\\sub": admission.ignore_rules(["!*.log", "tmp"]), "C:\\r": admission.ignore_rules(["*.log", "out/", "!out/keep.txt", "/only.md", "name/"])}
-    want = {"C:\\r\\a.log": True, "C:\\r\\sub\\a.log": False, "C:\\r\\out\\keep.txt": True, "C:\\r\\sub\\only.md": False, "C:\\r\\only.md": True, "C:\\r\\sub\\tmp\\x.log": True, "C:\\r\\name": False, "C:\\r\\A.LOG": False, "C:\\x\\a.log": False}
+    rules = {
+        "C:\\r\\sub": admission.ignore_rules(["!*.log", "tmp"]),
+        "C:\\r": admission.ignore_rules(["*.log", "out/", "!out/keep.txt", "/only.md", "name/"])
+    }
+    want = {
+        "C:\\r\\a.log": True, "C:\\r\\sub\\a.log": False, "C:\\r\\out\\keep.txt": True, "C:\\r\\sub\\only.md": False, "C:\\r\\only.md": True,
+        "C:\\r\\sub\\tmp\\x.log": True, "C:\\r\\name": False, "C:\\r\\A.LOG": False, "C:\\x\\a.log": False
+    }
     rows = spark.createDataFrame([(p, False) for p in want], "path string, is_dir boolean")
     assert {r["path"]: r["i"] for r in rows.select("path", admission.ignored(F.col("path"), F.col("is_dir"), rules).alias("i")).collect()} == want
 
@@ -258,7 +291,14 @@ def test_watch_events(spark):
 
 def test_cursors_of_a_watcher(spark):
     schema = "volume string, frn long, seq long, deleted boolean, path string, size long, mod_ns long"
-    changes = spark.createDataFrame([("C:", 1, 1, False, "a", 1, 1), ("C:", 1, 5, False, "b", 1, 1), ("C:", 2, 6, False, "c", 1, 1), ("C:", 2, 7, True, None, None, None), ("C:", 3, 2, False, "d", 1, 1), ("C:", 3, 2, False, "d", 1, 1), ("D:", 1, 3, False, "x", 1, 1), ("E:", 1, 4, False, "y", 1, 1), (None, 1, 9, False, "z", 1, 1), ("C:", 0, 9, False, "z", 1, 1)], schema)
+    changes = spark.createDataFrame(
+        [
+            ("C:", 1, 1, False, "a", 1, 1), ("C:", 1, 5, False, "b", 1, 1), ("C:", 2, 6, False, "c", 1, 1), ("C:", 2, 7, True, None, None, None),
+            ("C:", 3, 2, False, "d", 1, 1), ("C:", 3, 2, False, "d", 1, 1), ("D:", 1, 3, False, "x", 1, 1), ("E:", 1, 4, False, "y", 1, 1),
+            (None, 1, 9, False, "z", 1, 1), ("C:", 0, 9, False, "z", 1, 1)
+        ],
+        schema
+    )
     cursors, events = feed.watch_from(changes, spark.createDataFrame([("C:", 2), ("D:", 99)], "volume string, seq long"))
     assert sorted(map(tuple, cursors.collect())) == [("C:", 9, False), ("D:", 3, True), ("E:", 4, False)]
     assert sorted((r["event"], r["path"]) for r in events.collect()) == [("created", "b"), ("deleted", "a")]
@@ -270,7 +310,9 @@ def test_folders_renamed_and_volumes_apart(spark):
     rows = [("C:", 1, "C:\\a\\x"), ("C:", 2, "C:\\a\\b\\y"), ("C:", 3, "C:\\ab"), ("D:", 4, "C:\\a\\x"), ("C:", 5, "C:\\A")]
     files = spark.createDataFrame(rows, "volume string, frn long, path string")
     moves = spark.createDataFrame([("C:", "C:\\a", "E:\\n"), ("C:", "C:\\a\\b", "C:\\m")], "volume string, old string, new string")
-    assert {r["frn"]: r["path"] for r in feed.renamed(files, moves).collect()} == {1: "E:\\n\\x", 2: "C:\\m\\y", 3: "C:\\ab", 4: "C:\\a\\x", 5: "E:\\n"}
+    assert {r["frn"]: r["path"] for r in feed.renamed(files, moves).collect()} == {
+        1: "E:\\n\\x", 2: "C:\\m\\y", 3: "C:\\ab", 4: "C:\\a\\x", 5: "E:\\n"
+    }
     gone = spark.createDataFrame([("C:", "c:\\a")], "volume string, path_l string")
     assert sorted(r["frn"] for r in feed.cascade(files.withColumn("path_l", F.lower("path")), gone).collect()) == [3, 4]
 
@@ -282,7 +324,9 @@ def test_a_table_is_the_same_when_folded(spark):
     whole = EqualityDeleteTable.fresh(spark, ["volume", "frn"], ["usn"])
     parts = EqualityDeleteTable.fresh(spark, ["volume", "frn"], ["usn"])
     whole.append(df, "deleted", ["path"])
-    for part in (df.where("usn >= 150 and deleted"), df.where("usn >= 150 and not deleted"), df.where("usn between 50 and 149"), df.where("usn < 50")):
+    for part in (
+        df.where("usn >= 150 and deleted"), df.where("usn >= 150 and not deleted"), df.where("usn between 50 and 149"), df.where("usn < 50")
+    ):
         parts.append(part, "deleted", ["path"])
         parts = parts.fold()  # a deletion outlives the folding: earlier changes come after it
     assert sorted(map(tuple, parts.read().collect())) == sorted(map(tuple, whole.read().select(*parts.read().columns).collect()))
@@ -305,7 +349,13 @@ def test_stream_equals_batch_and_restarts(spark, tmp_path):
 
 def test_overlay_cascade_and_occupants(spark):
     base = spark.createDataFrame([("C:", 1, "C:\\a"), ("C:", 2, "C:\\b")], "volume string, frn long, path string")
-    changes = spark.createDataFrame([("C:", 1, 5, 1, True, None), ("C:", 1, 4, 1, False, "C:\\a2"), ("C:", 3, 6, 1, False, "C:\\c"), ("C:", 2, 1, 1, True, None), ("C:", 0, 9, 1, False, "C:\\z")], "volume string, frn long, usn long, seq long, deleted boolean, path string")
+    changes = spark.createDataFrame(
+        [
+            ("C:", 1, 5, 1, True, None), ("C:", 1, 4, 1, False, "C:\\a2"), ("C:", 3, 6, 1, False, "C:\\c"), ("C:", 2, 1, 1, True, None),
+            ("C:", 0, 9, 1, False, "C:\\z")
+        ],
+        "volume string, frn long, usn long, seq long, deleted boolean, path string"
+    )
     assert sorted(r["path"] for r in feed.overlay(base, changes, "usn >= 3").collect()) == ["C:\\b", "C:\\c"]
     files = enriched(spark.createDataFrame([("C:", 1, "C:\\x\\y\\z", 32, 1, 1, "t", None), ("C:", 2, "C:\\xy", 32, 1, 1, "t", None)], ROWS))
     assert [r["path"] for r in feed.cascade(files, spark.createDataFrame([("C:", "c:\\x")], "volume string, path_l string")).collect()] == ["C:\\xy"]
@@ -316,8 +366,18 @@ def test_overlay_cascade_and_occupants(spark):
 def test_long_lines_are_printed_cut_behind_a_whole_character(spark, tmp_path, monkeypatch):
     from spindrift import catalogue_queries
 
-    lines = ["Journal " + "x" * 492, "Journal " + "x" * 493, "Journal " + "é" * 400, "Journal x" + "é" * 300, "Journal " + "検" * 200, "Journal ends…", "other " + "x" * 600]
-    files = enriched(spark.createDataFrame([("C:", 1, r"C:\a.txt", 32, 0, 0, "x", "\n".join(lines))], "volume string, frn long, path string, mode long, size long, mod_ns long, source string, text string"))
+    lines = [
+        "Journal " + "x" * 492, "Journal " + "x" * 493, "Journal " + "é" * 400, "Journal x" + "é" * 300, "Journal " + "検" * 200, "Journal ends…",
+        "other " + "x" * 600
+    ]
+    files = enriched(
+        spark.createDataFrame(
+            [("C:", 1, r"C:\a.txt", 32, 0, 0, "x", "\n".join(lines))],
+            "volume string, frn long, path string, mode long, size long, mod_ns long, source string, text string"
+        )
+    )
     monkeypatch.setattr(catalogue_queries, "entries", lambda *_: files)
     want = [lines[0], lines[0] + "…", "Journal " + "é" * 246 + "…", "Journal x" + "é" * 245 + "…", "Journal " + "検" * 164 + "…", lines[5]]
-    assert [r["shown"] for r in catalogue_queries.o_grep(spark, "").orderBy("line").collect()] == [rf"C:\a.txt:{k}:{t}" for k, t in enumerate(want, 1)]
+    assert [
+        r["shown"] for r in catalogue_queries.o_grep(spark, "").orderBy("line").collect()
+    ] == [rf"C:\a.txt:{k}:{t}" for k, t in enumerate(want, 1)]

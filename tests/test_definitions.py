@@ -38,14 +38,20 @@ def test_lines_that_define_a_name(spark):
     assert [(r["ext_l"], r["line"]) for r in got if r["got"] != r["want"]] == []
 
 
-@pytest.mark.parametrize("line", ["a" * 100_000, "a " * 50_000, "a*" * 50_000 + "Area", "<" * 100_000 + " Area", "Area(" * 20_000, "public " * 20_000 + "Area"])
+@pytest.mark.parametrize(
+    "line", ["a" * 100_000, "a " * 50_000, "a*" * 50_000 + "Area", "<" * 100_000 + " Area", "Area(" * 20_000, "public " * 20_000 + "Area"]
+)
 def test_long_lines_end(spark, line):
     rows = spark.createDataFrame([(e, line) for e in ("cc", "ts", "java", "go", "x")], "ext_l string, line string")
     assert rows.where(definition_line(rows["line"], "Area")).count() <= 5
 
 
 def test_definition_search(spark):
-    texts = {"a.go": "package a\n\nfunc Foo() int {\n}\n", "b.go": "func g() {\n\tFoo()\n}\n", "c.h": "class Foo : public Base {\r\n  void Run();\n};\n", "d.h": "class Foo;\nvoid Use(Foo* f);\n", "e.cc": "void Foo::Run() {\n  if (Foo(x)) {\n", "f.py": "def Foo():\n", "g.py": "Foo()\n", "h.ts": "export class Foo {\n", "i.ts": "const x = new Foo();\n", "j.rs": "pub fn Foo() {}\n", "n.rs": None}
+    texts = {
+        "a.go": "package a\n\nfunc Foo() int {\n}\n", "b.go": "func g() {\n\tFoo()\n}\n", "c.h": "class Foo : public Base {\r\n  void Run();\n};\n",
+        "d.h": "class Foo;\nvoid Use(Foo* f);\n", "e.cc": "void Foo::Run() {\n  if (Foo(x)) {\n", "f.py": "def Foo():\n", "g.py": "Foo()\n",
+        "h.ts": "export class Foo {\n", "i.ts": "const x = new Foo();\n", "j.rs": "pub fn Foo() {}\n", "n.rs": None
+    }
     files = enriched(spark.createDataFrame([("C:", i, f"C:\\{n}", 32, 1, 1, "t", t) for i, (n, t) in enumerate(texts.items())], ROWS))
     for q, want in {"sym:Foo": "a.go c.h f.py h.ts j.rs", "sym:Run": "e.cc", "sym:Foo ext:py": "f.py", "sym:Nope": ""}.items():
         assert sorted(r["name"] for r in search.matching(files, parse(q, Settings(now=1))).collect()) == want.split()

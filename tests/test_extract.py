@@ -31,7 +31,12 @@ def test_encodings():
 
 
 def test_containers():
-    word = box({"word/document.xml": '<w:document xmlns:w="w"><w:p><w:r><w:t>Hello</w:t></w:r></w:p><w:p><w:r><w:t>World</w:t></w:r></w:p></w:document>', "word/media/x.png": "no"})
+    word = box(
+        {
+            "word/document.xml": '<w:document xmlns:w="w"><w:p><w:r><w:t>Hello</w:t></w:r></w:p><w:p><w:r><w:t>World</w:t></w:r></w:p></w:document>',
+            "word/media/x.png": "no"
+        }
+    )
     assert extract("a.docx", word)[:2] == ("Hello\nWorld", 2)
     assert extract("a.xlsx", box({"xl/sharedStrings.xml": "<sst><si><t>cell</t></si></sst>"}))[0] == "cell"
     assert extract("a.odt", box({"content.xml": "<d><p>one <span>two</span> three</p></d>"}))[0].split() == ["one", "two", "three"]
@@ -83,10 +88,15 @@ def test_folders(spark, tmp_path):
     assert all(r["exists"] for r in walk.exists(walk.walk(spark, [str(tmp_path)])).collect())
     found, complete = walk.fallback(spark, str(tmp_path))
     assert found.count() == 4 and complete and not walk.fallback(spark, str(tmp_path), visits=1)[1]
-    texts = {r["path"].rsplit("/", 1)[-1]: r["text"] for r in indexed_texts(walk.walk(spark, [str(tmp_path)]).withColumn("path", F.translate("path", "\\", "/"))).collect()}
+    texts = {
+        r["path"].rsplit("/", 1)[-1]: r["text"]
+        for r in indexed_texts(walk.walk(spark, [str(tmp_path)]).withColumn("path", F.translate("path", "\\", "/"))).collect()
+    }
     assert texts["a.txt"] == "text" and len(texts) == 3
     sinks.write_paths(found, str(tmp_path / "out"))
     sinks.write_index(found, str(tmp_path / "index"))
     sinks.write_json(found.select("name"), str(tmp_path / "json"))
-    assert spark.read.text(str(tmp_path / "out")).count() == 4 == spark.read.parquet(str(tmp_path / "index")).count() == spark.read.json(str(tmp_path / "json")).count()
+    assert spark.read.text(str(tmp_path / "out")).count() == 4 == spark.read.parquet(
+        str(tmp_path / "index")
+    ).count() == spark.read.json(str(tmp_path / "json")).count()
     assert walk.queries_of(str(tmp_path / "queries.txt")) == ["ext:md  # no", "a b"]

@@ -31,7 +31,12 @@ def test_feed_gives_the_latest_state_whatever_the_order(spark):
     r = random.Random(2)
     data = []
     for i in range(400):
-        data.append((r.choice(["C:", "D:"]), r.choice([1, 2, 3, 4, 0, None]), r.randint(1, 9) if r.random() < 0.95 else None, i, r.random() < 0.3, f"p{i}", "clash"))
+        data.append(
+            (
+                r.choice(["C:", "D:"]), r.choice([1, 2, 3, 4, 0, None]), r.randint(1, 9) if r.random() < 0.95 else None, i, r.random() < 0.3, f"p{i}",
+                "clash"
+            )
+        )
     data += r.sample(data, 100)  # delivered again
     r.shuffle(data)
     want = {}
@@ -59,13 +64,25 @@ PRINTS = "run_id long, volume string, frn long, print_size long, print_mod long,
 
 def _world(spark):
     day = lambda n: T0 + timedelta(days=n)
-    runs = [(1, "C:", "usn", 7, 100, "ready", day(1), day(1), "x"), (2, "C:", "usn", 7, 200, "ready", day(2), None, "x"), (3, "C:", "usn", 7, 300, "replaying", day(3), None, "x"), (3, "C:", "usn", 7, 300, "replaying", day(3), None, "x")]
+    runs = [
+        (1, "C:", "usn", 7, 100, "ready", day(1), day(1), "x"), (2, "C:", "usn", 7, 200, "ready", day(2), None, "x"),
+        (3, "C:", "usn", 7, 300, "replaying", day(3), None, "x"), (3, "C:", "usn", 7, 300, "replaying", day(3), None, "x")
+    ]
     runs += [(4, "D:", "usn", 7, 100, "ready", day(1), day(1), ""), (5, "D:", "usn", 8, 1, "replaying", day(2), None, "")]  # journal replaced
-    runs += [(6, "W:", "walk", None, None, "ready", day(1), day(1), None), (7, "W:", "walk", None, None, "error", day(2), None, None), (8, "W:", "walk", None, None, "replaying", day(3), None, None)]
+    runs += [
+        (6, "W:", "walk", None, None, "ready", day(1), day(1), None), (7, "W:", "walk", None, None, "error", day(2), None, None),
+        (8, "W:", "walk", None, None, "replaying", day(3), None, None)
+    ]
     runs += [(9, "N:", "usn", 7, 5, "replaying", day(1), None, None)]
-    prints = [(3, "C:", 1, 1, 1, 99, day(3)), (3, "C:", 1, 1, 1, 100, day(2)), (3, "C:", 2, 1, 1, 100, day(3)), (3, "C:", 3, None, None, None, day(3)), (2, "C:", 4, 1, 1, 500, day(2))]
+    prints = [
+        (3, "C:", 1, 1, 1, 99, day(3)), (3, "C:", 1, 1, 1, 100, day(2)), (3, "C:", 2, 1, 1, 100, day(3)), (3, "C:", 3, None, None, None, day(3)),
+        (2, "C:", 4, 1, 1, 500, day(2))
+    ]
     prints += [(5, "D:", 1, 1, 1, 0, day(2)), (9, "N:", 1, 1, 1, 0, day(2))]
-    prints += [(6, "W:", 1, 5, 5, None, day(1)), (8, "W:", 1, 5, 5, None, day(3)), (6, "W:", 2, 5, 5, None, day(1)), (7, "W:", 2, 6, 5, None, day(2)), (8, "W:", 2, 6, 5, None, day(3)), (8, "W:", 3, 1, 1, None, day(3)), (6, "W:", 4, None, 1, None, day(1)), (8, "W:", 4, None, 1, None, day(3))]
+    prints += [
+        (6, "W:", 1, 5, 5, None, day(1)), (8, "W:", 1, 5, 5, None, day(3)), (6, "W:", 2, 5, 5, None, day(1)), (7, "W:", 2, 6, 5, None, day(2)),
+        (8, "W:", 2, 6, 5, None, day(3)), (8, "W:", 3, 1, 1, None, day(3)), (6, "W:", 4, None, 1, None, day(1)), (8, "W:", 4, None, 1, None, day(3))
+    ]
     return spark.createDataFrame([(*p, "m", True) for p in prints], PRINTS), spark.createDataFrame(runs, RUNS)
 
 
@@ -99,7 +116,13 @@ def test_three_batches_over_a_replaced_journal(spark, crash):
     """Whatever step a batch dies behind, the row of the later journal holds, though its change numbers are smaller."""
     day = lambda n: T0 + timedelta(days=n)
     runs = [(1, "C:", "usn", 7, 9000), (2, "C:", "usn", 8, 11), (3, "C:", "usn", 8, 20)]
-    prints = spark.createDataFrame([(1, "C:", 1, 1, 1, 9000, day(1), "m", True), (1, "C:", 2, 1, 1, 9001, day(1), "m", True), (2, "C:", 1, 2, 2, 10, day(2), "m", True), (3, "C:", 1, 2, 2, 10, day(3), "m", True), (3, "C:", 2, 3, 3, 20, day(3), "m", True)], PRINTS)
+    prints = spark.createDataFrame(
+        [
+            (1, "C:", 1, 1, 1, 9000, day(1), "m", True), (1, "C:", 2, 1, 1, 9001, day(1), "m", True), (2, "C:", 1, 2, 2, 10, day(2), "m", True),
+            (3, "C:", 1, 2, 2, 10, day(3), "m", True), (3, "C:", 2, 3, 3, 20, day(3), "m", True)
+        ],
+        PRINTS
+    )
     job = incremental.IncrementalJob(spark)
     for k in range(3):
         state = lambda i: "ready" if i < k else "replaying"  # noqa: B023, E731
@@ -236,7 +259,13 @@ def test_hierarchies_like_brute_force(spark, split, local, monkeypatch):
 def test_a_chain_of_a_hundred_thousand(spark, monkeypatch):
     monkeypatch.setattr(hierarchy, "LOCAL", 10_000)
     n = 100_000
-    chain = spark.range(1, n + 1).selectExpr("id as row_id", "'C:' as volume", "id as frn", "nullif(id - 1, 0) as parent_frn", "'x' as name", "false as deleted", "'2026-01' as scan_month", "timestamp '2026-01-01' as received_at")
+    chain = (
+        spark.range(1, n + 1)
+            .selectExpr(
+                "id as row_id", "'C:' as volume", "id as frn", "nullif(id - 1, 0) as parent_frn", "'x' as name", "false as deleted",
+                "'2026-01' as scan_month", "timestamp '2026-01-01' as received_at"
+            )
+    )
     got = hierarchy.tree(chain, paths=False).where(f"depth = frn - 1 and root_frn = 1 and n_descendants = {n} - frn").count()
     assert got == n
     ring = chain.withColumn("parent_frn", F.expr(f"if(frn = 1, {n}, frn - 1)"))
@@ -261,7 +290,9 @@ def test_hierarchy_of_nothing(spark):
 def test_running_totals_over_hot_groups(spark):
     r = random.Random(5)
     data = [("hot" if r.random() < 0.7 else r.choice(["a", None]), i, r.randint(0, 9)) for i in range(500)]
-    got = ordering.running_total(spark.createDataFrame(data, "g string, i long, w long").repartition(4), ["g"], [F.col("i")], F.col("w"), "t").collect()
+    got = (
+        ordering.running_total(spark.createDataFrame(data, "g string, i long, w long").repartition(4), ["g"], [F.col("i")], F.col("w"), "t").collect()
+    )
     total = {}
     for g, i, w in sorted(data, key=lambda x: x[1]):
         total[g] = total.get(g, 0) + w

@@ -23,7 +23,12 @@ def rows(seed, n=240):
         ext = r.choice(EXTS)
         name = r.choice(WORDS) + r.choice(["", f"_{i}"]) + (f".{ext}" if ext else "")
         text = None if r.random() < 0.3 else "\n".join(r.choice(WORDS) for _ in range(5))
-        out.append((parts[0], i + 1, "\\".join([*parts, name]), 0x10 if r.random() < 0.2 else r.choice([0x20, 0x21, 0x22]), r.choice([0, 10, 5000, 2 << 20]), r.choice([0, AT.now - 3600 * NANO, AT.now - 40 * 86400 * NANO]), "t", text))
+        out.append(
+            (
+                parts[0], i + 1, "\\".join([*parts, name]), 0x10 if r.random() < 0.2 else r.choice([0x20, 0x21, 0x22]),
+                r.choice([0, 10, 5000, 2 << 20]), r.choice([0, AT.now - 3600 * NANO, AT.now - 40 * 86400 * NANO]), "t", text
+            )
+        )
     return out
 
 
@@ -65,7 +70,11 @@ def plain(row, q):
     return not q.impossible and all(leaf(x) for x in q.leaves) and (not q.kind or (q.kind == "dir") == bool(mode & 0x10))
 
 
-QUERIES = ["main", "src main", '"read me"', "resume", "résumé", "журнал", "資料", "ext:go", "ext:pdf|txt", "type:dir", "type:file !main", "dir:src", "path:src main", "!main x", "main|data", "size:>1k", "dm:today", "attrib:A", "^re", "C: main", "content:main", "!content:main ext:md", "ext:md content:data|test", "a", "x.y"]
+QUERIES = [
+    "main", "src main", '"read me"', "resume", "résumé", "журнал", "資料", "ext:go", "ext:pdf|txt", "type:dir", "type:file !main", "dir:src",
+    "path:src main", "!main x", "main|data", "size:>1k", "dm:today", "attrib:A", "^re", "C: main", "content:main", "!content:main ext:md",
+    "ext:md content:data|test", "a", "x.y"
+]
 
 
 @pytest.mark.parametrize("seed", [1, 2])
