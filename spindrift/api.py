@@ -13,6 +13,7 @@ from spindrift.operators import content, fuzzy, ranking, rollup
 from spindrift.operators import search as searching
 from spindrift.plans.grammar import SORTS, Query, QueryError, Settings, contents, parse
 from spindrift.session import fresh_path, listing_of
+from spindrift.sources import walk
 from spindrift.streaming import feed
 
 
@@ -49,13 +50,25 @@ class Catalogue:
         page = searching.search(self.entries, text, settings, limit, **more)
         if q.fuzzy and fuzzy.eligible(q):
             return fuzzy.topped_up(self.entries, page, q, limit).drop("dist")
-        if not forgive or not (fuzzy.eligible(q) or fuzzy.rewritable(q) or q.of("content")) or not page.isEmpty():
+        known = fuzzy.eligible(q) or fuzzy.rewritable(q) or q.of("content") or (settings.under and existing)
+        if not forgive or not known or not page.isEmpty():
             return page
+        if settings.under and existing and (listed := self._fallback(settings.under, q)) is not None:
+            return searching.search(listed, text, settings, limit, features=self.features)
         if fuzzy.eligible(q):
             return fuzzy.topped_up(self.entries, page, q, limit).drop("dist")
         other = self.respelt(q)
         return searching.search(self.entries, text, settings, limit, query=other, **more) if other else page
 
+    def _fallback(self, folder: str, q: Query) -> DataFrame | None:
+        """A bounded listing of a folder of this machine that the entries know nothing of; None where they know it."""
+        here = folder.replace("\\", "/")
+        low = folder.lower().rstrip("\\")
+        if not os.path.isdir(here) or not self.entries.where((F.col("path_l") == low) | F.col("path_l").startswith(low + "\\")).isEmpty():
+            return None
+        listed, _ = walk.fallback(self.entries.sparkSession, here)
+        return listed.select(*[F.col(c) if c in listed.columns else F.lit(None).cast(t).alias(c) for c, t in self.entries.dtypes])
+
     def respelt(self, q: Query) -> Query | None:
         """The first respelling of a query of several terms, or on texts, that matches; None if there is none."""
         if fuzzy.rewritable(q):

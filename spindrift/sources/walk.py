@@ -5,44 +5,65 @@ from __future__ import annotations
 import os
 import time
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spindrift.session import written
 from spindrift.sources.entries import DIR_BIT, enriched
 
 ROWS = "volume string, frn long, path string, mode long, size long, mod_ns long, source string, text string"
 
 
+#: Entries that a task lists before it hands the folders still to be read to the next round.
+SHARE = 20_000
+_FOUND = f"{ROWS}, pending boolean"
+
+
+def _listed(folders: Iterator[str]) -> Iterator[tuple]:
+    """What is below some folders, as rows; once ``SHARE`` entries are listed, folders come back as pending instead."""
+    stack, seen = list(folders), 0
+    while stack:
+        at = stack.pop()
+        if seen >= SHARE:
+            yield (None, None, at, None, None, None, "walk", None, True)
+            continue
+        try:
+            for x in os.scandir(at):
+                try:
+                    s, is_dir = x.stat(follow_symlinks=False), x.is_dir(follow_symlinks=False)
+                except OSError:
+                    continue
+                seen += 1
+                yield (None, s.st_ino, x.path, DIR_BIT | 0x10 if is_dir else 0x20, 0 if is_dir else s.st_size, s.st_mtime_ns, "walk", None, False)
+                if is_dir:
+                    stack.append(x.path)
+        except OSError:
+            continue
+
+
 def walk(spark: SparkSession, roots: list[str]) -> DataFrame:
-    """Everything below some folders that all executors see; what can't be read is left out.
+    """Everything below some folders that all executors see; what can't be read is left out, links aren't followed.
 
-    The first level is listed on the driver; each of its folders is then walked by a task.
+    Folders are walked in rounds: a task that has listed its share gives back the folders it hasn't read, and the next
+    round spreads them over all tasks, so one huge folder tree keeps every core busy.
     """
-    tops = [(r, x.path) for r in roots if os.path.isdir(r) for x in os.scandir(r)]
+    names = [x.split()[0] for x in _FOUND.split(", ")]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = []
-            for top in frame["path"]:
-                stack = [top]
-                while stack:
-                    at = stack.pop()
-                    try:
-                        s = os.lstat(at)
-                        is_dir = os.path.isdir(at) and not os.path.islink(at)
-                        rows.append((None, s.st_ino, at, DIR_BIT | 0x10 if is_dir else 0x20, 0 if is_dir else s.st_size, s.st_mtime_ns, "walk", None))
-                        if is_dir:
-                            stack += [os.path.join(at, x) for x in os.listdir(at)]
-                    except OSError:
-                        continue
-            yield pd.DataFrame(rows, columns=[x.split()[0] for x in ROWS.split(", ")])
-
-    if not tops:
-        return enriched(spark.createDataFrame([], ROWS))
-    listed = spark.createDataFrame(tops, "root string, path string").repartition(max(1, min(len(tops), 64)))
-    return enriched(listed.mapInPandas(run, ROWS))
+            yield pd.DataFrame(list(_listed(frame["path"])), columns=names)
+
+    parts: list[DataFrame] = []
+    pending = spark.createDataFrame([(r,) for r in dict.fromkeys(roots)], "path string")
+    while not pending.isEmpty():
+        spread = pending.repartition(4 * spark.sparkContext.defaultParallelism)
+        found, _ = written(spread.mapInPandas(run, _FOUND), "walk")
+        parts.append(found.where("not pending").drop("pending"))
+        pending = found.where("pending").select("path")
+    return enriched(reduce(DataFrame.unionByName, parts, spark.createDataFrame([], ROWS)))
 
 
 def exists(entries: DataFrame) -> DataFrame:

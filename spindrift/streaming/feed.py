@@ -10,18 +10,27 @@ from spindrift.operators.changefeed import EqualityDeleteTable
 
 
 def apply_stream(
-    changes: DataFrame, table: EqualityDeleteTable, deleted: str, checkpoint: str, payload: list[str] = (), floor: str | None = None
+    changes: DataFrame, table: EqualityDeleteTable, deleted: str, checkpoint: str, payload: list[str] = (), floor: str | None = None,
+    own: list[str] = (), every: str | None = None
 ) -> StreamingQuery:
     """Append a stream of changes to an equality-delete table, batch by batch.
 
     A batch that runs again after a failure appends the same rows again; readers keep one, so the state is right after
-    any restart. ``floor`` is a condition that late changes fail, such as one on the checkpoint of a base.
+    any restart. ``floor`` is a condition that late changes fail, such as one on the checkpoint of a base. Changes of
+    files below the folders ``own`` (the engine's own, told by ``path``) are left out, as they would feed on
+    themselves. ``every`` (as ``500 milliseconds``) gathers changes for so long; without it, what is there is taken.
     """
+    low = [x.lower().replace("/", "\\").rstrip("\\") for x in own]
 
     def batch(rows: DataFrame, _: int) -> None:
-        table.append(rows.where(floor) if floor else rows, deleted, payload)
-
-    return changes.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        rows = rows.where(floor) if floor else rows
+        for folder in low:
+            path = F.translate(F.lower(F.coalesce("path", F.lit(""))), "/", "\\")
+            rows = rows.where((path != folder) & ~path.startswith(folder + "\\"))
+        table.append(rows, deleted, payload)
+
+    writer = changes.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
+    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 
 def file_stream(spark: SparkSession, path: str, schema: str) -> DataFrame:

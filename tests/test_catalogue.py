@@ -151,6 +151,15 @@ def test_only_files_that_are_there(spark, tmp_path):
     assert shop.search("ext:txt", AT).count() == 2 and shop.count("ext:txt", under).collect()[0]["n"] == 2
 
 
+def test_a_folder_that_the_listing_does_not_know_is_listed(files, tmp_path):
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "sub" / "found.txt").write_text("x")
+    under = Settings(now=1, under=str(tmp_path).replace("/", "\\"))
+    shop = Catalogue(files)
+    assert [r["name"] for r in shop.search("found", under).collect()] == ["found.txt"]
+    assert shop.search("found", under, forgive=False).count() == 0 and shop.count("found", under).collect()[0]["n"] == 0
+
+
 def test_page_hash_of_any_length(spark):
     import hashlib
 
@@ -347,6 +356,21 @@ def test_stream_equals_batch_and_restarts(spark, tmp_path):
     assert {x["frn"]: x["checkpoint_usn"] for x in at.read().collect()} == {f: u for f, u in want.items() if u is not None}
 
 
+def test_a_stream_leaves_out_its_own_files(spark, tmp_path):
+    schema = "volume string, frn long, checkpoint_usn long, feed_cursor long, deleted boolean, path string"
+    rows = [("C:", i, i, 0, False, p) for i, p in enumerate(["C:\\Own\\x", "C:/own/y/z", "C:\\own", "C:\\owner\\x", None], 1)]
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in"))
+    at = EqualityDeleteTable(spark, str(tmp_path / "table"), ["volume", "frn"], ["checkpoint_usn", "feed_cursor"])
+    feed.apply_stream(
+        feed.file_stream(spark, str(tmp_path / "in"), schema), at, "deleted", str(tmp_path / "c"), floor="checkpoint_usn > 0", own=["c:\\own"]
+    ).awaitTermination()
+    assert sorted(r["frn"] for r in at.read().collect()) == [4, 5]
+    late = feed.apply_stream(feed.file_stream(spark, str(tmp_path / "in"), schema), at, "deleted", str(tmp_path / "c2"), every="200 milliseconds")
+    late.processAllAvailable()
+    late.stop()
+    assert at.read().count() == 5
+
+
 def test_overlay_cascade_and_occupants(spark):
     base = spark.createDataFrame([("C:", 1, "C:\\a"), ("C:", 2, "C:\\b")], "volume string, frn long, path string")
     changes = spark.createDataFrame(

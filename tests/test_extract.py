@@ -1,5 +1,6 @@
 """Texts out of small files of every format, broken files, and walking a folder."""
 
+import base64
 import email.message
 import io
 import struct
@@ -68,6 +69,58 @@ def test_pdf():
     assert extract("no-extension", raw)[1] == 3
 
 
+def _packed(data):
+    """Codes of 9 to 12 bits as writers of the format make them."""
+    table, bits, word = {bytes([i]): i for i in range(256)}, [format(256, "09b")], b""
+    width, following = 9, 258
+    for c in data:
+        c = bytes([c])
+        if word + c in table:
+            word += c
+            continue
+        bits.append(format(table[word], f"0{width}b"))
+        table[word + c] = following
+        following += 1
+        if following == 4095:
+            bits.append(format(256, "012b"))
+            table, width, following = {bytes([i]): i for i in range(256)}, 9, 258
+        else:
+            width = min(12, max(9, following.bit_length()))
+        word = c
+    bits += [format(table[word], f"0{width}b"), format(257, f"0{width}b")]
+    all_bits = "".join(bits)
+    return bytes(int(all_bits[i : i + 8].ljust(8, "0"), 2) for i in range(0, len(all_bits), 8))
+
+
+def test_pdf_streams_in_other_encodings():
+    text = b"BT " + b" ".join(b"(word%d) Tj T*" % i for i in range(900)) + b" ET"
+    runs = b"".join(bytes([len(text[i : i + 100]) - 1]) + text[i : i + 100] for i in range(0, len(text), 100)) + b"\x80"
+    ways = {
+        "/ASCIIHexDecode": text.hex().encode() + b">", "/ASCII85Decode": base64.a85encode(text) + b"~>", "/RunLengthDecode": runs,
+        "/LZWDecode": _packed(text), "[/ASCII85Decode /FlateDecode]": base64.a85encode(zlib.compress(text)) + b"~>"
+    }
+    for name, raw in ways.items():
+        found = extract(
+            "a.pdf", b"%PDF-1.4\n1 0 obj\n<< /X (" + b"y" * 9000 + b") /Filter " + name.encode() + b" >>\nstream\n" + raw + b"\nendstream endobj"
+        )
+        assert found[0].split() == [f"word{i}" for i in range(900)] and not found[3], name
+    lost = extract("a.pdf", b"%PDF-1.4\n1 0 obj\n<< /Filter /StrangeDecode >>\nstream\nx\nendstream endobj")
+    assert lost[3] and not lost[2]
+    image = extract("a.pdf", b"%PDF-1.4\n1 0 obj\n<< /Subtype /Image /Filter /DCTDecode >>\nstream\nx\nendstream endobj")
+    assert not image[3]
+
+
+def test_walks_hand_over_what_they_have_not_read(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(walk, "SHARE", 3)
+    for i in range(4):
+        for j in range(3):
+            (tmp_path / f"d{i}" / f"e{j}").mkdir(parents=True)
+            (tmp_path / f"d{i}" / f"e{j}" / "f.txt").write_text("x")
+    (tmp_path / "loop").symlink_to(tmp_path)
+    names = sorted(r["path"] for r in walk.walk(spark, [str(tmp_path)]).collect())
+    assert len(names) == len(set(names)) == 4 + 12 + 12 + 1
+
+
 def test_broken_and_binary_files_are_skipped():
     for name in ("a.docx", "a.pdf", "a.msg", "a.rtf", "a.eml", "a.html"):
         assert isinstance(extract(name, b"\x00\xff garbage")[2], bool)
