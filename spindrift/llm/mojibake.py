@@ -33,8 +33,8 @@ ENTER_LATE = -3.0
 SMOOTH, RARE = 2e-4, -8.0
 #: Bytes of the table (as stored) that a task labels, about.
 PART = 4 << 20
-#: Texts labelled at once.
-BATCH = 512
+#: Characters labelled at once, about.
+BATCH = 1 << 18
 
 #: Names of encodings. Single-byte ones by what they write, and those in which bytes get misread.
 WESTERN = ["cp1252", "mac_roman", "cp850", "cp437"]
@@ -97,6 +97,7 @@ class Model:
         self.log += alphabet.share.astype(np.float32)  # of one character in its class
         self.single = (np.log(single) + alphabet.share).astype(np.float32)
         self.single[0] = np.log(single[0])
+        self.best = self.log.max(0)
         assert self.log.shape == (n, n)
 
     def ids(self, points: np.ndarray) -> np.ndarray:
@@ -253,59 +254,54 @@ class Labeller:
         return out, more, None
 
     def suspects(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Which texts hold two characters that are likelier one, misread as UTF-8, and which any path through a pair's state could win, by an upper bound of what it gains; the rest are clean.
+        """Which texts hold two characters that are likelier one, misread as UTF-8; and for each text and pair, whether
+        a path through the pair's state could win, by an upper bound of what it gains. Texts without a pair are clean.
 
         A mapped pair gains at a bigram what its reading of it is likelier than the text as it stands, so the sum of its
-        positive gains over the text bounds every span of it; for UTF-8 read as UTF-16 the text is read as a whole. Pairs of multi-byte encodings need a whole unit somewhere.
-        ``active`` is left as the pairs that could win in any of these texts, by the same bound.
+        positive gains over the text bounds every span of it; a double-byte unit is read at most as likely as behind
+        the best character before it. For UTF-8 read as UTF-16 the text is read as a whole. UTF-8 needs a whole unit.
         """
-        lens = np.array([len(t) for t in texts])
+        lens = np.array([len(t) for t in texts], np.int64)
         points = _points("".join(texts))
         start = np.cumsum(lens) - lens
+        wins, units = np.zeros((len(texts), len(self.pairs)), bool), np.zeros(len(texts), bool)
         if not len(points):
-            return np.zeros(len(texts), bool), np.zeros(len(texts), bool)
+            return units, wins
         text = np.repeat(np.arange(len(texts)), lens)
         before = np.r_[32, points[:-1]]
         before[start[lens > 0]] = 32
         odd = (points > 127) | (before > 127)
         at = np.flatnonzero(odd | self.turned[np.minimum(before, 127), np.minimum(points, 127)])
-        found = np.zeros(len(texts), bool)
         if not len(at):
-            return found, found
+            return units, wins
         pair, back = np.unique((before[at] << 21) | points[at], return_inverse=True)
         p, c = pair >> 21, pair & 0x1FFFFF
         uniq, code = np.unique(np.r_[p, c], return_inverse=True)
         cp, cc = code[: len(p)], code[len(p) :]
-        own = self.model.ids(uniq)
+        own, where = self.model.ids(uniq), text[at]
         clean = self.model.log[own[cp], own[cc]]
-        double = np.zeros(len(pair), np.float32)
-        self.active = []
+        stands = clean[back]  # of each place; for two places, of both
+        both = stands + np.where(np.r_[False, at[1:] == at[:-1] + 1], np.r_[0, stands[:-1]], 0)
         need = -(ENTER + LEAVE)
-        unit, likely = np.zeros(len(pair), bool), np.zeros(len(pair), bool)
-        whole = np.ones(len(uniq), bool)
+        likely, whole = np.zeros(len(pair), bool), np.ones(len(uniq), bool)
+        gains = lambda g: np.bincount(where, g, len(texts)) >= need
         for k, (kind, w, true) in enumerate(self.pairs):
             if kind == "wide":
-                wins = self._wide_gains(k, points, lens) >= need
-                found |= wins
-                if wins.any():
-                    self.active.append(k)
+                wins[:, k] = self._wide_gains(k, points, lens) >= need
             elif kind in {"table", "swap"}:
                 read, _, _ = self._decoded(k, uniq, uniq, np.arange(len(uniq)), whole)
                 ids = self.model.ids(read)
-                e = np.where(read[cc] < 0, INVALID, self.model.log[ids[cp], ids[cc]])
-                win = np.maximum(e - clean, 0)
+                win = np.maximum(np.where(read[cc] < 0, INVALID, self.model.log[ids[cp], ids[cc]]) - clean, 0)
                 if win.any():
-                    wins = np.bincount(text[at], win[back], len(texts)) >= need
-                    found |= wins
-                    if wins.any():
-                        self.active.append(k)
+                    wins[:, k] = gains(win[back])
             elif kind == "bytes" and "*" not in true:
                 byte = np.array([self.tables[k].get(u, -1) for u in uniq.tolist()], np.int64)
-                whole_unit = (byte[cp] >= 0xC2) & (byte[cp] <= 0xF4) & (byte[cc] >= 0x80) & (byte[cc] < 0xC0)
-                unit |= whole_unit
-                if whole_unit.any():
-                    self.active += [i for i, x in enumerate(self.pairs) if x[0] == "bytes" and x[1] == w]
-                read = np.where(whole_unit & (byte[cp] < 0xE0), ((byte[cp] & 0x1F) << 6) | (byte[cc] & 0x3F), 0)
+                unit = (byte[cp] >= 0xC2) & (byte[cp] <= 0xF4) & (byte[cc] >= 0x80) & (byte[cc] < 0xC0)
+                held = where[unit[back]]
+                for i, x in enumerate(self.pairs):
+                    if x[0] == "bytes" and x[1] == w:
+                        wins[held, i] = True
+                read = np.where(unit & (byte[cp] < 0xE0), ((byte[cp] & 0x1F) << 6) | (byte[cc] & 0x3F), 0)
                 likely |= (read > 0) & (self.model.single[self.model.ids(read)] > self.model.single[own[cp]] + clean)
             elif kind == "multi":
                 byte = np.array([u if u < 128 else self.tables[k].get(u, -1) for u in uniq.tolist()], np.int64)
@@ -313,20 +309,14 @@ class Labeller:
                     k, np.stack([p, c], 1).ravel(), np.stack([np.where(p < 128, -1, byte[cp]), np.where(c < 128, -1, byte[cc])], 1).ravel(),
                     np.full(2 * len(p), -1), np.zeros(2 * len(p), bool), np.tile([True, False], len(p))
                 )
-                u = read[::2]
-                e = self.model.single[self.model.ids(np.maximum(u, 0))] - self.model.single[own[cp]] - self.model.single[own[cc]]
-                e = np.where(more[1::2] & (u >= 0), e, 0)
-                double = np.maximum(double, e)
-                if np.bincount(text[at], np.maximum(e, 0)[back], len(texts)).max() >= need:
-                    self.active.append(k)
+                unit = more[1::2] & (read[::2] >= 0)
+                if unit.any():
+                    best = np.where(unit, self.model.best[self.model.ids(np.maximum(read[::2], 0))], 0)
+                    wins[:, k] = gains(np.where(unit[back], np.maximum(best[back] - both, 0), 0))
             elif kind == "lost":
-                self.active.append(k)
-        found |= np.bincount(text[at], double[back], len(texts)) >= need
-        units = np.zeros(len(texts), bool)
-        units[text[at[likely[back]]]] = True
-        found[text[at[unit[back]]]] = True
-        found[text[at[points[at] == 0xFFFD]]] = True
-        return units, found
+                wins[text[points == 0xFFFD], k] = True
+        units[where[likely[back]]] = True
+        return units, wins
 
     def _wide_gains(self, k: int, points: np.ndarray, lens: np.ndarray) -> np.ndarray:
         """What a span of UTF-8 read as UTF-16 gains at most in each text."""
@@ -349,61 +339,35 @@ class Labeller:
         e = np.where(more, 0, np.where(read < 0, INVALID, e))
         return np.bincount(text, np.maximum(e - model.log[was, own], 0), len(lens))
 
-    def label(self, texts: list[str]) -> list[np.ndarray]:
-        """The state of every character: 0 clean, k + 1 the k-th pair."""
-        model, log = self.model, self.model.log
-        self.active = []
-        self.suspects(texts)
-        active = sorted(set(self.active))
-        if not active:
-            return [np.zeros(len(t), np.uint8) for t in texts]
-        pairs, late_cost, enter_cost = [self.pairs[k] for k in active], self.late[active], self.enter[active]
-        size = np.array([len(t) for t in texts])
-        order = np.argsort(-size, kind="stable")
+    def label(self, texts: list[str], wins: np.ndarray | None = None) -> list[np.ndarray]:
+        """The state of every character: 0 clean, k + 1 the k-th pair. ``wins``: what ``suspects`` says of these texts.
+
+        Each text has the clean state and one for each pair that could win in it, so texts differ in what their states
+        stand for; those with as many are labelled together best.
+        """
+        wins = self.suspects(texts)[1] if wins is None else wins
+        order = np.argsort([-len(t) for t in texts], kind="stable")
+        wins, lens = wins[order], np.array([len(texts[i]) for i in order], np.int64)
         points = _points("".join(texts[i] for i in order))
-        lens = size[order]
-        start = np.cumsum(lens) - lens
-        total, states = len(points), len(pairs) + 1
-        if not total:
-            return [np.zeros(0, np.uint8) for _ in texts]
+        start, total = np.cumsum(lens) - lens, len(points)
+        if not total or not wins.any():
+            return [np.zeros(len(t), np.uint8) for t in texts]
+        states = int(wins.sum(1).max())
+        place = np.cumsum(wins, 1) - 1  # the state of a pair in a text
+        pair_of = np.zeros((len(texts), states), np.int64)
+        row, pair = np.nonzero(wins)
+        pair_of[row, place[row, pair]] = pair
+        used = np.arange(states) < wins.sum(1)[:, None]
         first = np.zeros(total, bool)
         first[start[lens > 0]] = True
-        uniq, code = np.unique(points, return_inverse=True)
-        emit = np.empty((total, states), np.float32)
-        closed = np.zeros((total, states), bool)
-        space = model.ids(np.array([32]))[0]
-
-        def score(ids: np.ndarray, last: np.ndarray) -> np.ndarray:
-            before = np.r_[space, last[:-1]]
-            before[first] = space
-            return log[before, ids]
-
-        own = model.ids(uniq)[code]
-        emit[:, 0] = score(own, own)
-        for k, (kind, *_) in enumerate(pairs):
-            read, more, second = self._decoded(active[k], points, uniq, code, first)
-            if kind == "table":
-                ids = model.ids(np.array([u if u < 128 else self.tables[active[k]].get(u, -1) for u in uniq.tolist()], np.int64))[code]
-            else:
-                seen, back = np.unique(read, return_inverse=True)
-                ids = model.ids(seen)[back]
-            last = ids if second is None else np.where(second >= 0, model.ids(np.maximum(second, 0)), ids)
-            e = score(ids, last)
-            if second is not None:
-                e = e + np.where(second >= 0, log[ids, last], 0)
-            e = np.where(read < 0, INVALID, e)
-            if kind == "lost":
-                e = np.where(points == 0xFFFD, -1.0, e)
-            e[more] = 0
-            emit[:, k + 1], closed[:, k + 1] = e, more | (read < 0)
-            if kind == "lost":
-                closed[:, k + 1] = points != 0xFFFD
-            elif kind != "swap":
-                closed[:, k + 1] |= points < 128  # a span begins with something that was garbled
-        best = np.full((len(texts), states), -1e30, np.float32)
+        emit, closed = self._emissions(points, first, start, lens, wins, place, states)
+        enter_cost = np.where(used, self.enter[pair_of], np.float32(-1e30))
+        late_cost = self.late[pair_of]
+        best = np.full((len(texts), states + 1), -1e30, np.float32)
         best[:, 0] = 0
         longest = int(lens[0])
-        came = np.zeros((total, states), np.uint8)  # for clean: the state before; for a pair: 1 if it was entered here
+        came = np.zeros((total, states + 1), np.uint8)  # for clean: the state before; for a pair: 1 if it was entered here
+        high = points > 127
         for t in range(longest):
             live = int(np.searchsorted(-lens, -t, side="left"))  # texts longer than t
             at = start[:live] + t
@@ -411,28 +375,73 @@ class Labeller:
             out = now[:, 1:].argmax(1)
             leave = now[np.arange(live), out + 1] + LEAVE
             clean = np.maximum(now[:, 0], leave)
-            behind = ((t > 0) & (points[np.maximum(at - 1, 0)] > 127)).astype(np.float32)
-            enter = np.where(closed[at, 1:], -1e30, now[:, :1] + enter_cost + behind[:, None] * late_cost)
+            enter = now[:, :1] + enter_cost[:live]
+            if t:
+                enter += high[at - 1, None] * late_cost[:live]
+            enter = np.where(closed[at], np.float32(-1e30), enter)
             came[at, 0] = np.where(leave > now[:, 0], out + 1, 0)
             came[at, 1:] = enter > now[:, 1:]
-            best[:live, 1:] = np.maximum(now[:, 1:], enter) + emit[at, 1:]
-            best[:live, 0] = clean + emit[at, 0]
-        out_labels: list[np.ndarray] = [np.zeros(0, np.uint8)] * len(texts)
-        end = best.copy()
-        end[:, 1:] += LEAVE
-        state = end.argmax(1)
+            step = emit[at]
+            best[:live, 1:] = np.maximum(now[:, 1:], enter) + step[:, 1:]
+            best[:live, 0] = clean + step[:, 0]
+        best[:, 1:] += LEAVE
+        state = best.argmax(1)
         labels = np.zeros(total, np.uint8)
+        number = np.c_[np.zeros(len(texts), np.int64), pair_of + 1]
         for t in range(longest - 1, -1, -1):
             live = int(np.searchsorted(-lens, -t, side="left"))
-            at = start[:live] + t
-            s = state[:live]
-            labels[at] = s
+            at, s = start[:live] + t, state[:live]
+            labels[at] = number[np.arange(live), s]
             c = came[at, s]
             state[:live] = np.where(s == 0, c, np.where(c == 1, 0, s))
-        number = np.array([0, *[k + 1 for k in active]], np.uint8)
-        for i, o in enumerate(order):
-            out_labels[o] = number[labels[start[i] : start[i] + lens[i]]]
-        return out_labels
+        found: list[np.ndarray] = [np.zeros(0, np.uint8)] * len(texts)
+        for i, o in enumerate(order.tolist()):
+            found[o] = labels[start[i] : start[i] + lens[i]]
+        return found
+
+    def _emissions(
+        self, points: np.ndarray, first: np.ndarray, start: np.ndarray, lens: np.ndarray, wins: np.ndarray, place: np.ndarray, states: int
+    ) -> tuple[np.ndarray, np.ndarray]:
+        """Log probability of every character in its text's states, and where a state can't be entered."""
+        log, total = self.model.log, len(points)
+        space = self.model.ids(np.array([32]))[0]
+        text = np.repeat(np.arange(len(lens)), lens)
+
+        def score(ids: np.ndarray, last: np.ndarray, begin: np.ndarray) -> np.ndarray:
+            before = np.r_[space, last[:-1]]
+            before[begin] = space
+            return log[before, ids]
+
+        def numbers(read: np.ndarray) -> np.ndarray:
+            seen, back = np.unique(read, return_inverse=True)
+            return self.model.ids(seen)[back]
+
+        emit, closed = np.full((total, states + 1), -1e30, np.float32), np.ones((total, states), bool)
+        own = numbers(points)
+        emit[:, 0] = score(own, own, first)
+        for k in np.flatnonzero(wins.any(0)).tolist():
+            kind, mine = self.pairs[k][0], np.flatnonzero(wins[:, k])
+            at = np.repeat(start[mine] - (np.cumsum(lens[mine]) - lens[mine]), lens[mine]) + np.arange(lens[mine].sum())
+            here, begin = points[at], first[at]
+            uniq, code = np.unique(here, return_inverse=True)
+            read, more, second = self._decoded(k, here, uniq, code, begin)
+            ids = numbers(read)
+            last = ids if second is None else np.where(second >= 0, self.model.ids(np.maximum(second, 0)), ids)
+            e = score(ids, last, begin)
+            if second is not None:
+                e = e + np.where(second >= 0, log[ids, last], 0)
+            e = np.where(read < 0, INVALID, e)
+            if kind == "lost":
+                e = np.where(here == 0xFFFD, -1.0, e)
+            e[more] = 0
+            shut = more | (read < 0)
+            if kind == "lost":
+                shut = here != 0xFFFD
+            elif kind != "swap":
+                shut |= here < 128  # a span begins with something that was garbled
+            slot = place[text[at], k]
+            emit[at, slot + 1], closed[at, slot] = e, shut
+        return emit, closed
 
     def _undo(self, text: str, state: int) -> tuple[str, bool]:
         kind, w, t = self.pairs[state - 1]
@@ -462,15 +471,21 @@ class Labeller:
         state = [([], t, True) for t in texts]
         todo = [i for i, t in enumerate(texts) if not t.isascii()]
         fit = np.ones(len(texts), bool)
-        if todo:
-            units, found = self.suspects([texts[i] for i in todo])
-            fit[np.array(todo)[units]] = False
-            todo = [todo[i] for i in np.flatnonzero(found).tolist()]
         seen = {i: {texts[i]} for i in todo}
+        first = True
         while todo:  # every layer makes a text likelier; one that comes back to an earlier form is left
-            for a in range(0, len(todo), BATCH):
-                part = todo[a : a + BATCH]
-                for i, labels in zip(part, self.label([state[i][1] for i in part])):
+            units, wins = self.suspects([state[i][1] for i in todo])
+            if first:
+                fit[np.array(todo)[units]] = False
+                first = False
+            # texts with as many pairs that could win are labelled together
+            order = [k for k in np.argsort(wins.sum(1), kind="stable").tolist() if wins[k].any()]
+            upto = np.cumsum([len(state[todo[k]][1]) for k in order]) // BATCH
+            edges = np.flatnonzero(np.diff(upto, prepend=-1)).tolist()
+            for a, b in zip(edges, [*edges[1:], len(order)]):
+                rows = order[a:b]
+                part = [todo[k] for k in rows]
+                for i, labels in zip(part, self.label([state[i][1] for i in part], wins[rows])):
                     if not labels.any():
                         continue
                     names, text, whole = state[i]
@@ -528,6 +543,7 @@ def _apply(texts: DataFrame, key: str, column: str, model: Model) -> DataFrame:
     def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = Model.__new__(Model)
         chars, blocks, share, own.log, own.single = sent.value
+        own.best = own.log.max(0)
         own.alphabet = Alphabet(chars, blocks, share)
         labeller = Labeller(own)
         for frame in frames:

@@ -59,9 +59,14 @@ def test_suspects_miss_nothing_that_labelling_finds(spark):
     rows = _corpus()[:500]
     texts = [t for _, t in rows] + [next(s for s in SENTENCES if s.startswith(p[2])).format(n=1).encode(p[0]).decode(p[1]) for p in PAIRS]
     labeller = mojibake.Labeller(mojibake.train(spark.createDataFrame(rows, "id long, s string"), "s"))
-    _, found = labeller.suspects(texts)
+    texts += [
+        SENTENCES[9].format(n=1).encode(true).decode(wrong, "replace") for true, wrong in (("cp932", "latin_1"), ("euc_jp", "latin_1"))
+    ] + ["the カ report", "ｱ one ±" + "©×é"]
+    found = labeller.suspects(texts)[1].any(1)
+    everything = np.ones((len(texts), len(labeller.pairs)), bool)
+    assert [x.tolist() for x in labeller.label(texts, everything)] == [x.tolist() for x in labeller.label(texts)]
     labelled = np.array([x.any() for x in labeller.label(texts)])
-    assert not (labelled & ~found).any() and labelled[-len(PAIRS) :].all()
+    assert not (labelled & ~found).any() and labelled[len(rows) : len(rows) + len(PAIRS) + 2].all()
 
 
 def test_swapped_and_wide_text_comes_back_whole(spark):
