@@ -19,7 +19,7 @@ from spindrift.session import written
 
 
 def mid_ranks(items: DataFrame, scores: Sequence[str]) -> DataFrame:
-    """``items`` with each score replaced by its mid-rank in (0, 1]: equal values share one, null and NaN stay null.
+    """``items`` with each score replaced by its mid-rank from 1: equal values share one, null and NaN stay null.
 
     All scores are ranked at once, as rows of (item, score, value). Values are counted before they are ordered, so a
     value that most items have costs one row a task; the ranks are joined back by value - a side that is unique, and
@@ -29,10 +29,8 @@ def mid_ranks(items: DataFrame, scores: Sequence[str]) -> DataFrame:
     pairs = ", ".join(f"{i}, cast(`{c}` as double)" for i, c in enumerate(scores))
     long = held.selectExpr("_item", f"stack({len(scores)}, {pairs}) as (signal, value)").where("value is not null and not isnan(value)")
     counted = long.groupBy("signal", "value").count()
-    ranks, _ = written(running_total(counted, ["signal"], [F.col("value")], F.col("count"), "upto"), "ranks")
-    totals = {r["signal"]: r["n"] for r in ranks.groupBy("signal").agg(F.sum("count").alias("n")).collect()}  # one row a score
-    total = F.element_at(F.create_map(*[F.lit(x) for i in range(len(scores)) for x in (i, float(totals.get(i, 1)))]), F.col("signal"))
-    own = ranks.select("signal", "value", ((F.col("upto") - F.col("count") + (F.col("count") + 1) / 2) / total).alias("_r"))
+    ranks = running_total(counted, ["signal"], [F.col("value")], F.col("count"), "upto")
+    own = ranks.select("signal", "value", (F.col("upto") - F.col("count") + (F.col("count") + 1) / 2).alias("_r"))
     wide = (
         long.join(own, ["signal", "value"])
             .groupBy("_item")
