@@ -4377,7 +4377,12 @@ def u_frecency(spark, sf_dir):
     return ranking.frecency(opens, F.lit(1_782_800_000)).withColumn("score", F.round("score", 9)).withColumn("last_open", F.col("last_open"))
 
 
-@_query()
+@_query("""with r as (select distinct path from file_signals where user_id = 'user-000' and path <> ''), n as (select path, lower(string_split(path, chr(92))[-1]) as name_l from r),
+p as (select path, name_l, row_number() over (order by name_l, lower(path), path) as position from n where contains(name_l, 'raven') or contains(strip_accents(name_l), 'raven') qualify position <= 100),
+f as (select path, max(score) as frecency from file_signals where user_id = 'user-000' group by 1),
+h as (select path from query_picks where user_id = 'user-000' and query_norm = 'raven' group by 1 having max(pick_count) >= 3),
+j as (select p.*, h.path is not null as habit, frecency, case when name_l = 'raven' then '0' when starts_with(name_l, 'raven') then '1' when contains(name_l, 'raven') then '2' else '3' end as band from p left join f using (path) left join h on h.path = p.path)
+select path, cast(position as int) as position, cast(case when bool_or(habit or frecency is not null) over () then row_number() over (order by band, habit desc, coalesce(frecency, 0) desc, path) else position end as int) as place from j""")
 def u_blended(spark, sf_dir):
     """A page of one person's query in the order of their signals."""
     from pyspark.sql import Window
@@ -6700,3 +6705,60 @@ def k_index(spark, sf_dir):
     at = fresh_path(spark, "listing")
     write_index(search.matching(entries(spark, sf_dir), parse("ext:md", AT)), at)
     return spark.read.parquet(at).select("volume", "path", "size")
+
+
+_DEPTH = f"len(string_split(path, {B})) - 1"
+
+
+@_query(f"""{ENTRIES_SQL}, p as (select path, list_slice(string_split(lower(path), {B}), 1, {_DEPTH}) as t, ['c:', 'corpus', 'wiki-amber'] as h from e)
+select path, cast(len(h) + len(t) - 2 * case when h[1:3] = t[1:3] then 3 when h[1:2] = t[1:2] then 2 when h[1] = t[1] then 1 else 0 end as int) as hops from p""")
+def r_hops(spark, sf_dir):
+    """Steps from a folder to every file."""
+    return entries(spark, sf_dir).select("path", ranking.hops(F.col("path"), "C:\\corpus\\wiki-amber").alias("hops"))
+
+
+@_query(f"{ENTRIES_SQL} select path, case when name_l = 'quarry' then '0' when starts_with(name_l, 'quarry') then '1' when contains(name_l, 'quarry') then '2' else '3' end as band from e")
+def r_bands(spark, sf_dir):
+    """The stretches of a page inside which signals may reorder."""
+    return entries(spark, sf_dir).select("path", ranking.band(parse("quarry", AT)).alias("band"))
+
+
+@_query("""with p as (select replace(path, '/', chr(92)) as path, list(git_status) filter (git_status is not null) as s from search_results where path is not null and path <> '' group by 1)
+select path, case when list_has_any(coalesce(s, []), ['conflict', 'modified', 'staged']) then 0 when list_contains(coalesce(s, []), 'untracked') then 2 else 3 end as class from p""")
+def r_git_classes(spark, sf_dir):
+    """How states of version control rank."""
+    return _with_git(spark, sf_dir).select("path", ranking.git_class().alias("class"))
+
+
+@_query(_CLOSE.format("quarri", 6) + " select e.path from e join a on a.name_f = e.name_f order by dist, name_l, path limit 100")
+def f_tilde(spark, sf_dir):
+    """A term that asks for slips itself."""
+    return Catalogue(entries(spark, sf_dir)).search("quarri~", AT).select("path")
+
+
+@_query(f"{ENTRIES_SQL} select path from e where ext_l = 'md' order by {_NAME_ORDER} limit 50 offset 150")
+def s_cursor(spark, sf_dir):
+    """A page by its offset, from a token."""
+    shop = Catalogue(entries(spark, sf_dir))
+    return shop.search("ext:md", AT, 50, cursor=shop.next_cursor("ext:md", AT, 150)).select("path")
+
+
+@_query(f"""{ENTRIES_SQL}, t as (select path, repeat(text || ' ', 1 + 40000 // greatest(1, length(text))) as text from e where text is not null and length(text) > 0), j as (select path, case when size % 2 = 0 then replace(text, chr(10), ' ') else text end as text from t join (select path, size from e) using (path))
+select path, octet_length(encode(text)) >= {admission.MINIFIED_SIZE} and length(substring(text, 1, {admission.SAMPLE})) / len(string_split(substring(text, 1, {admission.SAMPLE}), chr(10))) > {admission.MINIFIED_LINE} as minified from j""")
+def a_minified(spark, sf_dir):
+    """Texts repeated to some length, half of them on one line: the latter look generated."""
+    rows = entries(spark, sf_dir).where("length(text) > 0")
+    text = F.expr("repeat(concat(text, ' '), cast(1 + floor(40000 / greatest(1, length(text))) as int))")
+    joined = rows.select("path", F.when(F.col("size") % 2 == 0, F.translate(text, "\n", " ")).otherwise(text).alias("text"))
+    return joined.select("path", admission.minified_text(F.col("text")).alias("minified"))
+
+
+@_query(f"""{ENTRIES_SQL}, s as (select path, is_dir, replace(path, {B}, '/') as p from e)
+select path, case when starts_with(p, 'C:/corpus/') then case when regexp_matches(p, '^C:/corpus/wiki-amber(/|$)') then regexp_matches(p, '^C:/corpus/wiki-amber/(.*/)?[^/]*\\.html$') else (regexp_matches(p, '\\.(md|log)$') and not regexp_matches(p, '/doc_1000[^/]*$')) or regexp_matches(p, '^C:/corpus/(.*/)?ja(/|$)') end else false end as ignored from s""")
+def a_ignored(spark, sf_dir):
+    """What ignore files of a folder and of one inside it leave out."""
+    rules = {
+        "C:\\corpus": admission.ignore_rules(["# texts", "*.md", "*.log", "!doc_1000*", "ja/", "*.html", "!*.html"]),
+        "C:\\corpus\\wiki-amber": admission.ignore_rules(["!*", "*.html"]),
+    }
+    return entries(spark, sf_dir).select("path", admission.ignored(F.col("path"), F.col("is_dir"), rules).alias("ignored"))
