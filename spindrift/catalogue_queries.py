@@ -2261,37 +2261,6 @@ def f_near_content(spark, sf_dir):
     
     
     
-    + """ select e.path, cast(dist as int) as dist, cast(levenshtein(a.name_f, 'quarri') as int) as whole, cast("at" as int) as "at" from e join a on a.name_f = e.name_f"""
-)
-def f_close_names(spark, sf_dir):
-    """Names within the edits that the term may need."""
-    return fuzzy.close_names(entries(spark, sf_dir), parse("quarri", AT)).select("path", "dist", "whole", "at")
-
-
-@_query(
-    _CLOSE.format("qaurry", 6)
-    + " select path, cast(dist as int) as dist from (select e.*, dist from e join a on a.name_f = e.name_f) order by dist, name_l, path limit 100"
-)
-def f_topped_up(spark, sf_dir):
-    files, q = entries(spark, sf_dir), parse("qaurry", AT)
-    return fuzzy.topped_up(files, search.matching(files, q), q, 100).select("path", "dist")
-
-
-@_query(f"{ENTRIES_SQL} select path from e where {_both('quarry')} and {_both('amber')} order by {_NAME_ORDER} limit 100")
-def f_rewritten(spark, sf_dir):
-    """What a search without a match gives: the same with one term respelt."""
-    shop = Catalogue(entries(spark, sf_dir), words=words(spark, sf_dir), name_words=name_words(spark, sf_dir))
-    return shop.search("qaurry amber", AT).select("path")
-
-
-@_query(f"{ENTRIES_SQL} select count(*) as n from e where contains(lower(text), 'journal') or contains(strip_accents(lower(text)), 'journal')")
-def f_count_respelt(spark, sf_dir):
-    """The count of a query on texts follows the search: a word that no text holds is respelt."""
-    return Catalogue(entries(spark, sf_dir), words=words(spark, sf_dir), name_words=name_words(spark, sf_dir)).count("content:joyrnal", AT)
-
-
-@_query(
-    _WORDS_SQL
     
     
     
@@ -3288,6 +3257,37 @@ def f_count_respelt(spark, sf_dir):
     
     
     
+    + """ select e.path, cast(dist as int) as dist, cast(levenshtein(a.name_f, 'quarri') as int) as whole, cast("at" as int) as "at" from e join a on a.name_f = e.name_f"""
+)
+def f_close_names(spark, sf_dir):
+    """Names within the edits that the term may need."""
+    return fuzzy.close_names(entries(spark, sf_dir), parse("quarri", AT)).select("path", "dist", "whole", "at")
+
+
+@_query(
+    _CLOSE.format("qaurry", 6)
+    + " select path, cast(dist as int) as dist from (select e.*, dist from e join a on a.name_f = e.name_f) order by dist, name_l, path limit 100"
+)
+def f_topped_up(spark, sf_dir):
+    files, q = entries(spark, sf_dir), parse("qaurry", AT)
+    return fuzzy.topped_up(files, search.matching(files, q), q, 100).select("path", "dist")
+
+
+@_query(f"{ENTRIES_SQL} select path from e where {_both('quarry')} and {_both('amber')} order by {_NAME_ORDER} limit 100")
+def f_rewritten(spark, sf_dir):
+    """What a search without a match gives: the same with one term respelt."""
+    shop = Catalogue(entries(spark, sf_dir), words=words(spark, sf_dir), name_words=name_words(spark, sf_dir))
+    return shop.search("qaurry amber", AT).select("path")
+
+
+@_query(f"{ENTRIES_SQL} select count(*) as n from e where contains(lower(text), 'journal') or contains(strip_accents(lower(text)), 'journal')")
+def f_count_respelt(spark, sf_dir):
+    """The count of a query on texts follows the search: a word that no text holds is respelt."""
+    return Catalogue(entries(spark, sf_dir), words=words(spark, sf_dir), name_words=name_words(spark, sf_dir)).count("content:joyrnal", AT)
+
+
+@_query(
+    _WORDS_SQL
     
     
     
@@ -4282,200 +4282,2192 @@ def f_count_respelt(spark, sf_dir):
     
     
     
-    + " select term, cast(damerau_levenshtein(term, 'jurnal') as int) as distance, count(distinct path) as df from w where damerau_levenshtein(term, 'jurnal') = 1 group by all"
-)
-def f_corrected_words(spark, sf_dir):
-    return content.corrected(entries(spark, sf_dir), "jurnal", words(spark, sf_dir)).select("term", "distance", "df")
-
-
-@_query(
-    f"{ENTRIES_SQL}, {_FOLDER_BYTES} select volume, path, cast(sum(size) as bigint) as bytes, count(*) as files, min(name_l) as first_name from up group by 1, 2"
-)
-def r_folder_bytes(spark, sf_dir):
-    return rollup.folder_bytes(entries(spark, sf_dir))
-
-
-@_query(f"{ENTRIES_SQL}, {_FOLDER_BYTES} select path, size from sized")
-def r_effective_sizes(spark, sf_dir):
-    return rollup.with_sizes(entries(spark, sf_dir)).select("path", "size")
-
-
-@_query(f"""{ENTRIES_SQL}, w as (select path, unnest(regexp_extract_all(lower(text), '[a-z0-9_\u0080-\uffff]+')) as term from e where text is not null), n as (select term, path, count(*) as n from w group by 1, 2)
-select term, cast(sum(n) as bigint) as tf, count(*) as df from n group by term""")
-def r_vocabulary(spark, sf_dir):
-    return content.vocabulary(entries(spark, sf_dir))
-
-
-@_query(
-    f"""{ENTRIES_SQL}, g as (select distinct path, substring(name_l, i, 3) as gram from (select path, name_l, unnest(range(1, length(name_l) - 1)) as i from e where length(name_l) >= 3)) select gram, count(*) as n_rows from g group by gram"""
-)
-def r_gram_counts(spark, sf_dir):
-    return rollup.gram_counts(entries(spark, sf_dir).select("path", "name").distinct(), "path", "name")
-
-
-@_query(
-    f"{ENTRIES_SQL}, d as (select sha256(text) as digest, octet_length(encode(text)) as b, count(*) as files from e where text is not null group by 1, 2) select digest, files, cast(b * (files - 1) as bigint) as bytes from d where files > 1"
-)
-def r_duplicates(spark, sf_dir):
-    return rollup.duplicates(entries(spark, sf_dir))
-
-
-@_query(
-    f"{ENTRIES_SQL}, k as (select path, sha256(text) as digest from e where text is not null), f as (select digest, min(path) as first_path from k group by 1) select path, first_path from k join f using (digest) where path <> first_path"
-)
-def r_copies(spark, sf_dir):
-    return rollup.aliases(entries(spark, sf_dir))
-
-
-@_query(
-    f"{ENTRIES_SQL} select volume, count(*) as n_entries, count(distinct name) as n_names, cast(sum(length(name)) as bigint) as name_chars, cast(sum(is_dir::int) as bigint) as n_folders from e group by volume"
-)
-def r_statistics(spark, sf_dir):
-    return rollup.statistics(entries(spark, sf_dir))
-
-
-@_query()
-def r_latencies(spark, sf_dir):
-    return rollup.latencies(table(spark, sf_dir, "events"), "value")
-
-
-_TALLY = f"when ext_l in ({', '.join(map(repr, admission.BINARY))}) then 'binary'"
-
-
-@_query(f"""{ENTRIES_SQL}, r as (select size, case {_TALLY} when name_l in ({', '.join(map(repr, admission.LOCKFILES))}) then 'lockfile' when ext_l in ('json', 'jsonc', 'json5') and size >= {admission.LARGE_JSON} then 'large_json'
- when contains(name_l, '.min.') or contains(name_l, '-min.') or contains(name_l, '.bundle.') or contains(name_l, '.chunk.') or contains(name_l, '.minified.') then 'minified'
- when list_has_any(string_split(path_l, {B})[:-2], [{', '.join(map(repr, admission.BUILD))}]) then 'build_output' when list_has_any(string_split(path_l, {B})[:-2], [{', '.join(map(repr, admission.DEPENDENCIES))}]) then 'dependency'
- when list_has_any(string_split(path_l, {B})[:-2], [{', '.join(map(repr, admission.CACHES))}]) then 'cache' else 'admitted' end as reason from e where not is_dir) select reason, count(*) as files, cast(sum(size) as bigint) as bytes from r group by reason""")
-def a_admission(spark, sf_dir):
-    """Files and bytes per reason for which a text isn't indexed."""
-    return admission.tally(entries(spark, sf_dir), admission.reason())
-
-
-@_query("select user_id, query_norm, path, max(pick_count) as pick_count from query_picks group by all having max(pick_count) >= 3")
-def u_habits(spark, sf_dir):
-    return ranking.habits(table(spark, sf_dir, "query_picks"))
-
-
-@_query(
-    "select user_id, path, max(last_open_unix) as last_open_unix from file_signals where last_open_unix is not null group by all order by 3 desc, path, user_id limit 50"
-)
-def u_recent(spark, sf_dir):
-    return ranking.recent(table(spark, sf_dir, "file_signals"), 50)
-
-
-@_query("""with o as (select user_id, path, max(opens) as opens, max(score) as score, max(last_open_unix) as last_open_unix from file_signals group by all)
-select * from (select *, cast(row_number() over (partition by user_id order by score desc nulls last, last_open_unix desc nulls last, path) as int) as place from o) where place <= 5000""")
-def u_compacted(spark, sf_dir):
-    return ranking.compact(table(spark, sf_dir, "file_signals"))
-
-
-@_query(
-    "select user_id, path, count(*) as opens, round(sum(pow(0.5, greatest(0, (1782800000 - coalesce(last_open_unix, 1782800000)) / 86400.0) / 30.0)), 9) as score, max(last_open_unix) as last_open from file_signals where path is not null group by all"
-)
-def u_frecency(spark, sf_dir):
-    opens = table(spark, sf_dir, "file_signals").withColumn("opened", F.col("last_open_unix"))
-    return ranking.frecency(opens, F.lit(1_782_800_000)).withColumn("score", F.round("score", 9)).withColumn("last_open", F.col("last_open"))
-
-
-@_query("""with r as (select distinct path from file_signals where user_id = 'user-000' and path <> ''), n as (select path, lower(string_split(path, chr(92))[-1]) as name_l from r),
-p as (select path, name_l, row_number() over (order by name_l, lower(path), path) as position from n where contains(name_l, 'raven') or contains(strip_accents(name_l), 'raven') qualify position <= 100),
-f as (select path, max(score) as frecency from file_signals where user_id = 'user-000' group by 1),
-h as (select path from query_picks where user_id = 'user-000' and query_norm = 'raven' group by 1 having max(pick_count) >= 3),
-j as (select p.*, h.path is not null as habit, frecency, case when name_l = 'raven' then '0' when starts_with(name_l, 'raven') then '1' when contains(name_l, 'raven') then '2' else '3' end as band from p left join f using (path) left join h on h.path = p.path)
-select path, cast(position as int) as position, cast(case when bool_or(habit or frecency is not null) over () then row_number() over (order by band, habit desc, coalesce(frecency, 0) desc, path) else position end as int) as place from j""")
-def u_blended(spark, sf_dir):
-    """A page of one person's query in the order of their signals."""
-    from pyspark.sql import Window
-
-    signals, picks = table(spark, sf_dir, "file_signals"), table(spark, sf_dir, "query_picks")
-    rows = enriched(
-        signals.where("user_id = 'user-000'")
-            .select(
-                F.substring("path", 1, 2).alias("volume"), F.lit(None).cast("long").alias("frn"), "path", F.lit(32).cast("long").alias("mode"),
-                F.lit(0).cast("long").alias("size"), F.lit(0).cast("long").alias("mod_ns"), F.lit("signals").alias("source"),
-                F.lit(None).cast("string").alias("text")
-            )
-            .distinct()
-    )
-    page = search.search(rows, "raven", AT)
-    q = parse("raven", AT)
-    ordered = page.withColumn("position", F.row_number().over(Window.orderBy(*search.order(q))))
-    return ranking.blend(ordered, q, "raven", "user-000", signals, picks).select("path", "position", "place")
-
-
-def _with_git(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Paths of search results with every state that any result reports of them."""
-    states = ("modified", "staged", "untracked", "ignored", "conflict", "clean", "tracked")
-    rows = table(spark, sf_dir, "search_results").where("path is not null").withColumn("path", F.translate("path", "/", "\\"))
-    once = (
-        rows.groupBy("path")
-            .agg(
-                F.min("volume").alias("volume"), F.max("size").alias("size"), F.max("is_dir").alias("is_dir"),
-                *[F.max(F.col("git_status") == c).alias(c) for c in states]
-            )
-    )
-    shaped = enriched(
-        once.select(
-            "volume", F.lit(None).cast("long").alias("frn"), "path", F.when(F.col("is_dir"), 16).otherwise(32).cast("long").alias("mode"), "size",
-            F.lit(0).cast("long").alias("mod_ns"), F.lit("results").alias("source"), F.lit(None).cast("string").alias("text")
-        )
-    )
-    return shaped.join(once.select("path", F.struct(*states).alias("git")), "path")
-
-
-@_query(
-    """select replace(path, '/', chr(92)) as path from search_results where path is not null and path <> '' group by 1 having bool_or(git_status in ('modified', 'untracked'))"""
-)
-def q_git(spark, sf_dir):
-    """Files in one of several states of version control; a path that is reported in several states has all of them."""
-    return search.matching(_with_git(spark, sf_dir), parse("git:modified git:untracked", AT)).select("path")
-
-
-@_query("""with p as (select replace(path, '/', chr(92)) as path, list(git_status) filter (git_status is not null) as s from search_results where path is not null and path <> '' group by 1)
-select path, list_filter(['conflict', 'modified', 'staged', 'ignored', 'untracked', 'clean', 'tracked'], lambda x: list_contains(s, x))[1] as git_status from p""")
-def o_git_status(spark, sf_dir):
-    """The most telling state of every path."""
-    return search.results(_with_git(spark, sf_dir)).select("path", "git_status")
-
-
-_APRIL = "received_at < timestamp '2026-04-01 00:00:00Z'"
-_ORDER = ["checkpoint_usn", "feed_cursor"]
-
-
-def _changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "feature_feed").withColumnRenamed("mod_unix", "mod_ns")
-
-
-def _state_sql(name: str, condition: str) -> str:
-    return f"{name} as (select volume, frn, path, size, mod_unix as mod_ns from (select *, row_number() over (partition by volume, frn order by checkpoint_usn desc, feed_cursor desc) as rn from feature_feed where frn <> 0 and volume is not null and {condition}) where rn = 1 and not coalesce(deleted, false) and path is not null)"
-
-
-@_query(f"""with {_state_sql('a', "received_at < timestamptz '2026-04-01 00:00:00+00'")}, {_state_sql('b', 'true')},
-f as (select a.path as ap, a.size as asize, a.mod_ns as am, b.path as bp, b.size as bsize, b.mod_ns as bm, a.frn is null as come, b.frn is null as gone from a full join b on a.volume = b.volume and a.frn = b.frn)
-select 'created' as event, bp as path, bsize as size, bm as mod_ns from f where come or (not gone and ap <> bp) union all select 'deleted', ap, asize, am from f where gone or (not come and ap <> bp)
-union all select 'modified', bp, bsize, bm from f where not come and not gone and ap = bp and (asize is distinct from bsize or am is distinct from bm)""")
-def w_watch(spark, sf_dir):
-    """Events between the state at the beginning of April and the last."""
-    return feed.watch_feed(_changes(spark, sf_dir), _ORDER, _APRIL)
-
-
-@_query("""with l as (select * from (select *, row_number() over (partition by volume, frn order by checkpoint_usn desc, feed_cursor desc) as rn from feature_feed where frn is not null and frn <> 0 and volume is not null) where rn = 1 and not coalesce(deleted, false))
-select volume, frn, checkpoint_usn, feed_cursor from l""")
-def w_stream(spark, sf_dir):
-    """The feed applied as a stream of files; the state after the last batch."""
-    source = f"{sf_dir}/feature_feed.parquet"
-    changes = feed.file_stream(spark, f"{source}*", spark.read.parquet(source).schema)
-    at = EqualityDeleteTable.fresh(spark, ("volume", "frn"), ("checkpoint_usn", "feed_cursor"))
-    feed.apply_stream(changes, at, "deleted", fresh_path(spark, "stream"), floor="frn <> 0").awaitTermination()
-    return at.read()
-
-
-@_query(f"{ENTRIES_SQL} select path from e where not (path_l = 'c:' || {B} || 'corpus' or starts_with(path_l, 'c:' || {B} || 'corpus' || {B}))")
-def w_cascade(spark, sf_dir):
-    """What is left when a folder goes with everything below it."""
-    gone = spark.createDataFrame([("C:", "c:\\corpus")], "volume string, path_l string")
-    return feed.cascade(entries(spark, sf_dir), gone).select("path")
-
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    + " select term, cast(damerau_levenshtein(term, 'jurnal') as int) as distance, count(distinct path) as df from w where damerau_levenshtein(term, 'jurnal') = 1 group by all"
+)
+def f_corrected_words(spark, sf_dir):
+    return content.corrected(entries(spark, sf_dir), "jurnal", words(spark, sf_dir)).select("term", "distance", "df")
+
+
+@_query(
+    f"{ENTRIES_SQL}, {_FOLDER_BYTES} select volume, path, cast(sum(size) as bigint) as bytes, count(*) as files, min(name_l) as first_name from up group by 1, 2"
+)
+def r_folder_bytes(spark, sf_dir):
+    return rollup.folder_bytes(entries(spark, sf_dir))
+
+
+@_query(f"{ENTRIES_SQL}, {_FOLDER_BYTES} select path, size from sized")
+def r_effective_sizes(spark, sf_dir):
+    return rollup.with_sizes(entries(spark, sf_dir)).select("path", "size")
+
+
+@_query(f"""{ENTRIES_SQL}, w as (select path, unnest(regexp_extract_all(lower(text), '[a-z0-9_\u0080-\uffff]+')) as term from e where text is not null), n as (select term, path, count(*) as n from w group by 1, 2)
+select term, cast(sum(n) as bigint) as tf, count(*) as df from n group by term""")
+def r_vocabulary(spark, sf_dir):
+    return content.vocabulary(entries(spark, sf_dir))
+
+
+@_query(
+    f"""{ENTRIES_SQL}, g as (select distinct path, substring(name_l, i, 3) as gram from (select path, name_l, unnest(range(1, length(name_l) - 1)) as i from e where length(name_l) >= 3)) select gram, count(*) as n_rows from g group by gram"""
+)
+def r_gram_counts(spark, sf_dir):
+    return rollup.gram_counts(entries(spark, sf_dir).select("path", "name").distinct(), "path", "name")
+
+
+@_query(
+    f"{ENTRIES_SQL}, d as (select sha256(text) as digest, octet_length(encode(text)) as b, count(*) as files from e where text is not null group by 1, 2) select digest, files, cast(b * (files - 1) as bigint) as bytes from d where files > 1"
+)
+def r_duplicates(spark, sf_dir):
+    return rollup.duplicates(entries(spark, sf_dir))
+
+
+@_query(
+    f"{ENTRIES_SQL}, k as (select path, sha256(text) as digest from e where text is not null), f as (select digest, min(path) as first_path from k group by 1) select path, first_path from k join f using (digest) where path <> first_path"
+)
+def r_copies(spark, sf_dir):
+    return rollup.aliases(entries(spark, sf_dir))
+
+
+@_query(
+    f"{ENTRIES_SQL} select volume, count(*) as n_entries, count(distinct name) as n_names, cast(sum(length(name)) as bigint) as name_chars, cast(sum(is_dir::int) as bigint) as n_folders from e group by volume"
+)
+def r_statistics(spark, sf_dir):
+    return rollup.statistics(entries(spark, sf_dir))
+
+
+@_query()
+def r_latencies(spark, sf_dir):
+    return rollup.latencies(table(spark, sf_dir, "events"), "value")
+
+
+_TALLY = f"when ext_l in ({', '.join(map(repr, admission.BINARY))}) then 'binary'"
+
+
+@_query(f"""{ENTRIES_SQL}, r as (select size, case {_TALLY} when name_l in ({', '.join(map(repr, admission.LOCKFILES))}) then 'lockfile' when ext_l in ('json', 'jsonc', 'json5') and size >= {admission.LARGE_JSON} then 'large_json'
+ when contains(name_l, '.min.') or contains(name_l, '-min.') or contains(name_l, '.bundle.') or contains(name_l, '.chunk.') or contains(name_l, '.minified.') then 'minified'
+ when list_has_any(string_split(path_l, {B})[:-2], [{', '.join(map(repr, admission.BUILD))}]) then 'build_output' when list_has_any(string_split(path_l, {B})[:-2], [{', '.join(map(repr, admission.DEPENDENCIES))}]) then 'dependency'
+ when list_has_any(string_split(path_l, {B})[:-2], [{', '.join(map(repr, admission.CACHES))}]) then 'cache' else 'admitted' end as reason from e where not is_dir) select reason, count(*) as files, cast(sum(size) as bigint) as bytes from r group by reason""")
+def a_admission(spark, sf_dir):
+    """Files and bytes per reason for which a text isn't indexed."""
+    return admission.tally(entries(spark, sf_dir), admission.reason())
+
+
+@_query("select user_id, query_norm, path, max(pick_count) as pick_count from query_picks group by all having max(pick_count) >= 3")
+def u_habits(spark, sf_dir):
+    return ranking.habits(table(spark, sf_dir, "query_picks"))
+
+
+@_query(
+    "select user_id, path, max(last_open_unix) as last_open_unix from file_signals where last_open_unix is not null group by all order by 3 desc, path, user_id limit 50"
+)
+def u_recent(spark, sf_dir):
+    return ranking.recent(table(spark, sf_dir, "file_signals"), 50)
+
+
+@_query("""with o as (select user_id, path, max(opens) as opens, max(score) as score, max(last_open_unix) as last_open_unix from file_signals group by all)
+select * from (select *, cast(row_number() over (partition by user_id order by score desc nulls last, last_open_unix desc nulls last, path) as int) as place from o) where place <= 5000""")
+def u_compacted(spark, sf_dir):
+    return ranking.compact(table(spark, sf_dir, "file_signals"))
+
+
+@_query(
+    "select user_id, path, count(*) as opens, round(sum(pow(0.5, greatest(0, (1782800000 - coalesce(last_open_unix, 1782800000)) / 86400.0) / 30.0)), 9) as score, max(last_open_unix) as last_open from file_signals where path is not null group by all"
+)
+def u_frecency(spark, sf_dir):
+    opens = table(spark, sf_dir, "file_signals").withColumn("opened", F.col("last_open_unix"))
+    return ranking.frecency(opens, F.lit(1_782_800_000)).withColumn("score", F.round("score", 9)).withColumn("last_open", F.col("last_open"))
+
+
+@_query("""with r as (select distinct path from file_signals where user_id = 'user-000' and path <> ''), n as (select path, lower(string_split(path, chr(92))[-1]) as name_l from r),
+p as (select path, name_l, row_number() over (order by name_l, lower(path), path) as position from n where contains(name_l, 'raven') or contains(strip_accents(name_l), 'raven') qualify position <= 100),
+f as (select path, max(score) as frecency from file_signals where user_id = 'user-000' group by 1),
+h as (select path from query_picks where user_id = 'user-000' and query_norm = 'raven' group by 1 having max(pick_count) >= 3),
+j as (select p.*, h.path is not null as habit, frecency, case when name_l = 'raven' then '0' when starts_with(name_l, 'raven') then '1' when contains(name_l, 'raven') then '2' else '3' end as band from p left join f using (path) left join h on h.path = p.path)
+select path, cast(position as int) as position, cast(case when bool_or(habit or frecency is not null) over () then row_number() over (order by band, habit desc, coalesce(frecency, 0) desc, path) else position end as int) as place from j""")
+def u_blended(spark, sf_dir):
+    """A page of one person's query in the order of their signals."""
+    from pyspark.sql import Window
+
+    signals, picks = table(spark, sf_dir, "file_signals"), table(spark, sf_dir, "query_picks")
+    rows = enriched(
+        signals.where("user_id = 'user-000'")
+            .select(
+                F.substring("path", 1, 2).alias("volume"), F.lit(None).cast("long").alias("frn"), "path", F.lit(32).cast("long").alias("mode"),
+                F.lit(0).cast("long").alias("size"), F.lit(0).cast("long").alias("mod_ns"), F.lit("signals").alias("source"),
+                F.lit(None).cast("string").alias("text")
+            )
+            .distinct()
+    )
+    page = search.search(rows, "raven", AT)
+    q = parse("raven", AT)
+    ordered = page.withColumn("position", F.row_number().over(Window.orderBy(*search.order(q))))
+    return ranking.blend(ordered, q, "raven", "user-000", signals, picks).select("path", "position", "place")
+
+
+def _with_git(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths of search results with every state that any result reports of them."""
+    states = ("modified", "staged", "untracked", "ignored", "conflict", "clean", "tracked")
+    rows = table(spark, sf_dir, "search_results").where("path is not null").withColumn("path", F.translate("path", "/", "\\"))
+    once = (
+        rows.groupBy("path")
+            .agg(
+                F.min("volume").alias("volume"), F.max("size").alias("size"), F.max("is_dir").alias("is_dir"),
+                *[F.max(F.col("git_status") == c).alias(c) for c in states]
+            )
+    )
+    shaped = enriched(
+        once.select(
+            "volume", F.lit(None).cast("long").alias("frn"), "path", F.when(F.col("is_dir"), 16).otherwise(32).cast("long").alias("mode"), "size",
+            F.lit(0).cast("long").alias("mod_ns"), F.lit("results").alias("source"), F.lit(None).cast("string").alias("text")
+        )
+    )
+    return shaped.join(once.select("path", F.struct(*states).alias("git")), "path")
+
+
+@_query(
+    """select replace(path, '/', chr(92)) as path from search_results where path is not null and path <> '' group by 1 having bool_or(git_status in ('modified', 'untracked'))"""
+)
+def q_git(spark, sf_dir):
+    """Files in one of several states of version control; a path that is reported in several states has all of them."""
+    return search.matching(_with_git(spark, sf_dir), parse("git:modified git:untracked", AT)).select("path")
+
+
+@_query("""with p as (select replace(path, '/', chr(92)) as path, list(git_status) filter (git_status is not null) as s from search_results where path is not null and path <> '' group by 1)
+select path, list_filter(['conflict', 'modified', 'staged', 'ignored', 'untracked', 'clean', 'tracked'], lambda x: list_contains(s, x))[1] as git_status from p""")
+def o_git_status(spark, sf_dir):
+    """The most telling state of every path."""
+    return search.results(_with_git(spark, sf_dir)).select("path", "git_status")
+
+
+_APRIL = "received_at < timestamp '2026-04-01 00:00:00Z'"
+_ORDER = ["checkpoint_usn", "feed_cursor"]
+
+
+def _changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "feature_feed").withColumnRenamed("mod_unix", "mod_ns")
+
+
+def _state_sql(name: str, condition: str) -> str:
+    return f"{name} as (select volume, frn, path, size, mod_unix as mod_ns from (select *, row_number() over (partition by volume, frn order by checkpoint_usn desc, feed_cursor desc) as rn from feature_feed where frn <> 0 and volume is not null and {condition}) where rn = 1 and not coalesce(deleted, false) and path is not null)"
+
+
+@_query(f"""with {_state_sql('a', "received_at < timestamptz '2026-04-01 00:00:00+00'")}, {_state_sql('b', 'true')},
+f as (select a.path as ap, a.size as asize, a.mod_ns as am, b.path as bp, b.size as bsize, b.mod_ns as bm, a.frn is null as come, b.frn is null as gone from a full join b on a.volume = b.volume and a.frn = b.frn)
+select 'created' as event, bp as path, bsize as size, bm as mod_ns from f where come or (not gone and ap <> bp) union all select 'deleted', ap, asize, am from f where gone or (not come and ap <> bp)
+union all select 'modified', bp, bsize, bm from f where not come and not gone and ap = bp and (asize is distinct from bsize or am is distinct from bm)""")
+def w_watch(spark, sf_dir):
+    """Events between the state at the beginning of April and the last."""
+    return feed.watch_feed(_changes(spark, sf_dir), _ORDER, _APRIL)
+
+
+@_query("""with l as (select * from (select *, row_number() over (partition by volume, frn order by checkpoint_usn desc, feed_cursor desc) as rn from feature_feed where frn is not null and frn <> 0 and volume is not null) where rn = 1 and not coalesce(deleted, false))
+select volume, frn, checkpoint_usn, feed_cursor from l""")
+def w_stream(spark, sf_dir):
+    """The feed applied as a stream of files; the state after the last batch."""
+    source = f"{sf_dir}/feature_feed.parquet"
+    changes = feed.file_stream(spark, f"{source}*", spark.read.parquet(source).schema)
+    at = EqualityDeleteTable.fresh(spark, ("volume", "frn"), ("checkpoint_usn", "feed_cursor"))
+    feed.apply_stream(changes, at, "deleted", fresh_path(spark, "stream"), floor="frn <> 0").awaitTermination()
+    return at.read()
+
+
+@_query(f"{ENTRIES_SQL} select path from e where not (path_l = 'c:' || {B} || 'corpus' or starts_with(path_l, 'c:' || {B} || 'corpus' || {B}))")
+def w_cascade(spark, sf_dir):
+    """What is left when a folder goes with everything below it."""
+    gone = spark.createDataFrame([("C:", "c:\\corpus")], "volume string, path_l string")
+    return feed.cascade(entries(spark, sf_dir), gone).select("path")
+
 
 @_query(f"""with {_state_sql('a', "received_at < timestamptz '2026-04-01 00:00:00+00'")}, c as (select * from (select *, row_number() over (partition by volume, frn order by checkpoint_usn desc, feed_cursor desc) as rn from feature_feed where frn <> 0 and volume is not null and received_at >= timestamptz '2026-04-01 00:00:00+00') where rn = 1)
 select volume, frn, path from a where not exists (select 1 from c where c.volume = a.volume and c.frn = a.frn) union all select volume, frn, path from c where not coalesce(deleted, false)""")
@@ -6514,6 +8506,1002 @@ SQL["r_latencies"] = (
     
     
     
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
+    
     
     
     
@@ -6717,7 +9705,9 @@ def r_hops(spark, sf_dir):
     return entries(spark, sf_dir).select("path", ranking.hops(F.col("path"), "C:\\corpus\\wiki-amber").alias("hops"))
 
 
-@_query(f"{ENTRIES_SQL} select path, case when name_l = 'quarry' then '0' when starts_with(name_l, 'quarry') then '1' when contains(name_l, 'quarry') then '2' else '3' end as band from e")
+@_query(
+    f"{ENTRIES_SQL} select path, case when name_l = 'quarry' then '0' when starts_with(name_l, 'quarry') then '1' when contains(name_l, 'quarry') then '2' else '3' end as band from e"
+)
 def r_bands(spark, sf_dir):
     """The stretches of a page inside which signals may reorder."""
     return entries(spark, sf_dir).select("path", ranking.band(parse("quarry", AT)).alias("band"))

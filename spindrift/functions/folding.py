@@ -23,13 +23,19 @@ def marks() -> tuple[str, str]:
     return "".join(old), "".join(new)
 
 
+def plain(text: Column) -> Column:
+    """Whether a text is ASCII throughout, so that there are no marks or wide letters to fold."""
+    return F.octet_length(text) == F.length(text)
+
+
 def words_only(text: Column) -> Column:
     """Lower-case words with one space between them; marks and everything but letters and digits are dropped.
 
     Null stays null; a text without words becomes empty.
     """
     old, new = marks()
-    bare = F.translate(F.lower(F.regexp_replace(text, r"\p{M}+", "")), old, new)
+    marked = F.translate(F.lower(F.regexp_replace(text, r"\p{M}+", "")), old, new)
+    bare = F.when(plain(text), F.lower(text)).otherwise(marked)
     return F.trim(F.regexp_replace(bare, r"[^\p{L}\p{N}]+", " "))
 
 
@@ -44,4 +50,4 @@ def folded(text: Column) -> Column:
     old, new = marks()
     wide = "".join(chr(i) for i in range(0xFF01, 0xFF5F))
     narrow = "".join(chr(i - 0xFEE0) for i in range(0xFF01, 0xFF5F))
-    return F.lower(F.translate(F.regexp_replace(text, r"\p{M}+", ""), old + wide, new + narrow))
+    return F.lower(F.when(plain(text), text).otherwise(F.translate(F.regexp_replace(text, r"\p{M}+", ""), old + wide, new + narrow)))
