@@ -25,7 +25,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spindrift.functions.folding import marks, words_only
+from spindrift.functions.folding import marks, plain, words_only
 from spindrift.llm.wu_manber import Patterns
 from spindrift.session import written
 
@@ -256,7 +256,9 @@ def sentence_lines(text: Column) -> Column:
     """
     old, new = marks()
     apart = "…\"“”„«»()[]。！？「」『』"
-    bare = F.translate(F.lower(F.regexp_replace(text, r"\p{M}+", "")), old + apart, new + "\n" * len(apart))
+    marked = F.translate(F.lower(F.regexp_replace(text, r"\p{M}+", "")), old + apart, new + "\n" * len(apart))
+    few = "".join(c for c in apart if c.isascii())
+    bare = F.when(plain(text), F.translate(F.lower(text), few, "\n" * len(few))).otherwise(marked)
     words = F.regexp_replace(F.regexp_replace(bare, r"[.!?:;](?![\p{L}\p{N}])", "\n"), r"[^\p{L}\p{N}\n]+", " ")
     return F.concat(F.lit("\n"), F.trim(F.regexp_replace(words, r" ?\n[ \n]*+", "\n"), F.lit(" \n")), F.lit("\n"))
 
@@ -328,17 +330,18 @@ def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
     so the tables sent to the tasks don't grow with the items; with more than one block, texts are folded once and kept.
     """
     spark = documents.sparkSession
-    texts = (
-        documents.where("doc_id is not null and text is not null")
-            .select("doc_id", sentence_lines(F.col("text")).alias("t"))
-            .withColumn("text", F.xxhash64("t"))
-    )
     blocks = _item_blocks(items)
     block, found, holders = next(blocks, None), [], []
     while block is not None:
         following = next(blocks, None)
-        if following is not None and not found:
-            texts, _ = written(texts, "folded")
+        if not found:
+            # where sentences end matters to sentences that are searched whole only
+            lined = following is not None or any(block.brief)
+            words = sentence_lines(F.col("text")) if lined else F.concat(F.lit("\n"), words_only(F.col("text")), F.lit("\n"))
+            texts = documents.where("doc_id is not null and text is not null").select("doc_id", words.alias("t"))
+            texts = texts.withColumn("text", F.xxhash64(F.translate("t", "\n", " ")))
+            if following is not None:
+                texts, _ = written(texts, "folded")
         found.append(written(_found(texts, block), "leaks")[0])
         holders.append(
             spark.createDataFrame(

@@ -4,6 +4,9 @@ import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
+from spindrift.functions.folding import words_only
 from spindrift.llm import leakage
 from spindrift.llm.wu_manber import Patterns
 
@@ -147,3 +150,10 @@ def test_a_run_in_a_script_of_wide_characters(spark):
     text = "索引は夜の間に静かに作られ古い記録は別の棚に移され利用者は朝になると新しい結果をすぐに見ることができる"
     docs = ["前置き" + text[5:40] + "後書き", "前置き" + text[5:15] + "後書き"]
     assert _pairs(spark, docs, [(0, text + "。")]) == {(0, 0)}
+
+
+def test_folding_with_and_without_lines_holds_the_same_words(spark):
+    texts = ["One two. Three\n\n“four” (five)", "…", "", "a.b c-d!e", "ÉCOLE naïve ＡＢ", "検索。索引", "-" * 50 + "x", " . \n . "]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = rows.select(leakage.sentence_lines(F.col("t")).alias("l"), words_only(F.col("t")).alias("w")).collect()
+    assert all(r["l"].replace("\n", " ").strip() == r["w"] and r["l"].startswith("\n") and r["l"].endswith("\n") for r in got)
