@@ -178,6 +178,7 @@ def results(rows: DataFrame, q: Query | None = None) -> DataFrame:
     columns = ["path", "name", "volume", "is_dir", "size", modified.alias("modified"), F.col("source").alias("index_source")]
     if q is not None and "text" in rows.columns:
         columns.append(content.snippet(q, smart_case(q)).alias("snippet"))
+    columns += ["exists"] if "exists" in rows.columns else []
     if "git" in rows.columns:
         columns.append(git_status().alias("git_status"))
     return rows.select(*columns)

@@ -47,6 +47,11 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return job.read().select("volume", "frn")
 
 
+def p4_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each volume's open run takes up: from a change number, by comparison, or with everything (``all``: nothing done yet, or a new journal)."""
+    return incremental.offsets(table(spark, sf_dir, "index_runs")).select("volume", "open_run", "mode", "from_usn", "journal_id")
+
+
 def p4_two_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sink after two batches: one as of the last successful run of every volume, and one of the open run."""
     prints, runs = table(spark, sf_dir, "file_prints"), table(spark, sf_dir, "index_runs")
@@ -90,7 +95,7 @@ def p7_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    f.__name__: f for f in (p2_found, p2_report, p4_found, p4_two_batches, p6_found, p6_files, p7_found, p7_tree, p7_intervals, p7_descendants)
+    f.__name__: f for f in (p2_found, p2_report, p4_found, p4_plan, p4_two_batches, p6_found, p6_files, p7_found, p7_tree, p7_intervals, p7_descendants)
 }
 
 _ORPHANS = """
@@ -141,6 +146,9 @@ SQL = {
     "p2_found": _ORPHANS + "select table_name, scan_month, row_id from o",
     "p2_report": _ORPHANS + "select table_name, scan_month, count(*) as n_orphans from o group by 1, 2",
     "p4_found": f"{_changed(_OPEN, _OK)} select volume, frn from c",
+    "p4_plan": f"""with o as ({_OPEN}), l as (select * from (select *, row_number() over (partition by volume order by built_at desc, run_id desc) as rn from ({_OK})) where rn = 1)
+select o.volume, o.run_id as open_run, case when o.source = 'walk' then 'compare' when l.run_id is null or l.journal_id is distinct from o.journal_id or l.checkpoint_usn is null then 'all' else 'journal' end as mode, l.checkpoint_usn as from_usn, o.journal_id
+from o left join l on l.volume = o.volume""",
     "p4_two_batches": f"""with a as ({_changed(_LAST_AS_OPEN, _OK_BEFORE_LAST)} select *, 0 as batch from c), b as ({_changed(_OPEN, _OK)} select *, 1 as batch from c)
 select volume, frn, journal_id, usn, print_size, print_mod, cast(batch as bigint) as batch from (select *, row_number() over (partition by volume, frn order by built_at desc, usn desc nulls last, seen_at desc, batch desc) as rn from (select * from a union all select * from b)) where rn = 1""",
     "p6_found": _LATEST + "select volume, frn, checkpoint_usn, feed_cursor from l",
