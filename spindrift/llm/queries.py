@@ -64,10 +64,12 @@ QUERIES = {
 }
 
 _COUNTS = """
-with d as (select posting_kind, shard, term, doc_id, arg_max(coalesce(tf, entry_count, gram_count), received_at) as n from posting_counts where posting_kind is not null and term is not null group by all),
+with d as (select posting_kind, shard, term, doc_id, arg_max(coalesce(tf, entry_count, gram_count), received_at) as n from posting_counts
+ where posting_kind is not null and term is not null group by all),
 t as (select posting_kind, sum(t) as total from (select posting_kind, shard, max(shard_total) as t from posting_counts group by all) group by 1),
 c as (select posting_kind, term, cast(sum(n) as bigint) as occurrences, cast(case when posting_kind = 'doc_tf' then count(distinct doc_id) else sum(n) end as bigint) as records from d where n > 0 group by 1, 2),
-m as (select c.posting_kind, term, occurrences, records, case when records < 3 then 'rare' when records > total * 0.1 then 'common' end as mark from c join t using (posting_kind))
+m as (select c.posting_kind, term, occurrences, records, case when records < 3 then 'rare' when records > total * 0.1 then 'common' end as mark
+ from c join t using (posting_kind))
 """
 SQL = {
     "p1_counts": _COUNTS + "select posting_kind, term, occurrences, records, mark from m",
