@@ -56,7 +56,8 @@ MATCHES: dict[str, tuple[str, str, Settings]] = {
     "q_equals": ("'doc_1002955.md", "(name_l = 'doc_1002955.md' or name_f = 'doc_1002955.md')", AT),
     "q_starts": ("^quarry", "(starts_with(name_l, 'quarry') or starts_with(name_f, 'quarry'))", AT),
     "q_ends": (".rtf$", "(suffix(name_l, '.rtf') or suffix(name_f, '.rtf'))", AT),
-    "q_starts_and_ends": ("^quarry md$", "(starts_with(name_l, 'quarry') or starts_with(name_f, 'quarry')) and (suffix(name_l, 'md') or suffix(name_f, 'md'))", AT),
+    "q_starts_and_ends": ("^quarry md$", "(starts_with(name_l, 'quarry') or starts_with(name_f, 'quarry')) and (suffix(name_l, 'md') "
+        "or suffix(name_f, 'md'))", AT),
     "q_or": ("quarry|ember", f"({_both('quarry')} or {_both('ember')})", AT),
     "q_or_mixed": ("ext:md|quarry", f"(ext_l = 'md' or {_both('quarry')})", AT),
     "q_not": ("quarry !ext:md", f"{_both('quarry')} and not ext_l = 'md'", AT),
@@ -70,10 +71,13 @@ MATCHES: dict[str, tuple[str, str, Settings]] = {
     "q_dir": ("dir:vendor", _either("path", "vendor"), AT),
     "q_parent": ("parent:vendor", "parent_l = 'vendor'", AT),
     "q_in": (r"in:C:\corpus", f"(path_l = 'c:' || {B} || 'corpus' or starts_with(path_l, 'c:' || {B} || 'corpus' || {B}))", AT),
-    "q_in_nested": (r"in:C:\corpus in:C:\corpus\wiki-amber", f"(path_l = 'c:' || {B} || 'corpus' || {B} || 'wiki-amber' or starts_with(path_l, 'c:' || {B} || 'corpus' || {B} || 'wiki-amber' || {B}))", AT),
+    "q_in_nested": (r"in:C:\corpus in:C:\corpus\wiki-amber", f"(path_l = 'c:' || {B} || 'corpus' || {B} || 'wiki-amber' "
+        f"or starts_with(path_l, 'c:' || {B} || 'corpus' || {B} || 'wiki-amber' || {B}))", AT),
     "q_in_apart": (r"in:C:\corpus in:D:\corpus", "false", AT),
-    "q_not_in": (r"!in:C:\corpus ext:md", f"not (path_l = 'c:' || {B} || 'corpus' or starts_with(path_l, 'c:' || {B} || 'corpus' || {B})) and ext_l = 'md'", AT),
-    "q_under": ("ext:md", f"(path_l = 'd:' || {B} || 'corpus' or starts_with(path_l, 'd:' || {B} || 'corpus' || {B})) and ext_l = 'md'", Settings(now=NOW, under="D:\\corpus")),
+    "q_not_in": (r"!in:C:\corpus ext:md", f"not (path_l = 'c:' || {B} || 'corpus' or starts_with(path_l, 'c:' || {B} || 'corpus' || {B})) "
+        f"and ext_l = 'md'", AT),
+    "q_under": ("ext:md", f"(path_l = 'd:' || {B} || 'corpus' or starts_with(path_l, 'd:' || {B} || 'corpus' || {B})) "
+        f"and ext_l = 'md'", Settings(now=NOW, under="D:\\corpus")),
     "q_glob": ("glob:q*_[0-9]*.??", "regexp_full_match(name_l, 'q[^/]*_[0-9][^/]*\\.[^/][^/]')", AT),
     "q_glob_bare": ("*amber*.md", "regexp_full_match(name_l, '.*amber.*\\.md')", AT),
     "q_braces": ("*.{md,csv}", "ext_l in ('md', 'csv')", AT),
@@ -96,16 +100,19 @@ MATCHES: dict[str, tuple[str, str, Settings]] = {
     "q_volume": ("C: quarry", f"volume = 'C:' and {_both('quarry')}", AT),
     "q_aliases": (aliases("folder: pathpart:vendor"), f"is_dir and {_either('path', 'vendor')}", AT),
     "q_content": ("content:journal", "(contains(lower(text), 'journal') or contains(strip_accents(lower(text)), 'journal'))", AT),
-    "q_content_phrase": ('content:"posting list"', "(contains(lower(text), 'posting list') or contains(strip_accents(lower(text)), 'posting list'))", AT),
+    "q_content_phrase": ('content:"posting list"', "(contains(lower(text), 'posting list') "
+        "or contains(strip_accents(lower(text)), 'posting list'))", AT),
     "q_content_plain_needle": ("content:ubersicht", "(contains(lower(text), 'ubersicht') or contains(strip_accents(lower(text)), 'ubersicht'))", AT),
     "q_content_accents": ("content:übersicht", "(contains(lower(text), 'übersicht') or contains(lower(text), 'u' || chr(776) || 'bersicht'))", AT),
     "q_content_smart_case": ("content:Journal", "contains(text, 'Journal')", AT),
     "q_content_regex": (r"content:/build \d+,/", "regexp_matches(text, '(?i)build \\d+,')", AT),
     "q_content_regex_lines": (r"content:/^limit = \d+$/", "regexp_matches(text, '(?im)^limit = \\d+$')", AT),
-    "q_content_not": ("!content:journal ext:md", "not coalesce(contains(lower(text), 'journal') or contains(strip_accents(lower(text)), 'journal'), false) and ext_l = 'md'", AT),
+    "q_content_not": ("!content:journal ext:md", "not coalesce(contains(lower(text), 'journal') "
+        "or contains(strip_accents(lower(text)), 'journal'), false) and ext_l = 'md'", AT),
     "q_content_joint": (
         "ext:md content:journal|quarry",
-        f"ext_l = 'md' and (coalesce(contains(lower(text), 'journal') or contains(strip_accents(lower(text)), 'journal'), false) or {_both('quarry')})",
+        f"ext_l = 'md' and (coalesce(contains(lower(text), 'journal') or contains(strip_accents(lower(text)), 'journal'), false) "
+            f"or {_both('quarry')})",
         AT
     )
 }
@@ -113,8 +120,11 @@ MATCHES: dict[str, tuple[str, str, Settings]] = {
 
 _WORDS_SQL = f"{ENTRIES_SQL}, w as (select path, unnest(regexp_extract_all(lower(text), '[a-z0-9_\u0080-\uffff]+')) as term from e where text is not null)"
 #: Names within one edit of a word of some letters.
-_CLOSE = ENTRIES_SQL.replace("{", "{{").replace("}", "}}") + """, n as (select distinct name_f from e), i as (select name_f, unnest(range(0, greatest(length(name_f) - {1} + 2, 0))) as i from n), l as (select name_f, i, unnest([{1} - 1, {1}, {1} + 1]) as l from i),
-d as (select name_f, i, damerau_levenshtein(substring(name_f, i + 1, l), '{0}') as d from l where i + l <= length(name_f)), b as (select name_f, min(d) as dist from d where d <= 1 group by 1),
+_CLOSE = ENTRIES_SQL.replace("{", "{{").replace("}", "}}") + """, n as (select distinct name_f from e),
+ i as (select name_f, unnest(range(0, greatest(length(name_f) - {1} + 2, 0))) as i from n),
+ l as (select name_f, i, unnest([{1} - 1, {1}, {1} + 1]) as l from i),
+d as (select name_f, i, damerau_levenshtein(substring(name_f, i + 1, l), '{0}') as d from l where i + l <= length(name_f)),
+ b as (select name_f, min(d) as dist from d where d <= 1 group by 1),
 a as (select b.name_f, dist, min(i) as "at" from b join d on d.name_f = b.name_f and d.d = b.dist group by all)"""
 
 
@@ -202,7 +212,8 @@ def o_json(spark, sf_dir):
     return search.as_json(o_results(spark, sf_dir))
 
 
-@_query(f"""{ENTRIES_SQL}, m as (select path, text, strpos(lower(text), 'journal') as p from e where contains(lower(text), 'journal')), s as (select path, text, greatest(1, p - 60) as b from m)
+@_query(f"""{ENTRIES_SQL}, m as (select path, text, strpos(lower(text), 'journal') as p from e where contains(lower(text), 'journal')),
+ s as (select path, text, greatest(1, p - 60) as b from m)
 select path, case when b > 1 then '...' else '' end || translate(substring(text, b, 200), chr(13) || chr(10) || chr(9), '   ') || case when b + 199 < length(text) then '...' else '' end as snippet from s""")
 def o_snippets(spark, sf_dir):
     q = parse("content:journal", AT)
@@ -210,7 +221,8 @@ def o_snippets(spark, sf_dir):
 
 
 @_query(f"""{ENTRIES_SQL}, l as (select path, unnest(range(1, len(string_split(text, chr(10))) + 1)) as line, unnest(string_split(text, chr(10))) as text from e where contains(lower(text), 'journal') or contains(strip_accents(lower(text)), 'journal')),
-m as (select *, contains(lower(text), 'journal') or contains(strip_accents(lower(text)), 'journal') as match from l), n as (select *, max(match::int) over (partition by path order by line rows between 1 preceding and 1 following) as near from m)
+m as (select *, contains(lower(text), 'journal') or contains(strip_accents(lower(text)), 'journal') as match from l),
+ n as (select *, max(match::int) over (partition by path order by line rows between 1 preceding and 1 following) as near from m)
 select path, cast(line as int) as line, match from n where near = 1""")
 def o_lines(spark, sf_dir):
     """Matching lines with one line before and after."""
@@ -218,7 +230,9 @@ def o_lines(spark, sf_dir):
     return content.lines(search.matching(entries(spark, sf_dir), q), q, before=1, after=1).select("path", "line", "match")
 
 
-@_query(f"""{ENTRIES_SQL}, m as (select *, strpos(lower(text), 'journal') as a, strpos(lower(text), 'index') as b from e where (contains(lower(text), 'journal') or contains(strip_accents(lower(text)), 'journal')) and (contains(lower(text), 'index') or contains(strip_accents(lower(text)), 'index')))
+@_query(f"""{ENTRIES_SQL}, m as (select *, strpos(lower(text), 'journal') as a, strpos(lower(text), 'index') as b from e
+ where (contains(lower(text), 'journal') or contains(strip_accents(lower(text)), 'journal')) and (contains(lower(text), 'index')
+ or contains(strip_accents(lower(text)), 'index')))
 select path, 2 as relevance, 2 as tier, cast(coalesce(least(nullif(a, 0), nullif(b, 0)), 1073741824) as int) as first_at from m order by first_at, {_NAME_ORDER} limit 100""")
 def o_relevance(spark, sf_dir):
     return search.search(entries(spark, sf_dir), "content:journal content:index sort:relevance", AT).select("path", "relevance", "tier", "first_at")
@@ -226,7 +240,8 @@ def o_relevance(spark, sf_dir):
 
 #: A definition of a name, and a line that only uses it, per language.
 _CODE = {
-    "go": ("func (s *T) {0}(x int) {{", "\t{0}()"), "h": ("class {0} : public Base {{", "class {0};"), "py": ("    async def {0}(self):", "# def {0}()"),
+    "go": ("func (s *T) {0}(x int) {{", "\t{0}()"), "h": ("class {0} : public Base {{", "class {0};"), "py": ("    async def {0}(self):", "# def "
+        "{0}()"),
     "ts": ("  {0}(a: number): void {{", "const x = new {0}();"), "rs": ("pub fn {0}() {{}}", "let y = {0}();"),
     "java": ("  public static int {0}(int x) {{ return x; }}", "  int {0}(int x);")
 }
@@ -271,2993 +286,8 @@ def f_near_content(spark, sf_dir):
 
 @_query(
     _CLOSE.format("quarri", 6)
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    + """ select e.path, cast(dist as int) as dist, cast(levenshtein(a.name_f, 'quarri') as int) as whole, cast("at" as int) as "at" from e join a on a.name_f = e.name_f"""
+    + """ select e.path, cast(dist as int) as dist, cast(levenshtein(a.name_f, 'quarri') as int) as whole, cast("at" as int) as "at" from e
+ join a on a.name_f = e.name_f"""
 )
 def f_close_names(spark, sf_dir):
     """Names within the edits that the term may need."""
@@ -3288,3000 +318,16 @@ def f_count_respelt(spark, sf_dir):
 
 @_query(
     _WORDS_SQL
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    + " select term, cast(damerau_levenshtein(term, 'jurnal') as int) as distance, count(distinct path) as df from w where damerau_levenshtein(term, 'jurnal') = 1 group by all"
+    + " select term, cast(damerau_levenshtein(term, 'jurnal') as int) as distance, count(distinct path) as df from w "
+        "where damerau_levenshtein(term, 'jurnal') = 1 group by all"
 )
 def f_corrected_words(spark, sf_dir):
     return content.corrected(entries(spark, sf_dir), "jurnal", words(spark, sf_dir)).select("term", "distance", "df")
 
 
 @_query(
-    f"{ENTRIES_SQL}, {_FOLDER_BYTES} select volume, path, cast(sum(size) as bigint) as bytes, count(*) as files, min(name_l) as first_name from up group by 1, 2"
+    f"{ENTRIES_SQL}, {_FOLDER_BYTES} select volume, path, cast(sum(size) as bigint) as bytes, count(*) as files, min(name_l) as first_name from up "
+        f"group by 1, 2"
 )
 def r_folder_bytes(spark, sf_dir):
     return rollup.folder_bytes(entries(spark, sf_dir))
@@ -6292,35 +338,41 @@ def r_effective_sizes(spark, sf_dir):
     return rollup.with_sizes(entries(spark, sf_dir)).select("path", "size")
 
 
-@_query(f"""{ENTRIES_SQL}, w as (select path, unnest(regexp_extract_all(lower(text), '[a-z0-9_\u0080-\uffff]+')) as term from e where text is not null), n as (select term, path, count(*) as n from w group by 1, 2)
+@_query(f"""{ENTRIES_SQL}, w as (select path, unnest(regexp_extract_all(lower(text), '[a-z0-9_\u0080-\uffff]+')) as term from e
+ where text is not null), n as (select term, path, count(*) as n from w group by 1, 2)
 select term, cast(sum(n) as bigint) as tf, count(*) as df from n group by term""")
 def r_vocabulary(spark, sf_dir):
     return content.vocabulary(entries(spark, sf_dir))
 
 
 @_query(
-    f"""{ENTRIES_SQL}, g as (select distinct path, substring(name_l, i, 3) as gram from (select path, name_l, unnest(range(1, length(name_l) - 1)) as i from e where length(name_l) >= 3)) select gram, count(*) as n_rows from g group by gram"""
+    f"""{ENTRIES_SQL}, g as (select distinct path, substring(name_l, i, 3) as gram
+ from (select path, name_l, unnest(range(1, length(name_l) - 1)) as i from e where length(name_l) >= 3)) select gram, count(*) as n_rows
+ from g group by gram"""
 )
 def r_gram_counts(spark, sf_dir):
     return rollup.gram_counts(entries(spark, sf_dir).select("path", "name").distinct(), "path", "name")
 
 
 @_query(
-    f"{ENTRIES_SQL}, d as (select sha256(text) as digest, octet_length(encode(text)) as b, count(*) as files from e where text is not null group by 1, 2) select digest, files, cast(b * (files - 1) as bigint) as bytes from d where files > 1"
+    f"{ENTRIES_SQL}, d as (select sha256(text) as digest, octet_length(encode(text)) as b, count(*) as files from e where text is not null "
+        f"group by 1, 2) select digest, files, cast(b * (files - 1) as bigint) as bytes from d where files > 1"
 )
 def r_duplicates(spark, sf_dir):
     return rollup.duplicates(entries(spark, sf_dir))
 
 
 @_query(
-    f"{ENTRIES_SQL}, k as (select path, sha256(text) as digest from e where text is not null), f as (select digest, min(path) as first_path from k group by 1) select path, first_path from k join f using (digest) where path <> first_path"
+    f"{ENTRIES_SQL}, k as (select path, sha256(text) as digest from e where text is not null), f as (select digest, min(path) as first_path from k "
+        f"group by 1) select path, first_path from k join f using (digest) where path <> first_path"
 )
 def r_copies(spark, sf_dir):
     return rollup.aliases(entries(spark, sf_dir))
 
 
 @_query(
-    f"{ENTRIES_SQL} select volume, count(*) as n_entries, count(distinct name) as n_names, cast(sum(length(name)) as bigint) as name_chars, cast(sum(is_dir::int) as bigint) as n_folders from e group by volume"
+    f"{ENTRIES_SQL} select volume, count(*) as n_entries, count(distinct name) as n_names, cast(sum(length(name)) as bigint) as name_chars, "
+        f"cast(sum(is_dir::int) as bigint) as n_folders from e group by volume"
 )
 def r_statistics(spark, sf_dir):
     return rollup.statistics(entries(spark, sf_dir))
@@ -6335,7 +387,8 @@ _TALLY = f"when ext_l in ({', '.join(map(repr, admission.BINARY))}) then 'binary
 
 
 @_query(f"""{ENTRIES_SQL}, r as (select size, case {_TALLY} when name_l in ({', '.join(map(repr, admission.LOCKFILES))}) then 'lockfile' when ext_l in ('json', 'jsonc', 'json5') and size >= {admission.LARGE_JSON} then 'large_json'
- when contains(name_l, '.min.') or contains(name_l, '-min.') or contains(name_l, '.bundle.') or contains(name_l, '.chunk.') or contains(name_l, '.minified.') then 'minified'
+ when contains(name_l, '.min.') or contains(name_l, '-min.') or contains(name_l, '.bundle.') or contains(name_l, '.chunk.')
+ or contains(name_l, '.minified.') then 'minified'
  when list_has_any(string_split(path_l, {B})[:-2], [{', '.join(map(repr, admission.BUILD))}]) then 'build_output' when list_has_any(string_split(path_l, {B})[:-2], [{', '.join(map(repr, admission.DEPENDENCIES))}]) then 'dependency'
  when list_has_any(string_split(path_l, {B})[:-2], [{', '.join(map(repr, admission.CACHES))}]) then 'cache' else 'admitted' end as reason from e where not is_dir) select reason, count(*) as files, cast(sum(size) as bigint) as bytes from r group by reason""")
 def a_admission(spark, sf_dir):
@@ -6349,7 +402,8 @@ def u_habits(spark, sf_dir):
 
 
 @_query(
-    "select user_id, path, max(last_open_unix) as last_open_unix from file_signals where last_open_unix is not null group by all order by 3 desc, path, user_id limit 50"
+    "select user_id, path, max(last_open_unix) as last_open_unix from file_signals where last_open_unix is not null group by all "
+        "order by 3 desc, path, user_id limit 50"
 )
 def u_recent(spark, sf_dir):
     return ranking.recent(table(spark, sf_dir, "file_signals"), 50)
@@ -6362,15 +416,18 @@ def u_compacted(spark, sf_dir):
 
 
 @_query(
-    "select user_id, path, count(*) as opens, round(sum(pow(0.5, greatest(0, (1782800000 - coalesce(last_open_unix, 1782800000)) / 86400.0) / 30.0)), 9) as score, max(last_open_unix) as last_open from file_signals where path is not null group by all"
+    "select user_id, path, count(*) as opens, round(sum(pow(0.5, greatest(0, (1782800000 - coalesce(last_open_unix, 1782800000)) / 86400.0) / "
+        "30.0)), 9) as score, max(last_open_unix) as last_open from file_signals where path is not null group by all"
 )
 def u_frecency(spark, sf_dir):
     opens = table(spark, sf_dir, "file_signals").withColumn("opened", F.col("last_open_unix"))
     return ranking.frecency(opens, F.lit(1_782_800_000)).withColumn("score", F.round("score", 9)).withColumn("last_open", F.col("last_open"))
 
 
-@_query("""with r as (select distinct path from file_signals where user_id = 'user-000' and path <> ''), n as (select path, lower(string_split(path, chr(92))[-1]) as name_l from r),
-p as (select path, name_l, row_number() over (order by name_l, lower(path), path) as position from n where contains(name_l, 'raven') or contains(strip_accents(name_l), 'raven') qualify position <= 100),
+@_query("""with r as (select distinct path from file_signals where user_id = 'user-000' and path <> ''),
+ n as (select path, lower(string_split(path, chr(92))[-1]) as name_l from r),
+p as (select path, name_l, row_number() over (order by name_l, lower(path), path) as position from n where contains(name_l, 'raven')
+ or contains(strip_accents(name_l), 'raven') qualify position <= 100),
 f as (select path, max(score) as frecency from file_signals where user_id = 'user-000' group by 1),
 h as (select path from query_picks where user_id = 'user-000' and query_norm = 'raven' group by 1 having max(pick_count) >= 3),
 j as (select p.*, h.path is not null as habit, frecency, case when name_l = 'raven' then '0' when starts_with(name_l, 'raven') then '1' when contains(name_l, 'raven') then '2' else '3' end as band from p left join f using (path) left join h on h.path = p.path)
@@ -6416,14 +473,16 @@ def _with_git(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query(
-    """select replace(path, '/', chr(92)) as path from search_results where path is not null and path <> '' group by 1 having bool_or(git_status in ('modified', 'untracked'))"""
+    """select replace(path, '/', chr(92)) as path from search_results where path is not null and path <> ''
+ group by 1 having bool_or(git_status in ('modified', 'untracked'))"""
 )
 def q_git(spark, sf_dir):
     """Files in one of several states of version control; a path that is reported in several states has all of them."""
     return search.matching(_with_git(spark, sf_dir), parse("git:modified git:untracked", AT)).select("path")
 
 
-@_query("""with p as (select replace(path, '/', chr(92)) as path, list(git_status) filter (git_status is not null) as s from search_results where path is not null and path <> '' group by 1)
+@_query("""with p as (select replace(path, '/', chr(92)) as path, list(git_status) filter (git_status is not null) as s from search_results
+ where path is not null and path <> '' group by 1)
 select path, list_filter(['conflict', 'modified', 'staged', 'ignored', 'untracked', 'clean', 'tracked'], lambda x: list_contains(s, x))[1] as git_status from p""")
 def o_git_status(spark, sf_dir):
     """The most telling state of every path."""
@@ -6444,14 +503,16 @@ def _state_sql(name: str, condition: str) -> str:
 
 @_query(f"""with {_state_sql('a', "received_at < timestamptz '2026-04-01 00:00:00+00'")}, {_state_sql('b', 'true')},
 f as (select a.path as ap, a.size as asize, a.mod_ns as am, b.path as bp, b.size as bsize, b.mod_ns as bm, a.frn is null as come, b.frn is null as gone from a full join b on a.volume = b.volume and a.frn = b.frn)
-select 'created' as event, bp as path, bsize as size, bm as mod_ns from f where come or (not gone and ap <> bp) union all select 'deleted', ap, asize, am from f where gone or (not come and ap <> bp)
+select 'created' as event, bp as path, bsize as size, bm as mod_ns from f where come or (not gone and ap <> bp) union all
+ select 'deleted', ap, asize, am from f where gone or (not come and ap <> bp)
 union all select 'modified', bp, bsize, bm from f where not come and not gone and ap = bp and (asize is distinct from bsize or am is distinct from bm)""")
 def w_watch(spark, sf_dir):
     """Events between the state at the beginning of April and the last."""
     return feed.watch_feed(_changes(spark, sf_dir), _ORDER, _APRIL)
 
 
-@_query("""with l as (select * from (select *, row_number() over (partition by volume, frn order by checkpoint_usn desc, feed_cursor desc) as rn from feature_feed where frn is not null and frn <> 0 and volume is not null) where rn = 1 and not coalesce(deleted, false))
+@_query("""with l as (select * from (select *, row_number() over (partition by volume, frn order by checkpoint_usn desc, feed_cursor desc) as rn
+ from feature_feed where frn is not null and frn <> 0 and volume is not null) where rn = 1 and not coalesce(deleted, false))
 select volume, frn, checkpoint_usn, feed_cursor from l""")
 def w_stream(spark, sf_dir):
     """The feed applied as a stream of files; the state after the last batch."""
@@ -6469,7 +530,9 @@ def w_cascade(spark, sf_dir):
     return feed.cascade(entries(spark, sf_dir), gone).select("path")
 
 
-@_query(f"""with {_state_sql('a', "received_at < timestamptz '2026-04-01 00:00:00+00'")}, c as (select * from (select *, row_number() over (partition by volume, frn order by checkpoint_usn desc, feed_cursor desc) as rn from feature_feed where frn <> 0 and volume is not null and received_at >= timestamptz '2026-04-01 00:00:00+00') where rn = 1)
+@_query(f"""with {_state_sql('a', "received_at < timestamptz '2026-04-01 00:00:00+00'")}, c as (select *
+ from (select *, row_number() over (partition by volume, frn order by checkpoint_usn desc, feed_cursor desc) as rn from feature_feed
+ where frn <> 0 and volume is not null and received_at >= timestamptz '2026-04-01 00:00:00+00') where rn = 1)
 select volume, frn, path from a where not exists (select 1 from c where c.volume = a.volume and c.frn = a.frn) union all select volume, frn, path from c where not coalesce(deleted, false)""")
 def w_overlay(spark, sf_dir):
     """The April state under the changes that came after."""
@@ -6488,7 +551,9 @@ def w_overlay(spark, sf_dir):
 
 
 @_query(
-    "select volume, frn, scan_month, seq from records r where seq = (select max(seq) from (select seq, rank() over (order by scan_month desc, seq desc) as k from records x where x.volume = r.volume and x.frn = r.frn) where k = 1)"
+    "select volume, frn, scan_month, seq from records r where seq = (select max(seq) "
+        "from (select seq, rank() over (order by scan_month desc, seq desc) as k from records x where x.volume = r.volume and x.frn = r.frn) "
+        "where k = 1)"
 )
 def w_occupants(spark, sf_dir):
     """Rows of the file that holds a record number last."""
@@ -6497,7 +562,8 @@ def w_occupants(spark, sf_dir):
 
 
 @_query(
-    f"{ENTRIES_SQL}, k as (select volume, path, mod_ns, size, coalesce('f' || frn, 'p' || path_l) as k from e) select volume, path from (select *, row_number() over (partition by volume, k order by mod_ns desc, path desc, size desc) as rn from k) where rn = 1"
+    f"{ENTRIES_SQL}, k as (select volume, path, mod_ns, size, coalesce('f' || frn, 'p' || path_l) as k from e) select volume, path "
+        f"from (select *, row_number() over (partition by volume, k order by mod_ns desc, path desc, size desc) as rn from k) where rn = 1"
 )
 def d_dedupe(spark, sf_dir):
     """One row a file of a listing that holds everything twice."""
@@ -6506,7 +572,8 @@ def d_dedupe(spark, sf_dir):
 
 
 @_query(
-    f"{ENTRIES_SQL}, p as (select path, row_number() over (order by {_NAME_ORDER}) as rn from e where ext_l = 'md') select sha256(string_agg(path, chr(0) order by rn) || chr(0)) as hash from p where rn <= 100"
+    f"{ENTRIES_SQL}, p as (select path, row_number() over (order by {_NAME_ORDER}) as rn from e where ext_l = 'md') "
+        f"select sha256(string_agg(path, chr(0) order by rn) || chr(0)) as hash from p where rn <= 100"
 )
 def d_page_hash(spark, sf_dir):
     return search.page_hash(search.search(entries(spark, sf_dir), "ext:md", AT))
@@ -6529,7 +596,10 @@ def s_keyset(spark, sf_dir):
 
 
 @_query(
-    "select user_id, query_norm, path, pick_count, last_unix, place from (select *, cast(row_number() over (partition by user_id, query_norm order by pick_count desc nulls last, last_unix desc nulls last, path) as int) as place from (select user_id, query_norm, path, max(pick_count) as pick_count, max(last_unix) as last_unix from query_picks group by all)) where place <= 8"
+    "select user_id, query_norm, path, pick_count, last_unix, place from (select *, cast(row_number() over (partition by user_id, query_norm "
+        "order by pick_count desc nulls last, last_unix desc nulls last, path) as int) as place "
+        "from (select user_id, query_norm, path, max(pick_count) as pick_count, max(last_unix) as last_unix from query_picks group by all)) "
+        "where place <= 8"
 )
 def u_compacted_picks(spark, sf_dir):
     return ranking.compact_picks(table(spark, sf_dir, "query_picks"))
@@ -6537,2998 +607,15 @@ def u_compacted_picks(spark, sf_dir):
 
 SQL["r_latencies"] = (
     "select "
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    
-    + ", ".join(f"quantile_disc(value, {p}) as {n}" for n, p in (("min", 0.0), ("p50", 0.5), ("p90", 0.9), ("p95", 0.95), ("p99", 0.99), ("max", 1.0)))
+    + ", ".join(f"quantile_disc(value, {p}) as "
+        f"{n}" for n, p in (("min", 0.0), ("p50", 0.5), ("p90", 0.9), ("p95", 0.95), ("p99", 0.99), ("max", 1.0)))
     + " from events"
 )
 
 
-@_query(f"""with {_state_sql('a', "received_at < timestamptz '2026-04-01 00:00:00+00'")}, {_state_sql('b', 'true')}, c as (select coalesce(b.path, a.path) as path, a.size as old_size, b.size as new_size from a full join b on a.volume = b.volume and a.frn = b.frn where a.path is null or b.path is null or a.path = b.path),
+@_query(f"""with {_state_sql('a', "received_at < timestamptz '2026-04-01 00:00:00+00'")}, {_state_sql('b', 'true')},
+ c as (select coalesce(b.path, a.path) as path, a.size as old_size, b.size as new_size from a full join b on a.volume = b.volume
+ and a.frn = b.frn where a.path is null or b.path is null or a.path = b.path),
 u as (select unnest(list_transform(range(1, len(string_split(replace(path, '/', chr(92)), chr(92)))), lambda i: array_to_string(string_split(replace(path, '/', chr(92)), chr(92))[1:i], chr(92)))) as path, coalesce(new_size, 0) - coalesce(old_size, 0) as d from c)
 select path, cast(sum(d) as bigint) as delta from u group by path""")
 def r_folder_deltas(spark, sf_dir):
@@ -9541,7 +628,9 @@ def r_folder_deltas(spark, sf_dir):
     )
 
 
-@_query("""with r as (select run_id, state from index_runs where source = 'walk' group by all), p as (select volume, frn, max((print_mod, print_size)) as v, state = 'replaying' as opened from file_prints join r using (run_id) where state in ('ready', 'replaying') and frn is not null group by all),
+@_query("""with r as (select run_id, state from index_runs where source = 'walk' group by all),
+ p as (select volume, frn, max((print_mod, print_size)) as v, state = 'replaying' as opened from file_prints join r using (run_id)
+ where state in ('ready', 'replaying') and frn is not null group by all),
 o as (select * from p where not opened), n as (select * from p where opened)
 select coalesce(o.volume, n.volume) as volume, coalesce(o.frn, n.frn) as frn, case when o.frn is null then 'added' when n.frn is null then 'removed' when o.v is not distinct from n.v then 'same' else 'changed' end as state from o full join n on o.volume = n.volume and o.frn = n.frn""")
 def w_reconcile(spark, sf_dir):
@@ -9558,7 +647,8 @@ def w_reconcile(spark, sf_dir):
 
 
 @_query(f"""{ENTRIES_SQL}, l as (select path, unnest(range(1, len(string_split(text, chr(10))) + 1)) as line, unnest(string_split(text, chr(10))) as text from e where contains(text, 'Journal')),
-h as (select *, hex(encode(text)) as x from l where contains(text, 'Journal')), k as (select *, list_filter([500, 499, 498, 497], lambda n: not regexp_matches(substring(x, 2 * n + 1, 1), '[89AB]'))[1] as n from h)
+h as (select *, hex(encode(text)) as x from l where contains(text, 'Journal')),
+ k as (select *, list_filter([500, 499, 498, 497], lambda n: not regexp_matches(substring(x, 2 * n + 1, 1), '[89AB]'))[1] as n from h)
 select path, cast(line as int) as line, path || ':' || line || ':' || case when octet_length(encode(text)) <= 500 then text else decode(unhex(substring(x, 1, 2 * n))) || '…' end as shown from k""")
 def o_grep(spark, sf_dir):
     """All matching lines as they are printed, those of more than 500 bytes cut behind a whole character."""
@@ -9573,7 +663,8 @@ def _companion(spark: SparkSession, sf_dir: str) -> dict:
 
 
 @_query(
-    f"{ENTRIES_SQL} select path from e where (volume, frn) in (select (volume, frn) from feature_feed where size >= 100000 and frn is not null) and not ext_l = 'md'"
+    f"{ENTRIES_SQL} select path from e where (volume, frn) in (select (volume, frn) from feature_feed where size >= 100000 and frn is not null) "
+        f"and not ext_l = 'md'"
 )
 def q_feature(spark, sf_dir):
     """A companion's set of files, joined by key."""
@@ -9581,15 +672,18 @@ def q_feature(spark, sf_dir):
 
 
 @_query(
-    f"{ENTRIES_SQL} select path from e where contains(lower(text), 'journal') or contains(strip_accents(lower(text)), 'journal') order by {_NAME_ORDER} limit 100"
+    f"{ENTRIES_SQL} select path from e where contains(lower(text), 'journal') or contains(strip_accents(lower(text)), 'journal') "
+        f"order by {_NAME_ORDER} limit 100"
 )
 def q_contents(spark, sf_dir):
     """Plain words searched in texts."""
     return Catalogue(entries(spark, sf_dir)).content("journal", AT).select("path")
 
 
-@_query("""with l as (select * from (select *, row_number() over (partition by volume, frn order by checkpoint_usn desc, feed_cursor desc) as rn from feature_feed where frn <> 0 and volume is not null) where rn = 1 and not coalesce(deleted, false) and path is not null),
-m as (select volume, max(checkpoint_usn) as top from feature_feed where volume is not null group by 1), c as (select volume, top, case when volume = 'C:' then top + 1 when volume = 'D:' then null else top end as since from m)
+@_query("""with l as (select * from (select *, row_number() over (partition by volume, frn order by checkpoint_usn desc, feed_cursor desc) as rn
+ from feature_feed where frn <> 0 and volume is not null) where rn = 1 and not coalesce(deleted, false) and path is not null),
+m as (select volume, max(checkpoint_usn) as top from feature_feed where volume is not null group by 1),
+ c as (select volume, top, case when volume = 'C:' then top + 1 when volume = 'D:' then null else top end as since from m)
 select volume, top as seq, coalesce(since > top, false) as reset from c""")
 def w_cursors(spark, sf_dir):
     """Cursors of a watcher whose cursor of one volume is too new, and that doesn't know another."""
@@ -9603,14 +697,16 @@ def w_cursors(spark, sf_dir):
 
 
 @_query(
-    f"{ENTRIES_SQL} select volume, frn, case when starts_with(path_l, 'c:' || {B} || 'corpus' || {B}) or path_l = 'c:' || {B} || 'corpus' then 'C:' || {B} || 'texts' || substring(path, 10) else path end as path from e"
+    f"{ENTRIES_SQL} select volume, frn, case when starts_with(path_l, 'c:' || {B} || 'corpus' || {B}) or path_l = 'c:' || {B} || 'corpus' "
+        f"then 'C:' || {B} || 'texts' || substring(path, 10) else path end as path from e"
 )
 def w_renamed(spark, sf_dir):
     """A folder renamed, with everything below it."""
     return feed.renamed(entries(spark, sf_dir), spark.createDataFrame([("C:", "C:\\corpus", "C:\\texts")], "volume string, old string, new string"))
 
 
-@_query("""with l as (select * from (select *, row_number() over (partition by volume, frn order by checkpoint_usn desc, feed_cursor desc) as rn from feature_feed where frn is not null and frn <> 0 and volume is not null) where rn = 1 and not coalesce(deleted, false))
+@_query("""with l as (select * from (select *, row_number() over (partition by volume, frn order by checkpoint_usn desc, feed_cursor desc) as rn
+ from feature_feed where frn is not null and frn <> 0 and volume is not null) where rn = 1 and not coalesce(deleted, false))
 select volume, frn, checkpoint_usn, feed_cursor from l""")
 def w_folded(spark, sf_dir):
     """The table after two batches, folded between them."""
@@ -9623,7 +719,10 @@ def w_folded(spark, sf_dir):
 
 
 @_query(
-    f"{ENTRIES_SQL} select ext_l as ext, 'C:' || {B} || 'corpus' as unit, case when ext_l = 'json' and size >= {admission.LARGE_JSON} then 'large_json' else 'admitted' end as reason, count(*) as files, cast(sum(case when ext_l = 'json' and size >= {admission.LARGE_JSON} then size else least(size, {admission.TEXT_OUTSIDE}) end) as bigint) as bytes from e where not is_dir and starts_with(path_l, 'c:' || {B} || 'corpus' || {B}) group by all"
+    f"{ENTRIES_SQL} select ext_l as ext, 'C:' || {B} || 'corpus' as unit, case when ext_l = 'json' and size >= {admission.LARGE_JSON} "
+        f"then 'large_json' else 'admitted' end as reason, count(*) as files, cast(sum(case when ext_l = 'json' and size >= {admission.LARGE_JSON} "
+        f"then size else least(size, {admission.TEXT_OUTSIDE}) end) as bigint) as bytes from e where not is_dir "
+        f"and starts_with(path_l, 'c:' || {B} || 'corpus' || {B}) group by all"
 )
 def a_estimate(spark, sf_dir):
     """What an index of one folder would hold."""
@@ -9631,7 +730,10 @@ def a_estimate(spark, sf_dir):
 
 
 @_query(
-    f"{ENTRIES_SQL}, c as (select path, text, size from e where text is not null) select path, size > {2 * admission.TEXT_OUTSIDE} as skipped, octet_length(encode(text)) > {admission.TEXT_OUTSIDE} and size <= {2 * admission.TEXT_OUTSIDE} as truncated, case when size <= {2 * admission.TEXT_OUTSIDE} then least(octet_length(encode(text)), {admission.TEXT_OUTSIDE}) end as bytes from c"
+    f"{ENTRIES_SQL}, c as (select path, text, size from e where text is not null) "
+        f"select path, size > {2 * admission.TEXT_OUTSIDE} as skipped, octet_length(encode(text)) > {admission.TEXT_OUTSIDE} "
+        f"and size <= {2 * admission.TEXT_OUTSIDE} as truncated, case when size <= {2 * admission.TEXT_OUTSIDE} "
+        f"then least(octet_length(encode(text)), {admission.TEXT_OUTSIDE}) end as bytes from c"
 )
 def a_capped(spark, sf_dir):
     """Texts under the caps of an index."""
@@ -9656,7 +758,8 @@ def x_plain(spark, sf_dir):
 
 
 @_query(
-    "select doc_id, 4 as content_class, false as skipped, false as truncated, '<html><body><p>' || text || '</p></body></html>' as text from documents where text is not null"
+    "select doc_id, 4 as content_class, false as skipped, false as truncated, '<html><body><p>' || text || '</p></body></html>' as text "
+        "from documents where text is not null"
 )
 def x_html(spark, sf_dir):
     """Texts in a page of HTML, with its markup."""
@@ -9664,7 +767,8 @@ def x_html(spark, sf_dir):
 
 
 @_query(
-    "select doc_id, 5 as content_class, false as skipped, false as truncated, 'Subject: ' || doc_id || chr(10) || text as text from documents where text is not null"
+    "select doc_id, 5 as content_class, false as skipped, false as truncated, 'Subject: ' || doc_id || chr(10) || text as text from documents "
+        "where text is not null"
 )
 def x_mail(spark, sf_dir):
     """Texts sent as mail: the subject, then the body."""
@@ -9706,14 +810,16 @@ def r_hops(spark, sf_dir):
 
 
 @_query(
-    f"{ENTRIES_SQL} select path, case when name_l = 'quarry' then '0' when starts_with(name_l, 'quarry') then '1' when contains(name_l, 'quarry') then '2' else '3' end as band from e"
+    f"{ENTRIES_SQL} select path, case when name_l = 'quarry' then '0' when starts_with(name_l, 'quarry') then '1' when contains(name_l, 'quarry') "
+        f"then '2' else '3' end as band from e"
 )
 def r_bands(spark, sf_dir):
     """The stretches of a page inside which signals may reorder."""
     return entries(spark, sf_dir).select("path", ranking.band(parse("quarry", AT)).alias("band"))
 
 
-@_query("""with p as (select replace(path, '/', chr(92)) as path, list(git_status) filter (git_status is not null) as s from search_results where path is not null and path <> '' group by 1)
+@_query("""with p as (select replace(path, '/', chr(92)) as path, list(git_status) filter (git_status is not null) as s from search_results
+ where path is not null and path <> '' group by 1)
 select path, case when list_has_any(coalesce(s, []), ['conflict', 'modified', 'staged']) then 0 when list_contains(coalesce(s, []), 'untracked') then 2 else 3 end as class from p""")
 def r_git_classes(spark, sf_dir):
     """How states of version control rank."""
@@ -9733,7 +839,9 @@ def s_cursor(spark, sf_dir):
     return shop.search("ext:md", AT, 50, cursor=shop.next_cursor("ext:md", AT, 150)).select("path")
 
 
-@_query(f"""{ENTRIES_SQL}, t as (select path, repeat(text || ' ', 1 + 40000 // greatest(1, length(text))) as text from e where text is not null and length(text) > 0), j as (select path, case when size % 2 = 0 then replace(text, chr(10), ' ') else text end as text from t join (select path, size from e) using (path))
+@_query(f"""{ENTRIES_SQL}, t as (select path, repeat(text || ' ', 1 + 40000 // greatest(1, length(text))) as text from e where text is not null
+ and length(text) > 0), j as (select path, case when size % 2 = 0 then replace(text, chr(10), ' ') else text end as text from t
+ join (select path, size from e) using (path))
 select path, octet_length(encode(text)) >= {admission.MINIFIED_SIZE} and length(substring(text, 1, {admission.SAMPLE})) / len(string_split(substring(text, 1, {admission.SAMPLE}), chr(10))) > {admission.MINIFIED_LINE} as minified from j""")
 def a_minified(spark, sf_dir):
     """Texts repeated to some length, half of them on one line: the latter look generated."""

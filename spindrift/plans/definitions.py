@@ -91,7 +91,8 @@ C_TYPE = r"\w:<>,~"
 DESCRIPTIONS = {
     "go": [Introduction("func", between=RECEIVER), Introduction("type var const")],
     "c": [
-        Introduction("class struct union enum+class enum", modifiers="typedef", before=rf"(?:template\s*+{PARAMETERS})?", between=r"(?:(?!{name}\b)\w++\s++)?", body=True),
+        Introduction("class struct union enum+class "
+            "enum", modifiers="typedef", before=rf"(?:template\s*+{PARAMETERS})?", between=r"(?:(?!{name}\b)\w++\s++)?", body=True),
         Introduction(r"#\s*+define"), Head(C_TYPE + "*&", member=True), Head(C_TYPE, pointers="*&"),
     ],
     "py": [Introduction("def", modifiers="async"), Introduction("class"), Assigned()],
@@ -101,7 +102,8 @@ DESCRIPTIONS = {
         Method("public private protected static async readonly override get set")
     ],
     "rs": [Introduction("fn struct enum trait type union mod const static", first=False), Introduction("macro[_]rules!", first=False)],
-    "java": [Introduction("class interface enum record struct object", first=False), Introduction("fun", first=False, between=PARAMETERS + r"(?:\w++\.)*+"), Head(r"\w<>\[\],?@.")],
+    "java": [Introduction("class interface enum record struct "
+        "object", first=False), Introduction("fun", first=False, between=PARAMETERS + r"(?:\w++\.)*+"), Head(r"\w<>\[\],?@.")],
     "": [Introduction("fn func function def fun sub proc class struct interface enum trait type module", first=False)],
 }
 

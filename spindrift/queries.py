@@ -102,18 +102,22 @@ _ORPHANS = """
 with refs as (select distinct 'records' as table_name, scan_month, row_id, volume, parent_frn as frn from records where not coalesce(deleted, false) and parent_frn <> 0
  union all select 'documents', scan_month, doc_id, volume, frn from documents where frn <> 0),
 r as (select distinct volume, frn, scan_month, deleted from records),
-o as (select table_name, scan_month, row_id from (select refs.*, r.deleted, row_number() over (partition by table_name, row_id order by r.scan_month desc nulls last) as rn
+o as (select table_name, scan_month, row_id from (select refs.*, r.deleted, row_number() over (partition by table_name, row_id
+ order by r.scan_month desc nulls last) as rn
  from refs left join r on r.volume = refs.volume and r.frn = refs.frn and r.scan_month <= refs.scan_month) where rn = 1 and coalesce(deleted, true))
 """
 _LATEST = """
-with l as (select * from (select *, row_number() over (partition by volume, frn order by checkpoint_usn desc, feed_cursor desc, path desc nulls last, name desc nulls last, size desc nulls last) as rn
+with l as (select * from (select *, row_number() over (partition by volume, frn
+ order by checkpoint_usn desc, feed_cursor desc, path desc nulls last, name desc nulls last, size desc nulls last) as rn
  from feature_feed where frn is not null and frn <> 0 and volume is not null) where rn = 1 and not coalesce(deleted, false))
 """
 _NODES = """
 with recursive n as (select volume, frn, case when parent_frn <> 0 then parent_frn end as parent_frn, coalesce(name, '') as name from
- (select *, row_number() over (partition by volume, frn order by scan_month desc, received_at desc, row_id desc) as rn from records) where rn = 1 and not coalesce(deleted, false)),
+ (select *, row_number() over (partition by volume, frn order by scan_month desc, received_at desc, row_id desc) as rn from records) where rn = 1
+ and not coalesce(deleted, false)),
 t(volume, frn, path, depth, root_frn, status) as (
- select n.volume, n.frn, n.name, 0, n.frn, case when n.parent_frn is null then 'root' else 'missing' end from n left join n as p on p.volume = n.volume and p.frn = n.parent_frn where p.frn is null
+ select n.volume, n.frn, n.name, 0, n.frn, case when n.parent_frn is null then 'root' else 'missing' end from n left
+ join n as p on p.volume = n.volume and p.frn = n.parent_frn where p.frn is null
  union all select n.volume, n.frn, t.path || chr(92) || n.name, t.depth + 1, t.root_frn, t.status from n join t on n.volume = t.volume and n.parent_frn = t.frn),
 c as (select n.* from n anti join t on n.volume = t.volume and n.frn = t.frn),
 w(volume, frn, cur) as (select volume, frn, parent_frn from c union select w.volume, w.frn, c.parent_frn from w join c on c.volume = w.volume and c.frn = w.cur),
@@ -121,7 +125,8 @@ r as (select volume, frn from w where cur = frn),
 m as (select w.volume, w.frn, min(w.cur) as cycle_frn from w join r on r.volume = w.volume and r.frn = w.cur group by 1, 2),
 a(volume, frn, descendant_frn, distance) as (
  select n.volume, n.parent_frn, n.frn, 1 from n join t on t.volume = n.volume and t.frn = n.frn join n as p on p.volume = n.volume and p.frn = n.parent_frn
- union all select a.volume, n.parent_frn, a.descendant_frn, a.distance + 1 from a join n on n.volume = a.volume and n.frn = a.frn join n as p on p.volume = n.volume and p.frn = n.parent_frn)
+ union all select a.volume, n.parent_frn, a.descendant_frn, a.distance + 1 from a join n on n.volume = a.volume and n.frn = a.frn
+ join n as p on p.volume = n.volume and p.frn = n.parent_frn)
 """
 _RUNS = "select distinct volume, run_id, source, journal_id, checkpoint_usn, built_at from index_runs"
 _OPEN = f"{_RUNS} where state = 'replaying'"
@@ -135,9 +140,12 @@ def _changed(opened: str, ok: str) -> str:
     return f"""
 with o as ({opened}), ok as ({ok}),
 l as (select * from (select ok.*, row_number() over (partition by volume order by built_at desc) as rn from ok) where rn = 1),
-n as (select * from (select p.*, row_number() over (partition by p.volume, p.frn order by seen_at desc) as rn from file_prints as p join o on o.run_id = p.run_id and o.volume = p.volume) where rn = 1),
-b as (select * from (select p.*, row_number() over (partition by p.volume, p.frn order by ok.built_at desc, seen_at desc) as rn from file_prints as p join ok on ok.run_id = p.run_id and ok.volume = p.volume) where rn = 1),
-c as (select n.volume, n.frn, o.built_at, n.usn, n.seen_at, o.journal_id, n.print_size, n.print_mod from n join o on o.volume = n.volume left join l on l.volume = n.volume left join b on b.volume = n.volume and b.frn = n.frn
+n as (select * from (select p.*, row_number() over (partition by p.volume, p.frn order by seen_at desc) as rn from file_prints as p
+ join o on o.run_id = p.run_id and o.volume = p.volume) where rn = 1),
+b as (select * from (select p.*, row_number() over (partition by p.volume, p.frn order by ok.built_at desc, seen_at desc) as rn
+ from file_prints as p join ok on ok.run_id = p.run_id and ok.volume = p.volume) where rn = 1),
+c as (select n.volume, n.frn, o.built_at, n.usn, n.seen_at, o.journal_id, n.print_size, n.print_mod from n join o on o.volume = n.volume left
+ join l on l.volume = n.volume left join b on b.volume = n.volume and b.frn = n.frn
 where case when o.source = 'walk' then b.frn is null or b.print_size is distinct from n.print_size or b.print_mod is distinct from n.print_mod
  else l.run_id is null or l.journal_id is distinct from o.journal_id or coalesce(n.usn >= l.checkpoint_usn, true) end)"""
 
@@ -146,8 +154,10 @@ SQL = {
     "p2_found": _ORPHANS + "select table_name, scan_month, row_id from o",
     "p2_report": _ORPHANS + "select table_name, scan_month, count(*) as n_orphans from o group by 1, 2",
     "p4_found": f"{_changed(_OPEN, _OK)} select volume, frn from c",
-    "p4_plan": f"""with o as ({_OPEN}), l as (select * from (select *, row_number() over (partition by volume order by built_at desc, run_id desc) as rn from ({_OK})) where rn = 1)
-select o.volume, o.run_id as open_run, case when o.source = 'walk' then 'compare' when l.run_id is null or l.journal_id is distinct from o.journal_id or l.checkpoint_usn is null then 'all' else 'journal' end as mode, l.checkpoint_usn as from_usn, o.journal_id
+    "p4_plan": f"""with o as ({_OPEN}), l as (select * from (select *, row_number() over (partition by volume
+ order by built_at desc, run_id desc) as rn from ({_OK})) where rn = 1)
+select o.volume, o.run_id as open_run, case when o.source = 'walk' then 'compare' when l.run_id is null or l.journal_id is distinct
+ from o.journal_id or l.checkpoint_usn is null then 'all' else 'journal' end as mode, l.checkpoint_usn as from_usn, o.journal_id
 from o left join l on l.volume = o.volume""",
     "p4_two_batches": f"""with a as ({_changed(_LAST_AS_OPEN, _OK_BEFORE_LAST)} select *, 0 as batch from c), b as ({_changed(_OPEN, _OK)} select *, 1 as batch from c)
 select volume, frn, journal_id, usn, print_size, print_mod, cast(batch as bigint) as batch from (select *, row_number() over (partition by volume, frn order by built_at desc, usn desc nulls last, seen_at desc, batch desc) as rn from (select * from a union all select * from b)) where rn = 1""",

@@ -115,7 +115,8 @@ def indexed_words(spark: SparkSession, sf_dir: str, make: Callable[[DataFrame],
 
 
 ENTRIES_SQL = """
-with fl as (select * from (select *, row_number() over (partition by volume, frn order by checkpoint_usn desc, feed_cursor desc) as rn from feature_feed where frn is not null and frn <> 0 and volume is not null) where rn = 1 and not coalesce(deleted, false)),
+with fl as (select * from (select *, row_number() over (partition by volume, frn order by checkpoint_usn desc, feed_cursor desc) as rn
+ from feature_feed where frn is not null and frn <> 0 and volume is not null) where rn = 1 and not coalesce(deleted, false)),
 files as (select volume, doc_id as frn, volume || chr(92) || 'corpus' || chr(92) || source || chr(92) || coalesce(lang, 'und') || chr(92) || 'doc_' || doc_id || '.' || (['txt', 'md', 'json', 'log', 'csv', 'html'])[doc_id % 6 + 1] as path,
  cast(case when doc_id % 5 = 0 then 1 else 0 end + case when doc_id % 7 = 0 then 2 else 0 end + case when doc_id % 2 = 0 then 32 else 0 end as bigint) as mode, n_chars as size, (1704067200 + doc_id % 100000 * 600) * 1000000000 as mod_ns, 'corpus' as source, text from documents
  union all select volume, frn, replace(path, '/', chr(92)), mode, size, mod_unix, 'feed', null from fl where path is not null),

@@ -142,7 +142,8 @@ def mailbox(data: bytes) -> str:
 
 
 _NO_TEXT = set(
-    "fonttbl colortbl stylesheet info pict object themedata colorschememapping latentstyles datastore generator listtable listoverridetable rsidtbl xmlnstbl fldinst header footer".split()
+    "fonttbl colortbl stylesheet info pict object themedata colorschememapping latentstyles datastore generator listtable listoverridetable rsidtbl "
+        "xmlnstbl fldinst header footer".split()
 )
 
 

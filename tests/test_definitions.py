@@ -11,19 +11,25 @@ from spindrift.sources.walk import ROWS
 
 YES = {
     "go": ["func Area(x int) int {", "func (s *Shape) Area(x int) {", "type Area struct {", "\tvar Area = 3", "const Area int = 4"],
-    "h": ["class Area : public Shape {", "class MY_EXPORT Area final {", "enum class Area : int {", "  struct Area { int a; };", "template <class T> class Area {", "typedef union Area {", "# define Area(x) (x)", "class Area { int a; };"],
-    "cc": ["void Shape::Area(int x) {", "Shape::~Area() {", "a::b::Area ()", "static int Area(const char* s) {", "int*Area(int x) {", "int Area(int x) { return x; }", "std::map<int, int> Area(int x)", "char **Area (void) {"],
+    "h": ["class Area : public Shape {", "class MY_EXPORT Area final {", "enum class Area : int {", "  struct Area { int a; };", "template <class T> "
+        "class Area {", "typedef union Area {", "# define Area(x) (x)", "class Area { int a; };"],
+    "cc": ["void Shape::Area(int x) {", "Shape::~Area() {", "a::b::Area ()", "static int Area(const char* s) {", "int*Area(int x) {", "int Area(int "
+        "x) { return x; }", "std::map<int, int> Area(int x)", "char **Area (void) {"],
     "py": ["def Area(self):", "    async def Area():", "class Area(Shape):", "Area = 3", "Area: int = 3", "Area=3"],
-    "ts": ["export class Area {", "export default abstract class Area {", "export const Area = () => 1;", "let Area: number", "export declare interface Area {", "function Area(a: number) {", "async function* Area() {", "function *Area() {", "  Area(a: number): void {", "  private static async Area<T>(a: T) {", "export default function Area() {"],
+    "ts": ["export class Area {", "export default abstract class Area {", "export const Area = () => 1;", "let Area: number", "export declare "
+        "interface Area {", "function Area(a: number) {", "async function* Area() {", "function *Area() {", "  Area(a: number): void {", "  private "
+        "static async Area<T>(a: T) {", "export default function Area() {"],
     "rs": ["pub fn Area() {}", "pub struct Area {", "macro_rules! Area {", "impl X { const Area: u8 = 1; }"],
-    "java": ["public class Area extends Shape {", "  public static int Area(int x) {", "  List<String[]> Area (int x) { return y; }", "record Area(int a) {}"],
+    "java": ["public class Area extends Shape {", "  public static int Area(int x) {", "  List<String[]> Area (int x) { return y; }", "record "
+        "Area(int a) {}"],
     "kt": ["fun Area(x: Int): Int {", "fun <T> List.Area() = 1", "object Area"],
     "lua": ["function Area()", "local function Area(x)", "class Area"],
 }
 NO = {
     "go": ["\tArea()", "// func Area() is old", "x := Area", "# func Area()", "func Areal() {"],
     "h": ["class Area;", "struct Area x;", "  friend class Area;", "* class Area {"],
-    "cc": ["  int Area(int a);", "  if (Area(x)) {", "  return Area(x);", "  Area(x);", "  x = Area(y);", "void Shape::Area(int x);", "/* int Area() */"],
+    "cc": ["  int Area(int a);", "  if (Area(x)) {", "  return Area(x);", "  Area(x);", "  x = Area(y);", "void Shape::Area(int x);", "/* int Area() "
+        "*/"],
     "py": ["Area()", "# def Area()", "Area == 3", "  Area = 3", "print(Area)", "return Area"],
     "ts": ["  Area(a);", "const x = new Area();", "if (Area(x)) {", "while (Area()) {"],
     "rs": ["let y = Area();", "fnArea"],
