@@ -22,6 +22,11 @@ def p1_grams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return value_counts.text_grams(table(spark, sf_dir, "documents"), "doc_id", "text", 5)
 
 
+def p1_all_grams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All grams of one to five words, over whole texts, with a mark on the rare and the common ones."""
+    return value_counts.marked_grams(table(spark, sf_dir, "documents"), "doc_id", "text", 5)
+
+
 def p3_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rank_fusion.rank_paths(table(spark, sf_dir, "query_picks"), table(spark, sf_dir, "file_signals"))
 
@@ -60,7 +65,10 @@ def p10_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_counts, p1_grams, p3_ranking, p5_found, p5_restored, p8_containers, p9_found, p9_items, p10_found, p10_by_source)
+    for f in (
+        p1_found, p1_counts, p1_grams, p1_all_grams, p3_ranking, p5_found, p5_restored, p8_containers, p9_found, p9_items, p10_found,
+        p10_by_source
+    )
 }
 
 _COUNTS = """
@@ -77,5 +85,10 @@ SQL = {
 i as (select doc_id, w, unnest(range(1, len(w) + 1)) as i from w), g as (select doc_id, w, i, unnest([1, 2, 3, 4, 5]) as n from i),
 c as (select n, array_to_string(w[i:i + n - 1], ' ') as gram, count(*) as occurrences, count(distinct doc_id) as records from g where i + n - 1 <= len(w) group by 1, 2)
 select n, gram, occurrences, records, case when records > 0.1 * (select count(distinct doc_id) from w) then 'common' end as mark from c where records >= 3""",
+    "p1_all_grams": r"""with w as (select doc_id, regexp_extract_all(text, '[\p{L}\p{N}]+') as w from documents where text is not null and doc_id is not null),
+i as (select doc_id, w, unnest(range(1, len(w) + 1)) as i from w), g as (select doc_id, w, i, unnest([1, 2, 3, 4, 5]) as n from i),
+c as (select n, array_to_string(w[i:i + n - 1], ' ') as gram, count(*) as occurrences, count(distinct doc_id) as records from g where i + n - 1 <= len(w) group by 1, 2)
+select n, gram, occurrences, records,
+ case when records < 3 then 'rare' when records > 0.1 * (select count(distinct doc_id) from w) then 'common' end as mark from c""",
     "p1_found": _COUNTS + "select posting_kind, term, mark from m where mark is not null",
 }

@@ -125,22 +125,28 @@ def text_suffixes(texts: DataFrame, record: str, tokens: Column, n: int) -> Data
     )
 
 
-def text_grams(texts: DataFrame, record: str, column: str, n: int, rare_below: int = 3, common_share: float = 0.1) -> DataFrame:
-    """The grams of 1 to ``n`` words in at least ``rare_below`` records: n, gram, occurrences, records, mark.
+def marked_grams(texts: DataFrame, record: str, column: str, n: int, rare_below: int = 3, common_share: float = 0.1, least: int = 1) -> DataFrame:
+    """All grams of 1 to ``n`` words: n, gram, occurrences, records, mark.
 
-    Words are runs of letters and digits, compared as stored. ``mark`` is ``common`` above ``common_share`` of the
-    records with a text, else null; all rarer grams are counted, and left out as rare. Null and empty texts, and rows
-    without a record, hold nothing; a record delivered twice counts once in ``records``.
+    Words are runs of letters and digits, compared as stored. ``mark``: ``rare`` below ``rare_below`` records, else
+    ``common`` above ``common_share`` of the records with a text, else null. Grams in fewer than ``least`` records are
+    counted and left out. Null and empty texts, and rows without a record, hold nothing; a record delivered twice
+    counts once in ``records``.
     """
     named = texts.where(F.col(record).isNotNull() & F.col(column).isNotNull())
     words = F.regexp_extract_all(F.col(column), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
-    counted = gram_counts(text_suffixes(named, record, words, n), n, rare_below)
+    counted = gram_counts(text_suffixes(named, record, words, n), n, least)
     total = named.agg(F.count_distinct(record)).collect()[0][0]
     joined = F.array_join(F.array(*[f"t{i}" for i in range(1, n + 1)]), " ").alias("gram")
-    mark = F.when(F.col("records") > total * common_share, "common")
+    mark = F.when(F.col("records") < rare_below, "rare").when(F.col("records") > total * common_share, "common")
     return counted.select("n", joined, "occurrences", "records", mark.alias("mark"))
 
 
+def text_grams(texts: DataFrame, record: str, column: str, n: int, rare_below: int = 3, common_share: float = 0.1) -> DataFrame:
+    """The rows of ``marked_grams`` that aren't rare: of real texts a small part, as most grams stand in one or two records."""
+    return marked_grams(texts, record, column, n, rare_below, common_share, least=rare_below)
+
+
 def term_counts(postings: DataFrame, rare_below: int = 3, common_share: float = 0.1) -> DataFrame:
     """Totals, documents (or names) and mark of every term: posting_kind, term, occurrences, records, mark.
 

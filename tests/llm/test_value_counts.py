@@ -1,10 +1,11 @@
+import re
 from collections import Counter, defaultdict
 from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
-from spindrift.llm import value_counts
+from spindrift.llm import queries, value_counts
 
 SCHEMA = "posting_kind string, shard string, term string, doc_id long, tf long, entry_count long, gram_count long, single boolean, shard_total long, received_at timestamp, space string, record string"
 T = datetime(2026, 1, 1)
@@ -45,6 +46,43 @@ def test_frequent_grams_of_texts(spark):
     }
 
 
+@pytest.mark.parametrize("block", [8, 1 << 18])
+def test_all_grams_of_texts_with_marks(spark, block, monkeypatch):
+    monkeypatch.setattr(value_counts, "BLOCK", block)
+    texts = (
+        [(i, f"the red fox no{i} the red") for i in range(12)]
+        + [(12, "fox, red! once"), (13, "fox red once"), (14, "once alone alone"), (14, "once alone alone"), (15, ""), (16, None), (None, "lost")]
+    )
+    occurs, records = Counter(), defaultdict(set)
+    for i, t in texts:
+        words = re.findall(r"[^\W_]+", t or "") if i is not None else []
+        for n in (1, 2, 3):
+            for j in range(len(words) - n + 1):
+                gram = (n, " ".join(words[j : j + n]))
+                occurs[gram] += 1
+                records[gram].add(i)
+    mark = lambda held: "rare" if held < 3 else "common" if held > 16 * 0.8 else None
+    df = spark.createDataFrame(texts, "id long, t string").repartition(3)
+    got = value_counts.marked_grams(df, "id", "t", 3, common_share=0.8).collect()
+    assert len(got) == len(occurs)
+    assert {(r["n"], r["gram"]): (r["occurrences"], r["records"], r["mark"]) for r in got} == {
+        k: (occurs[k], len(records[k]), mark(len(records[k]))) for k in occurs
+    }
+    assert Counter(r["mark"] for r in got)["rare"] > len(got) / 2  # most of the work
+    shown = value_counts.text_grams(df, "id", "t", 3, common_share=0.8).collect()
+    assert set(shown) == {r for r in got if r["mark"] != "rare"}
+
+
+def test_all_grams_are_a_query_with_marks(spark, tmp_path):
+    texts = [(i, "one two") for i in range(4)] + [(4, "one once")]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["gram"]: (r["n"], r["occurrences"], r["records"], r["mark"]) for r in queries.QUERIES["p1_all_grams"](spark, str(tmp_path)).collect()}
+    assert got == {
+        "one": (1, 5, 5, "common"), "two": (1, 4, 4, "common"), "once": (1, 1, 1, "rare"), "one two": (2, 4, 4, "common"),
+        "one once": (2, 1, 1, "rare")
+    }
+
+
 def test_terms_latest_delivery_marks_and_odd_rows(spark):
     d = lambda term, doc, tf, day=0, kind="doc_tf", shard="s1": (kind, shard, term, doc, tf, None, None, None, 50, T + timedelta(days=day), "x", "y")
     rows = (
